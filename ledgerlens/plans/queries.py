@@ -27,25 +27,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 RECON_AMOUNTS = ("gsm_amount", "merchant_amount", "amount")
 
 
-def _recon_query(op) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(X.recon(spark, sf_dir))
-    run.__doc__ = op.__doc__
-    return run
-
-
-def _driver_query(op) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(X.driver(spark, sf_dir))
-    run.__doc__ = op.__doc__
-    return run
-
-
 def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An id list as typed by a user: one id per line, padded, with blank lines.
 
     Ids of orders having a returned first line item, plus ids that do not exist
-    (line items of order keys ending in 7 written as ``X<key>``), plus blanks.
+    (``X<key>``), plus blank lines.
     """
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
     k = F.col("l_orderkey").cast("string")
@@ -60,35 +46,71 @@ def merchant_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")).select(F.col("c_name").alias("merchant"))
 
 
-def _order_lookup(spark, sf_dir):
-    return Fl.order_lookup(X.recon(spark, sf_dir), lookup_ids(spark, sf_dir))
+class Tables:
+    """Where the registered operators get their inputs.
+
+    :class:`FixtureTables` derives them from the driver tables on every call (the
+    form the SQL oracle mirrors); :class:`SilverTables` reads a materialized copy,
+    which is how the analyses run in production (bronze CSV -> silver Parquet ->
+    operators).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def recon(self) -> DataFrame:
+        return X.recon(self.spark, self.sf_dir)
 
+    def driver(self) -> DataFrame:
+        return X.driver(self.spark, self.sf_dir)
 
-def _drilldown_filtered(spark, sf_dir):
-    drill = Fl.status_drilldown(X.recon(spark, sf_dir))
-    return Fl.drilldown_filtered(drill, merchants=merchant_selection(spark, sf_dir),
-                                 services=["express", "Express"])
+    def catalog(self) -> DataFrame:
+        return X.file_catalog(self.spark, self.sf_dir)
 
+    def header_slices(self) -> tuple[DataFrame, DataFrame]:
+        return X.header_slices(self.spark, self.sf_dir)
 
-def _peak_hour(spark, sf_dir):
-    return A.peak_hour(A.hourly_patterns(X.recon(spark, sf_dir)))
+    def lookup_ids(self) -> DataFrame:
+        return lookup_ids(self.spark, self.sf_dir)
 
+    def merchant_selection(self) -> DataFrame:
+        return merchant_selection(self.spark, self.sf_dir)
 
-def _unusual(spark, sf_dir):
-    return A.unusual_merchants(A.merchant_patterns(X.recon(spark, sf_dir), sort=False))
 
+FixtureTables = Tables
 
-def _parsed_catalog(spark, sf_dir):
-    return C.parse_paths(X.file_catalog(spark, sf_dir))
 
+class SilverTables(Tables):
+    """Materialized ``recon`` / ``driver`` / catalogue tables under ``silver_dir``."""
 
-def _date_from_path(spark, sf_dir):
-    return _parsed_catalog(spark, sf_dir).select("path", "folder_date", "dataset", "name_date", "version",
-                                                 "biz_date")
+    NAMES = ("recon", "driver", "catalog")
 
+    def __init__(self, spark: SparkSession, sf_dir: str, silver_dir: str):
+        super().__init__(spark, sf_dir)
+        self.silver_dir = silver_dir.rstrip("/")
 
-def _alias_resolve(spark, sf_dir):
-    rows, headers = X.header_slices(spark, sf_dir)
+    @classmethod
+    def build(cls, spark: SparkSession, sf_dir: str, silver_dir: str) -> "SilverTables":
+        src = Tables(spark, sf_dir)
+        for name in cls.NAMES:
+            getattr(src, name)().write.mode("overwrite").parquet(f"{silver_dir.rstrip('/')}/{name}")
+        return cls(spark, sf_dir, silver_dir)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.silver_dir}/{name}")
+
+    def recon(self) -> DataFrame:
+        return self._read("recon")
+
+    def driver(self) -> DataFrame:
+        return self._read("driver")
+
+    def catalog(self) -> DataFrame:
+        return self._read("catalog")
+
+
+def _alias_resolve(t: Tables) -> DataFrame:
+    rows, headers = t.header_slices()
     typed = I.resolve_positional(rows, headers, I.driver_spec())
     return typed.select("order_id", "reconcile_status",
                         F.col("gsm_amount").cast("double").alias("gsm_amount"),
@@ -96,52 +118,67 @@ def _alias_resolve(spark, sf_dir):
                         "merchant_status")
 
 
+def _drilldown_filtered(t: Tables) -> DataFrame:
+    drill = Fl.status_drilldown(t.recon())
+    return Fl.drilldown_filtered(drill, merchants=t.merchant_selection(), services=["express", "Express"])
+
+
+def _parsed(t: Tables) -> DataFrame:
+    return C.parse_paths(t.catalog())
+
+
+# key -> operator over the tables
+OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
+    # transactions (recon)
+    "reconcile_status_distribution": lambda t: A.reconcile_status_distribution(t.recon()),
+    "reconcile_status_summary": lambda t: A.reconcile_status_summary(t.recon()),
+    "reconcile_status_by_day": lambda t: A.reconcile_status_distribution(t.recon(), by=["biz_date"]),
+    "insurance_distribution": lambda t: A.insurance_distribution(t.recon()),
+    "business_distribution": lambda t: A.business_distribution(t.recon()),
+    "business_rate": lambda t: A.business_rate(t.recon()),
+    "service_type_distribution": lambda t: A.service_type_distribution(t.recon()),
+    "service_type_summary": lambda t: A.service_type_summary(t.recon()),
+    "amount_by_service": lambda t: A.amount_by_service(t.recon(), amount_cols=RECON_AMOUNTS),
+    "amount_overall": lambda t: A.amount_overall(t.recon(), amount_cols=RECON_AMOUNTS),
+    "amount_comparison_matrix": lambda t: A.amount_comparison_matrix(t.recon(), amount_cols=RECON_AMOUNTS),
+    "merchant_patterns": lambda t: A.merchant_patterns(t.recon()),
+    "unusual_merchants": lambda t: A.unusual_merchants(A.merchant_patterns(t.recon(), sort=False)),
+    "hourly_patterns": lambda t: A.hourly_patterns(t.recon()),
+    "peak_hour": lambda t: A.peak_hour(A.hourly_patterns(t.recon())),
+    "summary_stats": lambda t: A.summary_stats(t.recon()),
+    "one_sided_m": lambda t: Fl.one_sided(t.recon(), "m"),
+    "one_sided_external": lambda t: Fl.one_sided(t.recon(), "external"),
+    "amount_mismatch": lambda t: Fl.amount_mismatch(t.recon()),
+    "high_amount_discrepancy": lambda t: Fl.high_amount_discrepancy(t.recon()),
+    "status_drilldown": lambda t: Fl.status_drilldown(t.recon()),
+    "drilldown_filtered": _drilldown_filtered,
+    "drilldown_kpis": lambda t: A.drilldown_kpis(t.recon()),
+    "order_lookup": lambda t: Fl.order_lookup(t.recon(), t.lookup_ids()),
+    "sample_head": lambda t: Fl.sample_head(t.recon(), 100),
+    "page_rows": lambda t: Fl.page_rows(t.recon(), page=2, size=100),
+    "page_count": lambda t: Fl.page_count(t.recon(), size=500),
+    "column_profile": lambda t: A.column_profile(t.recon()),
+    "suspicious_summary": lambda t: R.suspicious_summary(t.recon()),
+    "recommendations": lambda t: R.recommendations(t.recon()),
+    # driver orders
+    "vehicle_distribution": lambda t: A.vehicle_distribution(t.driver()),
+    "vehicle_amount_comparison": lambda t: A.vehicle_amount_comparison(t.driver()),
+    "merchant_status_distribution": lambda t: A.merchant_status_distribution(t.driver()),
+    "failed_rollup": lambda t: A.failed_rollup(t.driver()),
+    "duplicate_orders": lambda t: A.duplicate_orders(t.driver()),
+    # file catalogue
+    "date_from_path": lambda t: _parsed(t).select("path", "folder_date", "dataset", "name_date", "version",
+                                                  "biz_date"),
+    "latest_version_per_key": lambda t: C.latest_versions(_parsed(t)),
+    "availability_calendar": lambda t: C.availability_calendar(_parsed(t)),
+    "catalog_inventory": lambda t: C.inventory(_parsed(t)),
+    # header drift
+    "alias_resolve": _alias_resolve,
+}
+
+
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {
-        # transactions (recon)
-        "reconcile_status_distribution": _recon_query(A.reconcile_status_distribution),
-        "reconcile_status_summary": _recon_query(A.reconcile_status_summary),
-        "reconcile_status_by_day": _recon_query(lambda d: A.reconcile_status_distribution(d, by=["biz_date"])),
-        "insurance_distribution": _recon_query(A.insurance_distribution),
-        "business_distribution": _recon_query(A.business_distribution),
-        "business_rate": _recon_query(A.business_rate),
-        "service_type_distribution": _recon_query(A.service_type_distribution),
-        "service_type_summary": _recon_query(A.service_type_summary),
-        "amount_by_service": _recon_query(lambda d: A.amount_by_service(d, amount_cols=RECON_AMOUNTS)),
-        "amount_overall": _recon_query(lambda d: A.amount_overall(d, amount_cols=RECON_AMOUNTS)),
-        "amount_comparison_matrix": _recon_query(
-            lambda d: A.amount_comparison_matrix(d, amount_cols=RECON_AMOUNTS)),
-        "merchant_patterns": _recon_query(A.merchant_patterns),
-        "unusual_merchants": _unusual,
-        "hourly_patterns": _recon_query(A.hourly_patterns),
-        "peak_hour": _peak_hour,
-        "summary_stats": _recon_query(A.summary_stats),
-        "one_sided_m": _recon_query(lambda d: Fl.one_sided(d, "m")),
-        "one_sided_external": _recon_query(lambda d: Fl.one_sided(d, "external")),
-        "amount_mismatch": _recon_query(Fl.amount_mismatch),
-        "high_amount_discrepancy": _recon_query(Fl.high_amount_discrepancy),
-        "status_drilldown": _recon_query(Fl.status_drilldown),
-        "drilldown_filtered": _drilldown_filtered,
-        "drilldown_kpis": _recon_query(A.drilldown_kpis),
-        "order_lookup": _order_lookup,
-        "sample_head": _recon_query(lambda d: Fl.sample_head(d, 100)),
-        "page_rows": _recon_query(lambda d: Fl.page_rows(d, page=2, size=100)),
-        "page_count": _recon_query(lambda d: Fl.page_count(d, size=500)),
-        "column_profile": _recon_query(A.column_profile),
-        "suspicious_summary": _recon_query(R.suspicious_summary),
-        "recommendations": _recon_query(R.recommendations),
-        # driver orders
-        "vehicle_distribution": _driver_query(A.vehicle_distribution),
-        "vehicle_amount_comparison": _driver_query(A.vehicle_amount_comparison),
-        "merchant_status_distribution": _driver_query(A.merchant_status_distribution),
-        "failed_rollup": _driver_query(A.failed_rollup),
-        "duplicate_orders": _driver_query(A.duplicate_orders),
-        # file catalogue
-        "date_from_path": _date_from_path,
-        "latest_version_per_key": lambda s, d: C.latest_versions(_parsed_catalog(s, d)),
-        "availability_calendar": lambda s, d: C.availability_calendar(_parsed_catalog(s, d)),
-        "catalog_inventory": lambda s, d: C.inventory(_parsed_catalog(s, d)),
-        # header drift
-        "alias_resolve": _alias_resolve,
-    }
-    return q
+    """``(spark, sf_dir) -> DataFrame`` per key, deriving the inputs from the driver tables."""
+    def bind(op):
+        return lambda spark, sf_dir: op(FixtureTables(spark, sf_dir))
+    return {k: bind(op) for k, op in OPERATORS.items()}

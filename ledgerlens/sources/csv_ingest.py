@@ -72,9 +72,25 @@ def _clean(value: Column, dtype: T.DataType | None) -> Column:
     return v.try_cast(dtype)
 
 
+def header_positions(headers: DataFrame, spec: Spec, *, h: str = "h", keep: Sequence[str] = ()) -> DataFrame:
+    """S8 once per file: for each logical column the 1-based position of its first
+    alias present in the header (null when none is).  One small row per file."""
+    hc = F.col(h)
+    return headers.select(
+        "path", *keep, *[_position(hc, aliases).cast("int").alias(f"_pos_{name}")
+                         for name, aliases in spec.aliases.items()])
+
+
+def values_at(df: DataFrame, spec: Spec, *, v: str = "v", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: the cell at each resolved position, null tokens removed, typed."""
+    vc = F.col(v)
+    return df.select(*keep, *[_clean(F.try_element_at(vc, F.col(f"_pos_{name}")), spec.types.get(name)).alias(name)
+                              for name in spec.aliases])
+
+
 def resolve_columns(df: DataFrame, spec: Spec, *, h: str = "h", v: str = "v",
                     keep: Sequence[str] = ()) -> DataFrame:
-    """S8 per row: logical columns from the positional values ``v`` and header ``h``."""
+    """S8 per row, for rows that carry their own header array ``h``."""
     hc, vc = F.col(h), F.col(v)
     cols = []
     for name, aliases in spec.aliases.items():
@@ -85,14 +101,16 @@ def resolve_columns(df: DataFrame, spec: Spec, *, h: str = "h", v: str = "v",
 
 def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
                        broadcast_headers: bool = True, keep: Sequence[str] = ()) -> DataFrame:
-    """Join positional rows ``(path, v)`` to per-file headers ``(path, h)`` and resolve.
+    """Join positional rows ``(path, v)`` to per-file header positions and pick the cells.
 
-    The header table has one row per file.  It is broadcast only when the caller
-    knows the file count is bounded (``broadcast_headers``); otherwise the
-    optimizer decides from statistics.
+    Alias resolution runs once per file on the header table (one row per file);
+    each data row only indexes its array.  The header table is broadcast when
+    the caller knows the file count is bounded (``broadcast_headers``);
+    otherwise the optimizer decides from statistics.
     """
-    hdr = F.broadcast(headers) if broadcast_headers else headers
-    return resolve_columns(rows.join(hdr, "path"), spec, keep=keep)
+    pos = header_positions(headers, spec)
+    pos = F.broadcast(pos) if broadcast_headers else pos
+    return values_at(rows.join(pos, "path"), spec, keep=keep)
 
 
 def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64) -> DataFrame:
@@ -128,15 +146,14 @@ def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, max_c
     """
     spec = spec or spec_for(dataset)
     pos = read_positional(spark, paths, max_columns=max_columns)
-    headers = header_rows(pos)
-    data = (pos.join(F.broadcast(headers) if len(paths) <= HEADER_BROADCAST_MAX_FILES else headers, "path")
-            .where(F.col("row_id") != F.col("header_row_id")))
-    meta = C.parse_paths(data.select("path").distinct()).select(
-        "path", "biz_date", "dataset", "version")
-    typed = resolve_columns(data, spec, keep=["path"])
-    # the per-file metadata is one row per file: join it back on path (a broadcast-sized side)
-    return (typed.join(F.broadcast(meta) if len(paths) <= HEADER_BROADCAST_MAX_FILES else meta, "path")
-            .withColumnRenamed("path", "source_file"))
+    # one row per file: header row id, alias positions and the file's catalogue fields
+    headers = C.parse_paths(header_rows(pos))
+    per_file = header_positions(headers, spec, keep=["header_row_id", "biz_date", "dataset", "version"])
+    if len(paths) <= HEADER_BROADCAST_MAX_FILES:
+        per_file = F.broadcast(per_file)
+    data = pos.join(per_file, "path").where(F.col("row_id") != F.col("header_row_id"))
+    return values_at(data, spec, keep=["path", "biz_date", "dataset", "version"]).select(
+        *spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset", "version")
 
 
 def rejected_files(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64) -> DataFrame:
