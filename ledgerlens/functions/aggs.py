@@ -34,17 +34,19 @@ def mean_of(total: str | Column, count: str | Column) -> Column:
 
 
 def with_share(grouped: DataFrame, count_col: str, by: Sequence[str] | None = None,
-               out: str = "percent") -> DataFrame:
+               out: str = "percent", base: DataFrame | None = None) -> DataFrame:
     """Add ``count / total * 100`` to a grouped result (A0).
 
-    Without ``by`` the total is a scalar subquery over the grouped counts: a
-    distributed partial/final aggregate that yields one value, so no window moves
-    the rows into a single task.  With ``by`` (e.g. one share per ``biz_date``) the
-    total comes from a window partitioned by those keys over the small grouped
-    result.
+    Without ``by`` the total is a scalar subquery - the row count of ``base``
+    (or the sum of the grouped counts when no base is given): a distributed
+    partial/final aggregate that yields one value, so no window moves rows into a
+    single task.  A row count of a Parquet table reads no column data.  With
+    ``by`` (e.g. one share per ``biz_date``) the total comes from a window
+    partitioned by those keys over the small grouped result.
     """
     if not by:
-        total = grouped.select(F.sum(count_col)).scalar()
+        total = (base.select(F.count(F.lit(1))) if base is not None
+                 else grouped.select(F.sum(count_col))).scalar()
     else:
         total = F.sum(count_col).over(Window.partitionBy(*by))
     return grouped.withColumn(out, ratio_pct(count_col, total))

@@ -43,7 +43,7 @@ def value_distribution(df: DataFrame, column: str, *, by: Sequence[str] | None =
     name = out or column
     key = (label if label is not None else F.col(column)).alias(name)
     grouped = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias(count_col))
-    return _desc_count(with_share(grouped, count_col, by), count_col, *by, name)
+    return _desc_count(with_share(grouped, count_col, by, base=df), count_col, *by, name)
 
 
 def reconcile_status_distribution(df: DataFrame, *, status_col: str = "reconcile_status",
@@ -82,7 +82,7 @@ def reconcile_status_summary(df: DataFrame, *, status_col: str = "reconcile_stat
         F.sum(amt).alias("_sum"),
         F.count(amt).alias("_n"))
     st = F.col("reconcile_status")
-    out = with_share(grouped, "order_count", by).select(
+    out = with_share(grouped, "order_count", by, base=df).select(
         *by, st,
         L.reconcile_class(st).alias("reconcile_class"),
         F.coalesce(F.try_element_at(_descriptions(), st), st).alias("description"),
