@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.labels import is_failed
 
 
 # --------------------------------------------------------------------------- F4
@@ -85,7 +86,16 @@ def status_drilldown(df: DataFrame, *, status_col: str = "reconcile_status",
     if status is not ...:
         return priority_order(df.where(st.eqNullSafe(F.lit(status))))
     gate = drillable_statuses(df, status_col=status_col, max_rows=max_rows, exclude=exclude)
-    return priority_order(df.join(gate, st.eqNullSafe(F.col("_status")), "left_semi"))
+    rows = df
+    if exclude:
+        # excluded statuses (the hot 'match' one) never reach the join's shuffle
+        rows = rows.where(~F.coalesce(st.isin(*exclude), F.lit(False)))
+    return priority_order(rows.join(gate, st.eqNullSafe(F.col("_status")), "left_semi"))
+
+
+def failed_orders(df: DataFrame, *, status_col: str = "merchant_status") -> DataFrame:
+    """F2 (failed variant, no gate): rows whose merchant status mentions fail/error."""
+    return priority_order(df.where(is_failed(status_col)))
 
 
 def drilldown_filtered(df: DataFrame, *, merchants: DataFrame | Sequence[str] | None = None,

@@ -341,6 +341,16 @@ def oracle_sql() -> dict[str, str]:
                         AS DOUBLE) * CAST(100 AS DOUBLE) / CAST(GREATEST(COUNT(*), 1) AS DOUBLE)
                      AS duplicate_percent
             FROM recon""",
+        "summary_stats_by_day": r + f"""
+            SELECT biz_date, COUNT(*) AS total_records,
+                   COUNT(DISTINCT order_id) + MAX(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) AS unique_orders,
+                   COUNT(DISTINCT merchant) + MAX(CASE WHEN merchant IS NULL THEN 1 ELSE 0 END) AS unique_merchants,
+                   MIN(try_strptime(order_time, '%Y-%m-%d %H:%M:%S')) AS min_order_time,
+                   MAX(try_strptime(order_time, '%Y-%m-%d %H:%M:%S')) AS max_order_time,
+                   CAST(COUNT(*) - (COUNT(DISTINCT order_id) + MAX(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END))
+                        AS DOUBLE) * CAST(100 AS DOUBLE) / CAST(GREATEST(COUNT(*), 1) AS DOUBLE)
+                     AS duplicate_percent
+            FROM recon GROUP BY biz_date""",
         "one_sided_m": r + "SELECT order_id, merchant, amount, order_time, reconcile_status FROM recon "
                            "WHERE contains(reconcile_status, 'not_found_in_m')",
         "one_sided_external": r + "SELECT order_id, merchant, amount, order_time, reconcile_status FROM recon "
@@ -397,6 +407,9 @@ def oracle_sql() -> dict[str, str]:
             FROM driver""",
         "duplicate_orders": d + "SELECT order_id, COUNT(*) AS count FROM driver GROUP BY order_id "
                                 "HAVING COUNT(*) > 1",
+        "failed_orders": d + f"""
+            SELECT order_id, gsm_amount, merchant_amount, reconcile_status, merchant_status FROM driver
+            WHERE ({SEVERITY}) = 'bad'""",
         "date_from_path": _w(CATALOG_CTE) + "SELECT path, folder_date, dataset, name_date, version, biz_date "
                                             "FROM parsed",
         "latest_version_per_key": _w(CATALOG_CTE) + "SELECT * FROM latest",

@@ -146,6 +146,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "hourly_patterns": lambda t: A.hourly_patterns(t.recon()),
     "peak_hour": lambda t: A.peak_hour(A.hourly_patterns(t.recon())),
     "summary_stats": lambda t: A.summary_stats(t.recon()),
+    "summary_stats_by_day": lambda t: A.summary_stats(t.recon(), by=["biz_date"]),
     "one_sided_m": lambda t: Fl.one_sided(t.recon(), "m"),
     "one_sided_external": lambda t: Fl.one_sided(t.recon(), "external"),
     "amount_mismatch": lambda t: Fl.amount_mismatch(t.recon()),
@@ -166,6 +167,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "merchant_status_distribution": lambda t: A.merchant_status_distribution(t.driver()),
     "failed_rollup": lambda t: A.failed_rollup(t.driver()),
     "duplicate_orders": lambda t: A.duplicate_orders(t.driver()),
+    "failed_orders": lambda t: Fl.failed_orders(t.driver()),
     # file catalogue
     "date_from_path": lambda t: _parsed(t).select("path", "folder_date", "dataset", "name_date", "version",
                                                   "biz_date"),

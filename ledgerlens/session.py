@@ -26,6 +26,11 @@ BASE_CONF = {
 }
 
 
+# JVM options of the local (single-JVM) session only; cluster JVMs are configured
+# by the deployment.
+LOCAL_JAVA_OPTIONS = "-XX:+UseParallelGC"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (never used on a cluster)."""
@@ -33,6 +38,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "16g"))
+    java_opts = os.environ.get("LEDGERLENS_DRIVER_JAVA_OPTIONS", LOCAL_JAVA_OPTIONS)
+    if java_opts:
+        conf.setdefault("spark.driver.extraJavaOptions", java_opts)
     if extra:
         conf.update(extra)
     for k, v in conf.items():

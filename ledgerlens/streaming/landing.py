@@ -51,11 +51,11 @@ def land_batch(batch: DataFrame, silver_path: str, dataset: str) -> None:
     pos = batch.withColumn("row_id", F.monotonically_increasing_id())
     files = C.parse_paths(pos.select("path").distinct()).where(
         (F.col("dataset") == dataset) & F.col("biz_date").isNotNull())
-    # control plane: the distinct day folders touched by this batch (one entry per day)
-    folders = [r.folder for r in files.select(
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()]
-    if not folders:
+    # control plane: the file names of this batch (the reader's own file list)
+    paths = [r.path for r in files.select("path").collect()]
+    if not paths:
         return
+    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
     listing = C.parse_paths(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
                             .load(folders).select("path", "length"))
     latest = C.latest_versions(listing).where(F.col("dataset") == dataset).select(
@@ -64,8 +64,9 @@ def land_batch(batch: DataFrame, silver_path: str, dataset: str) -> None:
     rows = pos.join(chosen, "path", "left_semi")
     spec = I.spec_for(dataset)
     headers = C.parse_paths(I.header_rows(rows))
-    per_file = F.broadcast(I.header_positions(headers, spec,
-                                              keep=["header_row_id", "biz_date", "dataset", "version"]))
+    per_file = I.header_positions(headers, spec, keep=["header_row_id", "biz_date", "dataset", "version"])
+    if len(paths) <= I.HEADER_BROADCAST_MAX_FILES:   # one row per file: bounded by the file count
+        per_file = F.broadcast(per_file)
     data = rows.join(per_file, "path").where(F.col("row_id") != F.col("header_row_id"))
     typed = I.values_at(data, spec, keep=["path", "biz_date", "dataset", "version"]).select(
         *spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset", "version")
