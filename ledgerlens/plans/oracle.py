@@ -434,6 +434,11 @@ def oracle_sql() -> dict[str, str]:
         "catalog_inventory": _w(CATALOG_CTE) + """
             SELECT COUNT(DISTINCT folder_date) AS day_count, COUNT(*) AS file_count,
                    CAST(SUM(length) AS DOUBLE) / 1048576.0 AS total_mb FROM parsed""",
+        "catalog_inventory_by_month": _w(CATALOG_CTE) + """
+            SELECT CAST(date_trunc('month', folder_date) AS DATE) AS month,
+                   COUNT(DISTINCT folder_date) AS day_count, COUNT(*) AS file_count,
+                   CAST(SUM(length) AS DOUBLE) / 1048576.0 AS total_mb FROM parsed GROUP BY 1""",
+        "date_folders": _w(CATALOG_CTE) + "SELECT DISTINCT folder_date FROM parsed WHERE folder_date IS NOT NULL",
         "alias_resolve": d + """
             SELECT order_id, reconcile_status, CAST(gsm_amount AS DOUBLE) AS gsm_amount,
                    CAST(merchant_amount AS DOUBLE) AS merchant_amount, merchant_status FROM driver""",

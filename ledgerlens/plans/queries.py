@@ -88,6 +88,7 @@ class SilverTables(Tables):
     def __init__(self, spark: SparkSession, sf_dir: str, silver_dir: str):
         super().__init__(spark, sf_dir)
         self.silver_dir = silver_dir.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     @classmethod
     def build(cls, spark: SparkSession, sf_dir: str, silver_dir: str) -> "SilverTables":
@@ -97,7 +98,11 @@ class SilverTables(Tables):
         return cls(spark, sf_dir, silver_dir)
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.silver_dir}/{name}")
+        # one lazy DataFrame per table, reused by every operator: the file listing
+        # and Parquet footer are read once (no data is cached)
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.silver_dir}/{name}")
+        return self._frames[name]
 
     def recon(self) -> DataFrame:
         return self._read("recon")
@@ -174,6 +179,8 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "latest_version_per_key": lambda t: C.latest_versions(_parsed(t)),
     "availability_calendar": lambda t: C.availability_calendar(_parsed(t)),
     "catalog_inventory": lambda t: C.inventory(_parsed(t)),
+    "catalog_inventory_by_month": lambda t: C.inventory(_parsed(t), by_month=True),
+    "date_folders": lambda t: C.date_folders(_parsed(t)),
     # header drift
     "alias_resolve": _alias_resolve,
 }

@@ -23,6 +23,9 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    # PySpark records the Python call site of every Column call for error
+    # messages (several JVM round trips per call); query plans are unaffected.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 _NAME_RE = r"^pvi_transaction_reconciled_(taixe_)?([0-9]{8})(_([0-9]+))?\.csv$"
-_DIR_RE = r"([^/]*)/([^/]*)/([^/]*)/[^/]*$"
 
 
 def list_files(spark: SparkSession, base_path: str, glob: str = "*.csv") -> DataFrame:
@@ -31,15 +30,24 @@ def _zfill2(c):
     return F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
 
 
+def _parts(path_col: str):
+    """Path components (backslashes read as slashes)."""
+    return F.split(F.translate(F.col(path_col), "\\", "/"), "/")
+
+
+def _date_of(y, m, d):
+    return F.when(F.length(y) > 0, F.try_to_date(F.concat(y, _zfill2(m), _zfill2(d)), "yyyyMMdd"))
+
+
 def folder_date(path_col: str = "path"):
     """Business date from the last three folder names (backslashes allowed; 7 -> 07).
 
     An invalid or too short path gives null (the source gave an empty string).
+    Components are taken with ``split`` (linear), not with a backtracking regex.
     """
-    p = F.translate(F.col(path_col), "\\", "/")
-    y, m, d = (F.regexp_extract(p, _DIR_RE, i) for i in (1, 2, 3))
-    txt = F.concat(y, _zfill2(m), _zfill2(d))
-    return F.when(F.length(y) > 0, F.try_to_date(txt, "yyyyMMdd"))
+    parts = _parts(path_col)
+    y, m, d = (F.try_element_at(parts, F.lit(i)) for i in (-4, -3, -2))
+    return _date_of(y, m, d)
 
 
 def parse_paths(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -50,20 +58,27 @@ def parse_paths(files: DataFrame, path_col: str = "path") -> DataFrame:
     file name's date equals the folder's date, i.e. when the file is one the day
     folder can be asked for; other names are kept with ``biz_date = null``.
     """
-    name = F.regexp_extract(F.translate(F.col(path_col), "\\", "/"), r"([^/]*)$", 1)
-    matched = name.rlike(_NAME_RE)
-    ds = F.when(matched, F.when(F.regexp_extract(name, _NAME_RE, 1) != "", F.lit("taixe"))
-                .otherwise(F.lit("reconciled")))
-    ver_txt = F.regexp_extract(name, _NAME_RE, 4)
-    version = F.when(matched, F.when(ver_txt == "", F.lit(1)).otherwise(ver_txt.cast("int")))
-    name_date = F.when(matched, F.try_to_date(F.regexp_extract(name, _NAME_RE, 2), "yyyyMMdd"))
-    out = files.withColumns({
-        "folder_date": folder_date(path_col),
-        "dataset": ds,
-        "name_date": name_date,
-        "version": version,
+    # stage 1: components, each computed once
+    parts = _parts(path_col)
+    staged = files.withColumns({
+        "_y": F.try_element_at(parts, F.lit(-4)), "_m": F.try_element_at(parts, F.lit(-3)),
+        "_d": F.try_element_at(parts, F.lit(-2)), "_name": F.try_element_at(parts, F.lit(-1))})
+    name = F.col("_name")
+    staged = staged.withColumns({
+        "_hit": name.rlike(_NAME_RE),
+        "_taixe": F.regexp_extract(name, _NAME_RE, 1),
+        "_ndate": F.regexp_extract(name, _NAME_RE, 2),
+        "_ver": F.regexp_extract(name, _NAME_RE, 4)})
+    # stage 2: typed fields
+    hit = F.col("_hit")
+    out = staged.withColumns({
+        "folder_date": _date_of(F.col("_y"), F.col("_m"), F.col("_d")),
+        "dataset": F.when(hit, F.when(F.col("_taixe") != "", F.lit("taixe")).otherwise(F.lit("reconciled"))),
+        "name_date": F.when(hit, F.try_to_date(F.col("_ndate"), "yyyyMMdd")),
+        "version": F.when(hit, F.when(F.col("_ver") == "", F.lit(1)).otherwise(F.col("_ver").cast("int"))),
     })
-    return out.withColumn("biz_date", F.when(F.col("name_date") == F.col("folder_date"), F.col("folder_date")))
+    out = out.withColumn("biz_date", F.when(F.col("name_date") == F.col("folder_date"), F.col("folder_date")))
+    return out.drop("_y", "_m", "_d", "_name", "_hit", "_taixe", "_ndate", "_ver")
 
 
 def latest_versions(parsed: DataFrame, *, versions: tuple[int, ...] | None = None) -> DataFrame:
