@@ -152,19 +152,28 @@ def amount_by_service(df: DataFrame, *, amount_cols: Sequence[str] = DEFAULT_AMO
         aggs += [F.sum(c).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n")]
     grouped = df.groupBy(*by, L.service_label(service_col).alias("service_label")).agg(
         F.count(F.lit(1)).alias("row_count"), *aggs)
-    # exact decimal sums go through the stack; the per-type total is an exact
-    # decimal window sum over the small grouped result (partitioned by type)
+    # exact decimal sums go through the stack
     per_col = {c: [F.col(f"{c}__sum").cast(WIDE_MONEY), F.col(f"{c}__n")] for c in cols}
     long = grouped.select(*by, "service_label", "row_count", _stack(per_col, ["_sum", "amount_count"]))
-    w = Window.partitionBy(*by, "amount_type")
     total = F.coalesce(F.col("_sum").cast("double"), F.lit(0.0))
+    if by:
+        # one total per (day, amount type): a window partitioned by those keys
+        col_total = F.sum("_sum").over(Window.partitionBy(*by, "amount_type"))
+    else:
+        # the column totals of the whole table: one scalar subquery (a distributed
+        # aggregate returning one struct), no window over the grouped rows
+        totals = df.select(F.struct(*[F.sum(c).cast(WIDE_MONEY).alias(c) for c in cols])).scalar()
+        col_total = None
+        for c in cols:
+            col_total = (F.when(F.col("amount_type") == c, totals.getField(c)) if col_total is None
+                         else col_total.when(F.col("amount_type") == c, totals.getField(c)))
     return long.select(
         *by, "amount_type", "service_label",
         total.alias("total_amount"),
         "amount_count",
         F.coalesce(mean_of("_sum", "amount_count"), F.lit(0.0)).alias("avg_amount"),
         "row_count",
-        ratio_pct(total, F.sum("_sum").over(w)).alias("percent_of_total"),
+        ratio_pct(total, col_total).alias("percent_of_total"),
     ).orderBy(*by, "amount_type", F.desc("total_amount"), "service_label")
 
 

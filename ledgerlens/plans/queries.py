@@ -83,7 +83,7 @@ FixtureTables = Tables
 class SilverTables(Tables):
     """Materialized ``recon`` / ``driver`` / catalogue tables under ``silver_dir``."""
 
-    NAMES = ("recon", "driver", "catalog")
+    NAMES = ("recon", "driver", "catalog", "slices")
 
     def __init__(self, spark: SparkSession, sf_dir: str, silver_dir: str):
         super().__init__(spark, sf_dir)
@@ -93,8 +93,13 @@ class SilverTables(Tables):
     @classmethod
     def build(cls, spark: SparkSession, sf_dir: str, silver_dir: str) -> "SilverTables":
         src = Tables(spark, sf_dir)
-        for name in cls.NAMES:
-            getattr(src, name)().write.mode("overwrite").parquet(f"{silver_dir.rstrip('/')}/{name}")
+        root = silver_dir.rstrip("/")
+        for name in ("recon", "driver", "catalog"):
+            getattr(src, name)().write.mode("overwrite").parquet(f"{root}/{name}")
+        # positional rows as the CSV scan would produce them (the bronze layer)
+        rows, headers = src.header_slices()
+        rows.write.mode("overwrite").parquet(f"{root}/slices")
+        headers.write.mode("overwrite").parquet(f"{root}/slice_headers")
         return cls(spark, sf_dir, silver_dir)
 
     def _read(self, name: str) -> DataFrame:
@@ -113,6 +118,9 @@ class SilverTables(Tables):
     def catalog(self) -> DataFrame:
         return self._read("catalog")
 
+    def header_slices(self) -> tuple[DataFrame, DataFrame]:
+        return self._read("slices"), self._read("slice_headers")
+
 
 def _alias_resolve(t: Tables) -> DataFrame:
     rows, headers = t.header_slices()

@@ -76,3 +76,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def cluster_conf(total_cores: int, *, shuffle_partition_mb: int = 256, split_mb: int = 256) -> dict[str, str]:
+    """Suggested settings for a large cluster (pass to the session builder).
+
+    * Shuffles start with many partitions (4 per core) and AQE coalesces them to
+      ``shuffle_partition_mb`` each, so small group-by results do not spawn
+      thousands of empty tasks while big joins still spread out.
+    * Skew-join splitting triggers for partitions 5x the median and over 512 MiB
+      (a hot merchant, day or duplicated id).
+    * File splits of ``split_mb``: Parquet row groups and CSV splits sized for one
+      task's memory; CSV day files stay splittable (no ``multiLine``).
+    * Broadcasts stay under Spark's own size check (``autoBroadcastJoinThreshold``).
+    """
+    conf = dict(BASE_CONF)
+    conf.pop("spark.ui.enabled", None)
+    conf.pop("spark.ui.showConsoleProgress", None)
+    conf.update({
+        "spark.sql.shuffle.partitions": str(4 * total_cores),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(4 * total_cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{shuffle_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    })
+    return conf
