@@ -84,5 +84,11 @@ def vehicle_class(c: str | Column) -> Column:
 
 
 def parse_order_time(c: str | Column, fmt: str = S.ORDER_TIME_FORMAT) -> Column:
-    """Tolerant timestamp parse: a bad value becomes null instead of failing the job."""
-    return F.try_to_timestamp(_col(c).cast("string"), F.lit(fmt))
+    """Tolerant wall-clock parse to ``TIMESTAMP_NTZ``: a bad value becomes null.
+
+    The tolerant parser only validates; the value is parsed without a time zone,
+    so the hour and the min/max do not depend on the session zone (no DST shift).
+    """
+    txt = _col(c).cast("string")
+    ok = F.try_to_timestamp(txt, F.lit(fmt)).isNotNull()
+    return F.to_timestamp_ntz(F.when(ok, txt), F.lit(fmt))

@@ -266,7 +266,7 @@ def summary_stats(df: DataFrame, *, id_col: str = "order_id", merchant_col: str
                   time_col: str = "order_time", by: Sequence[str] | None = None) -> DataFrame:
     """A10: rows, distinct orders and merchants (null is a value), time range, duplicate share."""
     by = keys(by)
-    ts = L.parse_order_time(time_col).cast("timestamp_ntz")
+    ts = L.parse_order_time(time_col)
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_records"),
         n_unique(id_col).alias("unique_orders"),

@@ -163,3 +163,15 @@ def test_report_parts(spark):
                         "hourly", "peak_hour", "suspicious", "recommendations"}
     assert rep["summary"].count() >= 1 and rep["recommendations"].count() >= 1
     rep["base"].unpersist()
+
+
+def test_order_time_parse_ignores_session_zone(spark):
+    from ledgerlens.functions import labels as L
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2000-04-02 02:30:00",), ("bad",)], "t string")
+        got = [r.h for r in df.select(F.hour(L.parse_order_time("t")).alias("h")).collect()]
+        assert got == [2, None]          # a DST-gap wall-clock time keeps its hour
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
