@@ -9,6 +9,7 @@ equivalent DuckDB SQL lives in :mod:`ledgerlens.plans.oracle` under the same key
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,8 +95,14 @@ class SilverTables(Tables):
     def build(cls, spark: SparkSession, sf_dir: str, silver_dir: str) -> "SilverTables":
         src = Tables(spark, sf_dir)
         root = silver_dir.rstrip("/")
-        for name in cls.NAMES:
+
+        def write(name: str) -> None:
             getattr(src, name)().write.mode("overwrite").parquet(f"{root}/{name}")
+
+        # independent tables: submit the three write jobs side by side so the
+        # scheduler fills the cores one job's tail stages leave idle
+        with ThreadPoolExecutor(max_workers=len(cls.NAMES)) as pool:
+            list(pool.map(write, cls.NAMES))
         return cls(spark, sf_dir, silver_dir)
 
     def _read(self, name: str) -> DataFrame:
