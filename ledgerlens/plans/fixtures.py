@@ -24,6 +24,24 @@ from ..sources.tables import read_table
 MONEY = S.MONEY
 
 
+def _two(c):
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def _wall_clock_text(ts, add_seconds):
+    """``yyyy-MM-dd HH:mm:ss`` of a TIMESTAMP_NTZ plus a number of seconds.
+
+    Built from the date and the second of the day, so no session time zone is
+    involved (formatting functions would convert to a zoned timestamp and move
+    wall-clock times that fall into a daylight-saving gap).
+    """
+    total = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts) + add_seconds
+    day = F.date_add(ts.cast("date"), (total / 86400).cast("int"))
+    rem = total % 86400
+    return F.concat(day.cast("string"), F.lit(" "), _two((rem / 3600).cast("int")), F.lit(":"),
+                    _two(((rem % 3600) / 60).cast("int")), F.lit(":"), _two(rem % 60))
+
+
 def recon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transaction table (one row per order that exists on at least one side).
 
@@ -50,9 +68,7 @@ def recon(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("gsm", F.when(k % 10 != 3, F.col("o_totalprice").cast(MONEY))))
     gsm, pvi = F.col("gsm"), F.col("pvi")
     secs = ((k % 86400) * (k % 86400)) % 86400
-    order_time = F.when(k % 89 == 0, F.lit("bad")).otherwise(
-        F.date_format(F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs),
-                      S.ORDER_TIME_FORMAT))
+    order_time = F.when(k % 89 == 0, F.lit("bad")).otherwise(_wall_clock_text(F.col("o_orderdate"), secs))
     status = (F.when(k % 97 == 0, F.lit(None).cast("string"))
               .when(gsm.isNotNull() & pvi.isNotNull(), F.lit("match"))
               .when(pvi.isNotNull(), F.lit("not_found_in_m"))
@@ -118,7 +134,7 @@ def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.month(d).cast("string")
     month_dir = F.when(F.dayofmonth(d) % 2 == 1, month).otherwise(F.lpad(month, 2, "0"))
     prefix = F.when(F.col("ds") == "taixe", S.FILE_PREFIXES["taixe"]).otherwise(S.FILE_PREFIXES["reconciled"])
-    name = F.concat(prefix, F.date_format(d, "yyyyMMdd"),
+    name = F.concat(prefix, F.translate(d.cast("string"), "-", ""),
                     F.when(F.col("ver") == 2, "_2").otherwise(""), F.lit(".csv"))
     path = F.concat_ws("/", F.lit("base"), F.year(d).cast("string"), month_dir,
                        F.lpad(F.dayofmonth(d).cast("string"), 2, "0"), name)
