@@ -106,12 +106,13 @@ def recommendations(df: DataFrame, *, low_match_rate: float = S.LOW_MATCH_RATE,
             .where(F.col("r.fired")).select("r.rule", "r.value", "r.threshold"))
 
 
-def reconciliation_report(df: DataFrame, *, cache: bool = True, **kw) -> dict[str, DataFrame]:
+def reconciliation_report(df: DataFrame, *, cache: bool = False, **kw) -> dict[str, DataFrame]:
     """Every part of the report as a DataFrame over one shared base.
 
-    With ``cache`` the base is persisted (memory and disk) so the parts re-read
-    it instead of re-running its lineage; the merchant profile is built once.
-    The caller runs the actions and unpersists ``report["base"]`` when done.
+    The merchant profile is built once and shared.  Over the silver Parquet
+    table no cache is needed: each part reads only its columns.  ``cache=True``
+    persists the base (memory and disk) when it is a costly lineage such as a
+    raw CSV load; the caller then unpersists ``report["base"]``.
     """
     base = df.persist() if cache else df
     patterns = A.merchant_patterns(base, sort=False)

@@ -25,15 +25,16 @@ def export_csv(df: DataFrame, path: str, *, partition_by: Sequence[str] | None =
 
 
 def write_report(df: DataFrame, path: str, *, fmt: str = "parquet", left: str = "gsm_amount",
-                 right: str = "merchant_amount", mode: str = "overwrite") -> dict[str, str]:
+                 right: str = "merchant_amount", mode: str = "overwrite", persist: bool = False) -> dict[str, str]:
     """K2: the discrepancy report as four outputs under ``path``.
 
     Sections: ``insurer_only``, ``platform_only``, ``amount_mismatch`` and
     ``summary``.  Every record is written (no display cap); an empty section is
-    still written with its schema (Parquet keeps it).  The base is persisted
-    while the four writes run and released afterwards.
+    still written with its schema (Parquet keeps it).  With ``persist`` the base
+    is kept (memory and disk) while the four writes run - useful for a costly
+    lineage; over a Parquet table each section just reads its columns.
     """
-    base = df.persist()
+    base = df.persist() if persist else df
     try:
         sections = {
             "insurer_only": Fl.one_sided(base, "m"),
@@ -51,4 +52,5 @@ def write_report(df: DataFrame, path: str, *, fmt: str = "parquet", left: str =
             out[name] = target
         return out
     finally:
-        base.unpersist()
+        if persist:
+            base.unpersist()
