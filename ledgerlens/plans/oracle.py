@@ -443,4 +443,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT order_id, reconcile_status, CAST(gsm_amount AS DOUBLE) AS gsm_amount,
                    CAST(merchant_amount AS DOUBLE) AS merchant_amount, merchant_status FROM driver""",
     }
+    # registered results present decimal money as double (see queries.money_as_double)
+    money = {"one_sided_m": ["amount"], "one_sided_external": ["amount"],
+             "status_drilldown": AMOUNTS, "drilldown_filtered": AMOUNTS, "order_lookup": AMOUNTS,
+             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "failed_orders": ["gsm_amount", "merchant_amount"]}
+    for key, cols in money.items():
+        q[key] = _money_double(q[key], cols)
     return q
+
+
+def _money_double(sql: str, cols: list[str]) -> str:
+    """Wrap a statement so the listed decimal columns come out as DOUBLE."""
+    replace = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({replace}) FROM ({sql}) AS r"

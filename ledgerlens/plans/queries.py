@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import aggregates as A
 from ..operators import filters as Fl
@@ -194,8 +195,15 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def money_as_double(df: DataFrame) -> DataFrame:
+    """Registered results present exact decimal money as double (the last step,
+    so every sum above it stays exact); other columns are unchanged."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def queries() -> dict[str, Query]:
     """``(spark, sf_dir) -> DataFrame`` per key, deriving the inputs from the driver tables."""
     def bind(op):
-        return lambda spark, sf_dir: op(FixtureTables(spark, sf_dir))
+        return lambda spark, sf_dir: money_as_double(op(FixtureTables(spark, sf_dir)))
     return {k: bind(op) for k, op in OPERATORS.items()}
