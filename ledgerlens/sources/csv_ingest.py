@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..session import ensure_checkpoint_dir
 from . import catalog as C
 
 # A load whose file list is longer than this does not broadcast its header table.
@@ -113,17 +114,32 @@ def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
     return values_at(rows.join(pos, "path"), spec, keep=keep)
 
 
-def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64) -> DataFrame:
-    """Headerless CSV scan into ``(path, block_start, row_id, v array<string>)``.
+def _csv_reader(spark: SparkSession, max_columns: int, *, skip_header: bool):
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
+    # enforceSchema: the positional schema is used as is; with skip_header the
+    # first line of every file (only in the split that starts the file) is dropped
+    return (spark.read.schema(schema)
+            .option("header", "true" if skip_header else "false").option("enforceSchema", "true")
+            .option("quote", '"').option("escape", '"')
+            .option("mode", "PERMISSIVE").option("nullValue", ""))
+
+
+def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64,
+                    root: str | None = None, skip_header: bool = False) -> DataFrame:
+    """CSV scan into ``(path, block_start, row_id, v array<string>)``.
 
     RFC-4180 quoting (``"`` quotes and escapes), one record per line so files
-    stay splittable, permissive mode (a malformed line keeps its row).
+    stay splittable, permissive mode (a malformed line keeps its row).  With
+    ``root`` the folder is listed once (recursively) and the files are selected
+    by a ``_metadata.file_path`` filter, which Spark applies to the file listing
+    (file pruning) - much cheaper than a reader over thousands of explicit paths.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    raw = (spark.read.schema(schema)
-           .option("header", "false").option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE").option("nullValue", "")
-           .csv(list(paths)))
+    reader = _csv_reader(spark, max_columns, skip_header=skip_header)
+    if root is not None:
+        raw = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
+               .where(_path_in(paths)))
+    else:
+        raw = reader.csv(list(paths))
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -131,36 +147,111 @@ def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: i
         F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("v"))
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _path_in(paths: Sequence[str]):
+    """``_metadata.file_path IN (...)`` as one SQL expression: parsed in the JVM in
+    one call (a Python ``isin`` builds one literal per path over the gateway)."""
+    return F.expr("_metadata.file_path IN (" + ",".join(_sql_text(p) for p in paths) + ")")
+
+
 def header_rows(positional: DataFrame, anchor: str = S.HEADER_ANCHOR) -> DataFrame:
-    """One header per file: the earliest anchor row of the file's first split."""
+    """One header per file from a headerless scan: the earliest anchor row of the
+    file's first split (used by the stream and as the general fallback)."""
     first_split = positional.where((F.col("block_start") == 0) & F.array_contains("v", anchor))
     return (first_split.groupBy("path")
             .agg(F.min_by("v", "row_id").alias("h"), F.min("row_id").alias("header_row_id")))
 
 
+# File systems whose files a task can open directly to read a header line.
+_FIRST_LINE_SCHEMES = {"", "file", "hdfs", "s3", "gs", "gcs"}
+
+
+def _first_record(uri: str):
+    """The first CSV record of a file (reads at most 64 KiB); empty cells -> None."""
+    import csv
+    import io
+
+    from pyarrow import fs as pafs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    filesystem, inner = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    with filesystem.open_input_stream(inner) as f:
+        head = f.read(1 << 16)
+    rows = csv.reader(io.StringIO(head.decode("utf-8-sig", errors="replace")))
+    first = next(rows, None)
+    return None if first is None else [c if c != "" else None for c in first]
+
+
+def first_line_headers(spark: SparkSession, paths: Sequence[str],
+                       anchor: str = S.HEADER_ANCHOR) -> DataFrame:
+    """``(path, h)`` for files whose first line holds the anchor, one task per batch of files.
+
+    Each task opens its files and reads only the first record, so the headers
+    cost one small read per file instead of a second pass over the data.
+    """
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    tasks = max(1, min(len(paths) // 32 + 1, spark.sparkContext.defaultParallelism * 4))
+
+    def read(batches):
+        import pandas as pd
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "h": [_first_record(p) for p in pdf["path"]]})
+
+    heads = listed.repartition(tasks).mapInPandas(read, "path string, h array<string>")
+    return heads.where(F.array_contains("h", anchor))
+
+
+def _first_line_ok(paths: Sequence[str]) -> bool:
+    from urllib.parse import urlparse
+    return all(urlparse(p).scheme in _FIRST_LINE_SCHEMES for p in paths)
+
+
 def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, max_columns: int = 64,
-               spec: Spec | None = None) -> DataFrame:
+               spec: Spec | None = None, root: str | None = None,
+               header_source: str = "auto") -> DataFrame:
     """Typed rows of the given files plus ``biz_date``, ``dataset``, ``version``, ``source_file``.
 
-    Files without an anchor header produce no rows (see :func:`rejected_files`).
+    Headers come from each file's first line (``header_source="first_line"``,
+    the default where tasks can open the files) or from a headerless pass over
+    the files' first splits (``"scan"``).  The data pass skips each file's
+    first line and reads every row once.  Files without an anchor header
+    produce no rows (see :func:`rejected_files`).
     """
     spec = spec or spec_for(dataset)
-    pos = read_positional(spark, paths, max_columns=max_columns)
-    # one row per file: header row id, alias positions and the file's catalogue fields
-    headers = C.parse_paths(header_rows(pos))
-    per_file = header_positions(headers, spec, keep=["header_row_id", "biz_date", "dataset", "version"])
+    use_first_line = header_source == "first_line" or (header_source == "auto" and _first_line_ok(paths))
+    if use_first_line:
+        # one small row per file, computed once: checkpointed to the shared
+        # checkpoint folder, then the positional width is the widest header
+        ensure_checkpoint_dir(spark)
+        headers = first_line_headers(spark, paths).checkpoint(eager=True)
+        width = headers.select(F.max(F.size("h"))).first()[0] or 1
+        data = read_positional(spark, paths, max_columns=width, root=root, skip_header=True)
+    else:
+        pos = read_positional(spark, paths, max_columns=max_columns, root=root)
+        hdr = header_rows(pos)
+        headers = hdr.select("path", "h")
+        data = (pos.join(hdr.select("path", "header_row_id"), "path")
+                .where(F.col("row_id") != F.col("header_row_id")))
+    # one row per file: alias positions and the file's catalogue fields
+    per_file = header_positions(C.parse_paths(headers), spec, keep=["biz_date", "dataset", "version"])
     if len(paths) <= HEADER_BROADCAST_MAX_FILES:
         per_file = F.broadcast(per_file)
-    data = pos.join(per_file, "path").where(F.col("row_id") != F.col("header_row_id"))
-    return values_at(data, spec, keep=["path", "biz_date", "dataset", "version"]).select(
+    rows = data.select("path", "v").join(per_file, "path")
+    return values_at(rows, spec, keep=["path", "biz_date", "dataset", "version"]).select(
         *spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset", "version")
 
 
 def rejected_files(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64) -> DataFrame:
     """Chosen files that hold no header row with the anchor (nothing was loaded from them)."""
-    pos = read_positional(spark, paths, max_columns=max_columns)
     listed = spark.createDataFrame([(p,) for p in paths], "listed string")
-    found = header_rows(pos).select("path")
+    if _first_line_ok(paths):
+        found = first_line_headers(spark, paths).select("path")
+    else:
+        found = header_rows(read_positional(spark, paths, max_columns=max_columns)).select("path")
     # the reader reports qualified URIs; compare on the path without the scheme
     strip = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
     return listed.join(found, strip(F.col("listed")) == strip(F.col("path")), "left_anti")
@@ -197,7 +288,7 @@ def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, da
                                  T.StructField("dataset", T.StringType()),
                                  T.StructField("version", T.IntegerType())])
         return spark.createDataFrame([], schema)
-    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec)
+    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec, root=base_path)
 
 
 def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
