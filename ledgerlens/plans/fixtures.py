@@ -102,9 +102,14 @@ def driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver-order table: one row per line item (order ids repeat)."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax",
                     "l_returnflag", "l_linestatus")
+    return _driver_columns(li).drop("l_linenumber")
+
+
+def _driver_columns(li: DataFrame) -> DataFrame:
     ln, qty, tax = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_tax")
     rf = F.col("l_returnflag")
     return li.select(
+        ln,
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), ln.cast("string")).alias("order_id"),
         F.when(ln <= 3, 100).when(ln <= 6, 200).when(tax < 0.04, 150).cast(MONEY).alias("gsm_amount"),
         F.when(qty <= 20, 100).when(qty <= 40, 200).otherwise(0).cast(MONEY).alias("merchant_amount"),
@@ -163,8 +168,9 @@ def header_slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     ``(path, h array<string>)``, one per slice - the same shape the CSV ingest
     produces before alias resolution.  The slice is ``line number % 3``.
     """
-    drv = driver(spark, sf_dir).withColumn(
-        "slice", (F.split(F.col("order_id"), "-").getItem(1).cast("int") % 3))
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax",
+                    "l_returnflag", "l_linestatus")
+    drv = _driver_columns(li).withColumn("slice", F.col("l_linenumber") % 3)
     as_text = {c: F.col(c).cast("string") for c in
                ["order_id", "gsm_amount", "merchant_amount", "reconcile_status", "merchant_status"]}
     v = F.col("slice")
