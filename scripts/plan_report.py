@@ -57,13 +57,8 @@ def final_plan(df) -> str:
     return "\n".join(kept)
 
 
-def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session(8)
-    silver = SilverTables.build(spark, sf_dir, tempfile.mkdtemp(prefix="plan-report-"))
+def table(spark, silver) -> None:
     cols = list(PATTERNS)
-    print(f"# Final physical plans of the registered operators\n\nInput: silver tables derived from "
-          f"`{sf_dir}`; AQE final plans (`scripts/plan_report.py`).\n")
     print("| key | " + " | ".join(cols) + " |")
     print("| --- |" + " --- |" * len(cols))
     for key, op in OPERATORS.items():
@@ -71,6 +66,21 @@ def main() -> None:
         counts = [str(len(set(re.findall(PATTERNS[c], plan))) if c == "subqueries"
                       else len(re.findall(PATTERNS[c], plan))) for c in cols]
         print(f"| `{key}` | " + " | ".join(counts) + " |")
+
+
+def main() -> None:
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    spark = local_session(8)
+    silver = SilverTables.build(spark, sf_dir, tempfile.mkdtemp(prefix="plan-report-"))
+    print(f"# Final physical plans of the registered operators\n\nInput: silver tables derived from "
+          f"`{sf_dir}`; AQE final plans (`scripts/plan_report.py`).\n")
+    print("## As run (AQE may broadcast sides it measures small)\n")
+    table(spark, silver)
+    # the large-input case: no side is small enough to broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    print("\n## Large-input plans (broadcast thresholds off, as when every side is big)\n")
+    table(spark, silver)
     spark.stop()
 
 
