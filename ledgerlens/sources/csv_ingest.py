@@ -5,15 +5,21 @@ Headers drift between days: columns get reordered, renamed (``GSM_AMOUNT`` vs
 columns silently (with ``enforceSchema``) or fail (without it), and inferring a
 schema per file means one job per file.  Instead:
 
-1. every chosen file is read once, headerless, as a positional array of strings
-   ``v`` (plus ``_metadata.file_path``);
-2. each file's header row (first row of its first split that holds the anchor
-   ``ORDER_ID``) becomes ``(path, h)`` - one small row per file;
-3. data rows are joined to their header; a logical column is the cell at the
-   position of its first alias present in ``h`` (first hit wins, by name);
+1. the catalogue picks the chosen (latest-version) files; the folder is listed
+   once and the files are selected by a ``_metadata.file_path`` filter that
+   Spark applies to the listing;
+2. each file's header is read from its first line (one small read per file, in
+   tasks over the file list) and becomes ``(path, h)`` - one small row per file;
+   alias positions are resolved on that table: a logical column is the cell at
+   the position of its first alias present in ``h`` (first hit wins, by name);
+3. one pass over the data reads every row as a positional array of strings
+   (the CSV reader skips each file's header line) and joins the per-file table;
 4. null tokens become null and typed columns use ``try_cast``, so a bad cell
    becomes null and keeps its row.
 
+Where tasks cannot open the files directly, the headers come from a headerless
+pass over the files' first splits instead (``header_source="scan"``).
+
 The result is the silver table: written once as Parquet partitioned by
 ``biz_date`` and read by every analysis with pruning and pushdown.
 """
