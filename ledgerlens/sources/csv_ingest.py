@@ -39,6 +39,10 @@ from . import catalog as C
 
 # A load whose file list is longer than this does not broadcast its header table.
 HEADER_BROADCAST_MAX_FILES = 200_000
+# Up to this many chosen files the scan is pruned with a literal path list (the
+# list travels inside every task's plan); beyond it the per-file join alone
+# drops the rows of files that were not chosen.
+PATH_PRUNING_MAX_FILES = 10_000
 
 
 @dataclass(frozen=True)
@@ -139,11 +143,14 @@ def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: i
     ``root`` the folder is listed once (recursively) and the files are selected
     by a ``_metadata.file_path`` filter, which Spark applies to the file listing
     (file pruning) - much cheaper than a reader over thousands of explicit paths.
+    Beyond ``PATH_PRUNING_MAX_FILES`` no literal list is used: the caller's
+    per-file join keeps the chosen files' rows.
     """
     reader = _csv_reader(spark, max_columns, skip_header=skip_header)
     if root is not None:
-        raw = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
-               .where(_path_in(paths)))
+        raw = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
+        if len(paths) <= PATH_PRUNING_MAX_FILES:
+            raw = raw.where(_path_in(paths))
     else:
         raw = reader.csv(list(paths))
     return raw.select(
@@ -238,7 +245,8 @@ def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, max_c
         data = read_positional(spark, paths, max_columns=width, root=root, skip_header=True)
     else:
         pos = read_positional(spark, paths, max_columns=max_columns, root=root)
-        hdr = header_rows(pos)
+        chosen = spark.createDataFrame([(p,) for p in paths], "path string")
+        hdr = header_rows(pos).join(chosen, "path", "left_semi")   # only the chosen files
         headers = hdr.select("path", "h")
         data = (pos.join(hdr.select("path", "header_row_id"), "path")
                 .where(F.col("row_id") != F.col("header_row_id")))

@@ -158,3 +158,17 @@ def test_header_sources_agree(spark, tree):
     assert got == [("A1", "match", "100.00"), ("B1", "not_found_in_m", "7.00")]
     scan_ids = sorted(r.order_id for r in scan.collect())
     assert "B1" in scan_ids and set(scan_ids) <= {"A1", "B1"}
+
+
+def test_superseded_files_excluded_without_path_pruning(spark, tree, monkeypatch):
+    monkeypatch.setattr(I, "PATH_PRUNING_MAX_FILES", 0)
+    base = tree({
+        f"2025/07/01/{T}20250701.csv": HDR + "\nOLD,M,1,2025-07-01 10:00:00,match,completed,true,normal\n",
+        f"2025/07/01/{T}20250701_2.csv": HDR + "\nNEW,M,2,2025-07-01 10:00:00,match,completed,true,normal\n",
+        f"2025/07/02/{T}20250702.csv": HDR + "\nD2,M,3,2025-07-02 10:00:00,match,completed,true,normal\n",
+    })
+    paths = [r.path for r in I.chosen_files(spark, base, "reconciled").collect()]
+    for source in ("first_line", "scan"):
+        got = sorted(r.order_id for r in I.load_paths(spark, paths, "reconciled", root=base,
+                                                       header_source=source).collect())
+        assert got == ["D2", "NEW"], source
