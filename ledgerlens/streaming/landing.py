@@ -32,8 +32,10 @@ def positional_stream(spark: SparkSession, base_path: str, *, max_columns: int =
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming form of :func:`ledgerlens.sources.csv_ingest.read_positional`."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
+    # header lines are skipped by the reader; headers come from the files' first lines
     reader = (spark.readStream.schema(schema)
-              .option("header", "false").option("quote", '"').option("escape", '"')
+              .option("header", "true").option("enforceSchema", "true")
+              .option("quote", '"').option("escape", '"')
               .option("nullValue", "").option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.csv"))
     if max_files_per_trigger:
@@ -41,15 +43,13 @@ def positional_stream(spark: SparkSession, base_path: str, *, max_columns: int =
     raw = reader.csv(base_path)
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
         F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("v"))
 
 
 def land_batch(batch: DataFrame, silver_path: str, dataset: str) -> None:
     """Write one micro-batch: replace the touched days of ``dataset`` with their latest files."""
     spark = batch.sparkSession
-    pos = batch.withColumn("row_id", F.monotonically_increasing_id())
-    files = C.parse_paths(pos.select("path").distinct()).where(
+    files = C.parse_paths(batch.select("path").distinct()).where(
         (F.col("dataset") == dataset) & F.col("biz_date").isNotNull())
     # control plane: the file names of this batch (the reader's own file list)
     paths = [r.path for r in files.select("path").collect()]
@@ -60,17 +60,19 @@ def land_batch(batch: DataFrame, silver_path: str, dataset: str) -> None:
                             .load(folders).select("path", "length"))
     latest = C.latest_versions(listing).where(F.col("dataset") == dataset).select(
         _norm_path(F.col("path")).alias("npath"))
-    chosen = files.join(latest, _norm_path(F.col("path")) == F.col("npath"), "left_semi").select("path")
-    rows = pos.join(chosen, "path", "left_semi")
+    # files of this batch that are the latest version of their day
+    chosen = [r.path for r in files.join(latest, _norm_path(F.col("path")) == F.col("npath"), "left_semi")
+              .select("path").collect()]
+    if not chosen:
+        return
     spec = I.spec_for(dataset)
-    headers = C.parse_paths(I.header_rows(rows))
-    per_file = I.header_positions(headers, spec, keep=["header_row_id", "biz_date", "dataset", "version"])
-    if len(paths) <= I.HEADER_BROADCAST_MAX_FILES:   # one row per file: bounded by the file count
+    headers = C.parse_paths(I.first_line_headers(spark, chosen))
+    per_file = I.header_positions(headers, spec, keep=["biz_date", "dataset", "version"])
+    if len(chosen) <= I.HEADER_BROADCAST_MAX_FILES:   # one row per file: bounded by the file count
         per_file = F.broadcast(per_file)
-    data = rows.join(per_file, "path").where(F.col("row_id") != F.col("header_row_id"))
-    typed = I.values_at(data, spec, keep=["path", "biz_date", "dataset", "version"]).select(
-        *spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset", "version")
-    I.write_silver(typed, f"{silver_path.rstrip('/')}/{dataset}")
+    typed = I.values_at(batch.join(per_file, "path"), spec, keep=["path", "biz_date", "dataset", "version"])
+    I.write_silver(typed.select(*spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset",
+                                "version"), f"{silver_path.rstrip('/')}/{dataset}")
 
 
 def start_landing(spark: SparkSession, base_path: str, silver_path: str, *, dataset: str = "reconciled",
