@@ -125,7 +125,8 @@ class SilverTables(Tables):
 
 def _alias_resolve(t: Tables) -> DataFrame:
     rows, headers = t.header_slices()
-    typed = I.resolve_positional(rows, headers, I.driver_spec())
+    # three literal header rows: a proven size bound, so the header table is broadcast
+    typed = I.resolve_positional(rows, headers, I.driver_spec(), broadcast_headers=True)
     return typed.select("order_id", "reconcile_status",
                         F.col("gsm_amount").cast("double").alias("gsm_amount"),
                         F.col("merchant_amount").cast("double").alias("merchant_amount"),

@@ -111,13 +111,13 @@ def resolve_columns(df: DataFrame, spec: Spec, *, h: str = "h", v: str = "v",
 
 
 def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
-                       broadcast_headers: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+                       broadcast_headers: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Join positional rows ``(path, v)`` to per-file header positions and pick the cells.
 
     Alias resolution runs once per file on the header table (one row per file);
-    each data row only indexes its array.  The header table is broadcast when
-    the caller knows the file count is bounded (``broadcast_headers``);
-    otherwise the optimizer decides from statistics.
+    each data row only indexes its array.  The header table is broadcast only
+    when the caller knows its row count is bounded (``broadcast_headers=True``);
+    otherwise the optimizer decides from its size statistics.
     """
     pos = header_positions(headers, spec)
     pos = F.broadcast(pos) if broadcast_headers else pos

@@ -68,3 +68,23 @@ def test_header_table_is_broadcast(silver):
 def test_latest_version_without_window(silver):
     p = plan(OPERATORS["latest_version_per_key"](silver))
     assert "Window" not in p
+
+
+def test_silver_day_filter_prunes_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.plans import fixtures as X
+    from ledgerlens.sources.csv_ingest import write_silver
+
+    recon = X.recon(spark, SF_SMALL).where(F.year("biz_date") == 1995)
+    out = str(tmp_path / "silver")
+    write_silver(recon, out)
+    silver = spark.read.parquet(out)
+    month = silver.where(F.col("biz_date").between("1995-03-01", "1995-03-31"))
+    p = plan(A.reconcile_status_summary(month))
+    assert "PartitionFilters: [isnotnull(biz_date" in p and "1995-03-01" in p
+    assert "ReadSchema: struct<reconcile_status:string,amount:decimal(18,2)>" in p
+    got = {r.reconcile_status: r.order_count for r in A.reconcile_status_summary(month).collect()}
+    want = {r.reconcile_status: r.order_count
+            for r in A.reconcile_status_summary(recon.where(F.month("biz_date") == 3)).collect()}
+    assert got == want
