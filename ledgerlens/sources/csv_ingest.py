@@ -315,3 +315,9 @@ def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("biz_date").parquet(path))
+
+
+def load_datasets(spark: SparkSession, base_path: str, *, date_from=None, date_to=None,
+                  datasets: Sequence[str] = ("reconciled", "taixe"), **kw) -> dict[str, DataFrame]:
+    """S7 (both data sets at once): ``{dataset: typed table}`` for one date range."""
+    return {ds: load(spark, base_path, ds, date_from=date_from, date_to=date_to, **kw) for ds in datasets}

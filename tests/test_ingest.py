@@ -172,3 +172,14 @@ def test_superseded_files_excluded_without_path_pruning(spark, tree, monkeypatch
         got = sorted(r.order_id for r in I.load_paths(spark, paths, "reconciled", root=base,
                                                        header_source=source).collect())
         assert got == ["D2", "NEW"], source
+
+
+def test_load_both_datasets(spark, tree):
+    base = tree({
+        f"2025/07/01/{T}20250701.csv": HDR + "\nA,M,1,2025-07-01 10:00:00,match,completed,true,normal\n",
+        f"2025/07/01/{D}20250701.csv": "ORDER_ID,GSM Amount,Merchant Status\nX,100,FAILED\nY,200,SUCCESS\n",
+    })
+    both = I.load_datasets(spark, base, date_from="2025-07-01", date_to="2025-07-01")
+    assert [r.order_id for r in both["reconciled"].collect()] == ["A"]
+    assert sorted((r.order_id, r.merchant_status) for r in both["taixe"].collect()) == [("X", "FAILED"),
+                                                                                        ("Y", "SUCCESS")]
