@@ -271,10 +271,28 @@ def rejected_files(spark: SparkSession, paths: Sequence[str], *, max_columns: in
     return listed.join(found, strip(F.col("listed")) == strip(F.col("path")), "left_anti")
 
 
+def csv_file_names(spark: SparkSession, base_path: str) -> list[str]:
+    """Every ``*.csv`` under ``base_path`` from the file source's own listing (no job reads a file).
+
+    The listing is what any reader of the folder holds on the driver anyway; only
+    the names are used (control plane).
+    """
+    probe = (spark.read.schema("c0 string").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.csv").csv(base_path))
+    # inputFiles() spells local files as URIs (file:///x); the reader's
+    # _metadata.file_path and the binaryFile listing use file:/x
+    return ["file:/" + p[len("file:///"):] if p.startswith("file:///") else p for p in probe.inputFiles()]
+
+
 def chosen_files(spark: SparkSession, base_path: str, dataset: str, *, date_from=None, date_to=None,
-                 versions: tuple[int, ...] | None = None) -> DataFrame:
-    """The catalogue rows picked for a data set and date range (latest version per day)."""
-    latest = C.latest_versions(C.parse_paths(C.list_files(spark, base_path)), versions=versions)
+                 versions: tuple[int, ...] | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """The catalogue rows picked for a data set and date range (latest version per day).
+
+    ``listing`` is a ``(path, length)`` frame; by default a ``binaryFile``
+    listing of ``base_path``.
+    """
+    listing = C.list_files(spark, base_path) if listing is None else listing
+    latest = C.latest_versions(C.parse_paths(listing), versions=versions)
     out = latest.where(F.col("dataset") == dataset)
     if date_from is not None:
         out = out.where(F.col("biz_date") >= F.lit(date_from).cast("date"))
@@ -292,7 +310,10 @@ def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, da
     thing brought to the driver - the reader needs the paths; it holds one name
     per day and data set, never data.
     """
-    files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to, versions=versions)
+    names = csv_file_names(spark, base_path)
+    listing = spark.createDataFrame([(p, None) for p in names], "path string, length bigint")
+    files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to, versions=versions,
+                         listing=listing)
     paths = [r.path for r in files.select("path").orderBy("path").collect()]
     spec = spec_for(dataset)
     if not paths:
