@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -301,21 +302,59 @@ def chosen_files(spark: SparkSession, base_path: str, dataset: str, *, date_from
     return out
 
 
+# Date-range loads list month folders only when the range spans at most this many months.
+MONTH_GLOB_MAX = 240
+
+
+def month_root(base_path: str, date_from, date_to) -> str:
+    """A glob over the month folders of a date range (``YYYY/MM`` and unpadded ``YYYY/M``).
+
+    Listing only these folders keeps a one-day load from listing years of drops.
+    Falls back to ``base_path`` for open or very long ranges.
+    """
+    import datetime as _dt
+
+    if date_from is None or date_to is None:
+        return base_path
+    lo, hi = (_dt.date.fromisoformat(str(d)[:10]) for d in (date_from, date_to))
+    if hi < lo:
+        return base_path
+    months, y, m = [], lo.year, lo.month
+    while (y, m) <= (hi.year, hi.month):
+        months.append((y, m))
+        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
+    if len(months) > MONTH_GLOB_MAX:
+        return base_path
+    alts = []
+    for y, m in months:
+        alts.append(f"{y}/{m:02d}")
+        if m < 10:
+            alts.append(f"{y}/{m}")
+    return f"{base_path.rstrip('/')}/{{{','.join(alts)}}}"
+
+
 def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, date_from=None, date_to=None,
          versions: tuple[int, ...] | None = None, max_columns: int = 64) -> DataFrame:
     """Typed table of one data set over any date range (one day or years).
 
-    File pruning happens on the catalogue before the scan: only the chosen
+    Only the month folders of the range are listed (:func:`month_root`), and
+    file pruning happens on the catalogue before the scan: only the chosen
     (latest-version) files are read.  The list of chosen file names is the only
     thing brought to the driver - the reader needs the paths; it holds one name
     per day and data set, never data.
     """
-    names = csv_file_names(spark, base_path)
-    listing = spark.createDataFrame([(p, None) for p in names], "path string, length bigint")
-    files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to, versions=versions,
-                         listing=listing)
-    paths = [r.path for r in files.select("path").orderBy("path").collect()]
+    root = month_root(base_path, date_from, date_to)
+    try:
+        names = csv_file_names(spark, root)
+    except AnalysisException:      # no month folder of the range exists
+        names = []
     spec = spec_for(dataset)
+    paths = []
+    if names:
+        listing = spark.createDataFrame([(p, None) for p in names], "path string, length bigint")
+        files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to,
+                             versions=versions, listing=listing)
+        paths = [r.path for r in files.select("path").orderBy("path").collect()]
     if not paths:
         schema = T.StructType([T.StructField(c, spec.types.get(c, T.StringType())) for c in spec.columns]
                               + [T.StructField("source_file", T.StringType()),
@@ -323,7 +362,7 @@ def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, da
                                  T.StructField("dataset", T.StringType()),
                                  T.StructField("version", T.IntegerType())])
         return spark.createDataFrame([], schema)
-    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec, root=base_path)
+    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec, root=root)
 
 
 def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:

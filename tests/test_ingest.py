@@ -183,3 +183,19 @@ def test_load_both_datasets(spark, tree):
     assert [r.order_id for r in both["reconciled"].collect()] == ["A"]
     assert sorted((r.order_id, r.merchant_status) for r in both["taixe"].collect()) == [("X", "FAILED"),
                                                                                         ("Y", "SUCCESS")]
+
+
+def test_date_range_lists_month_folders_only(spark, tree):
+    assert I.month_root("/b", "2025-07-05", "2025-08-01") == "/b/{2025/07,2025/7,2025/08,2025/8}"
+    assert I.month_root("/b", None, "2025-08-01") == "/b"
+    base = tree({
+        f"2025/07/01/{T}20250701.csv": HDR + "\nJ1,M,1,2025-07-01 10:00:00,match,completed,true,normal\n",
+        f"2025/7/5/{T}20250705.csv": HDR + "\nJ5,M,1,2025-07-05 10:00:00,match,completed,true,normal\n",
+        f"2025/08/01/{T}20250801.csv": HDR + "\nA1,M,1,2025-08-01 10:00:00,match,completed,true,normal\n",
+    })
+    july = I.load(spark, base, "reconciled", date_from="2025-07-01", date_to="2025-07-31")
+    assert _rows(july, "order_id") == [("J1",), ("J5",)]
+    assert all("/2025/08/" not in f for f in I.csv_file_names(spark, I.month_root(base, "2025-07-01",
+                                                                                    "2025-07-31")))
+    none = I.load(spark, base, "reconciled", date_from="2024-01-01", date_to="2024-01-31")
+    assert none.count() == 0 and "order_id" in none.columns
