@@ -46,9 +46,10 @@ def recommendation_metrics(df: DataFrame, *, status_col: str = "reconcile_status
                            patterns: DataFrame | None = None) -> DataFrame:
     """The one-row metric frame behind the rules.
 
-    The status counts are one global aggregate over the base; the three other
-    counts are scalar subqueries (each a distributed aggregate yielding one
-    value), so nothing is cross-joined and nothing is collected.
+    The status counts and the high-discrepancy count are one global aggregate
+    over the base; the merchant and duplicate counts need their own grouping and
+    are scalar subqueries (each a distributed aggregate yielding one value), so
+    nothing is cross-joined and nothing is collected.
     """
     patterns = patterns if patterns is not None else A.merchant_patterns(df, sort=False)
     st = F.col(status_col)
@@ -56,17 +57,16 @@ def recommendation_metrics(df: DataFrame, *, status_col: str = "reconcile_status
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(st == S.STATUS_MATCH).alias("match_count"),
         F.count_if(F.coalesce(st.contains(S.STATUS_ONLY_M), F.lit(False))).alias("only_m_count"),
-        F.count_if(F.coalesce(st.contains(S.STATUS_ONLY_EXTERNAL), F.lit(False))).alias("only_external_count"))
+        F.count_if(F.coalesce(st.contains(S.STATUS_ONLY_EXTERNAL), F.lit(False))).alias("only_external_count"),
+        F.count_if(Fl.high_discrepancy(left, right, ratio)).alias("high_discrepancy_rows"))
     review = patterns.where(F.col("discrepancy_rate") > F.lit(float(review_rate))).select(F.count(F.lit(1)))
     dups = A.duplicate_orders(df, id_col=id_col).select(F.count(F.lit(1)))
-    high = Fl.high_amount_discrepancy(df, left=left, right=right, ratio=ratio).select(F.count(F.lit(1)))
     return base.select(
         "*",
         F.coalesce(F.try_divide(F.col("match_count").cast("double") * F.lit(100.0),
                                 F.col("total_records").cast("double")), F.lit(0.0)).alias("match_rate"),
         review.scalar().alias("review_merchants"),
-        dups.scalar().alias("duplicate_ids"),
-        high.scalar().alias("high_discrepancy_rows"))
+        dups.scalar().alias("duplicate_ids"))
 
 
 def recommendations(df: DataFrame, *, low_match_rate: float = S.LOW_MATCH_RATE,
