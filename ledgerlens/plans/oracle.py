@@ -385,6 +385,7 @@ def oracle_sql() -> dict[str, str]:
             + "SELECT * FROM recon WHERE order_id IN (SELECT id FROM ids)",
         "sample_head": r + "SELECT * FROM recon ORDER BY order_id LIMIT 100",
         "page_rows": r + "SELECT * FROM recon ORDER BY order_id LIMIT 100 OFFSET 200",
+        "page_after_key": r + "SELECT * FROM recon WHERE order_id > 'O5000' ORDER BY order_id LIMIT 100",
         "page_count": r + "SELECT COUNT(*) AS row_count, CAST(CEIL(COUNT(*) / 500) AS BIGINT) AS page_count "
                           "FROM recon",
         "column_profile": _column_profile(),
@@ -446,7 +447,7 @@ def oracle_sql() -> dict[str, str]:
     # registered results present decimal money as double (see queries.money_as_double)
     money = {"one_sided_m": ["amount"], "one_sided_external": ["amount"],
              "status_drilldown": AMOUNTS, "drilldown_filtered": AMOUNTS, "order_lookup": AMOUNTS,
-             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "failed_orders": ["gsm_amount", "merchant_amount"]}
+             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "failed_orders": ["gsm_amount", "merchant_amount"]}
     for key, cols in money.items():
         q[key] = _money_double(q[key], cols)
     return q

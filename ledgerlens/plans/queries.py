@@ -173,6 +173,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "sample_head": lambda t: Fl.sample_head(t.recon(), 100),
     "page_rows": lambda t: Fl.page_rows(t.recon(), page=2, size=100),
     "page_count": lambda t: Fl.page_count(t.recon(), size=500),
+    "page_after_key": lambda t: Fl.page_after(t.recon(), "O5000", 100),
     "column_profile": lambda t: A.column_profile(t.recon()),
     "suspicious_summary": lambda t: R.suspicious_summary(t.recon()),
     "recommendations": lambda t: R.recommendations(t.recon()),
