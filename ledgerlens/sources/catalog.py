@@ -104,12 +104,13 @@ def availability_calendar(parsed: DataFrame, *, require: str = "either",
     file must exist) or ``either``.  ``has_version_2`` is per data set: the chosen
     file's version is 2 or more.  Sizes are MiB; ``*_large`` marks > ``large_mb``.
     """
-    latest = latest_versions(parsed, versions=None)
+    # one aggregate per day: the max (version, path, length) of each data set is
+    # its latest version, so no separate per-(day, data set) pass is needed
     cols = []
     for ds in ("reconciled", "taixe"):
         pick = F.max(F.when(F.col("dataset") == ds, F.struct("version", "path", "length")))
         cols.append(pick.alias(ds))
-    day = latest.groupBy("biz_date").agg(*cols)
+    day = parsed.where(F.col("biz_date").isNotNull()).groupBy("biz_date").agg(*cols)
     out = []
     for ds in ("reconciled", "taixe"):
         size = F.col(f"{ds}.length") / F.lit(1048576.0)
