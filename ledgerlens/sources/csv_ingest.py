@@ -78,7 +78,8 @@ def _position(h: Column, aliases: Sequence[str]) -> Column:
 
 
 def _clean(value: Column, dtype: T.DataType | None) -> Column:
-    v = F.when(~F.coalesce(F.trim(value).isin(*S.NULL_TOKENS), F.lit(False)), value)
+    """Null tokens (exact cell values) become null; typed columns use ``try_cast``."""
+    v = F.when(~value.isin(*S.NULL_TOKENS), value)   # a null cell stays null
     if dtype is None or isinstance(dtype, T.StringType):
         return v
     return v.try_cast(dtype)
