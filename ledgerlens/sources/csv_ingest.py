@@ -126,18 +126,20 @@ def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
     return values_at(rows.join(pos, "path"), spec, keep=keep)
 
 
-def _csv_reader(spark: SparkSession, max_columns: int, *, skip_header: bool):
+def _csv_reader(spark: SparkSession, max_columns: int, *, skip_header: bool, multi_line: bool = False):
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
     # enforceSchema: the positional schema is used as is; with skip_header the
     # first line of every file (only in the split that starts the file) is dropped
     return (spark.read.schema(schema)
             .option("header", "true" if skip_header else "false").option("enforceSchema", "true")
             .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("nullValue", ""))
+            .option("mode", "PERMISSIVE").option("nullValue", "")
+            # quoted cells holding line breaks need multiLine, which reads each file whole
+            .option("multiLine", "true" if multi_line else "false"))
 
 
 def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64,
-                    root: str | None = None, skip_header: bool = False) -> DataFrame:
+                    root: str | None = None, skip_header: bool = False, multi_line: bool = False) -> DataFrame:
     """CSV scan into ``(path, block_start, row_id, v array<string>)``.
 
     RFC-4180 quoting (``"`` quotes and escapes), one record per line so files
@@ -148,7 +150,7 @@ def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: i
     Beyond ``PATH_PRUNING_MAX_FILES`` no literal list is used: the caller's
     per-file join keeps the chosen files' rows.
     """
-    reader = _csv_reader(spark, max_columns, skip_header=skip_header)
+    reader = _csv_reader(spark, max_columns, skip_header=skip_header, multi_line=multi_line)
     if root is not None:
         raw = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
         if len(paths) <= PATH_PRUNING_MAX_FILES:
@@ -227,7 +229,7 @@ def _first_line_ok(paths: Sequence[str]) -> bool:
 
 def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, max_columns: int = 64,
                spec: Spec | None = None, root: str | None = None,
-               header_source: str = "auto") -> DataFrame:
+               header_source: str = "auto", multi_line: bool = False) -> DataFrame:
     """Typed rows of the given files plus ``biz_date``, ``dataset``, ``version``, ``source_file``.
 
     Headers come from each file's first line (``header_source="first_line"``,
@@ -244,9 +246,10 @@ def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, max_c
         ensure_checkpoint_dir(spark)
         headers = first_line_headers(spark, paths).checkpoint(eager=True)
         width = headers.select(F.max(F.size("h"))).first()[0] or 1
-        data = read_positional(spark, paths, max_columns=width, root=root, skip_header=True)
+        data = read_positional(spark, paths, max_columns=width, root=root, skip_header=True,
+                               multi_line=multi_line)
     else:
-        pos = read_positional(spark, paths, max_columns=max_columns, root=root)
+        pos = read_positional(spark, paths, max_columns=max_columns, root=root, multi_line=multi_line)
         chosen = spark.createDataFrame([(p,) for p in paths], "path string")
         hdr = header_rows(pos).join(chosen, "path", "left_semi")   # only the chosen files
         headers = hdr.select("path", "h")
@@ -335,7 +338,7 @@ def month_root(base_path: str, date_from, date_to) -> str:
 
 
 def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, date_from=None, date_to=None,
-         versions: tuple[int, ...] | None = None, max_columns: int = 64) -> DataFrame:
+         versions: tuple[int, ...] | None = None, max_columns: int = 64, multi_line: bool = False) -> DataFrame:
     """Typed table of one data set over any date range (one day or years).
 
     Only the month folders of the range are listed (:func:`month_root`), and
@@ -363,7 +366,8 @@ def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, da
                                  T.StructField("dataset", T.StringType()),
                                  T.StructField("version", T.IntegerType())])
         return spark.createDataFrame([], schema)
-    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec, root=root)
+    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec, root=root,
+                      multi_line=multi_line)
 
 
 def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:

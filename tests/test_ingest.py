@@ -199,3 +199,17 @@ def test_date_range_lists_month_folders_only(spark, tree):
                                                                                     "2025-07-31")))
     none = I.load(spark, base, "reconciled", date_from="2024-01-01", date_to="2024-01-31")
     assert none.count() == 0 and "order_id" in none.columns
+
+
+def test_ragged_rows_and_quoted_line_breaks(spark, tree):
+    base = tree({
+        f"2025/07/01/{T}20250701.csv": "ORDER_ID,MERCHANT,TOTAL_AMOUNT\nS1,M\nL1,M,5,extra,fields\n",
+        f"2025/07/02/{T}20250702.csv": 'ORDER_ID,MERCHANT,TOTAL_AMOUNT\nQ1,"two\nlines",7\nQ2,M,8\n',
+    })
+    short_long = {r.order_id: r for r in I.load(spark, base, "reconciled", date_from="2025-07-01",
+                                                 date_to="2025-07-01").collect()}
+    assert short_long["S1"].amount is None and short_long["L1"].amount == Decimal("5.00")
+    quoted = {r.order_id: r for r in I.load(spark, base, "reconciled", date_from="2025-07-02",
+                                            date_to="2025-07-02", multi_line=True).collect()}
+    assert set(quoted) == {"Q1", "Q2"}
+    assert quoted["Q1"].merchant == "two\nlines" and quoted["Q1"].amount == Decimal("7.00")
