@@ -46,18 +46,25 @@ def positional_stream(spark: SparkSession, base_path: str, *, max_columns: int =
         F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("v"))
 
 
-def land_batch(batch: DataFrame, silver_path: str, dataset: str) -> None:
+def land_batch(batch: DataFrame, silver_path: str, dataset: str, base_path: str | None = None) -> None:
     """Write one micro-batch: replace the touched days of ``dataset`` with their latest files."""
     spark = batch.sparkSession
     files = C.parse_paths(batch.select("path").distinct()).where(
         (F.col("dataset") == dataset) & F.col("biz_date").isNotNull())
-    # control plane: the file names of this batch (the reader's own file list)
-    paths = [r.path for r in files.select("path").collect()]
-    if not paths:
+    # control plane: the file names and days of this batch (the reader's own file list)
+    batch_files = files.select("path", "biz_date").collect()
+    if not batch_files:
         return
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
-    listing = C.parse_paths(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-                            .load(folders).select("path", "length"))
+    paths = [r.path for r in batch_files]
+    if base_path is not None:
+        # list the batch's month folders with one glob root (versions of a day share its folder)
+        days = [r.biz_date for r in batch_files]
+        names = I.csv_file_names(spark, I.month_root(base_path, min(days), max(days)))
+        listing = C.parse_paths(spark.createDataFrame([(n, None) for n in names], "path string, length bigint"))
+    else:
+        folders = sorted({p.rsplit("/", 1)[0] for p in paths})
+        listing = C.parse_paths(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+                                .load(folders).select("path", "length"))
     latest = C.latest_versions(listing).where(F.col("dataset") == dataset).select(
         _norm_path(F.col("path")).alias("npath"))
     # files of this batch that are the latest version of their day
@@ -88,7 +95,7 @@ def start_landing(spark: SparkSession, base_path: str, silver_path: str, *, data
     checkpoint = checkpoint or scratch_path(spark, f"landing-{dataset}")
     stream = positional_stream(spark, base_path, max_files_per_trigger=max_files_per_trigger)
     writer = (stream.writeStream
-              .foreachBatch(lambda batch, _epoch: land_batch(batch, silver_path, dataset))
+              .foreachBatch(lambda batch, _epoch: land_batch(batch, silver_path, dataset, base_path))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
