@@ -4,9 +4,10 @@ A file-source stream watches the drop folder; each micro-batch holds the rows
 of newly arrived files.  Because a ``_2`` file *replaces* its day (it is not
 appended), a batch is not appended either: ``foreachBatch`` works out which
 (day, data set) keys the new files touch, keeps the new files that are the
-latest version of their key (checking the touched day folders only), resolves
-their headers and overwrites exactly those ``biz_date`` partitions (dynamic
-partition overwrite).  Re-running a batch after a failure rewrites the same
+latest version of their key (listing only the month folders the batch
+touches, through one glob root), reads their headers from the files' first
+lines and overwrites exactly those ``biz_date`` partitions (dynamic partition
+overwrite).  Re-running a batch after a failure rewrites the same
 partitions with the same rows, so the sink is idempotent; the stream's
 checkpoint (in the shared checkpoint folder) records which files were seen.
 """
