@@ -25,3 +25,17 @@ def test_landing_replaces_reissued_days(spark, tree, tmp_path):
     q = start_landing(spark, base, silver, checkpoint=ckpt)
     q.awaitTermination(120)
     assert _ids(spark, f"{silver}/reconciled") == [("A2", "2025-07-01"), ("C", "2025-07-02")]
+
+
+def test_late_base_file_does_not_replace_reissue(spark, tree, tmp_path):
+    base = tree({f"2025/07/04/{T}20250704_2.csv": HDR + "\nV2,M,2,2025-07-04 10:00:00,match,completed,true,normal\n"})
+    silver, ckpt = str(tmp_path / "silver"), str(tmp_path / "ckpt")
+    start_landing(spark, base, silver, checkpoint=ckpt).awaitTermination(120)
+    assert _ids(spark, f"{silver}/reconciled") == [("V2", "2025-07-04")]
+    # the base version shows up later: the day keeps its re-issued rows
+    tree({f"2025/07/04/{T}20250704.csv": HDR + "\nV1,M,1,2025-07-04 09:00:00,match,completed,true,normal\n"})
+    start_landing(spark, base, silver, checkpoint=ckpt).awaitTermination(120)
+    assert _ids(spark, f"{silver}/reconciled") == [("V2", "2025-07-04")]
+    # a run with no new file changes nothing
+    start_landing(spark, base, silver, checkpoint=ckpt).awaitTermination(120)
+    assert _ids(spark, f"{silver}/reconciled") == [("V2", "2025-07-04")]
