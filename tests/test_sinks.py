@@ -21,3 +21,11 @@ def test_write_report_sections(spark, tmp_path):
     empty = write_report(recon.where("false"), str(tmp_path / "empty"))
     df = spark.read.parquet(empty["insurer_only"])
     assert df.count() == 0 and "order_id" in df.columns
+
+
+def test_write_report_as_csv(spark, tmp_path):
+    recon = X.recon(spark, SF_SMALL)
+    paths = write_report(recon, str(tmp_path / "report_csv"), fmt="csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(paths["insurer_only"])
+    assert back.count() == recon.where("reconcile_status like '%not_found_in_m%'").count()
+    assert back.columns == ["order_id", "merchant", "amount", "order_time", "reconcile_status"]
