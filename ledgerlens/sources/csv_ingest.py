@@ -358,7 +358,7 @@ def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, da
         listing = spark.createDataFrame([(p, None) for p in names], "path string, length bigint")
         files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to,
                              versions=versions, listing=listing)
-        paths = [r.path for r in files.select("path").orderBy("path").collect()]
+        paths = sorted(r.path for r in files.select("path").collect())
     if not paths:
         schema = T.StructType([T.StructField(c, spec.types.get(c, T.StringType())) for c in spec.columns]
                               + [T.StructField("source_file", T.StringType()),
