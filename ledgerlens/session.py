@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +79,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``'s application, also
+    where it is not installed: Spark copies one zip of its sources to every executor.
+    Operators that run Python in tasks call it; the first call of an application counts."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-src-"), f"{os.path.basename(here)}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def cluster_conf(total_cores: int, *, shuffle_partition_mb: int = 256, split_mb: int = 256) -> dict[str, str]:
     """Suggested settings for a large cluster (pass to the session builder).
 

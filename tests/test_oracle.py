@@ -6,7 +6,9 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerlens.plans.oracle import oracle_sql
+from ledgerlens.plans.queries import queries
 from ledgerlens.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
