@@ -10,11 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.decontam import decontaminate
+from ledgerlens.llm.jaccard import drop_similar
+from ledgerlens.llm.linededup import dedup_lines
 from ledgerlens.llm.packing import pack
+from ledgerlens.llm.quality import quality_filter
 from ledgerlens.llm.shared import written
 from ledgerlens.sources.tables import read_table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or their language's perplexity band go."""
+    return quality_filter(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are cut out of the texts; every document stays."""
+    return dedup_lines(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents stays, that with the smallest id."""
+    return drop_similar(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; all others stay as they are."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -26,6 +44,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
