@@ -248,8 +248,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with one document of each component, that with the smallest id, as it is; rows with
     a null id stay unless they belong to another document's component."""
     found = similar_documents(docs, id_col, text_col, size, percent)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    kept = (docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own"))
+            .join(gone, F.col("own").eqNullSafe(F.col("gone")), "left_anti").select("row.*"))
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1)
     if again.count():                           # rows that share an id are one document
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
