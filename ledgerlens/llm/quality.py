@@ -13,8 +13,10 @@ perfect hash and a language's model has at most 32**4 entries whatever the corpu
 3. Every text is scored; Spark counts documents by language and perplexity bin, and from
    that the band of each language is taken: ``spread`` interquartile ranges below the
    first and above the third quartile of the log perplexity of all its documents that
-   pass the base rules.  A document outside its band is rejected: above it text unlike
-   the language, below it text that hardly varies.
+   pass the base rules.  Short texts vary more, so the room beside the quartiles grows
+   with the square root of ``REFERENCE_CHARS`` over a text's characters in words.  A
+   document outside its band is rejected: above it text unlike the language, below it
+   text that hardly varies.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Edge cases: a null or empty text has counts of zero
 and fails the base rules (fewer than 20 words); texts under four characters have no
@@ -37,7 +39,8 @@ from .shared import map_arrow, written
 
 ORDER = 4
 CLASSES = 32
-SPREAD = 4.0
+SPREAD = 2.5
+REFERENCE_CHARS = 1000           # shorter texts get a wider band
 MAX_LANGUAGES = 64
 BIN = 0.001                      # width of a log-perplexity bin
 MIN_WORDS = 20
@@ -241,8 +244,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return written(map_arrow(plain, score, schema), "quality-scores"), langs, models
 
 
-def bands(scored: DataFrame, spread: float = SPREAD) -> dict[int, tuple[float, float]]:
-    """Lower and upper log perplexity by model, from all documents that pass the base rules."""
+def bands(scored: DataFrame, spread: float = SPREAD) -> dict[int, tuple[float, float, float]]:
+    """Quartiles of log perplexity and room beside them, by model, from all documents that pass
+    the base rules."""
     rows = (scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
             .groupBy("model", F.floor(F.col("log_perplexity") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
     out = {}
@@ -250,14 +254,16 @@ def bands(scored: DataFrame, spread: float = SPREAD) -> dict[int, tuple[float, f
         own = sorted((r["bin"], r["n"]) for r in rows if r["model"] == m)
         total = np.cumsum([n for _, n in own])
         low, high = ((own[int(np.searchsorted(total, q * total[-1]))][0] + 0.5) * BIN for q in (0.25, 0.75))
-        out[m] = (low - spread * (high - low + BIN), high + spread * (high - low + BIN))
+        out[m] = (low, high, spread * (high - low + BIN))
     return out
 
 
-def _kept(limits: dict[int, tuple[float, float]]):
+def _kept(limits: dict[int, tuple[float, float, float]]):
     inside = F.lit(True)
-    for m, (low, high) in limits.items():
-        inside = F.when(F.col("model") == m, F.coalesce(F.col("log_perplexity").between(low, high), F.lit(True))).otherwise(inside)
+    wider = F.sqrt(F.greatest(F.lit(1.0), REFERENCE_CHARS / F.greatest(F.col("word_chars"), F.lit(1))))
+    for m, (low, high, room) in limits.items():
+        within = F.col("log_perplexity").between(low - room * wider, high + room * wider)
+        inside = F.when(F.col("model") == m, F.coalesce(within, F.lit(True))).otherwise(inside)
     return ~F.col("base_failed") & inside
 
 
@@ -280,8 +286,10 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch, texts in X.blocks(batches, text_at):
             own = model_of(batch.column(lang_at).cast(pa.string()))
             x = _log_perplexity(X.Texts(texts), own, tables)
-            edge = np.array([limits.get(m, (-np.inf, np.inf)) for m in own.tolist()]).reshape(-1, 2)
-            ok = ~_failed(base_counts(texts)) & (np.isnan(x) | (x >= edge[:, 0]) & (x <= edge[:, 1]))
+            base = base_counts(texts)
+            low, high, room = np.array([limits.get(m, (-np.inf, np.inf, 0.0)) for m in own.tolist()]).reshape(-1, 3).T
+            room = room * np.sqrt(np.maximum(1.0, REFERENCE_CHARS / np.maximum(base["word_chars"], 1)))
+            ok = ~_failed(base) & (np.isnan(x) | (x >= low - room) & (x <= high + room))
             yield batch.filter(pa.array(ok))
 
     return map_arrow(docs, keep, docs.schema)
