@@ -7,8 +7,9 @@ through a predicate by three-valued logic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
@@ -83,12 +84,18 @@ def vehicle_class(c: str | Column) -> Column:
             .otherwise(F.lit(S.VEHICLE_OTHER)))
 
 
-def parse_order_time(c: str | Column, fmt: str = S.ORDER_TIME_FORMAT) -> Column:
-    """Tolerant wall-clock parse to ``TIMESTAMP_NTZ``: a bad value becomes null.
+def parse_order_time(c: str | Column) -> Column:
+    """Tolerant wall-clock parse of ``S.ORDER_TIME_FORMAT`` to ``TIMESTAMP_NTZ``: a bad value
+    becomes null.
 
-    The tolerant parser only validates; the value is parsed without a time zone,
-    so the hour and the min/max do not depend on the session zone (no DST shift).
+    One cast of the texts that have the format's shape; without a time zone, so the hour
+    and the min/max do not depend on the session zone (no DST shift).
     """
     txt = _col(c).cast("string")
-    ok = F.try_to_timestamp(txt, F.lit(fmt)).isNotNull()
-    return F.to_timestamp_ntz(F.when(ok, txt), F.lit(fmt))
+    return F.when(txt.rlike(S.ORDER_TIME_SHAPE), txt).try_cast(T.TimestampNTZType())
+
+
+def order_time(df: DataFrame, column: str) -> Column:
+    """A time column of ``df``: as it is when it is typed, else parsed."""
+    typed = isinstance(df.schema[column].dataType, (T.TimestampNTZType, T.TimestampType))
+    return F.col(column) if typed else parse_order_time(column)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import labels as L
-from ..functions.aggs import keys, mean_of, money_sum, n_unique, ratio_pct, with_share
+from ..functions.aggs import ensure, keys, mean_of, money_sum, ratio_pct, unique_counts, whole, with_share
 
 DEFAULT_AMOUNT_COLUMNS = ("gsm_amount", "merchant_amount", "reconciled_amount", "amount")
 
@@ -25,8 +25,9 @@ WIDE_MONEY = "decimal(38,2)"
 
 
 def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns that ``df`` has; without any, the first one (a null column)."""
     have = set(df.columns)
-    return [c for c in cols if c in have]
+    return [c for c in cols if c in have] or list(cols[:1])
 
 
 def _desc_count(df: DataFrame, count_col: str, *tie: str) -> DataFrame:
@@ -40,10 +41,11 @@ def value_distribution(df: DataFrame, column: str, *, by: Sequence[str] | None =
                        count_col: str = "order_count") -> DataFrame:
     """Count per value (or per label of the value) with its share of all rows."""
     by = keys(by)
+    df = ensure(df, column)
     name = out or column
     key = (label if label is not None else F.col(column)).alias(name)
     grouped = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias(count_col))
-    return _desc_count(with_share(grouped, count_col, by, base=df), count_col, *by, name)
+    return _desc_count(with_share(grouped, count_col, by), count_col, *by, name)
 
 
 def reconcile_status_distribution(df: DataFrame, *, status_col: str = "reconcile_status",
@@ -76,13 +78,14 @@ def reconcile_status_summary(df: DataFrame, *, status_col: str = "reconcile_stat
     statuses describe themselves.
     """
     by = keys(by)
-    amt = F.col(amount_col) if amount_col in df.columns else F.lit(None).cast(S.MONEY)
+    df = ensure(df, status_col, amount_col)
+    amt = F.col(amount_col)
     grouped = df.groupBy(*by, F.col(status_col).alias("reconcile_status")).agg(
         F.count(F.lit(1)).alias("order_count"),
         F.sum(amt).alias("_sum"),
         F.count(amt).alias("_n"))
     st = F.col("reconcile_status")
-    out = with_share(grouped, "order_count", by, base=df).select(
+    out = with_share(grouped, "order_count", by).select(
         *by, st,
         L.reconcile_class(st).alias("reconcile_class"),
         F.coalesce(F.try_element_at(_descriptions(), st), st).alias("description"),
@@ -104,7 +107,7 @@ def business_rate(df: DataFrame, *, column: str = "is_business_order",
                   by: Sequence[str] | None = None) -> DataFrame:
     """A4: total rows, business rows and business rate (percent)."""
     by = keys(by)
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_orders"),
+    out = ensure(df, column).groupBy(*by).agg(F.count(F.lit(1)).alias("total_orders"),
                               F.count_if(L.is_business(column)).alias("business_orders"))
     return out.withColumn("business_rate", ratio_pct("business_orders", "total_orders"))
 
@@ -121,7 +124,7 @@ def service_type_summary(df: DataFrame, *, column: str = "service_type",
     """A5: ride / express / unknown counts and the total in one row."""
     by = keys(by)
     lab = F.lower(L.service_label(column))
-    return df.groupBy(*by).agg(
+    return ensure(df, column).groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if(lab.contains("ride")).alias("ride_orders"),
         F.count_if(lab.contains("express")).alias("express_orders"),
@@ -147,6 +150,7 @@ def amount_by_service(df: DataFrame, *, amount_cols: Sequence[str] = DEFAULT_AMO
     """
     by = keys(by)
     cols = _present(df, amount_cols)
+    df = ensure(df, service_col, *cols)
     aggs = []
     for c in cols:
         aggs += [F.sum(c).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n")]
@@ -160,9 +164,8 @@ def amount_by_service(df: DataFrame, *, amount_cols: Sequence[str] = DEFAULT_AMO
         # one total per (day, amount type): a window partitioned by those keys
         col_total = F.sum("_sum").over(Window.partitionBy(*by, "amount_type"))
     else:
-        # the column totals of the whole table: one scalar subquery (a distributed
-        # aggregate returning one struct), no window over the grouped rows
-        totals = df.select(F.struct(*[F.sum(c).cast(WIDE_MONEY).alias(c) for c in cols])).scalar()
+        # the column totals of the whole table, from the grouped rows
+        totals = whole(grouped, F.struct(*[F.sum(f"{c}__sum").cast(WIDE_MONEY).alias(c) for c in cols]))
         col_total = None
         for c in cols:
             col_total = (F.when(F.col("amount_type") == c, totals.getField(c)) if col_total is None
@@ -185,7 +188,7 @@ def amount_overall(df: DataFrame, *, amount_cols: Sequence[str] = DEFAULT_AMOUNT
     aggs = []
     for c in cols:
         aggs += [F.sum(c).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n")]
-    one = df.groupBy(*by).agg(*aggs)
+    one = ensure(df, *cols).groupBy(*by).agg(*aggs)
     per_col = {c: [F.col(f"{c}__sum").cast(WIDE_MONEY), F.col(f"{c}__n")] for c in cols}
     long = one.select(*by, _stack(per_col, ["_sum", "amount_count"]))
     return long.select(*by, "amount_type",
@@ -199,7 +202,7 @@ def amount_comparison_matrix(df: DataFrame, *, amount_cols: Sequence[str] = DEFA
     """Service label x amount column totals; a missing total is 0."""
     by = keys(by)
     cols = _present(df, amount_cols)
-    return (df.groupBy(*by, L.service_label(service_col).alias("service_label"))
+    return (ensure(df, service_col, *cols).groupBy(*by, L.service_label(service_col).alias("service_label"))
             .agg(*[F.coalesce(money_sum(c), F.lit(0.0)).alias(f"{c}_total") for c in cols])
             .orderBy(*by, "service_label"))
 
@@ -216,6 +219,7 @@ def merchant_patterns(df: DataFrame, *, merchant_col: str = "merchant", status_c
     distributed range sort only when ``sort`` is set.
     """
     by = keys(by)
+    df = ensure(df, merchant_col, status_col, amount_col)
     st = F.col(status_col)
     out = df.groupBy(*by, F.col(merchant_col).alias("merchant")).agg(
         F.count(F.lit(1)).alias("total_transactions"),
@@ -237,19 +241,20 @@ def unusual_merchants(patterns: DataFrame, *, rate_threshold: float = S.UNUSUAL_
 
 # --------------------------------------------------------------------------- A9, L4
 def hourly_patterns(df: DataFrame, *, time_col: str = "order_time", status_col: str = "reconcile_status",
-                    by: Sequence[str] | None = None) -> DataFrame:
+                    by: Sequence[str] | None = None, sort: bool = True) -> DataFrame:
     """Per hour of the order time: transactions, matches, match rate.
 
     An unparseable time does not void the analysis (D9): such rows form the
     ``hour = null`` group.
     """
     by = keys(by)
-    hour = F.hour(L.parse_order_time(time_col)).cast("int").alias("hour")
-    return (df.groupBy(*by, hour)
-            .agg(F.count(F.lit(1)).alias("transaction_count"),
-                 F.count_if(F.col(status_col) == S.STATUS_MATCH).alias("match_count"))
-            .withColumn("match_rate", ratio_pct("match_count", "transaction_count"))
-            .orderBy(*by, F.asc_nulls_last("hour")))
+    df = ensure(df, time_col, status_col)
+    hour = F.hour(L.order_time(df, time_col)).cast("int").alias("hour")
+    out = (df.groupBy(*by, hour)
+           .agg(F.count(F.lit(1)).alias("transaction_count"),
+                F.count_if(F.col(status_col) == S.STATUS_MATCH).alias("match_count"))
+           .withColumn("match_rate", ratio_pct("match_count", "transaction_count")))
+    return out.orderBy(*by, F.asc_nulls_last("hour")) if sort else out
 
 
 def peak_hour(hourly: DataFrame, *, by: Sequence[str] | None = None) -> DataFrame:
@@ -266,13 +271,14 @@ def summary_stats(df: DataFrame, *, id_col: str = "order_id", merchant_col: str
                   time_col: str = "order_time", by: Sequence[str] | None = None) -> DataFrame:
     """A10: rows, distinct orders and merchants (null is a value), time range, duplicate share."""
     by = keys(by)
-    ts = L.parse_order_time(time_col)
-    out = df.groupBy(*by).agg(
+    df = ensure(df, id_col, merchant_col, time_col)
+    ts = L.order_time(df, time_col)
+    base = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_records"),
-        n_unique(id_col).alias("unique_orders"),
-        n_unique(merchant_col).alias("unique_merchants"),
         F.min(ts).alias("min_order_time"),
         F.max(ts).alias("max_order_time"))
+    out = unique_counts(df, by, {"unique_orders": id_col, "unique_merchants": merchant_col}, base).select(
+        *by, "total_records", "unique_orders", "unique_merchants", "min_order_time", "max_order_time")
     dup = F.try_divide((F.col("total_records") - F.col("unique_orders")).cast("double") * F.lit(100.0),
                        F.greatest(F.col("total_records"), F.lit(1)).cast("double"))
     return out.withColumn("duplicate_percent", dup)
@@ -283,13 +289,14 @@ def drilldown_kpis(df: DataFrame, *, status_col: str = "reconcile_status", id_co
                    merchant_col: str = "merchant", amount_col: str = "amount",
                    service_col: str = "service_type", by: Sequence[str] | None = None) -> DataFrame:
     """Per status at once: rows, distinct orders, merchants, service types, amount."""
-    by = keys(by)
-    return df.groupBy(*by, F.col(status_col).alias("reconcile_status")).agg(
+    by = [*keys(by), "reconcile_status"]
+    df = ensure(df, status_col, id_col, merchant_col, amount_col, service_col)
+    df = df if status_col == "reconcile_status" else df.withColumn("reconcile_status", F.col(status_col))
+    base = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"),
-        n_unique(id_col).alias("unique_orders"),
-        n_unique(merchant_col).alias("unique_merchants"),
-        F.coalesce(money_sum(amount_col), F.lit(0.0)).alias("total_amount"),
-        n_unique(service_col).alias("service_types"))
+        F.coalesce(money_sum(amount_col), F.lit(0.0)).alias("total_amount"))
+    return unique_counts(df, by, {"unique_orders": id_col, "unique_merchants": merchant_col, "service_types": service_col},
+                         base).select(*by, "row_count", "unique_orders", "unique_merchants", "total_amount", "service_types")
 
 
 # --------------------------------------------------------------------------- A12, A13
@@ -307,6 +314,7 @@ def vehicle_amount_comparison(df: DataFrame, *, left: str = "gsm_amount", right:
     partial aggregation only) gives all eight numbers; ``stack`` shapes the rows.
     """
     by = keys(by)
+    df = ensure(df, left, right)
     lc, rc = F.col(left), F.col(right)
     bike, car = S.VEHICLE_BIKE_AMOUNT, S.VEHICLE_CAR_AMOUNT
     one = df.groupBy(*by).agg(
@@ -341,7 +349,7 @@ def failed_rollup(df: DataFrame, *, status_col: str = "merchant_status",
                   by: Sequence[str] | None = None) -> DataFrame:
     """Failed rows (status mentions fail/error), their share and the rest."""
     by = keys(by)
-    out = df.groupBy(*by).agg(
+    out = ensure(df, status_col).groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if(L.is_failed(status_col)).alias("failed_orders"),
         F.count_distinct(F.when(L.is_failed(status_col), F.col(status_col))).alias("failed_statuses"))
@@ -358,7 +366,7 @@ def duplicate_orders(df: DataFrame, *, id_col: str = "order_id", by: Sequence[st
     shuffle, so one id holding a third of all rows still ships one row per split.
     """
     by = keys(by)
-    return (df.groupBy(*by, F.col(id_col).alias("order_id"))
+    return (ensure(df, id_col).groupBy(*by, F.col(id_col).alias("order_id"))
             .agg(F.count(F.lit(1)).alias("count"))
             .where(F.col("count") > 1))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.aggs import ensure
 from ..functions.labels import is_failed
 
 
@@ -51,6 +52,7 @@ def order_lookup(df: DataFrame, ids: DataFrame | Iterable[str], *, id_col: str =
     it when its measured size is under the threshold, and shuffles both sides
     otherwise - a big id table never goes through the driver.
     """
+    df = ensure(df, id_col)
     if isinstance(ids, DataFrame):
         clean = clean_id_list(ids, ids_col, out="_id")
         return df.join(clean, F.col(id_col) == F.col("_id"), "left_semi")
@@ -60,9 +62,11 @@ def order_lookup(df: DataFrame, ids: DataFrame | Iterable[str], *, id_col: str =
 
 # --------------------------------------------------------------------------- F2, F3
 def drillable_statuses(df: DataFrame, *, status_col: str = "reconcile_status",
-                       max_rows: int | None = S.DRILLDOWN_MAX_ROWS,
+                       max_rows: int | None = None,
                        exclude: Sequence[str] = (S.STATUS_MATCH,)) -> DataFrame:
-    """The drill-down gate: statuses (null included) with fewer than ``max_rows`` rows."""
+    """The drill-down gate: statuses (null included), those with fewer than ``max_rows`` rows if
+    the caller gives a gate."""
+    df = ensure(df, status_col)
     st = F.col(status_col)
     g = df.groupBy(st.alias("_status")).agg(F.count(F.lit(1)).alias("_rows"))
     cond = F.lit(True)
@@ -74,35 +78,37 @@ def drillable_statuses(df: DataFrame, *, status_col: str = "reconcile_status",
 
 
 def status_drilldown(df: DataFrame, *, status_col: str = "reconcile_status",
-                     status: str | None | Sequence = ..., max_rows: int | None = S.DRILLDOWN_MAX_ROWS,
+                     status: str | None | Sequence = ..., max_rows: int | None = None,
                      exclude: Sequence[str] = (S.STATUS_MATCH,)) -> DataFrame:
-    """rows of one status, or of every status that passes the gate.
+    """rows of one status, or of every status but the excluded ones: a filter.
 
-    Without ``status`` all eligible statuses are drilled in one pass: the gate
-    (a grouped count) is applied with a null-safe left-semi join; AQE turns that
-    join into a broadcast from the measured size of the gate.
+    ``max_rows`` is a gate that only the caller sets: statuses with that many rows or
+    more are left out.  The passing statuses, a few words, are a scalar subquery and
+    the rows are filtered in place; no row is shuffled.
     """
+    df = ensure(df, status_col)
     st = F.col(status_col)
     if status is not ...:
         return priority_order(df.where(st.eqNullSafe(F.lit(status))))
-    gate = drillable_statuses(df, status_col=status_col, max_rows=max_rows, exclude=exclude)
-    rows = df
-    if exclude:
-        # excluded statuses (the hot 'match' one) never reach the join's shuffle
-        rows = rows.where(~F.coalesce(st.isin(*exclude), F.lit(False)))
-    return priority_order(rows.join(gate, st.eqNullSafe(F.col("_status")), "left_semi"))
+    rows = df.where(~F.coalesce(st.isin(*exclude), F.lit(False))) if exclude else df
+    if max_rows is not None:
+        gate = drillable_statuses(df, status_col=status_col, max_rows=max_rows, exclude=exclude)
+        passing = gate.select(F.struct(F.collect_list("_status").alias("words"),
+                                       (F.count_if(F.col("_status").isNull()) > 0).alias("null"))).scalar()
+        rows = rows.where(F.coalesce(F.array_contains(passing["words"], st), passing["null"]))
+    return priority_order(rows)
 
 
 def failed_orders(df: DataFrame, *, status_col: str = "merchant_status") -> DataFrame:
     """F2 (failed variant, no gate): rows whose merchant status mentions fail/error."""
-    return priority_order(df.where(is_failed(status_col)))
+    return priority_order(ensure(df, status_col).where(is_failed(status_col)))
 
 
 def drilldown_filtered(df: DataFrame, *, merchants: DataFrame | Sequence[str] | None = None,
                        services: DataFrame | Sequence[str] | None = None,
                        merchant_col: str = "merchant", service_col: str = "service_type") -> DataFrame:
     """narrow a drill-down by merchant set and raw service set; ``None`` means all."""
-    out = df
+    out = ensure(df, merchant_col, service_col)
     for values, col in ((merchants, merchant_col), (services, service_col)):
         if values is None:
             continue
@@ -127,14 +133,14 @@ def one_sided(df: DataFrame, side: str, *, status_col: str = "reconcile_status",
     platform-only (``not_found_in_external``).
     """
     word = {"m": S.STATUS_ONLY_M, "external": S.STATUS_ONLY_EXTERNAL}[side]
-    rows = important_columns(df.where(F.col(status_col).contains(word)), columns)
+    rows = important_columns(ensure(df, status_col).where(F.col(status_col).contains(word)), columns)
     return _limited(rows, limit, order_by)
 
 
 # --------------------------------------------------------------------------- F6, F7
 def _with_diff(df: DataFrame, left: str, right: str) -> DataFrame:
     lc, rc = F.col(left), F.col(right)
-    return df.select(
+    return ensure(df, "order_id", "merchant").select(
         "order_id", "merchant", lc.cast("double").alias(left), rc.cast("double").alias(right),
         (lc - rc).cast("double").alias("amount_diff"),
         (F.try_divide((lc - rc).cast("double"), rc.cast("double")) * F.lit(100.0)).alias("diff_percentage"))
@@ -147,7 +153,7 @@ def amount_mismatch(df: DataFrame, *, left: str = "gsm_amount", right: str = "me
     The percent difference is null when the right amount is 0.
     """
     lc, rc = F.col(left), F.col(right)
-    rows = df.where(lc.isNotNull() & rc.isNotNull() & (lc != rc))
+    rows = ensure(df, left, right).where(lc.isNotNull() & rc.isNotNull() & (lc != rc))
     return _limited(_with_diff(rows, left, right), limit, order_by)
 
 
@@ -159,7 +165,7 @@ def high_amount_discrepancy(df: DataFrame, *, left: str = "gsm_amount", right: s
     Tested as ``|left - right| > ratio * right`` in exact decimal arithmetic, so
     the border (exactly 10 %) is not flaky.
     """
-    rows = df.where(high_discrepancy(left, right, ratio))
+    rows = ensure(df, left, right).where(high_discrepancy(left, right, ratio))
     return _limited(_with_diff(rows, left, right), limit, order_by)
 
 
@@ -189,8 +195,9 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
 def page_rows(df: DataFrame, page: int, size: int, *, order_by: Sequence[str] = ("order_id",)) -> DataFrame:
     """L3: page ``page`` (0-based) of ``size`` rows in key order.
 
-    Plans as a top-(page+1)*size per partition plus an offset; for deep pages
-    use :func:`page_after` (keyset paging), whose cost does not grow with depth.
+    For the first pages: it plans as a top-(page+1)*size of each partition plus an
+    offset, so its cost grows with the page number.  A reader that goes deep must use
+    :func:`page_after` (keyset paging), whose cost does not.
     """
     return priority_order(df.orderBy(*order_by).offset(int(page) * int(size)).limit(int(size)))
 

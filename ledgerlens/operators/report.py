@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.aggs import ensure
 from . import aggregates as A
 from . import filters as Fl
 
@@ -51,6 +52,7 @@ def recommendation_metrics(df: DataFrame, *, status_col: str = "reconcile_status
     are scalar subqueries (each a distributed aggregate yielding one value), so
     nothing is cross-joined and nothing is collected.
     """
+    df = ensure(df, status_col, id_col, left, right)
     patterns = patterns if patterns is not None else A.merchant_patterns(df, sort=False)
     st = F.col(status_col)
     base = df.agg(
@@ -116,7 +118,7 @@ def reconciliation_report(df: DataFrame, *, cache: bool = False, **kw) -> dict[s
     """
     base = df.persist() if cache else df
     patterns = A.merchant_patterns(base, sort=False)
-    hourly = A.hourly_patterns(base)
+    hourly = A.hourly_patterns(base, sort=False)
     return {
         "base": base,
         "summary": A.reconcile_status_summary(base),

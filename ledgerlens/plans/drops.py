@@ -4,15 +4,13 @@ Spark writes one CSV per day (``partitionBy("biz_date")`` after hashing the
 rows by day, so each day lands in one task and one file); the files are then
 moved to the contract layout ``<base>/YYYY/MM/DD/<prefix><YYYYMMDD>.csv``.
 Days alternate between two header spellings and column orders, so a load
-over the tree meets header drift.  The moves are local file-system renames
-(test and bench scratch folders only); no row goes through the driver.
+over the tree meets header drift.  The moves are renames of the Hadoop file
+system that holds the folders (the shared scratch folder); no row goes through the
+driver.
 """
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,35 +29,26 @@ TRANSACTION_HEADERS = [
 ]
 
 
-def _local(path: str) -> str:
-    """A local path from a local path or ``file:`` URI (the moves are local renames)."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        raise ValueError(f"daily drops are written to a local folder, not {path}")
-    return path
-
-
 def write_daily_drops(df: DataFrame, base: str, staging: str, *, dataset: str = "reconciled",
                       headers=TRANSACTION_HEADERS) -> int:
     """Write ``df`` (with ``biz_date``) as daily CSV files under ``base``; returns the file count."""
-    base, staging = _local(base), _local(staging)
-    prefix = S.FILE_PREFIXES[dataset]
+    spark, prefix = df.sparkSession, S.FILE_PREFIXES[dataset]
     variant = F.dayofmonth("biz_date") % len(headers)
     for i, cols in enumerate(headers):
         part = df.where(variant == i).select("biz_date", *[F.col(c).alias(h) for c, h in cols])
         (part.repartition("biz_date").write.mode("overwrite")
          .option("header", "true").option("quote", '"').option("escape", '"').option("nullValue", "")
-         .partitionBy("biz_date").csv(f"{staging}/v{i}"))
-    count = 0
-    for day_dir in glob.glob(f"{staging}/v*/biz_date=*"):
-        day = os.path.basename(day_dir).split("=", 1)[1]           # YYYY-MM-DD
+         .option("timestampNTZFormat", S.ORDER_TIME_FORMAT).partitionBy("biz_date").csv(f"{staging}/v{i}"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    done: set[str] = set()
+    for status in fs.globStatus(path(f"{staging}/v*/biz_date=*/part-*.csv")):
+        part = status.getPath()
+        day = part.getParent().getName().split("=", 1)[1]          # YYYY-MM-DD
+        if day in done:       # hashing by day puts each day in one task, hence one file
+            raise RuntimeError(f"more than one file for {day}")
+        done.add(day)
         y, m, d = day.split("-")
-        parts = glob.glob(f"{day_dir}/part-*.csv")
-        if len(parts) != 1:   # hashing by day puts each day in one task, hence one file
-            raise RuntimeError(f"expected one file for {day}, found {len(parts)}")
-        target_dir = os.path.join(base, y, m, d)
-        os.makedirs(target_dir, exist_ok=True)
-        os.rename(parts[0], os.path.join(target_dir, f"{prefix}{y}{m}{d}.csv"))
-        count += 1
-    return count
+        fs.mkdirs(path(f"{base}/{y}/{m}/{d}"))
+        fs.rename(part, path(f"{base}/{y}/{m}/{d}/{prefix}{y}{m}{d}.csv"))
+    return len(done)

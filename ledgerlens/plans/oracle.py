@@ -170,11 +170,9 @@ high AS (
 """
 
 DRILL = """
-gate AS (SELECT reconcile_status AS s FROM recon GROUP BY reconcile_status
-         HAVING COUNT(*) < 10000 AND NOT COALESCE(reconcile_status IN ('match'), false)),
-drill AS (SELECT order_id, merchant, amount, order_time, reconcile_status, insurance_status, service_type,
-                 is_business_order, gsm_amount, merchant_amount, biz_date
-          FROM recon WHERE EXISTS (SELECT 1 FROM gate WHERE gate.s IS NOT DISTINCT FROM recon.reconcile_status))
+drill AS (SELECT order_id, merchant, amount, service_type, reconcile_status, insurance_status,
+                 is_business_order, order_time, gsm_amount, merchant_amount, biz_date
+          FROM recon WHERE reconcile_status IS DISTINCT FROM 'match')
 """
 
 HOURLY = f"""
@@ -238,7 +236,7 @@ def _vehicle_amounts() -> str:
     return _w(DRIVER_CTE, agg) + " UNION ALL ".join(rows)
 
 
-def _recommendations() -> str:
+def _recommendations(table: str = RECON_CTE) -> str:
     m = f"""m AS (
       SELECT COUNT(*) AS total_records,
              COUNT(*) FILTER (WHERE reconcile_status = 'match') AS match_count,
@@ -268,12 +266,32 @@ def _recommendations() -> str:
              duplicate_ids > 0 FROM x
       UNION ALL SELECT 'high_amount_discrepancy', CAST(high_discrepancy_rows AS DOUBLE), CAST(0 AS DOUBLE),
              high_discrepancy_rows > 0 FROM x)"""
-    return (_w(RECON_CTE, MERCHANT_PATTERNS, HIGH, m)
+    return (_w(table, MERCHANT_PATTERNS, HIGH, m)
             + "SELECT rule, value, threshold FROM rules WHERE fired "
               "UNION ALL SELECT 'stable', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) "
               "WHERE NOT EXISTS (SELECT 1 FROM rules WHERE fired)")
 
 
+# Transactions in which the ids of every month's first day occur twice.
+REPEATED_CTE = RECON_CTE.replace("recon AS (", "once AS (") + """,
+recon AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE day(biz_date) = 1)
+"""
+
+SUSPICIOUS = """
+            SELECT 'duplicate_orders' AS pattern, order_id AS item, CAST(COUNT(*) AS DOUBLE) AS metric
+            FROM recon GROUP BY order_id HAVING COUNT(*) > 1
+            UNION ALL SELECT 'high_amount_discrepancy', order_id, diff_percentage FROM high
+            UNION ALL SELECT 'unusual_merchants', merchant, discrepancy_rate FROM mpr WHERE discrepancy_rate > 20.0"""
+
+ONE_SIDED = "SELECT '{part}' AS part, order_id AS item, CAST(amount AS DOUBLE) AS value FROM recon WHERE contains(reconcile_status, '{word}')"
+
+MISMATCH = """SELECT 'amount_mismatch' AS part, order_id AS item, CAST(gsm_amount - merchant_amount AS DOUBLE) AS value FROM recon
+              WHERE gsm_amount IS NOT NULL AND merchant_amount IS NOT NULL AND gsm_amount <> merchant_amount"""
+
+SECTIONS = [ONE_SIDED.format(part="insurer_only", word="not_found_in_m"),
+            ONE_SIDED.format(part="platform_only", word="not_found_in_external"), MISMATCH]
+
+
 def oracle_sql() -> dict[str, str]:
     r = _w(RECON_CTE)
     d = _w(DRIVER_CTE)
@@ -389,12 +407,31 @@ def oracle_sql() -> dict[str, str]:
         "page_count": r + "SELECT COUNT(*) AS row_count, CAST(CEIL(COUNT(*) / 500) AS BIGINT) AS page_count "
                           "FROM recon",
         "column_profile": _column_profile(),
-        "suspicious_summary": _w(RECON_CTE, MERCHANT_PATTERNS, HIGH) + """
-            SELECT 'duplicate_orders' AS pattern, order_id AS item, CAST(COUNT(*) AS DOUBLE) AS metric
-            FROM recon GROUP BY order_id HAVING COUNT(*) > 1
-            UNION ALL SELECT 'high_amount_discrepancy', order_id, diff_percentage FROM high
-            UNION ALL SELECT 'unusual_merchants', merchant, discrepancy_rate FROM mpr WHERE discrepancy_rate > 20.0""",
+        "suspicious_summary": _w(RECON_CTE, MERCHANT_PATTERNS, HIGH) + SUSPICIOUS,
+        "suspicious_summary_repeats": _w(REPEATED_CTE, MERCHANT_PATTERNS, HIGH) + SUSPICIOUS,
         "recommendations": _recommendations(),
+        "recommendations_repeats": _recommendations(REPEATED_CTE),
+        "full_report": _w(RECON_CTE, MERCHANT_PATTERNS, HIGH, HOURLY, f"""
+            suspicious AS ({SUSPICIOUS}),
+            advice AS ({_recommendations()})""") + " UNION ALL ".join([
+            "SELECT 'summary' AS part, reconcile_status AS item, CAST(COUNT(*) AS DOUBLE) AS value FROM recon GROUP BY reconcile_status",
+            *SECTIONS,
+            "SELECT 'merchant_analysis', merchant, match_rate FROM mpr",
+            "SELECT 'hourly', CAST(hour AS VARCHAR), CAST(transaction_count AS DOUBLE) FROM hourly",
+            "SELECT * FROM (SELECT 'peak_hour', CAST(hour AS VARCHAR), CAST(transaction_count AS DOUBLE) FROM hourly "
+            "WHERE hour IS NOT NULL ORDER BY transaction_count DESC, hour ASC LIMIT 1)",
+            "SELECT 'suspicious', item, metric FROM suspicious",
+            "SELECT 'recommendations', rule, value FROM advice"]),
+        "csv_load": r + """
+            SELECT order_id, merchant, amount, try_strptime(order_time, '%Y-%m-%d %H:%M:%S') AS order_time, reconcile_status,
+                   insurance_status, is_business_order, service_type, gsm_amount, merchant_amount, biz_date,
+                   'reconciled' AS dataset, 1 AS version FROM recon""",
+        "csv_export": r + """
+            SELECT order_id, reconcile_status, merchant, CAST(amount AS DOUBLE) AS amount,
+                   COALESCE(reconcile_status, 'null') || '_details_' || strftime(biz_date, '%Y-%m') AS export
+            FROM recon WHERE reconcile_status IS DISTINCT FROM 'match'""",
+        "discrepancy_report": r + " UNION ALL ".join([
+            *SECTIONS, "SELECT 'summary', reconcile_status, COALESCE(CAST(SUM(amount) AS DOUBLE), CAST(0 AS DOUBLE)) FROM recon GROUP BY 2"]),
         "vehicle_distribution": d + _distribution(VEHICLE, "vehicle", table="driver"),
         "vehicle_amount_comparison": _vehicle_amounts(),
         "merchant_status_distribution": d + _distribution("merchant_status", "merchant_status", table="driver",
@@ -447,7 +484,7 @@ def oracle_sql() -> dict[str, str]:
     # registered results present decimal money as double (see queries.money_as_double)
     money = {"one_sided_m": ["amount"], "one_sided_external": ["amount"],
              "status_drilldown": AMOUNTS, "drilldown_filtered": AMOUNTS, "order_lookup": AMOUNTS,
-             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "failed_orders": ["gsm_amount", "merchant_amount"]}
+             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "csv_load": AMOUNTS, "failed_orders": ["gsm_amount", "merchant_amount"]}
     for key, cols in money.items():
         q[key] = _money_double(q[key], cols)
     return q

@@ -98,7 +98,6 @@ SEVERITY_GOOD_WORDS = ["success", "match"]
 
 # Thresholds.
 LARGE_FILE_MB = 40.0
-DRILLDOWN_MAX_ROWS = 10_000
 HIGH_DISCREPANCY_RATIO = 0.1
 UNUSUAL_MERCHANT_RATE = 20.0
 REVIEW_MERCHANT_RATE = 15.0
@@ -106,6 +105,16 @@ LOW_MATCH_RATE = 80.0
 ONE_SIDED_SHARE = 0.05
 ORDER_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# Columns shown first in detail views, in this order; all others follow.
+PRIORITY_COLUMNS = ["order_id", "merchant", "amount", "service_type", "reconcile_status",
+                    "insurance_status", "is_business_order", "order_time", "created_time"]
+
+# Versions of a day's file: the base file and its re-issue.
+FILE_VERSIONS = (1, 2)
+
+# The shape of ORDER_TIME_FORMAT as a pattern.
+ORDER_TIME_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+
 # ---------------------------------------------------------------------------
 # canonical silver schema
 # ---------------------------------------------------------------------------
@@ -115,8 +124,8 @@ CANONICAL_TYPES = {
     "order_id": T.StringType(),
     "merchant": T.StringType(),
     "amount": MONEY,
-    "order_time": T.StringType(),
-    "created_time": T.StringType(),
+    "order_time": T.TimestampNTZType(),
+    "created_time": T.TimestampNTZType(),
     "reconcile_status": T.StringType(),
     "insurance_status": T.StringType(),
     "is_business_order": T.StringType(),
@@ -134,9 +143,4 @@ TRANSACTION_COLUMNS = ["order_id", "merchant", "amount", "order_time", "reconcil
                        "merchant_amount", "pvi_amount", "reconciled_amount", "created_time"]
 
 DRIVER_COLUMNS = ["order_id", "reconcile_status", "gsm_amount", "merchant_amount",
-                  "reconciled_amount", "gsm_status", "merchant_status"]
-
-# Columns shown first in detail views, in this order.
-PRIORITY_COLUMNS = ["order_id", "merchant", "amount", "order_time", "reconcile_status",
-                    "insurance_status", "service_type", "is_business_order", "gsm_amount",
-                    "merchant_amount", "created_time"]
+                  "reconciled_amount", "gsm_status", "merchant_status", "merchant", "amount", "order_time"]

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
-_NAME_RE = r"^pvi_transaction_reconciled_(taixe_)?([0-9]{8})(_([0-9]+))?\.csv$"
+# <transaction prefix>[<what the driver prefix adds>]<YYYYMMDD>[_<n>].csv
+_NAME_RE = (f"^{S.FILE_PREFIXES['reconciled']}({S.FILE_PREFIXES['taixe'].removeprefix(S.FILE_PREFIXES['reconciled'])})?"
+            r"([0-9]{8})(_([0-9]+))?\.csv$")
 
 
 def list_files(spark: SparkSession, base_path: str, glob: str = "*.csv") -> DataFrame:
@@ -56,7 +58,8 @@ def parse_paths(files: DataFrame, path_col: str = "path") -> DataFrame:
     The data set is read from the file name with an anchored pattern (the driver
     prefix extends the transaction prefix).  ``biz_date`` is set only when the
     file name's date equals the folder's date, i.e. when the file is one the day
-    folder can be asked for; other names are kept with ``biz_date = null``.
+    folder can be asked for; other names are kept with ``biz_date = null``.  A number
+    after the date that is no version (too long) gives a null version.
     """
     # stage 1: components, each computed once
     parts = _parts(path_col)
@@ -75,29 +78,36 @@ def parse_paths(files: DataFrame, path_col: str = "path") -> DataFrame:
         "folder_date": _date_of(F.col("_y"), F.col("_m"), F.col("_d")),
         "dataset": F.when(hit, F.when(F.col("_taixe") != "", F.lit("taixe")).otherwise(F.lit("reconciled"))),
         "name_date": F.when(hit, F.try_to_date(F.col("_ndate"), "yyyyMMdd")),
-        "version": F.when(hit, F.when(F.col("_ver") == "", F.lit(1)).otherwise(F.col("_ver").cast("int"))),
+        "version": F.when(hit, F.when(F.col("_ver") == "", F.lit(1)).otherwise(F.col("_ver").try_cast("int"))),
     })
     out = out.withColumn("biz_date", F.when(F.col("name_date") == F.col("folder_date"), F.col("folder_date")))
     return out.drop("_y", "_m", "_d", "_name", "_hit", "_taixe", "_ndate", "_ver")
 
 
-def latest_versions(parsed: DataFrame, *, versions: tuple[int, ...] | None = None) -> DataFrame:
+def _accepted(parsed: DataFrame, versions: tuple[int, ...] | None) -> DataFrame:
+    """Files of a day with an accepted version; the base file's version is written without a
+    number, so a ``_1`` file is none of the contract's."""
+    ok = parsed.where(F.col("biz_date").isNotNull() & F.col("version").isNotNull())
+    if versions:
+        ok = ok.where(F.col("version").isin(*versions) & ~F.col("path").endswith("_1.csv"))
+    return ok
+
+
+def latest_versions(parsed: DataFrame, *, versions: tuple[int, ...] | None = S.FILE_VERSIONS) -> DataFrame:
     """S3: per (biz_date, dataset) the highest version wins (replace, not append).
 
-    ``versions`` restricts the accepted versions (the source knew only 1 and 2).
-    One grouped ``max`` over a ``(version, path, length)`` struct: no window, no
-    sort of the catalogue.
+    ``versions`` are the accepted versions (``None``: any number).  One grouped ``max``
+    over a ``(version, path, length)`` struct: no window, no sort of the catalogue.
     """
-    ok = parsed.where(F.col("biz_date").isNotNull())
-    if versions:
-        ok = ok.where(F.col("version").isin(*versions))
+    ok = _accepted(parsed, versions)
     best = F.max(F.struct("version", "path", "length")).alias("best")
     return (ok.groupBy("biz_date", "dataset").agg(best)
             .select("biz_date", "dataset", "best.version", "best.path", "best.length"))
 
 
 def availability_calendar(parsed: DataFrame, *, require: str = "either",
-                          large_mb: float = S.LARGE_FILE_MB) -> DataFrame:
+                          large_mb: float = S.LARGE_FILE_MB,
+                          versions: tuple[int, ...] | None = S.FILE_VERSIONS) -> DataFrame:
     """One row per day: chosen file, version and size of each data set.
 
     ``require``: ``reconciled`` (transaction file must exist), ``taixe`` (driver
@@ -110,7 +120,7 @@ def availability_calendar(parsed: DataFrame, *, require: str = "either",
     for ds in ("reconciled", "taixe"):
         pick = F.max(F.when(F.col("dataset") == ds, F.struct("version", "path", "length")))
         cols.append(pick.alias(ds))
-    day = parsed.where(F.col("biz_date").isNotNull()).groupBy("biz_date").agg(*cols)
+    day = _accepted(parsed, versions).groupBy("biz_date").agg(*cols)
     out = []
     for ds in ("reconciled", "taixe"):
         size = F.col(f"{ds}.length") / F.lit(1048576.0)

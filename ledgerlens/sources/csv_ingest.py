@@ -5,20 +5,21 @@ Headers drift between days: columns get reordered, renamed (``GSM_AMOUNT`` vs
 columns silently (with ``enforceSchema``) or fail (without it), and inferring a
 schema per file means one job per file.  Instead:
 
-1. the catalogue picks the chosen (latest-version) files; the folder is listed
-   once and the files are selected by a ``_metadata.file_path`` filter that
-   Spark applies to the listing;
-2. each file's header is read from its first line (one small read per file, in
-   tasks over the file list) and becomes ``(path, h)`` - one small row per file;
-   alias positions are resolved on that table: a logical column is the cell at
-   the position of its first alias present in ``h`` (first hit wins, by name);
-3. one pass over the data reads every row as a positional array of strings
-   (the CSV reader skips each file's header line) and joins the per-file table;
-4. null tokens become null and typed columns use ``try_cast``, so a bad cell
-   becomes null and keeps its row.
-
-Where tasks cannot open the files directly, the headers come from a headerless
-pass over the files' first splits instead (``header_source="scan"``).
+1. the catalogue picks the chosen (latest-version) files of the range from a
+   listing of its month (or year) folders;
+2. each file's header is its first record that is not blank, of any length.
+   It is read by Spark's text source (any file system Spark reads); for local
+   files by one small read per file in tasks over the file list;
+3. the headers are one small row per file, written once.  A logical column is
+   the cell at the position of its first alias present in the header (first hit
+   wins); the widest header is the width of the scan, and every header cell that
+   no alias names becomes a column of its own, by name over all files;
+4. one pass over the data reads every row as a positional array of strings
+   (the CSV reader skips each file's header line) and joins the per-file table,
+   which also drops the rows of files that were not chosen;
+5. null tokens become null and typed columns use ``try_cast``, so a bad cell
+   becomes null and keeps its row.  A file without an ``ORDER_ID`` header loads
+   with a null id (:func:`rejected_files` lists such files).
 
 The result is the silver table: written once as Parquet partitioned by
 ``biz_date`` and read by every analysis with pruning and pushdown.
@@ -26,6 +27,8 @@ The result is the silver table: written once as Parquet partitioned by
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -35,16 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..session import ensure_checkpoint_dir
+from ..functions.labels import parse_order_time
+from ..session import ensure_checkpoint_dir, ship_package
 from . import catalog as C
 
-# A load whose file list is longer than this does not broadcast its header table.
-HEADER_BROADCAST_MAX_FILES = 200_000
-# Up to this many chosen files the scan is pruned with a literal path list (the
-# list travels inside every task's plan); beyond it the per-file join alone
-# drops the rows of files that were not chosen.
-PATH_PRUNING_MAX_FILES = 10_000
-
 
 @dataclass(frozen=True)
 class Spec:
@@ -82,7 +79,7 @@ def _clean(value: Column, dtype: T.DataType | None) -> Column:
     v = F.when(~value.isin(*S.NULL_TOKENS), value)   # a null cell stays null
     if dtype is None or isinstance(dtype, T.StringType):
         return v
-    return v.try_cast(dtype)
+    return parse_order_time(v) if isinstance(dtype, T.TimestampNTZType) else v.try_cast(dtype)
 
 
 def header_positions(headers: DataFrame, spec: Spec, *, h: str = "h", keep: Sequence[str] = ()) -> DataFrame:
@@ -101,17 +98,6 @@ def values_at(df: DataFrame, spec: Spec, *, v: str = "v", keep: Sequence[str] =
                               for name in spec.aliases])
 
 
-def resolve_columns(df: DataFrame, spec: Spec, *, h: str = "h", v: str = "v",
-                    keep: Sequence[str] = ()) -> DataFrame:
-    """S8 per row, for rows that carry their own header array ``h``."""
-    hc, vc = F.col(h), F.col(v)
-    cols = []
-    for name, aliases in spec.aliases.items():
-        pos = _position(hc, aliases).cast("int")
-        cols.append(_clean(F.try_element_at(vc, pos), spec.types.get(name)).alias(name))
-    return df.select(*keep, *cols)
-
-
 def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
                        broadcast_headers: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Join positional rows ``(path, v)`` to per-file header positions and pick the cells.
@@ -126,175 +112,150 @@ def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
     return values_at(rows.join(pos, "path"), spec, keep=keep)
 
 
-def _csv_reader(spark: SparkSession, max_columns: int, *, skip_header: bool, multi_line: bool = False):
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    # enforceSchema: the positional schema is used as is; with skip_header the
-    # first line of every file (only in the split that starts the file) is dropped
-    return (spark.read.schema(schema)
-            .option("header", "true" if skip_header else "false").option("enforceSchema", "true")
-            .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("nullValue", "")
-            # quoted cells holding line breaks need multiLine, which reads each file whole
-            .option("multiLine", "true" if multi_line else "false"))
-
-
-def read_positional(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64,
-                    root: str | None = None, skip_header: bool = False, multi_line: bool = False) -> DataFrame:
-    """CSV scan into ``(path, block_start, row_id, v array<string>)``.
+def with_other_columns(spec: Spec, headers: DataFrame, reserved: Sequence[str]) -> Spec:
+    """``spec`` with a column for every header cell that no alias names.
 
-    RFC-4180 quoting (``"`` quotes and escapes), one record per line so files
-    stay splittable, permissive mode (a malformed line keeps its row).  With
-    ``root`` the folder is listed once (recursively) and the files are selected
-    by a ``_metadata.file_path`` filter, which Spark applies to the file listing
-    (file pruning) - much cheaper than a reader over thousands of explicit paths.
-    Beyond ``PATH_PRUNING_MAX_FILES`` no literal list is used: the caller's
-    per-file join keeps the chosen files' rows.
+    Only the distinct names reach the driver (they become the schema).  A name that
+    clashes with another column, in any case, gets a number.
     """
-    reader = _csv_reader(spark, max_columns, skip_header=skip_header, multi_line=multi_line)
-    if root is not None:
-        raw = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
-        if len(paths) <= PATH_PRUNING_MAX_FILES:
-            raw = raw.where(_path_in(paths))
-    else:
-        raw = reader.csv(list(paths))
-    return raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_id"),
-        F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("v"))
-
+    known = {a for aliases in spec.aliases.values() for a in aliases}
+    names = sorted(r.name for r in headers.select(F.explode("h").alias("name")).where("name is not null").distinct().collect())
+    aliases, taken = dict(spec.aliases), {c.lower() for c in (*spec.columns, *reserved)}
+    for name in names:
+        if name in known:
+            continue
+        column, k = name, 2
+        while column.lower() in taken:
+            column, k = f"{name}_{k}", k + 1
+        taken.add(column.lower())
+        aliases[column] = [name]
+    return Spec(aliases, spec.types)
+
+
+def _csv_reader(spark: SparkSession, width: int, *, multi_line: bool = False):
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    # enforceSchema: the positional schema is used as is; the header line of every
+    # file (only in the split that starts the file) is dropped
+    return (spark.read.schema(schema).option("header", "true").option("enforceSchema", "true")
+            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "")
+            # quoted cells holding line breaks need multiLine, which reads each file whole
+            .option("multiLine", "true" if multi_line else "false"))
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+def _under(reader, root: str):
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv"), root
 
-def _path_in(paths: Sequence[str]):
-    """``_metadata.file_path IN (...)`` as one SQL expression: parsed in the JVM in
-    one call (a Python ``isin`` builds one literal per path over the gateway)."""
-    return F.expr("_metadata.file_path IN (" + ",".join(_sql_text(p) for p in paths) + ")")
 
+def read_positional(spark: SparkSession, root: str | Sequence[str], width: int, *, multi_line: bool = False) -> DataFrame:
+    """CSV scan into ``(path, v array<string>)`` without the header lines.
 
-def header_rows(positional: DataFrame, anchor: str = S.HEADER_ANCHOR) -> DataFrame:
-    """One header per file from a headerless scan: the earliest anchor row of the
-    file's first split (used by the stream and as the general fallback)."""
-    first_split = positional.where((F.col("block_start") == 0) & F.array_contains("v", anchor))
-    return (first_split.groupBy("path")
-            .agg(F.min_by("v", "row_id").alias("h"), F.min("row_id").alias("header_row_id")))
+    RFC-4180 quoting (``"`` quotes and escapes), one record per line so files
+    stay splittable, permissive mode (a malformed line keeps its row).  ``root`` is a
+    folder or glob, listed once and recursively, or a list of files.
+    """
+    reader = _csv_reader(spark, width, multi_line=multi_line)
+    if isinstance(root, str):
+        reader, root = _under(reader, root)
+    return reader.csv(root if isinstance(root, str) else list(root)).select(
+        F.col("_metadata.file_path").alias("path"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("v"))
 
 
-# File systems whose files a task can open directly to read a header line.
-_FIRST_LINE_SCHEMES = {"", "file", "hdfs", "s3", "gs", "gcs"}
+def _cells(record: Sequence[str]) -> list[str | None]:
+    """Header cells, trimmed; a blank one is null."""
+    return [c.strip() or None for c in record]
 
 
-def _first_record(uri: str):
-    """The first CSV record of a file (reads at most 64 KiB); empty cells -> None."""
-    import csv
-    import io
+def _first_record(uri: str) -> list[str | None] | None:
+    """The first CSV record of a local file that is not blank, whatever its length."""
+    path = uri.removeprefix("file://") if uri.startswith("file://") else uri.removeprefix("file:")
+    with open(path, encoding="utf-8-sig", errors="replace", newline="") as f:
+        return next((_cells(r) for r in csv.reader(f) if any(c.strip() for c in r)), None)
 
-    from pyarrow import fs as pafs
 
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    filesystem, inner = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-    with filesystem.open_input_stream(inner) as f:
-        head = f.read(1 << 16)
-    rows = csv.reader(io.StringIO(head.decode("utf-8-sig", errors="replace")))
-    first = next(rows, None)
-    return None if first is None else [c if c != "" else None for c in first]
+def _is_local(root: str) -> bool:
+    return "://" not in root.removeprefix("file:///") and (root.startswith("file:/") or ":/" not in root)
 
 
-def first_line_headers(spark: SparkSession, paths: Sequence[str],
-                       anchor: str = S.HEADER_ANCHOR) -> DataFrame:
-    """``(path, h)`` for files whose first line holds the anchor, one task per batch of files.
-
-    Each task opens its files and reads only the first record, so the headers
-    cost one small read per file instead of a second pass over the data.
-    """
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    tasks = max(1, min(len(paths) // 32 + 1, spark.sparkContext.defaultParallelism * 4))
+def first_line_headers(files: DataFrame) -> DataFrame:
+    """``(path, h)`` of local ``files`` (a ``path`` column): one small read per file, in tasks."""
+    ship_package(files.sparkSession)
 
     def read(batches):
         import pandas as pd
         for pdf in batches:
             yield pd.DataFrame({"path": pdf["path"], "h": [_first_record(p) for p in pdf["path"]]})
 
-    heads = listed.repartition(tasks).mapInPandas(read, "path string, h array<string>")
-    return heads.where(F.array_contains("h", anchor))
+    return files.select("path").mapInPandas(read, "path string, h array<string>").where("h is not null")
 
 
-def _first_line_ok(paths: Sequence[str]) -> bool:
-    from urllib.parse import urlparse
-    return all(urlparse(p).scheme in _FIRST_LINE_SCHEMES for p in paths)
+def scanned_headers(files: DataFrame, root: str | Sequence[str]) -> DataFrame:
+    """``(path, h)`` of ``files`` on any file system that Spark reads: the earliest line that is
+    not blank in each file's first split, from a pass of the text source."""
+    spark = files.sparkSession
+    ship_package(spark)
+    reader = spark.read
+    if isinstance(root, str):
+        reader, root = _under(reader, root)
+    lines = reader.text(root if isinstance(root, str) else list(root)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line_id"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    first = (lines.where((F.col("start") == 0) & (F.trim("line") != "")).groupBy("path").agg(F.min_by("line", "line_id").alias("line"))
+             .join(files.select("path"), "path", "left_semi"))
 
+    def split(batches):
+        import pandas as pd
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "h": [_cells(next(csv.reader(io.StringIO(x)))) for x in pdf["line"]]})
 
-def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, max_columns: int = 64,
-               spec: Spec | None = None, root: str | None = None,
-               header_source: str = "auto", multi_line: bool = False) -> DataFrame:
-    """Typed rows of the given files plus ``biz_date``, ``dataset``, ``version``, ``source_file``.
+    return first.mapInPandas(split, "path string, h array<string>")
 
-    Headers come from each file's first line (``header_source="first_line"``,
-    the default where tasks can open the files) or from a headerless pass over
-    the files' first splits (``"scan"``).  The data pass skips each file's
-    first line and reads every row once.  Files without an anchor header
-    produce no rows (see :func:`rejected_files`).
+
+def load_files(files: DataFrame, dataset: str, root: str | Sequence[str], *, spec: Spec | None = None,
+               header_source: str = "auto", multi_line: bool = False, other_columns: bool = True) -> DataFrame:
+    """Typed rows of ``files`` (a ``path`` column) below ``root``, plus ``biz_date``, ``dataset``,
+    ``version``, ``source_file``.
+
+    ``header_source``: ``"first_line"`` (local files), ``"scan"`` (any file system) or
+    ``"auto"``.  ``other_columns`` keeps the columns that no alias names.
     """
-    spec = spec or spec_for(dataset)
-    use_first_line = header_source == "first_line" or (header_source == "auto" and _first_line_ok(paths))
-    if use_first_line:
-        # one small row per file, computed once: checkpointed to the shared
-        # checkpoint folder, then the positional width is the widest header
-        ensure_checkpoint_dir(spark)
-        headers = first_line_headers(spark, paths).checkpoint(eager=True)
-        width = headers.select(F.max(F.size("h"))).first()[0] or 1
-        data = read_positional(spark, paths, max_columns=width, root=root, skip_header=True,
-                               multi_line=multi_line)
-    else:
-        pos = read_positional(spark, paths, max_columns=max_columns, root=root, multi_line=multi_line)
-        chosen = spark.createDataFrame([(p,) for p in paths], "path string")
-        hdr = header_rows(pos).join(chosen, "path", "left_semi")   # only the chosen files
-        headers = hdr.select("path", "h")
-        data = (pos.join(hdr.select("path", "header_row_id"), "path")
-                .where(F.col("row_id") != F.col("header_row_id")))
+    spark, spec = files.sparkSession, spec or spec_for(dataset)
+    meta = ["source_file", "biz_date", "dataset", "version"]
+    local = header_source == "first_line" or header_source == "auto" and all(
+        _is_local(r) for r in ([root] if isinstance(root, str) else root))
+    ensure_checkpoint_dir(spark)
+    headers = (first_line_headers(files) if local else scanned_headers(files, root)).checkpoint(eager=True)
+    width = headers.select(F.max(F.size("h"))).first()[0] or 1
+    if other_columns:
+        spec = with_other_columns(spec, headers, meta)
+    data = read_positional(spark, root, width, multi_line=multi_line)
     # one row per file: alias positions and the file's catalogue fields
     per_file = header_positions(C.parse_paths(headers), spec, keep=["biz_date", "dataset", "version"])
-    if len(paths) <= HEADER_BROADCAST_MAX_FILES:
-        per_file = F.broadcast(per_file)
-    rows = data.select("path", "v").join(per_file, "path")
-    return values_at(rows, spec, keep=["path", "biz_date", "dataset", "version"]).select(
-        *spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset", "version")
-
-
-def rejected_files(spark: SparkSession, paths: Sequence[str], *, max_columns: int = 64) -> DataFrame:
-    """Chosen files that hold no header row with the anchor (nothing was loaded from them)."""
-    listed = spark.createDataFrame([(p,) for p in paths], "listed string")
-    if _first_line_ok(paths):
-        found = first_line_headers(spark, paths).select("path")
-    else:
-        found = header_rows(read_positional(spark, paths, max_columns=max_columns)).select("path")
-    # the reader reports qualified URIs; compare on the path without the scheme
-    strip = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
-    return listed.join(found, strip(F.col("listed")) == strip(F.col("path")), "left_anti")
+    return values_at(data.join(per_file, "path"), spec, keep=["path", "biz_date", "dataset", "version"]).select(
+        *spec.columns, F.col("path").alias("source_file"), *meta[1:])
 
 
-def csv_file_names(spark: SparkSession, base_path: str) -> list[str]:
-    """Every ``*.csv`` under ``base_path`` from the file source's own listing (no job reads a file).
+def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, spec: Spec | None = None, root: str | None = None,
+               header_source: str = "auto", multi_line: bool = False, other_columns: bool = True) -> DataFrame:
+    """:func:`load_files` for a list of file names."""
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    return load_files(files, dataset, root or list(paths), spec=spec, header_source=header_source, multi_line=multi_line,
+                      other_columns=other_columns)
 
-    The listing is what any reader of the folder holds on the driver anyway; only
-    the names are used (control plane).
-    """
-    probe = (spark.read.schema("c0 string").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.csv").csv(base_path))
-    # inputFiles() spells local files as URIs (file:///x); the reader's
-    # _metadata.file_path and the binaryFile listing use file:/x
-    return ["file:/" + p[len("file:///"):] if p.startswith("file:///") else p for p in probe.inputFiles()]
+
+def rejected_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Files whose header lacks the anchor cell (their rows load with a null id)."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    headers = first_line_headers(listed) if all(map(_is_local, paths)) else scanned_headers(listed, list(paths))
+    found = headers.where(F.array_contains("h", S.HEADER_ANCHOR)).select("path")
+    return listed.join(found, "path", "left_anti").withColumnRenamed("path", "listed")
 
 
-def chosen_files(spark: SparkSession, base_path: str, dataset: str, *, date_from=None, date_to=None,
-                 versions: tuple[int, ...] | None = None, listing: DataFrame | None = None) -> DataFrame:
+def chosen_files(spark: SparkSession, base_path: str, dataset: str, *, date_from=None, date_to=None, days: Sequence | None = None,
+                 versions: tuple[int, ...] | None = S.FILE_VERSIONS, listing: DataFrame | None = None) -> DataFrame:
     """The catalogue rows picked for a data set and date range (latest version per day).
 
     ``listing`` is a ``(path, length)`` frame; by default a ``binaryFile``
-    listing of ``base_path``.
+    listing of ``base_path`` (no file is opened).
     """
     listing = C.list_files(spark, base_path) if listing is None else listing
     latest = C.latest_versions(C.parse_paths(listing), versions=versions)
@@ -303,18 +264,15 @@ def chosen_files(spark: SparkSession, base_path: str, dataset: str, *, date_from
         out = out.where(F.col("biz_date") >= F.lit(date_from).cast("date"))
     if date_to is not None:
         out = out.where(F.col("biz_date") <= F.lit(date_to).cast("date"))
-    return out
-
-
-# Date-range loads list month folders only when the range spans at most this many months.
-MONTH_GLOB_MAX = 240
+    return out if days is None else out.where(F.col("biz_date").isin(list(days)))
 
 
 def month_root(base_path: str, date_from, date_to) -> str:
-    """A glob over the month folders of a date range (``YYYY/MM`` and unpadded ``YYYY/M``).
+    """A glob over the folders of a date range: its months (``YYYY/MM`` and unpadded ``YYYY/M``),
+    or its years where it spans more than four.
 
-    Listing only these folders keeps a one-day load from listing years of drops.
-    Falls back to ``base_path`` for open or very long ranges.
+    Listing only these folders keeps a one-day load from listing years of drops.  An
+    open range lists ``base_path``.
     """
     import datetime as _dt
 
@@ -323,65 +281,79 @@ def month_root(base_path: str, date_from, date_to) -> str:
     lo, hi = (_dt.date.fromisoformat(str(d)[:10]) for d in (date_from, date_to))
     if hi < lo:
         return base_path
-    months, y, m = [], lo.year, lo.month
-    while (y, m) <= (hi.year, hi.month):
-        months.append((y, m))
-        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-    if len(months) > MONTH_GLOB_MAX:
-        return base_path
-    alts = []
-    for y, m in months:
-        alts.append(f"{y}/{m:02d}")
-        if m < 10:
-            alts.append(f"{y}/{m}")
+    if hi.year - lo.year >= 4:
+        alts = [str(y) for y in range(lo.year, hi.year + 1)]
+    else:
+        alts, y, m = [], lo.year, lo.month
+        while (y, m) <= (hi.year, hi.month):
+            alts += [f"{y}/{m:02d}"] + [f"{y}/{m}"] * (m < 10)
+            y, m = (y + 1, 1) if m == 12 else (y, m + 1)
     return f"{base_path.rstrip('/')}/{{{','.join(alts)}}}"
 
 
-def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, date_from=None, date_to=None,
-         versions: tuple[int, ...] | None = None, max_columns: int = 64, multi_line: bool = False) -> DataFrame:
-    """Typed table of one data set over any date range (one day or years).
+def _empty(spark: SparkSession, spec: Spec) -> DataFrame:
+    schema = T.StructType([T.StructField(c, spec.types.get(c, T.StringType())) for c in spec.columns]
+                          + [T.StructField("source_file", T.StringType()), T.StructField("biz_date", T.DateType()),
+                             T.StructField("dataset", T.StringType()), T.StructField("version", T.IntegerType())])
+    return spark.createDataFrame([], schema)
+
 
-    Only the month folders of the range are listed (:func:`month_root`), and
-    file pruning happens on the catalogue before the scan: only the chosen
-    (latest-version) files are read.  The list of chosen file names is the only
-    thing brought to the driver - the reader needs the paths; it holds one name
-    per day and data set, never data.
+def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, date_from=None, date_to=None, days: Sequence | None = None,
+         versions: tuple[int, ...] | None = S.FILE_VERSIONS, multi_line: bool = False, header_source: str = "auto",
+         other_columns: bool = True) -> DataFrame:
+    """Typed table of one data set over any date range (one day or years) or some ``days``.
+
+    Only the folders of the range are listed (:func:`month_root`).  The choice of files is
+    a table like any other: no list of names goes through the driver.
     """
+    if days is not None and days:
+        date_from, date_to = min(days), max(days)
     root = month_root(base_path, date_from, date_to)
     try:
-        names = csv_file_names(spark, root)
-    except AnalysisException:      # no month folder of the range exists
-        names = []
-    spec = spec_for(dataset)
-    paths = []
-    if names:
-        listing = spark.createDataFrame([(p, None) for p in names], "path string, length bigint")
-        files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to,
-                             versions=versions, listing=listing)
-        paths = sorted(r.path for r in files.select("path").collect())
-    if not paths:
-        schema = T.StructType([T.StructField(c, spec.types.get(c, T.StringType())) for c in spec.columns]
-                              + [T.StructField("source_file", T.StringType()),
-                                 T.StructField("biz_date", T.DateType()),
-                                 T.StructField("dataset", T.StringType()),
-                                 T.StructField("version", T.IntegerType())])
-        return spark.createDataFrame([], schema)
-    return load_paths(spark, paths, dataset, max_columns=max_columns, spec=spec, root=root,
-                      multi_line=multi_line)
+        files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to, days=days, versions=versions,
+                             listing=C.list_files(spark, root))
+    except AnalysisException:      # no folder of the range exists
+        return _empty(spark, spec_for(dataset))
+    return load_files(files, dataset, root, multi_line=multi_line, header_source=header_source, other_columns=other_columns)
 
 
 def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Write the typed table as Parquet partitioned by ``biz_date``.
 
     Dynamic partition overwrite replaces only the days present in ``df`` - a
-    re-issued (``_2``) day replaces its old rows instead of being appended.  No
-    repartition: each input split holds one file, i.e. one day, so every task
-    writes one file per split and a hot day is spread over its splits.
+    re-issued (``_2``) day replaces its old rows instead of being appended; a day whose
+    re-issue is empty is not in ``df``: :func:`refresh_silver` clears it.  No shuffle: a
+    task writes a file for each day it read, and Spark's reader packs several small day
+    files into one task.
     """
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("biz_date").parquet(path))
 
 
+def refresh_silver(spark: SparkSession, base_path: str, silver_path: str, dataset: str = "reconciled", *, days: Sequence | None = None,
+                   date_from=None, date_to=None, multi_line: bool = False) -> None:
+    """Replace the days of a range (or ``days``) in the silver table by their latest files.
+
+    A day whose latest file has no rows loses its old ones: the touched days come from the
+    listing, and a day that still shows another file after the write is cleared.
+    """
+    if days is not None and days:
+        date_from, date_to = min(days), max(days)
+    write_silver(load(spark, base_path, dataset, days=days, date_from=date_from, date_to=date_to, multi_line=multi_line), silver_path)
+    try:
+        files = chosen_files(spark, base_path, dataset, days=days, date_from=date_from, date_to=date_to,
+                             listing=C.list_files(spark, month_root(base_path, date_from, date_to)))
+        silver = spark.read.parquet(silver_path)
+    except AnalysisException:      # no folder of the range, or nothing written yet
+        return
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    kept = silver.select(F.col("biz_date").alias("day"), name(F.col("source_file")).alias("name")).distinct()
+    stale = kept.join(files.select(F.col("biz_date").alias("day"), name(F.col("path")).alias("latest")), "day").where("name <> latest")
+    for row in stale.select("day").distinct().collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{silver_path.rstrip('/')}/biz_date={row.day.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def load_datasets(spark: SparkSession, base_path: str, *, date_from=None, date_to=None,
                   datasets: Sequence[str] = ("reconciled", "taixe"), **kw) -> dict[str, DataFrame]:
     """S7 (both data sets at once): ``{dataset: typed table}`` for one date range."""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .. import schema as S
+from ..functions.aggs import ensure
 from ..operators import aggregates as A
 from ..operators import filters as Fl
 
@@ -17,13 +20,27 @@ def export_csv(df: DataFrame, path: str, *, partition_by: Sequence[str] | None =
     ``partition_by=["biz_date"]`` writes one folder per day, so a drill-down over
     many days exports in one job.  Returns the output path.
     """
-    w = df.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
+    w = (df.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
+         .option("timestampNTZFormat", S.ORDER_TIME_FORMAT))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return path
 
 
+def export_drilldown(df: DataFrame, path: str, *, status_col: str = "reconcile_status", date_col: str = "biz_date",
+                     mode: str = "overwrite") -> str:
+    """K1: CSV export of a drill-down, one folder for each status and date, named
+    ``export=<status>_details_<date>`` (``null`` for a missing one).
+
+    The rows of a name are hashed to one task each, so a name is one file.
+    """
+    df = ensure(df, status_col, date_col)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    named = df.withColumn("export", F.concat(text(status_col), F.lit("_details_"), text(date_col)))
+    return export_csv(named.repartition("export"), path, partition_by=["export"], mode=mode)
+
+
 def write_report(df: DataFrame, path: str, *, fmt: str = "parquet", left: str = "gsm_amount",
                  right: str = "merchant_amount", mode: str = "overwrite", persist: bool = False) -> dict[str, str]:
     """K2: the discrepancy report as four outputs under ``path``.
@@ -47,7 +64,7 @@ def write_report(df: DataFrame, path: str, *, fmt: str = "parquet", left: str =
             target = f"{path.rstrip('/')}/{name}"
             writer = part.write.mode(mode)
             if fmt == "csv":
-                writer = writer.option("header", "true").option("escape", '"')
+                writer = writer.option("header", "true").option("escape", '"').option("timestampNTZFormat", S.ORDER_TIME_FORMAT)
             writer.format(fmt).save(target)
             out[name] = target
         return out

@@ -1,102 +1,59 @@
 """Incremental landing of daily CSV drops into the silver table (Structured Streaming).
 
-A file-source stream watches the drop folder; each micro-batch holds the rows
-of newly arrived files.  Because a ``_2`` file *replaces* its day (it is not
-appended), a batch is not appended either: ``foreachBatch`` works out which
-(day, data set) keys the new files touch, keeps the new files that are the
-latest version of their key (listing only the month folders the batch
-touches, through one glob root), reads their headers from the files' first
-lines and overwrites exactly those ``biz_date`` partitions (dynamic partition
-overwrite).  Re-running a batch after a failure rewrites the same
-partitions with the same rows, so the sink is idempotent; the stream's
-checkpoint (in the shared checkpoint folder) records which files were seen.
+The stream is the file listing: a ``binaryFile`` source whose content is never read, so
+each micro-batch holds the names of newly arrived files.  Because a ``_2`` file *replaces*
+its day (it is not appended), a batch is not appended either: ``foreachBatch`` takes the
+days that the new names touch and replaces exactly these by their latest files
+(:func:`ledgerlens.sources.csv_ingest.refresh_silver`), read once; a day whose re-issue is
+empty is cleared.  Re-running a batch after a failure rewrites the same days with the same
+rows, so the sink is idempotent; the stream's checkpoint, beside the silver table, records
+which files were seen, also across applications.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_path
 from ..sources import catalog as C
 from ..sources import csv_ingest as I
 
+LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
-def _norm_path(c):
-    """Listing and reader spell local URIs differently (``file:/x`` vs ``file:///x``)."""
-    return F.regexp_replace(c, r"^file:///", "file:/")
 
-
-def positional_stream(spark: SparkSession, base_path: str, *, max_columns: int = 64,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming form of :func:`ledgerlens.sources.csv_ingest.read_positional`."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    # header lines are skipped by the reader; headers come from the files' first lines
-    reader = (spark.readStream.schema(schema)
-              .option("header", "true").option("enforceSchema", "true")
-              .option("quote", '"').option("escape", '"')
-              .option("nullValue", "").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.csv"))
+def listing_stream(spark: SparkSession, base_path: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The names of newly arrived files."""
+    reader = (spark.readStream.format("binaryFile").schema(LISTING)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    raw = reader.csv(base_path)
-    return raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("v"))
+    return reader.load(base_path).select("path")
 
 
-def land_batch(batch: DataFrame, silver_path: str, dataset: str, base_path: str | None = None) -> None:
-    """Write one micro-batch: replace the touched days of ``dataset`` with their latest files."""
+def land_batch(batch: DataFrame, silver_path: str, dataset: str, base_path: str, multi_line: bool = False) -> None:
+    """Replace the days that a batch of file names touches by their latest files."""
     spark = batch.sparkSession
-    files = C.parse_paths(batch.select("path").distinct()).where(
-        (F.col("dataset") == dataset) & F.col("biz_date").isNotNull())
-    # control plane: the file names and days of this batch (the reader's own file list)
-    batch_files = files.select("path", "biz_date").collect()
-    if not batch_files:
-        return
-    paths = [r.path for r in batch_files]
-    if base_path is not None:
-        # list the batch's month folders with one glob root (versions of a day share its folder)
-        days = [r.biz_date for r in batch_files]
-        names = I.csv_file_names(spark, I.month_root(base_path, min(days), max(days)))
-        listing = C.parse_paths(spark.createDataFrame([(n, None) for n in names], "path string, length bigint"))
-    else:
-        folders = sorted({p.rsplit("/", 1)[0] for p in paths})
-        listing = C.parse_paths(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-                                .load(folders).select("path", "length"))
-    latest = C.latest_versions(listing).where(F.col("dataset") == dataset).select(
-        _norm_path(F.col("path")).alias("npath"))
-    # files of this batch that are the latest version of their day
-    chosen = [r.path for r in files.join(latest, _norm_path(F.col("path")) == F.col("npath"), "left_semi")
-              .select("path").collect()]
-    if not chosen:
-        return
-    spec = I.spec_for(dataset)
-    headers = C.parse_paths(I.first_line_headers(spark, chosen))
-    per_file = I.header_positions(headers, spec, keep=["biz_date", "dataset", "version"])
-    if len(chosen) <= I.HEADER_BROADCAST_MAX_FILES:   # one row per file: bounded by the file count
-        per_file = F.broadcast(per_file)
-    typed = I.values_at(batch.join(per_file, "path"), spec, keep=["path", "biz_date", "dataset", "version"])
-    I.write_silver(typed.select(*spec.columns, F.col("path").alias("source_file"), "biz_date", "dataset",
-                                "version"), f"{silver_path.rstrip('/')}/{dataset}")
+    touched = C.parse_paths(batch).where((F.col("dataset") == dataset) & F.col("biz_date").isNotNull())
+    days = [r.biz_date for r in touched.select("biz_date").distinct().collect()]     # days, not files or rows
+    if days:
+        I.refresh_silver(spark, base_path, f"{silver_path.rstrip('/')}/{dataset}", dataset, days=sorted(days), multi_line=multi_line)
 
 
 def start_landing(spark: SparkSession, base_path: str, silver_path: str, *, dataset: str = "reconciled",
-                  checkpoint: str | None = None, available_now: bool = True,
+                  checkpoint: str | None = None, available_now: bool = True, multi_line: bool = False,
                   processing_time: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the landing stream for one data set.
 
     ``available_now`` processes every file present and stops (a scheduled
     incremental job); otherwise ``processing_time`` (e.g. ``"5 minutes"``) keeps
-    it running.  The checkpoint defaults to a folder under the session's shared
-    ``spark.checkpoint.dir``.
+    it running.  The checkpoint defaults to a folder below ``silver_path``, the same for
+    every application, whose name readers of the table pass over.
     """
-    checkpoint = checkpoint or scratch_path(spark, f"landing-{dataset}")
-    stream = positional_stream(spark, base_path, max_files_per_trigger=max_files_per_trigger)
+    checkpoint = checkpoint or f"{silver_path.rstrip('/')}/_checkpoints/{dataset}"
+    stream = listing_stream(spark, base_path, max_files_per_trigger=max_files_per_trigger)
     writer = (stream.writeStream
-              .foreachBatch(lambda batch, _epoch: land_batch(batch, silver_path, dataset, base_path))
+              .foreachBatch(lambda batch, _epoch: land_batch(batch, silver_path, dataset, base_path, multi_line))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -76,7 +76,8 @@ def test_header_drift_aliases_and_null_tokens(spark, tree):
     assert rows["A1"].amount == Decimal("100.00")
     assert rows["A2"].amount is None and rows["A2"].reconcile_status is None        # NULL / null tokens
     assert rows["A2"].insurance_status is None                                      # empty cell
-    assert rows["A2"].order_time == "bad"                                           # kept as text
+    assert rows["A2"].order_time is None                                            # times are typed
+    assert rows["A1"].order_time == dt.datetime(2025, 7, 1, 10)
     assert rows["B1"].service_type == "express" and rows["B1"].merchant == "M3"     # no silent shift
     assert rows["B1"].amount is None                                                # bad number -> null, row kept
     assert rows["C1"].reconcile_status == "not_found_in_external"                   # alias
@@ -104,7 +105,7 @@ def test_empty_and_rejected_files(spark, tree):
         f"2025/07/03/{T}20250703.csv": "FOO,BAR\n1,2\n",
     })
     df = I.load(spark, base, "reconciled")
-    assert df.count() == 0
+    assert [(r.order_id, r.FOO, r.BAR) for r in df.collect()] == [(None, "1", "2")]     # no anchor: a null id
     assert set(I.transaction_spec().columns) <= set(df.columns)
     files = [r.path for r in I.chosen_files(spark, base, "reconciled").collect()]
     rejected = [r.listed.rsplit("/", 1)[1] for r in I.rejected_files(spark, files).collect()]
@@ -133,7 +134,9 @@ def test_daily_drops_round_trip(spark, tmp_path):
     from ledgerlens.plans.drops import write_daily_drops
     from tests.conftest import SF_SMALL
 
-    recon = X.recon(spark, SF_SMALL)
+    from ledgerlens.functions.labels import parse_order_time
+
+    recon = X.recon(spark, SF_SMALL).withColumn("order_time", parse_order_time("order_time"))
     base = str(tmp_path / "drops")
     n_files = write_daily_drops(recon, base, str(tmp_path / "staging"))
     assert n_files == recon.select("biz_date").distinct().count()
@@ -153,15 +156,87 @@ def test_header_sources_agree(spark, tree):
     paths = [r.path for r in I.chosen_files(spark, base, "reconciled").collect()]
     first = I.load_paths(spark, paths, "reconciled", header_source="first_line")
     scan = I.load_paths(spark, paths, "reconciled", header_source="scan", root=base)
-    got = sorted((r.order_id, r.reconcile_status, str(r.amount)) for r in first.collect())
-    # the first-line reader strips a byte-order mark, so the BOM file is recognised
-    assert got == [("A1", "match", "100.00"), ("B1", "not_found_in_m", "7.00")]
-    scan_ids = sorted(r.order_id for r in scan.collect())
-    assert "B1" in scan_ids and set(scan_ids) <= {"A1", "B1"}
+    for df in (first, scan):
+        got = sorted((str(r.order_id), str(r.reconcile_status), str(r.amount)) for r in df.collect())
+        # a byte-order mark is no part of the first header cell
+        assert got == [("A1", "match", "100.00"), ("B1", "not_found_in_m", "7.00"), ("None", "None", "None")]
+    assert first.columns == scan.columns and {"FOO", "BAR"} <= set(first.columns)
 
 
-def test_superseded_files_excluded_without_path_pruning(spark, tree, monkeypatch):
-    monkeypatch.setattr(I, "PATH_PRUNING_MAX_FILES", 0)
+def test_wide_long_blank_and_untidy_headers(spark, tree):
+    wide = ["ORDER_ID"] + [f"{'LONG_' * 200}{k}" for k in range(80)] + ["RECONCILE_STATUS"]       # 80 KB of header
+    base = tree({
+        f"2025/07/01/{T}20250701.csv": ",".join(wide) + "\n" + ",".join(["W"] + [str(k) for k in range(80)] + ["match"]) + "\n",
+        f"2025/07/02/{T}20250702.csv": "\n  \n" + HDR + "\nB,M,1,2025-07-02 10:00:00,match,completed,true,normal\n",
+        f"2025/07/03/{T}20250703.csv": " ORDER_ID, MERCHANT ,Extra,merchant\nC,M3,x,low\n",
+    })
+    for source in ("first_line", "scan"):
+        rows = {r.order_id: r for r in I.load(spark, base, "reconciled", header_source=source).collect()}
+        assert set(rows) == {"W", "B", "C"}
+        assert rows["W"].reconcile_status == "match" and rows["W"][wide[80]] == "79"
+        assert rows["B"].merchant == "M" and rows["C"].merchant == "M3"
+        assert rows["C"].Extra == "x" and rows["B"].Extra is None
+        assert rows["C"].merchant_2 == "low"              # a name that clashes in another case gets a number
+
+
+def test_odd_file_names_do_not_stop_a_load(spark, tree):
+    line = HDR + "\n{0},M,1,2025-07-02 10:00:00,match,completed,true,normal\n"
+    base = tree({f"2025/07/02/{T}20250702{v}.csv": line.format(f"V{v}") for v in ("", "_1", "_2", "_3", "_20250702101112")})
+    assert _rows(I.load(spark, base, "reconciled"), "order_id") == [("V_2",)]
+    assert _rows(I.load(spark, base, "reconciled", versions=None), "order_id") == [("V_3",)]
+    parsed = C.parse_paths(C.list_files(spark, base))
+    assert C.availability_calendar(parsed).first().reconciled_version == 2
+
+
+def test_driver_columns_and_operators_on_a_driver_load(spark, tree):
+    from ledgerlens.operators import aggregates as A
+    from ledgerlens.operators import filters as Fl
+    from ledgerlens.operators import report as R
+
+    base = tree({f"2025/07/01/{D}20250701.csv": "ORDER_ID,MERCHANT,AMOUNT,ORDER_TIME,Merchant Status,GSM Amount\n"
+                                                "X1,M,7,2025-07-01 09:00:00,FAILED,100\nX2,M,8,bad,SUCCESS,200\n"})
+    full = I.load(spark, base, "taixe")
+    r = full.where("order_id = 'X1'").first()
+    assert (r.merchant, r.amount, r.order_time) == ("M", Decimal("7.00"), dt.datetime(2025, 7, 1, 9))
+    s = A.summary_stats(full).first()
+    assert (s.total_records, s.unique_orders, s.unique_merchants, s.min_order_time) == (2, 2, 1, dt.datetime(2025, 7, 1, 9))
+    only_id = full.select("order_id", "biz_date")        # every other column is absent
+    for op in (A.reconcile_status_distribution, A.reconcile_status_summary, A.insurance_distribution, A.business_distribution, A.business_rate,
+               A.service_type_distribution, A.service_type_summary, A.merchant_patterns, A.hourly_patterns, A.summary_stats, A.drilldown_kpis,
+               A.vehicle_distribution, A.vehicle_amount_comparison, A.merchant_status_distribution, A.failed_rollup, A.duplicate_orders,
+               A.column_profile, A.amount_comparison_matrix, A.amount_by_service, A.amount_overall, Fl.status_drilldown, Fl.failed_orders, Fl.amount_mismatch, Fl.high_amount_discrepancy,
+               lambda d: Fl.one_sided(d, "m"), lambda d: Fl.drilldown_filtered(d, merchants=["M"]), R.suspicious_summary, R.recommendations):
+        op(only_id).collect()
+    assert A.summary_stats(only_id).first().unique_merchants == 1 and A.merchant_patterns(only_id).first().total_transactions == 2
+    empty = A.summary_stats(full.where("false")).first()
+    assert (empty.total_records, empty.unique_orders, empty.unique_merchants) == (0, 0, 0)
+
+
+def test_refresh_clears_a_day_whose_reissue_is_empty(spark, tree, tmp_path):
+    line = "\n{0},M,1,2025-07-01 10:00:00,match,completed,true,normal\n"
+    base, out = tree({f"2025/07/0{d}/{T}2025070{d}.csv": HDR + line.format(f"O{d}") for d in (1, 2)}), str(tmp_path / "silver")
+    I.refresh_silver(spark, base, out)
+    tree({f"2025/07/01/{T}20250701_2.csv": HDR + "\n"})
+    I.refresh_silver(spark, base, out)
+    assert _rows(spark.read.parquet(out), "order_id") == [("O2",)]
+
+
+def test_load_works_outside_the_source_folder(tree, tmp_path):
+    """Python workers get the package also where it is neither installed nor on their path."""
+    import os
+    import subprocess
+    import sys
+
+    base = tree({f"2025/07/01/{T}20250701.csv": HDR + "\nA,M,1,2025-07-01 10:00:00,match,completed,true,normal\n"})
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\nfrom ledgerlens.session import local_session\n"
+            f"from ledgerlens.sources.csv_ingest import load\nprint('ROWS', load(local_session(1), {base!r}).count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_superseded_files_are_excluded(spark, tree):
     base = tree({
         f"2025/07/01/{T}20250701.csv": HDR + "\nOLD,M,1,2025-07-01 10:00:00,match,completed,true,normal\n",
         f"2025/07/01/{T}20250701_2.csv": HDR + "\nNEW,M,2,2025-07-01 10:00:00,match,completed,true,normal\n",
@@ -188,6 +263,7 @@ def test_load_both_datasets(spark, tree):
 def test_date_range_lists_month_folders_only(spark, tree):
     assert I.month_root("/b", "2025-07-05", "2025-08-01") == "/b/{2025/07,2025/7,2025/08,2025/8}"
     assert I.month_root("/b", None, "2025-08-01") == "/b"
+    assert I.month_root("/b", "2001-07-05", "2005-08-01") == "/b/{2001,2002,2003,2004,2005}"
     base = tree({
         f"2025/07/01/{T}20250701.csv": HDR + "\nJ1,M,1,2025-07-01 10:00:00,match,completed,true,normal\n",
         f"2025/7/5/{T}20250705.csv": HDR + "\nJ5,M,1,2025-07-05 10:00:00,match,completed,true,normal\n",
@@ -195,8 +271,8 @@ def test_date_range_lists_month_folders_only(spark, tree):
     })
     july = I.load(spark, base, "reconciled", date_from="2025-07-01", date_to="2025-07-31")
     assert _rows(july, "order_id") == [("J1",), ("J5",)]
-    assert all("/2025/08/" not in f for f in I.csv_file_names(spark, I.month_root(base, "2025-07-01",
-                                                                                    "2025-07-31")))
+    listed = C.list_files(spark, I.month_root(base, "2025-07-01", "2025-07-31"))
+    assert all("/2025/08/" not in r.path for r in listed.collect())
     none = I.load(spark, base, "reconciled", date_from="2024-01-01", date_to="2024-01-31")
     assert none.count() == 0 and "order_id" in none.columns
 

@@ -45,9 +45,29 @@ def test_multi_measure_aggregates_scan_once(silver):
         assert _scans(p, "recon") + _scans(p, "driver") == 1, p
 
 
+def test_shares_scan_the_base_once(silver):
+    """The total of a share comes from the grouped rows: one exchange, one scan at run time."""
+    recon = silver.recon()
+    for df in (A.reconcile_status_distribution(recon), A.reconcile_status_summary(recon), A.insurance_distribution(recon),
+               A.business_distribution(recon), A.service_type_distribution(recon), A.amount_by_service(recon)):
+        df.collect()
+        p = plan(df)
+        assert "Reuses operator id" in p, p
+
+
+def test_gate_without_a_join(silver):
+    p = plan(Fl.status_drilldown(silver.recon(), max_rows=500))
+    assert "Join" not in p
+    recon = silver.recon()
+    counts = {r.reconcile_status: r.order_count for r in A.reconcile_status_distribution(recon).collect()}
+    want = sum(n for s, n in counts.items() if s != "match" and n < 500)
+    assert Fl.status_drilldown(recon, max_rows=500).count() == want
+    assert Fl.status_drilldown(recon).count() == sum(n for s, n in counts.items() if s != "match")
+
+
 def test_projection_is_pruned(silver):
     p = plan(A.hourly_patterns(silver.recon()))
-    assert "ReadSchema: struct<order_time:string,reconcile_status:string>" in p
+    assert "ReadSchema: struct<order_time:timestamp_ntz,reconcile_status:string>" in p
 
 
 def test_lookup_list_is_pushed_to_scan(silver):

@@ -1,7 +1,7 @@
 """Sinks: CSV export partitioned by day; the four-part report with empty sections kept."""
 
 from ledgerlens.plans import fixtures as X
-from ledgerlens.sources.sinks import export_csv, write_report
+from ledgerlens.sources.sinks import export_csv, export_drilldown, write_report
 from tests.conftest import SF_SMALL
 
 
@@ -13,6 +13,15 @@ def test_export_csv_round_trip(spark, tmp_path):
     assert "biz_date" in back.columns
 
 
+def test_exports_are_named_by_status_and_date(spark, tmp_path):
+    rows = [("A", "match", "2025-07-01"), ("B", None, "2025-07-02"), ("C", "match", "2025-07-01")]
+    df = spark.createDataFrame(rows, "order_id string, reconcile_status string, biz_date string")
+    out = export_drilldown(df, str(tmp_path / "export"))
+    names = sorted(p.name for p in (tmp_path / "export").iterdir() if p.is_dir())
+    assert names == ["export=match_details_2025-07-01", "export=null_details_2025-07-02"]
+    assert spark.read.option("header", True).csv(out).count() == 3
+
+
 def test_write_report_sections(spark, tmp_path):
     recon = X.recon(spark, SF_SMALL)
     paths = write_report(recon, str(tmp_path / "report"))
