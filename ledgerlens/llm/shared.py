@@ -20,9 +20,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Remove a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage is cut and
-    executors can be lost without computing it anew."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    executors can be lost without computing it anew.  The shuffle files of the write, which
+    nothing reads again, go at once instead of with the driver's garbage."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

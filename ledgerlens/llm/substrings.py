@@ -41,9 +41,9 @@ from . import text as X
 from .shared import map_arrow, written
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 CHUNK_BYTES = 1 << 20            # texts whose equal pieces travel once
-GROUP_PIECES = 200_000           # pieces built together, if one anchor does not have more
+GROUP_PIECES = 100_000           # pieces built together, if one anchor does not have more
 
 _NULL_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -116,15 +116,8 @@ def _deal(shards: int, length: int, gram: int):
             if not len(s):
                 continue
             size = last - s + length
-            data = block.buf[X.ragged(s, size)]
-            # equal pieces of the chunk: by two sums of their bytes' hashes
-            edge = np.concatenate([[0], np.cumsum(size)])
-            place = X.ragged(np.zeros(len(size), np.int64), size).astype(np.uint64)
-            names = []
-            for salt in (11, 12):
-                total = np.cumsum(X.mix64(X._BYTE_CODES[data] + place * np.uint64(2 * salt + 1)))
-                total = np.concatenate([np.zeros(1, np.uint64), total])
-                names.append(total[edge[1:]] - total[edge[:-1]])
+            # equal pieces of the chunk: equal bytes by hash, equal anchors, equal sizes
+            names = [X.hash_words(block.buf, s, s + size, fold=False), h ^ size.astype(np.uint64)]
             by = np.lexsort((ids[owner], names[1], names[0]))
             new = np.concatenate([[True], (names[0][by][1:] != names[0][by][:-1]) | (names[1][by][1:] != names[1][by][:-1])])
             least = np.empty(len(s), np.int64)
@@ -196,7 +189,9 @@ def _build(length: int, gram: int):
         ids, keys, start, place, size, raw = (np.concatenate(x) for x in zip(*got))
         got.clear()
         at = np.cumsum(size.astype(np.int64)) - size
-        h = X.hash_windows(X._BYTE_CODES[raw], gram, seed=3)[at + place]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(gram):
+            h = X.mix64(h + X._BYTE_CODES[raw[at + place + k]])
         by = np.argsort(h)
         new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
         group = np.cumsum(new) - 1
@@ -210,8 +205,9 @@ def _build(length: int, gram: int):
             own, by, group = by[:stop], by[stop:], group[stop:]
             shift = span - 1 - place[own].astype(np.int64)             # column 0 is the first byte that a window can start at
             columns = np.zeros((span - 1 + length, len(own)), np.uint8)
-            where = X.ragged(shift, size[own].astype(np.int64))
-            columns[where, np.repeat(np.arange(len(own)), size[own])] = raw[X.ragged(at[own], size[own].astype(np.int64))]
+            for c in range(len(columns)):
+                here = np.flatnonzero((c >= shift) & (c < shift + size[own]))
+                columns[c, here] = raw[at[own[here]] + c - shift[here]]
             c = np.arange(span)[:, None]
             valid = (c >= shift) & (c <= shift + size[own].astype(np.int64) - length)
             marks = [(p, np.full(len(p), col)) for col, p in equal_windows(columns, valid, ids[own], length, span)]
@@ -236,6 +232,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     dealt = map_arrow(plain.where(F.octet_length("text") >= length), _deal(shards, length, gram), "shard int, data binary")
     marks = map_arrow(dealt.repartition(shards, "shard"), _build(length, gram), "doc long, key long, start int, end int")
+    marks = written(marks, "marks")
     return marks.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

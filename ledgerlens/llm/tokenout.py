@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import rans
 from . import text as X
 from . import tokens as K
-from .shared import map_arrow, new_path
+from .shared import map_arrow, new_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -131,9 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """``path/model`` and ``path/segments``: the coded ids of all documents."""
     spark = docs.sparkSession
     vocabulary = max(K.encoder(tokenizer or K.public(TOKENIZER)).tokenizer.get_vocab_size(), end_id + 1)
-    kept = new_path(spark, "token-ids")
-    tokenized(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(kept)
-    tokens = spark.read.schema("part long, seq long, doc_id string, ids binary").parquet(kept)
+    tokens = written(tokenized(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     model = fit(tokens, vocabulary)
     as_text = lambda df: df.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR)
     as_text(spark.createDataFrame([(bytearray(model.to_bytes()),)], "value binary").coalesce(1)).text(f"{path}/model")
@@ -175,8 +173,6 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
                 path: str | None = None) -> DataFrame:
     """Write the token files of ``docs`` and read them back: ``doc_id, start, n_tokens, ids_crc32``."""
-    from .shared import written
-
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
     write_tokens(docs, path, tokenizer, end_id, id_col, text_col)
