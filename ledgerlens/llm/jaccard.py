@@ -9,7 +9,8 @@ in any order that is the same for all: here shingles seen often come last (at mo
    what the index holds, copies never meet one by one.
 2. The index: tasks send their prefixes, a class once for each task, as arrays by bucket of
    the shingle; each bucket sorts its arrays and keeps the shingles that two or more share.
-3. Group pairs are filtered by size, then expanded into members and verified on whole sets,
+3. Group pairs are filtered by size and by the places of the shingle they share (all shingles
+   before it in either set are not common, so it bounds the overlap), then expanded into members and verified on whole sets,
    in two rounds.  First every list is held against its first group, and each group against
    its first member: large families of near copies become connected with one comparison a
    member and list.  Then only members of different components that share a list are
@@ -17,10 +18,11 @@ in any order that is the same for all: here shingles seen often come last (at mo
    exact, and no family of copies is expanded into all its pairs.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer than five words is
-one shingle.  Ids are whole numbers.  Edge cases: null, empty and blank texts have an empty
-set and link with nothing; repeated rows and equal texts are copies; rows that share an id are
-one node of the graph; a null id takes the component of its class, else null; other columns
-are left out.
+one shingle.  Ids are whole numbers below 2**62.  Edge cases: null, empty and blank texts have
+an empty set and link with nothing; repeated rows and equal texts are copies; rows that share
+an id are one node of the graph; rows with a null id and equal texts share a node that counts as
+larger than all ids, and their component is null unless it holds a row with an id; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 FREQUENT = 500_000               # shingles that may go last, at most; 16 bytes each are broadcast
 FREQUENT_LEAST = 8               # documents, as far as tasks see them, that make a shingle frequent
+BROADCAST_IDS = 1_000_000        # up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle
 
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
@@ -92,8 +95,16 @@ class Order:
         return out
 
 
+_NO_ID = 1 << 62                # nodes of rows without an id start here
+
+
+def _node(id_col: str, text_col: str) -> Column:
+    own = F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+    return F.coalesce(F.col(id_col).cast("long"), own)
+
+
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(_node(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
 
 def frequent_shingles(plain: DataFrame, size: int, most: int) -> np.ndarray:
@@ -131,49 +142,53 @@ def _summary(plain: DataFrame, shared, size: int, percent: int) -> DataFrame:
 
 
 def _shared_prefixes(plain: DataFrame, shared, size: int, percent: int) -> DataFrame:
-    """Rows ``(token, doc)`` of the prefix shingles that two or more sent documents have."""
+    """Rows ``(token, doc, pos)`` of the prefix shingles that two or more sent documents have;
+    ``pos`` is the shingle's place in the document's set, from 0."""
     buckets = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, tokens, owners, done = Order(shared.value), [], [], set()
+        order, tokens, owners, places, done = Order(shared.value), [], [], [], set()
         for batch, texts in X.blocks(batches, 1):
             flat, sizes = shingle_sets(texts, size)
             docs = batch.column(0).to_pylist()
             for doc, p, n, stop in zip(docs, order.prefixes(flat, sizes, percent), sizes.tolist(), np.cumsum(sizes).tolist()):
                 s = flat[stop - n:stop]
                 key = (n, *(int(X.mix64(s ^ salt).sum(dtype=np.uint64)) for salt in _SALTS[:2]))
-                if n and doc is not None and key not in done:
+                if n and key not in done:
                     done.add(key)
                     tokens.append(p)
                     owners.append(np.full(len(p), doc, np.int64))
+                    places.append(np.arange(len(p), dtype=np.int32))
         t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         d = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        k = np.concatenate(places) if places else np.zeros(0, np.int32)
         bucket = (t % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)).tolist():
             own = by[edge[b]:edge[b + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([t[own].tobytes()], pa.binary()),
-                                              pa.array([d[own].tobytes()], pa.binary())], names=["bucket", "tokens", "docs"])
+                                              pa.array([d[own].tobytes()], pa.binary()), pa.array([k[own].tobytes()], pa.binary())],
+                                             names=["bucket", "tokens", "docs", "places"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, docs = [], []
+        got = [[], [], []]
         for batch in batches:
-            tokens += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            docs += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-        if not tokens:
+            for own, column, kind in zip(got, batch.columns[1:], (np.uint64, np.int64, np.int32)):
+                own += [np.frombuffer(x.as_buffer(), kind) for x in column]
+        if not got[0]:
             return
-        t, d = np.concatenate(tokens), np.concatenate(docs)
+        t, d, k = map(np.concatenate, got)
         by = np.argsort(t)
-        t, d = t[by], d[by]
+        t, d, k = t[by], d[by], k[by]
         same = t[1:] == t[:-1]
         kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        t, d = t[kept].view(np.int64), d[kept]
+        t, d, k = t[kept].view(np.int64), d[kept], k[kept]
         for i in range(0, len(t), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(t[i:i + (1 << 16)]), pa.array(d[i:i + (1 << 16)])], names=["token", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + (1 << 16)]) for x in (t, d, k)], names=["token", "doc", "pos"])
 
-    sent = map_arrow(plain, send, "bucket int, tokens binary, docs binary")
-    return map_arrow(sent.repartition(buckets, "bucket"), meet, "token long, doc long")
+    sent = map_arrow(plain, send, "bucket int, tokens binary, docs binary, places binary")
+    return map_arrow(sent.repartition(buckets, "bucket"), meet, "token long, doc long, pos int")
 
 
 def _verified(pairs: DataFrame, plain: DataFrame, size: int, percent: int) -> DataFrame:
@@ -196,7 +211,8 @@ def _verified(pairs: DataFrame, plain: DataFrame, size: int, percent: int) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "candidates")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = written(map_arrow(plain.join(ids, "doc", "left_semi"), sets, "doc long, set binary").where("length(set) > 0"), "sets")
     with_a = pairs.join(own.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
     with_b = with_a.join(own.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
@@ -207,6 +223,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Per row ``doc_id, n_shingles, class_id`` (smallest id with the same set) and ``component_id``
     (smallest id reachable by links)."""
+    found = _components(docs, id_col, text_col, size, percent, frequent)
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
+    return found.select(known("doc_id"), "n_shingles", known("class_id"), known("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: int) -> DataFrame:
     spark = docs.sparkSession
     plain = _plain(docs, id_col, text_col)
     shared = spark.sparkContext.broadcast(frequent_shingles(plain, size, frequent))
@@ -218,11 +240,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # the index of groups: (token, grp, n), only tokens that two or more classes share
     index = written(_shared_prefixes(plain, shared, size, percent)
-                    .join(members.where("doc is not null and class is not null").select("doc", "n", "class", "grp").distinct(), "doc")
-                    .select("token", "grp", "n").distinct(), "index")
-    firsts = index.groupBy("token").agg(F.min(F.struct("n", "grp")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    group_pairs = (index.join(firsts, "token").select("grp", "n", F.col("head.grp").alias("grp2"), F.col("head.n").alias("n2"))
+                    .join(members.where("class is not null").select("doc", "n", "class", "grp").distinct(), "doc")
+                    .select("token", "grp", "n", "pos").distinct(), "index")
+    firsts = index.groupBy("token").agg(F.min(F.struct("pos", "n", "grp")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # an overlap o reaches the threshold when (100 + percent) o >= percent (n + n2); past a common shingle's place there are n - pos at most
+    fits = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= percent * (F.col("n") + F.col("n2"))
+    group_pairs = (index.join(firsts, "token").select("grp", "n", "pos", F.col("head.grp").alias("grp2"), F.col("head.n").alias("n2"),
+                                                      F.col("head.pos").alias("pos2"))
                    .where((F.col("grp") != F.col("grp2")) & fits).select("grp", "grp2").distinct())
     own = classes.select(F.col("class").alias("a"), "grp")
     first_round = (group_pairs.join(own, "grp").select("a", F.col("grp2").alias("b"))      # a group's id is its first member
@@ -232,10 +256,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = components(links)
     own = (classes.select("class", "grp", "n").join(linked, F.col("class") == F.col("node"), "left")
            .select("class", "grp", "n", F.coalesce("component", "class").alias("component")))
-    lists = index.select("token", "grp").join(own, "grp")
+    lists = index.select("token", "grp", "pos").join(own, "grp")
     open_lists = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    left = written(lists.join(open_lists, "token").select("token", F.col("class").alias("a"), "n", "component"), "open-lists")
-    right = left.select("token", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    left = written(lists.join(open_lists, "token").select("token", F.col("class").alias("a"), "n", "pos", "component"), "open-lists")
+    right = left.select("token", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
     second_round = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & fits)
     all_links = links.union(written(_verified(second_round, plain, size, percent), "links"))
     final = components(all_links)
@@ -245,13 +269,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id, as it is; rows with
-    a null id stay unless they belong to another document's component."""
-    found = similar_documents(docs, id_col, text_col, size, percent)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
-    kept = (docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own"))
-            .join(gone, F.col("own").eqNullSafe(F.col("gone")), "left_anti").select("row.*"))
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1)
-    if again.count():                           # rows that share an id are one document
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
-    return kept
+    """``docs`` with one document of each component, that with the smallest id, as it is."""
+    found = _components(docs, id_col, text_col, size, percent, FREQUENT)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = (docs.select(F.struct(*docs.columns).alias("row"), _node(id_col, text_col).alias("own"))
+            .join(gone, F.col("own") == F.col("gone"), "left_anti"))
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1)
+    if again.count():                           # rows that share a node are one document
+        kept = kept.dropDuplicates(["own"])
+    return kept.select("row.*")

@@ -174,8 +174,8 @@ def test_kneser_ney_is_a_distribution_and_counts_are_exact(spark, frame, rows):
 def test_quality_bands_reject_the_unlike(spark):
     import random
     rnd = random.Random(2)
-    good = [(k, " ".join(rnd.choice(["the house", "a river runs", "of the town", "and so on", "they went home"]) for _ in range(60)), rnd.choice(["en", None, "xx"]))
-            for k in range(300)]
+    words = ["".join(rnd.choice(["ta", "re", "on", "li", "mo", "se", "an", "du"]) for _ in range(rnd.choice([1, 2, 3]))) for _ in range(300)]
+    good = [(k, " ".join(rnd.choice(words) for _ in range(120)), rnd.choice(["en", None, "xx"])) for k in range(300)]
     bad = [(1000 + k, " ".join("".join(rnd.choice("qzxjkv#%") for _ in range(7)) for _ in range(60)), "en") for k in range(6)]
     docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in quality.quality_report(docs).where("kept").collect()}
