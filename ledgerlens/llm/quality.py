@@ -145,7 +145,7 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     order = np.argsort(grams)
     return {"grams": grams[order].astype(np.int32), "logp": np.log(p.reshape(-1)[grams[order]]).astype(np.float32),
             "left": np.log(np.maximum(left.reshape(-1), 1e-9)).astype(np.float32),
-            "lower": np.log(lower.reshape(-1)).astype(np.float32)}
+            "lower": np.log(np.maximum(lower.reshape(-1), 1e-12)).astype(np.float32)}
 
 
 def _table(model: dict[str, np.ndarray]) -> np.ndarray:
