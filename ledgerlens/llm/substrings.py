@@ -43,7 +43,8 @@ from .shared import map_arrow, written
 LENGTH = 50
 GRAM = 12
 CHUNK_BYTES = 1 << 20            # texts whose equal pieces travel once
-GROUP_PIECES = 100_000           # pieces built together, if one anchor does not have more
+SHARDS = 2                       # for each shuffle partition; a task holds the pieces of one shard
+GROUP_PIECES = 50_000           # pieces built together, if one anchor does not have more
 
 _NULL_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -198,6 +199,7 @@ def _build(length: int, gram: int):
         low = np.minimum.reduceat(ids[by], np.flatnonzero(new))
         high = np.maximum.reduceat(ids[by], np.flatnonzero(new))
         by, group = by[(low != high)[group]], group[(low != high)[group]]   # anchors of two or more documents
+        del h, new, low, high
         while len(by):
             stop = len(by)
             if stop > GROUP_PIECES:                # whole anchors only
@@ -228,7 +230,7 @@ def _build(length: int, gram: int):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Rows ``(doc, key, spans)``: byte spans to remove from the text with hash ``key`` of document
     ``doc`` (the largest number for a null id); spans may overlap."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     dealt = map_arrow(plain.where(F.octet_length("text") >= length), _deal(shards, length, gram), "shard int, data binary")
     marks = map_arrow(dealt.repartition(shards, "shard"), _build(length, gram), "doc long, key long, start int, end int")
