@@ -87,11 +87,12 @@ _shipped: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of ``spark``'s application, also
     where it is not installed: Spark copies one zip of its sources to every executor.
-    Operators that run Python in tasks call it; the first call of an application counts."""
+    Operators that run Python in tasks call it; the first call of an application counts.
+    An installed package is taken to be installed everywhere."""
     sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
     here = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _shipped or f"{os.sep}site-packages{os.sep}" in here:
+        return
     archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-src-"), f"{os.path.basename(here)}.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, names in os.walk(here):

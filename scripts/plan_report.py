@@ -14,12 +14,12 @@ import io
 import os
 import re
 import sys
-import tempfile
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ledgerlens.plans.queries import OPERATORS, SilverTables  # noqa: E402
-from ledgerlens.session import local_session  # noqa: E402
+from ledgerlens.session import local_session, scratch_path  # noqa: E402
 
 PATTERNS = {
     "scans": r"Scan parquet",
@@ -71,7 +71,7 @@ def table(spark, silver) -> None:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
-    silver = SilverTables.build(spark, sf_dir, tempfile.mkdtemp(prefix="plan-report-"))
+    silver = SilverTables.build(spark, sf_dir, scratch_path(spark, f"plan-report-{uuid.uuid4().hex}"))
     print(f"# Final physical plans of the registered operators\n\nInput: silver tables derived from "
           f"`{sf_dir}`; AQE final plans (`scripts/plan_report.py`).\n")
     print("## As run (AQE may broadcast sides it measures small)\n")
