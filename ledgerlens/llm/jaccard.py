@@ -110,13 +110,19 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def frequent_shingles(plain: DataFrame, size: int, most: int) -> np.ndarray:
     """Shingles that tasks met in two or more of their documents, by rising number of documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, twice = [], np.zeros(0, np.uint64)
-        for _, texts in X.blocks(batches, 1):
-            seen.append(shingle_sets(list(dict.fromkeys(texts)), size)[0])   # copies within a block count once
-        flat = np.sort(np.concatenate(seen)) if seen else twice
-        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]])) if len(flat) else np.zeros(1, np.int64)
-        n = np.diff(edge)
-        yield pa.RecordBatch.from_arrays([pa.array(flat[edge[:-1][n > 1]].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+        seen = [shingle_sets(list(dict.fromkeys(texts)), size)[0]     # copies within a block count once
+                for _, texts in X.blocks(batches, 1)]
+        flat = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+        seen.clear()
+        flat.sort()
+        at = 0
+        while at < len(flat):                      # slices that end between two shingles
+            stop = int(np.searchsorted(flat, flat[min(at + (1 << 19), len(flat) - 1)], side="right"))
+            part = flat[at:stop]
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            n = np.diff(edge)
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1][n > 1]].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+            at = stop
 
     got = (map_arrow(plain, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
            .where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "shingle").limit(most).toArrow())
