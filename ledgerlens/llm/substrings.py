@@ -48,7 +48,7 @@ GROUP_PIECES = 50_000           # pieces built together, if one anchor does not
 
 _NULL_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", compression_level=5)
 
 
 def _gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
@@ -89,11 +89,11 @@ def pieces(block: X.Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([x.nbytes for x in arrays], np.int64).tobytes()
     raw = sizes + b"".join(x.tobytes() for x in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC, asbytes=True)
+    raw = _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     sizes = np.frombuffer(raw, np.int64, len(kinds))
     at, out = 8 * len(kinds), []
     for size, kind in zip(sizes.tolist(), kinds):
