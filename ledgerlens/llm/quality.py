@@ -1,27 +1,32 @@
 """Quality rules: base counts of each text, then n-gram perplexity within language bands.
 
-The model is a modified Kneser-Ney n-gram model of character classes, one for each
-language.  A character becomes one of 32 classes (letters a-z, white space, digits,
-sentence marks, other ASCII, Latin beyond ASCII, the rest), so a 4-gram is a 20-bit
-perfect hash and a language's model has at most 32**4 entries whatever the corpus holds.
-
-1. Every text is counted: tasks add up their 4-grams, Spark sums them by language and
-   hash.  The ``max_languages`` most frequent languages have models of their own; the
-   documents of all others (and of a null language) share one.
-2. The driver turns the counts (at most 32**4 a language) into sorted hash arrays with
-   log probabilities, and back-off arrays for what was never seen; these are broadcast.
-3. Every text is scored; Spark counts documents by language and perplexity bin, and from
-   that the band of each language is taken: ``spread`` interquartile ranges below the
-   first and above the third quartile of the log perplexity of all its documents that
-   pass the base rules.  Short texts vary more, so the room beside the quartiles grows
-   with the square root of ``REFERENCE_CHARS`` over a text's characters in words.  A
-   document outside its band is rejected: above it text unlike the language, below it
-   text that hardly varies.
-
-Words are ``[^\\x20\\x09-\\x0D]+``.  Edge cases: a null or empty text has counts of zero
-and fails the base rules (fewer than 20 words); texts under four characters have no
-perplexity; repeated rows are judged row by row; a language without documents that pass
-has no band; other columns pass through untouched.
+The model is a modified Kneser-Ney model of token n-grams, orders 1 to ``ORDER``, one for each
+language.  A token is a word with A-Z lower-cased, or a single character of ``SINGLES``: those
+of scripts without spaces between words, and signs beyond ASCII.  Tokens and n-grams are
+64-bit hashes that the language goes into, so the model is a table that grows with the corpus;
+only its most frequent rows, of a fixed number, pass the driver.
+
+1. Every text sends its distinct n-grams with their counts; Spark adds them up.  Below the
+   highest order an n-gram counts its distinct left neighbours, as Kneser-Ney does.
+2. Counts of counts give each language and order its discounts; sums by context give the
+   weight of backing off; probabilities follow order by order, by joins.
+3. Each text's own n-grams are joined with the model.  An n-gram that no other text holds
+   counts as unseen, so no text vouches for itself: copies of a text are one text here.  The
+   most frequent n-grams, at most ``BROADCAST_GRAMS``, are looked up in the task instead.
+4. By language, quartiles of all documents that pass the base rules.  A document is rejected
+   whose log perplexity lies more than ``spread`` interquartile ranges above the third
+   quartile (text unlike the language), or whose log perplexity by single tokens lies that far
+   below the first (text that hardly varies; single tokens, as near copies of a text would make
+   its longer n-grams likely).  Short texts vary more, so the room beside the quartiles grows
+   with the square root of ``REFERENCE_CHARS`` over a text's characters in words.
+
+Every language has a model and bands of its own, however many there are; documents of a null
+language share one.
+
+Words of the base counts are ``[^\\x20\\x09-\\x0D]+``.  Edge cases: a null or empty text has
+counts of zero and fails the base rules (fewer than 20 words); texts without a token have no
+perplexity; repeated rows are judged row by row; a language without documents that pass has no
+band; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -30,152 +35,217 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .charmodel import _CLASS, _table, fit, gram_counts, kneser_ney, languages  # noqa: F401
 from .shared import map_arrow, written
 
-ORDER = 4
-CLASSES = 32
+ORDER = 3
 SPREAD = 2.5
 REFERENCE_CHARS = 1000           # shorter texts get a wider band
-MAX_LANGUAGES = 64
 BIN = 0.001                      # width of a log-perplexity bin
+BROADCAST_GRAMS = 1 << 19        # frequent n-grams that tasks look up without a shuffle
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
-_POOL = -1                       # the model that all other languages share
+#: Code points that are tokens by themselves: signs of Latin-1, scripts without spaces, general
+#: punctuation, CJK, compatibility forms, pictographs.
+SINGLES = [(0x80, 0xBF), (0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2000, 0x2BFF), (0x2E80, 0xA4CF),
+           (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x1F000, 0x1FAFF), (0x20000, 0x3FFFF)]
 
-
-def _class_of(b: int) -> int:
-    if b in b" \t\n\x0b\x0c\r":
-        return 0
-    if chr(b | 32).isalpha() and b < 128:
-        return (b | 32) - 96
-    if 48 <= b <= 57:
-        return 27
-    if b in b".,;:!?'\"()-":
-        return 28
-    if b < 128:
-        return 29
-    return 30 if 0xC2 <= b <= 0xC9 else 31
-
-
-_CLASS = np.array([_class_of(b) for b in range(256)], np.uint32)
 _IS_SYMBOL = np.array([b in SYMBOLS for b in range(256)])
 _LEADS = np.array([b & 0xC0 != 0x80 for b in range(256)])
+_KIND = X.SPACED_WORD.astype(np.int8)
+_SINGLE_EDGES = np.array([x for a, b in SINGLES for x in (a, b + 1)])
+_START = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of all tokens of a block, in order."""
+    lead = np.flatnonzero(_LEADS[buf])
+    kind = _KIND[buf[lead]]                    # 0 space, 1 in a word, 2 a token by itself
+    wide = np.flatnonzero(buf[lead] >= 0x80)
+    if len(wide):
+        b = [buf[np.minimum(lead[wide] + k, len(buf) - 1)].astype(np.int64) for k in range(4)]
+        tail = [x & 63 for x in b]
+        point = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | tail[1],
+                         np.where(b[0] < 0xF0, (b[0] & 15) << 12 | tail[1] << 6 | tail[2],
+                                  (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
+        kind[wide[np.searchsorted(_SINGLE_EDGES, point, side="right") % 2 == 1]] = 2
+    run = np.concatenate([[False], kind == 1, [False]])
+    edges = np.append(lead, len(buf))
+    return lead[(kind == 2) | run[1:-1] & ~run[:-2]], edges[1:][(kind == 2) | run[1:-1] & ~run[2:]]
+
+
+def _grams(texts: list[bytes | None], langs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """The text of each token, and for each order ``(hash, context, suffix)`` of the n-gram that
+    ends in it.  Texts begin with ``ORDER - 1`` start marks."""
+    block = X.Texts(texts)
+    s, e = token_spans(block.buf)
+    first, last = block.owner(s)
+    each = np.arange(len(texts))
+    owner, pad = np.repeat(each, last - first), ORDER - 1
+    root = X.mix64(langs.astype(np.int64).view(np.uint64))
+    t = X.mix64(root[np.repeat(each, last - first + pad)] ^ _START)
+    at = np.arange(len(s)) + pad * (owner + 1)
+    t[at] = X.mix64(X.hash_words(block.buf, s, e) + root[owner])
+    windows = [t, *(X.hash_windows(t, k, k) for k in range(2, ORDER + 1))]
+    none = np.zeros(len(at), np.uint64)
+    out = [(t[at], root[owner], none)]
+    for k in range(2, ORDER + 1):
+        out.append((windows[k - 1][at - k + 1], windows[k - 2][at - k + 1], windows[k - 2][at - k + 2]) if len(at) else (none,) * 3)
+    return owner, out
 
 
-def _grams(block: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed 4-grams of a block's characters and, per text, its first and past-last one."""
-    lead = _LEADS[block.buf]
-    c = _CLASS[block.buf[lead]]
-    at = np.concatenate([[0], np.cumsum(lead)])
-    first, last = at[block.starts], at[block.ends]
-    g = c[:-3] << np.uint32(15) | c[1:-2] << np.uint32(10) | c[2:-1] << np.uint32(5) | c[3:] if len(c) > 3 \
-        else np.zeros(0, np.uint32)
-    return g, first, np.maximum(first, last - (ORDER - 1))
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _language_map(langs: list[str]):
-    index = {lang: k for k, lang in enumerate(langs)}
-    return lambda column: np.array([index.get(x, _POOL) for x in column.to_pylist()], np.int64)
+def _key(text_col: str, lang_col: str) -> Column:
+    """A hash of language and text: copies have one key."""
+    lang = F.col(lang_col).cast("string")
+    return F.xxhash64(lang.isNull(), lang, F.col(text_col).cast("string"))
 
 
-def languages(docs: DataFrame, lang_col: str, max_languages: int = MAX_LANGUAGES) -> list[str]:
-    """The most frequent languages, ties by name."""
-    rows = (docs.select(F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull())
-            .groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
-    return [r["lang"] for r in rows]
+def _plain(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """Rows ``(key, lang, text, copies)``; ``lang`` is a hash, zero for null."""
+    lang = F.col(lang_col).cast("string")
+    plain = docs.select(_key(text_col, lang_col).alias("key"), F.when(lang.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(lang)).alias("lang"),
+                        F.col(text_col).cast("string").alias("text"))
+    again = written(plain.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "quality-copies")
+    return plain.join(again, "key", "left").select("key", "lang", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
 
 
-def gram_counts(docs: DataFrame, langs: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows ``(model, gram, n)`` over all documents."""
+def ngram_counts(plain: DataFrame) -> DataFrame:
+    """Rows ``(size, lang, h, ctx, suf, c)``: all n-grams of all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_of, sums = _language_map(langs), {}
         for batch, texts in X.blocks(batches, 1):
-            block, models = X.Texts(texts), model_of(batch.column(0))
-            g, first, last = _grams(block)
-            for m in np.unique(models).tolist():
-                own = models == m
-                at = X.ragged(first[own], last[own] - first[own])
-                if m not in sums:
-                    sums[m] = np.zeros(CLASSES ** ORDER, np.int64)
-                sums[m] += np.bincount(g[at], minlength=CLASSES ** ORDER)
-        for m, n in sums.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen), m, np.int32)), pa.array(seen.astype(np.int32)), pa.array(n[seen])],
-                names=["model", "gram", "n"])
-
-    plain = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return (map_arrow(plain, count, "model int, gram int, n long").groupBy("model", "gram").agg(F.sum("n").alias("n")))
-
-
-def _discounts(c: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [float((c == k).sum()) for k in range(5)]
-    if not n[1] or not n[2]:
-        return np.array([0, 0.5, 0.5, 0.5])
+            langs = batch.column(0).to_numpy()
+            owner, grams = _grams(texts, langs)
+            for size, (h, ctx, suf) in enumerate(grams, 1):
+                seen, at, n = np.unique(h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), size, np.int32)), pa.array(langs[owner[at]]), _long(seen), _long(ctx[at]), _long(suf[at]),
+                     pa.array(n.astype(np.int64))], names=["size", "lang", "h", "ctx", "suf", "c"])
+
+    return (map_arrow(plain.select("lang", "text"), count, "size int, lang long, h long, ctx long, suf long, c long")
+            .groupBy("size", "lang", "h", "ctx", "suf").agg(F.sum("c").alias("c")))
+
+
+def _discounts(counted: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney discounts ``d1, d2, d3`` and the number of n-grams, by language and order."""
+    n = [F.col(f"n{k}").cast("double") for k in range(5)]
     y = n[1] / (n[1] + 2 * n[2])
-    d = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else y for k in (1, 2, 3)]
-    return np.clip(np.array(d), 0, [0, 0.95, 1.95, 2.95])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted hash array of seen 4-grams with log probabilities, and back-off arrays."""
-    c = np.zeros(CLASSES ** ORDER, np.int64)
-    c[grams] = counts
-    c = c.reshape((CLASSES,) * ORDER)
-    levels = [c]                               # the raw counts, then numbers of distinct left contexts
-    while levels[-1].ndim > 1:
-        levels.append((levels[-1] > 0).sum(axis=0))
-    p = np.full(CLASSES, 1 / CLASSES)
-    for level in reversed(levels):
-        d = _discounts(level)
-        total = level.sum(axis=-1, keepdims=True)
-        kept = np.maximum(level - d[np.minimum(level, 3)], 0)
-        some = np.maximum(total, 1)
-        left = np.where(total > 0, 1 - kept.sum(axis=-1, keepdims=True) / some, 1.0)
-        lower, p = p, kept / some + left * p
-    order = np.argsort(grams)
-    return {"grams": grams[order].astype(np.int32), "logp": np.log(p.reshape(-1)[grams[order]]).astype(np.float32),
-            "left": np.log(np.maximum(left.reshape(-1), 1e-9)).astype(np.float32),
-            "lower": np.log(np.maximum(lower.reshape(-1), 1e-12)).astype(np.float32)}
-
-
-def _table(model: dict[str, np.ndarray]) -> np.ndarray:
-    """Log probability of every 4-gram, for direct lookups in a task."""
-    out = (model["left"].reshape(-1, CLASSES, CLASSES, 1)
-           + model["lower"].reshape(1, CLASSES, CLASSES, CLASSES)).reshape(-1)
-    out[model["grams"]] = model["logp"]
-    return out
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES
-        ) -> tuple[list[str], dict[int, dict[str, np.ndarray]]]:
-    """Languages and their models, from the counts of all documents."""
-    langs = languages(docs, lang_col, max_languages)
-    got = gram_counts(docs, langs, text_col, lang_col).toArrow()
-    model, gram, n = (got.column(k).to_numpy() for k in ("model", "gram", "n"))
-    return langs, {int(m): kneser_ney(gram[model == m], n[model == m]) for m in np.unique(model)}
-
-
-def _log_perplexity(block: X.Texts, models: np.ndarray, tables: dict[int, np.ndarray]) -> np.ndarray:
-    g, first, last = _grams(block)
-    out = np.full(len(models), np.nan)
-    for m in np.unique(models).tolist():
-        own = np.flatnonzero((models == m) & (last > first))
-        if len(own):
-            n = last[own] - first[own]
-            sums = np.concatenate([[0], np.cumsum(tables[m][g[X.ragged(first[own], n)]], dtype=np.float64)])
-            stop = np.cumsum(n)
-            out[own] = -(sums[stop] - sums[stop - n]) / n
-    return out
+    some = (n[1] > 0) & (n[2] > 0)
+    d = [F.when(some & (n[k] > 0), F.least(F.greatest(k - (k + 1) * y * n[k + 1] / F.nullif(n[k], F.lit(0.0)), F.lit(0.1)), F.lit(k - 0.05)))
+         .otherwise(F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
+    return (counted.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n0"), *(F.count(F.when(F.col("a") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)))
+            .select("lang", "size", F.col("n0").alias("types"), *d))
+
+
+def model(plain: DataFrame) -> DataFrame:
+    """Rows ``(size, h, c, gain, left)``, a table in the shared folder: for each n-gram its count,
+    what it adds to the log probability by its suffix, and the log weight of backing off from
+    its context (for a single token, the log probability of an unseen one).  An n-gram with
+    count 1 has no gain, as no second text holds it."""
+    grams = written(ngram_counts(plain), "quality-grams")
+    neighbours = grams.where("size > 1").groupBy(F.col("suf").alias("h")).agg(F.count(F.lit(1)).alias("a"))
+    columns = ["size", "lang", "h", "ctx", "suf", "c", "a"]
+    lower = written(grams.where(F.col("size") < ORDER).join(neighbours, "h").select(*columns), "quality-lower")
+    counted = lower.union(grams.where(F.col("size") == ORDER).select("size", "lang", "h", "ctx", "suf", "c", F.col("c").alias("a")))
+    discounts = written(_discounts(counted), "quality-discounts")
+    contexts = (counted.groupBy("lang", "size", "ctx")
+                .agg(F.sum("a").alias("total"), *(F.count(F.when(F.least("a", F.lit(3)) == k, 1)).alias(f"m{k}") for k in (1, 2, 3)))
+                .join(F.broadcast(discounts), ["lang", "size"])
+                .select("ctx", "size", "total", ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).alias("rest"),
+                        "d1", "d2", "d3", "types"))
+    own = (F.col("a") - F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+    out, below = [], None
+    for size in range(1, ORDER + 1):
+        context = contexts.where(F.col("size") == size).drop("size")
+        level = counted.where(F.col("size") == size).join(F.broadcast(context) if size == 1 else context, "ctx")
+        if size == 1:
+            level = level.withColumn("p", own + F.col("rest") / F.col("types")).select(
+                "size", "h", "c", "p", F.log("p").alias("gain"), F.log(F.col("rest") / F.col("types")).alias("left"))
+        else:
+            level = level.select("size", "h", "suf", "c", own.alias("own"), "rest")
+            likely = (level.where("c > 1").join(below.where("c > 1").select(F.col("h").alias("suf"), F.col("p").alias("q")), "suf")
+                      .withColumn("p", F.col("own") + F.col("rest") * F.col("q"))
+                      .select("size", "h", "c", "p", F.log(F.col("p") / F.col("q")).alias("gain"), F.log("rest").alias("left")))
+            none = F.lit(None).cast("double")
+            level = likely.union(level.where("c = 1").select("size", "h", "c", none, none, F.log("rest")))
+        below = written(level, f"quality-order{size}")
+        out.append(below.select("size", "h", "c", "gain", "left"))
+    for x in out[1:]:
+        out[0] = out[0].union(x)
+    return out[0]
+
+
+def _frequent(grams: DataFrame, most: int) -> tuple[np.ndarray, ...]:
+    """``(h, size, c, gain, left)`` of the most frequent n-grams, by h: as many whole powers of two of
+    the count as ``most`` rows hold."""
+    rows = {r["power"]: r["n"] for r in grams.where("c > 1").groupBy(F.floor(F.log2("c")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, None
+    for power in sorted(rows, reverse=True):
+        total += rows[power]
+        if total > most:
+            break
+        least = power
+    got = grams.where(F.lit(False) if least is None else F.floor(F.log2("c")) >= least).toArrow()
+    got = [got.column(x).to_numpy() for x in ("h", "size", "c", "gain", "left")]
+    order = np.argsort(got[0])
+    return tuple(x[order] for x in got)
+
+
+def log_perplexities(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """Rows ``(key, log_perplexity, log_single)``, one for each distinct language and text with a
+    token; the last by single tokens alone."""
+    plain = _plain(docs, text_col, lang_col)
+    grams = model(plain)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(grams, broadcast_grams))
+    names = ["key", "h", "n", "copies", "tokens", "sum", "single"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, size_of, c, gain, left = shared.value
+        for batch, texts in X.blocks(batches, 2):
+            keys, copies = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            owner, grams = _grams(texts, batch.column(1).to_numpy())
+            tokens = np.bincount(owner, minlength=len(texts))
+            sums, single = np.zeros(len(texts)), np.zeros(len(texts))
+            for size, (h, _, _) in enumerate(grams, 1):
+                order = np.lexsort((h, owner))
+                o, x = owner[order], h[order].view(np.int64)
+                new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (x[1:] != x[:-1])])) if len(o) else np.zeros(0, np.int64)
+                n, o, x = np.diff(np.append(new, len(o))), o[new], x[new]
+                at = np.minimum(np.searchsorted(hot, x), max(len(hot) - 1, 0))
+                known = hot[at] == x if len(hot) else np.zeros(len(x), bool)
+                k = at[known]
+                part = n[known] * np.where(c[k] > n[known] * copies[o[known]], gain[k], left[k])
+                add = np.bincount(o[known], part, len(texts))
+                sums += add
+                single += add if size == 1 else 0
+                o, x, n = o[~known], x[~known], n[~known]
+                zero = np.zeros(len(o))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[o]), pa.array(x), pa.array(n.astype(np.int64)), pa.array(copies[o]),
+                                                  pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
+            # What the task looked up itself travels as an n-gram that the model lacks.
+            some = np.flatnonzero(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(copies[some]),
+                                              pa.array(tokens[some].astype(np.int64)), pa.array(sums[some]), pa.array(single[some])], names=names)
+
+    sent = map_arrow(plain, send, "key long, h long, n long, copies long, tokens long, sum double, single double")
+    part = F.when(F.col("c").isNull(), F.lit(0.0)).otherwise(
+        F.col("n") * F.when(F.col("c") > F.col("n") * F.col("copies"), F.col("gain")).otherwise(F.col("left")))
+    found = sent.join(grams, "h", "left").groupBy("key").agg(
+        F.sum("tokens").alias("tokens"), F.sum(F.col("sum") + part).alias("sum"),
+        F.sum(F.col("single") + F.when(F.col("size") == 1, part).otherwise(F.lit(0.0))).alias("single"))
+    mean = lambda x: F.round(-F.col(x) / F.col("tokens"), 9)
+    return found.select("key", mean("sum").alias("log_perplexity"), mean("single").alias("log_single"))
 
 
 def base_counts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
@@ -222,74 +292,59 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           max_languages: int = MAX_LANGUAGES) -> tuple[DataFrame, list[str], dict]:
-    """Per document its counts, ``base_failed``, ``model`` and ``log_perplexity`` (a table in the
-    shared folder); the languages and models."""
-    langs, models = fit(docs, text_col, lang_col, max_languages)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType),
-                           *(T.StructField(n, T.LongType()) for n in _COUNTS), T.StructField("base_failed", T.BooleanType()),
-                           T.StructField("model", T.IntegerType()), T.StructField("log_perplexity", T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_of, tables = _language_map(langs), {m: _table(x) for m, x in shared.value.items()}
-        for batch, texts in X.blocks(batches, 2):
-            base, own = base_counts(texts), model_of(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(base[n], pa.int64()) for n in _COUNTS), pa.array(_failed(base)),
-                 pa.array(own, pa.int32()),
-                 pa.array(_log_perplexity(X.Texts(texts), own, tables), from_pandas=True)], names=schema.names)
-
-    plain = docs.select(F.col(id_col), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    return written(map_arrow(plain, score, schema), "quality-scores"), langs, models
-
-
-def bands(scored: DataFrame, spread: float = SPREAD) -> dict[int, tuple[float, float, float]]:
-    """Quartiles of log perplexity and room beside them, by model, from all documents that pass
-    the base rules."""
-    rows = (scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-            .groupBy("model", F.floor(F.col("log_perplexity") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
-    out = {}
-    for m in sorted({r["model"] for r in rows}):
-        own = sorted((r["bin"], r["n"]) for r in rows if r["model"] == m)
-        total = np.cumsum([n for _, n in own])
-        low, high = ((own[int(np.searchsorted(total, q * total[-1]))][0] + 0.5) * BIN for q in (0.25, 0.75))
-        out[m] = (low, high, spread * (high - low + BIN))
-    return out
-
-
-def _kept(limits: dict[int, tuple[float, float, float]]):
-    inside = F.lit(True)
+           broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """Per document ``key, lang``, its counts, ``base_failed``, ``log_perplexity`` and
+    ``log_single`` (a table in the shared folder)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()),
+                           *(T.StructField(n, T.LongType()) for n in _COUNTS), T.StructField("base_failed", T.BooleanType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in X.blocks(batches, 3):
+            base = base_counts(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(base[n], pa.int64()) for n in _COUNTS), pa.array(_failed(base))],
+                                             names=schema.names)
+
+    plain = docs.select(F.col(id_col), _key(text_col, lang_col).alias("key"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    found = written(log_perplexities(docs, text_col, lang_col, broadcast_grams), "quality-perplexity")
+    return written(map_arrow(plain, count, schema).join(found, "key", "left"), "quality-scores")
+
+
+def bands(scored: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """By language, quartiles of ``log_perplexity`` and of ``log_single`` and the room beside them,
+    from all documents that pass the base rules: ``high, room, low_single, room_single``."""
+    out = None
+    for column, low, high, room in (("log_perplexity", "low", "high", "room"), ("log_single", "low_single", "high_single", "room_single")):
+        bins = (scored.where(~F.col("base_failed") & F.col(column).isNotNull())
+                .groupBy("lang", F.floor(F.col(column) / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+        w = Window.partitionBy("lang")
+        at = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+        place = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN
+        own = (at.groupBy("lang").agg(place(0.25).alias(low), place(0.75).alias(high))
+               .withColumn(room, spread * (F.col(high) - F.col(low) + BIN)).withColumnRenamed("lang", "band"))
+        out = own if out is None else out.join(own.withColumnRenamed("band", "other"), F.col("band").eqNullSafe(F.col("other"))).drop("other")
+    return written(out, "quality-bands")
+
+
+def _judged(scored: DataFrame, spread: float) -> DataFrame:
+    """``scored`` with ``kept``."""
     wider = F.sqrt(F.greatest(F.lit(1.0), REFERENCE_CHARS / F.greatest(F.col("word_chars"), F.lit(1))))
-    for m, (low, high, room) in limits.items():
-        within = F.col("log_perplexity").between(low - room * wider, high + room * wider)
-        inside = F.when(F.col("model") == m, F.coalesce(within, F.lit(True))).otherwise(inside)
-    return ~F.col("base_failed") & inside
+    inside = ((F.col("log_perplexity") <= F.col("high") + F.col("room") * wider)
+              & (F.col("log_single") >= F.col("low_single") - F.col("room_single") * wider))
+    both = scored.join(F.broadcast(bands(scored, spread)), F.col("lang").eqNullSafe(F.col("band")), "left")
+    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   spread: float = SPREAD, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+                   spread: float = SPREAD, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Per document ``doc_id``, its counts, ``base_failed, kept`` and ``log_perplexity``."""
-    scored, _, _ = scores(docs, id_col, text_col, lang_col, max_languages)
-    return scored.select("doc_id", *_COUNTS, "base_failed", _kept(bands(scored, spread)).alias("kept"), "log_perplexity")
+    judged = _judged(scores(docs, id_col, text_col, lang_col, broadcast_grams), spread)
+    return judged.select("doc_id", *_COUNTS, "base_failed", "kept", "log_perplexity")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   spread: float = SPREAD, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, as they are."""
-    scored, langs, models = scores(docs, id_col, text_col, lang_col, max_languages)
-    limits, shared = bands(scored, spread), docs.sparkSession.sparkContext.broadcast(models)
-    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_of, tables = _language_map(langs), {m: _table(x) for m, x in shared.value.items()}
-        for batch, texts in X.blocks(batches, text_at):
-            own = model_of(batch.column(lang_at).cast(pa.string()))
-            x = _log_perplexity(X.Texts(texts), own, tables)
-            base = base_counts(texts)
-            low, high, room = np.array([limits.get(m, (-np.inf, np.inf, 0.0)) for m in own.tolist()]).reshape(-1, 3).T
-            room = room * np.sqrt(np.maximum(1.0, REFERENCE_CHARS / np.maximum(base["word_chars"], 1)))
-            ok = ~_failed(base) & (np.isnan(x) | (x >= low - room) & (x <= high + room))
-            yield batch.filter(pa.array(ok))
-
-    return map_arrow(docs, keep, docs.schema)
+                   spread: float = SPREAD, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, as they are; a verdict depends on language and
+    text alone, so rejected keys tell the rows that go."""
+    judged = _judged(scores(docs, id_col, text_col, lang_col, broadcast_grams), spread)
+    gone = written(judged.where(~F.col("kept")).select(F.col("key").alias("quality_key")).distinct(), "quality-gone")
+    return docs.join(gone, _key(text_col, lang_col) == gone["quality_key"], "left_anti")
