@@ -1,4 +1,4 @@
-"""The word model of the quality rules: growth, order of words, copies."""
+"""The word model of the quality rules: growth, order of words, copies, scripts and languages."""
 
 import random
 
@@ -48,3 +48,17 @@ def test_copies_and_near_copies_stay(spark):
     docs += [(200 + k, "en", docs[0][2]) for k in range(15)] + [(300 + k, "en", " ".join(docs[1][2].split()[k:])) for k in range(1, 10)]
     got = report(spark, docs)
     assert all(got[d]["kept"] for d, *_ in docs if d >= 200 or d < 2)
+
+
+def test_garbled_text_beyond_latin_is_rejected(spark):
+    rnd = random.Random(6)
+    letters = {"ru": "абвгдежзиклмнопрстуф", "el": "αβγδεζηθικλμνξοπρστυ", "zh": "的一是不了人我在有他这中大来上国个到说们"}
+    docs, bad = [], []
+    for j, (lang, own) in enumerate(letters.items()):
+        vocabulary, gap = words(rnd, own), "" if lang == "zh" else " "
+        docs += [(1000 * j + k, lang, " \n".join(gap.join(sentences(rnd, vocabulary, 8)) for _ in range(24))) for k in range(60)]
+        # Words of the same lengths, of other letters of the same script: their classes are the same.
+        some = {"ru": "хцчшщъыьэюя", "el": "φχψωάέήίόύώ", "zh": "學習語言模型測試數據龍龜鑫森淼焱垚"}[lang]
+        bad += [(9000 + j, lang, "".join(c if c in " \n" else rnd.choice(some) for c in docs[-1][2]))]
+    got = report(spark, docs + bad)
+    assert not any(got[d]["kept"] for d, *_ in bad) and sum(got[d]["kept"] for d, *_ in docs) >= 170
