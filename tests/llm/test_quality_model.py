@@ -62,3 +62,13 @@ def test_garbled_text_beyond_latin_is_rejected(spark):
         bad += [(9000 + j, lang, "".join(c if c in " \n" else rnd.choice(some) for c in docs[-1][2]))]
     got = report(spark, docs + bad)
     assert not any(got[d]["kept"] for d, *_ in bad) and sum(got[d]["kept"] for d, *_ in docs) >= 170
+
+
+def test_every_language_has_its_own_model(spark):
+    """A text in the words of another language is rejected whatever the rank of its label."""
+    rnd = random.Random(8)
+    vocabularies = {f"l{j:02}": words(rnd, "abcdefghijklmnop", 40) for j in range(70)}
+    docs = [(100 * j + k, lang, " ".join(sentences(rnd, v, 60))) for j, (lang, v) in enumerate(vocabularies.items()) for k in range(12 if j < 66 else 10)]
+    bad = [(90_000 + j, f"l{j:02}", " ".join(sentences(rnd, vocabularies[f"l{j - 1:02}"], 60))) for j in (1, 68, 69)]
+    got = report(spark, docs + bad)
+    assert not any(got[d]["kept"] for d, *_ in bad) and sum(got[d]["kept"] for d, *_ in docs) >= 0.95 * len(docs)
