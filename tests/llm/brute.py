@@ -168,3 +168,95 @@ def best_fit(lengths, capacity):
         else:
             bins.append(x)
     return len(bins)
+
+
+def tokens(t):
+    from ledgerlens.llm.quality import SINGLES
+
+    out, word = [], ""
+    for c in (t or "").translate(UPPER) + " ":
+        single = any(a <= ord(c) <= b for a, b in SINGLES)
+        if single or c in " \t\n\v\f\r":
+            out += [word] if word else []
+            out += [c] if single else []
+            word = ""
+        else:
+            word += c
+    return out
+
+
+def perplexities(docs, order=3):
+    """``(log perplexity, by single tokens)`` of each ``(lang, text)``: modified Kneser-Ney by language,
+    where an n-gram that only one text holds counts as unseen."""
+    from math import log
+
+    copies, out = Counter(docs), {}
+    for lang in {x for x, _ in docs}:
+        own = {}
+        for t in {t for x, t in docs if x == lang}:
+            ws = ["<s>"] * (order - 1) + tokens(t)
+            own[t] = [Counter(tuple(ws[k - n + 1:k + 1]) for k in range(order - 1, len(ws))) for n in range(1, order + 1)]
+        c = [Counter() for _ in range(order)]
+        for t, grams in own.items():
+            for n in range(order):
+                for g, k in grams[n].items():
+                    c[n][g] += k * copies[lang, t]
+        a = [Counter(g[1:] for g in c[n + 1]) for n in range(order - 1)] + [c[-1]]
+        p, rest = [], []
+        for n in range(order):
+            of = Counter(a[n].values())
+            d = [0.0, 0.5, 0.5, 0.5]
+            if of[1] and of[2]:
+                y = of[1] / (of[1] + 2 * of[2])
+                d[1:] = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.1), k - 0.05) if of[k] else 0.5 for k in (1, 2, 3)]
+            total, cut = Counter(), Counter()
+            for g, k in a[n].items():
+                total[g[:-1]] += k
+                cut[g[:-1]] += d[min(k, 3)]
+            rest.append({x: cut[x] / total[x] for x in total})
+            p.append({g: (k - d[min(k, 3)]) / total[g[:-1]] + rest[n][g[:-1]] * (p[n - 1][g[1:]] if n else 1 / len(a[0]))
+                      for g, k in a[n].items()})
+        for t, grams in own.items():
+            many = sum(grams[0].values())
+            if not many:
+                out[lang, t] = (None, None)
+                continue
+
+            def logp(g):
+                if len(g) == 0:
+                    return -log(len(a[0]))
+                if c[len(g) - 1][g] > grams[len(g) - 1][g] * copies[lang, t]:
+                    return log(p[len(g) - 1][g])
+                return log(rest[len(g) - 1][g[:-1]]) + logp(g[1:])
+            out[lang, t] = (-sum(k * logp(g) for g, k in grams[-1].items()) / many, -sum(k * logp(g) for g, k in grams[0].items()) / many)
+    return out
+
+
+def quality_kept(docs, spread=2.5, width=0.001):
+    """``(doc_id, log perplexity, kept)`` of each ``(doc_id, lang, text)``."""
+    from math import floor
+
+    found, base = perplexities([(x, t) for _, x, t in docs]), quality([(d, t) for d, _, t in docs])
+
+    def quartile(values, q):
+        bins, upto = Counter(floor(v / width) for v in values), 0
+        for b in sorted(bins):
+            upto += bins[b]
+            if upto >= q * len(values):
+                return (b + 0.5) * width
+
+    limits = {}
+    for lang in {x for _, x, _ in docs}:
+        passed = [found[x, t] for (_, x, t), r in zip(docs, base) if x == lang and not r[-1] and found[x, t][0] is not None]
+        if passed:
+            full, single = ([quartile([v[k] for v in passed], q) for q in (0.25, 0.75)] for k in (0, 1))
+            limits[lang] = (full[1], spread * (full[1] - full[0] + width), single[0], spread * (single[1] - single[0] + width))
+    out = []
+    for (d, x, t), r in zip(docs, base):
+        v, kept = found[x, t], not r[-1]
+        if kept and x in limits and v[0] is not None:
+            wider = max(1.0, 1000 / max(r[2], 1)) ** 0.5
+            high, room, low, room_single = limits[x]
+            kept = v[0] <= high + room * wider and v[1] >= low - room_single * wider
+        out.append((d, v[0], kept))
+    return out

@@ -1,9 +1,14 @@
-"""The word model of the quality rules: growth, order of words, copies, scripts and languages."""
+"""The word model of the quality rules: against plain Python, by script, by language."""
 
 import random
 
+import pytest
+
 from ledgerlens.llm import quality
 
+from . import brute
+from .conftest import text
+
 SCHEMA = "doc_id long, lang string, text string"
 
 
@@ -23,6 +28,19 @@ def report(spark, docs, **options):
     return {r["doc_id"]: r for r in quality.quality_report(spark.createDataFrame(docs, SCHEMA).repartition(3), **options).collect()}
 
 
+@pytest.mark.parametrize("broadcast_grams", [0, 30])
+def test_model_matches_plain_python(spark, broadcast_grams):
+    rnd = random.Random(3)
+    docs = [(k, rnd.choice(["en", "en", "de", None]), text(rnd, rnd.choice([5, 30, 60]))) for k in range(60)]
+    docs += [(100 + k, *docs[k][1:]) for k in range(12)] + [(200, "en", "日本語の文、テスト。" * 4), (201, "th", "ภาษาไทย " * 9), (202, "en", None), (203, None, ""),
+                                                           (204, "en", "qxz " + "zzq vvk " * 30), (205, "en", " ".join(f"w{k}x" for k in range(80)))]
+    got, expected = report(spark, docs, broadcast_grams=broadcast_grams), brute.quality_kept(docs)
+    assert len(got) == len(expected) and any(not kept for _, _, kept in expected)
+    for d, log_perplexity, kept in expected:
+        assert got[d]["kept"] == kept, d
+        assert got[d]["log_perplexity"] == (None if log_perplexity is None else pytest.approx(log_perplexity, abs=1e-6)), d
+
+
 def test_model_grows_with_the_text(spark):
     rnd = random.Random(4)
     docs = [(k, "en", " ".join(words(rnd, "abcdefghij", 200))) for k in range(40)]
@@ -41,15 +59,6 @@ def test_real_words_in_senseless_order_are_rejected(spark):
     assert not any(got[1000 + k]["kept"] for k in range(4)) and sum(got[k]["kept"] for k in range(120)) >= 115
 
 
-def test_copies_and_near_copies_stay(spark):
-    rnd = random.Random(9)
-    vocabulary = words(rnd, "abcdefghij")
-    docs = [(k, "en", " ".join(sentences(rnd, vocabulary, 80))) for k in range(100)]
-    docs += [(200 + k, "en", docs[0][2]) for k in range(15)] + [(300 + k, "en", " ".join(docs[1][2].split()[k:])) for k in range(1, 10)]
-    got = report(spark, docs)
-    assert all(got[d]["kept"] for d, *_ in docs if d >= 200 or d < 2)
-
-
 def test_garbled_text_beyond_latin_is_rejected(spark):
     rnd = random.Random(6)
     letters = {"ru": "абвгдежзиклмнопрстуф", "el": "αβγδεζηθικλμνξοπρστυ", "zh": "的一是不了人我在有他这中大来上国个到说们"}
@@ -72,3 +81,12 @@ def test_every_language_has_its_own_model(spark):
     bad = [(90_000 + j, f"l{j:02}", " ".join(sentences(rnd, vocabularies[f"l{j - 1:02}"], 60))) for j in (1, 68, 69)]
     got = report(spark, docs + bad)
     assert not any(got[d]["kept"] for d, *_ in bad) and sum(got[d]["kept"] for d, *_ in docs) >= 0.95 * len(docs)
+
+
+def test_copies_and_near_copies_stay(spark):
+    rnd = random.Random(9)
+    vocabulary = words(rnd, "abcdefghij")
+    docs = [(k, "en", " ".join(sentences(rnd, vocabulary, 80))) for k in range(100)]
+    docs += [(200 + k, "en", docs[0][2]) for k in range(15)] + [(300 + k, "en", " ".join(docs[1][2].split()[k:])) for k in range(1, 10)]
+    got = report(spark, docs)
+    assert all(got[d]["kept"] for d, *_ in docs if d >= 200 or d < 2)
