@@ -3,10 +3,12 @@
 All rolling word bigrams of a text are joined, by hash and then by their words, with the
 places of the same bigrams in short license templates.  A match at word ``pos`` and template
 place ``tpos`` votes for the diagonal ``pos - tpos``, the word where the template would start.
-Votes are gathered by document, template and diagonal; neighbouring diagonals merge, so that
-a word put in or left out does not break an occurrence; a merged span is accepted when it
-covers enough of the template's bigrams.  Base phrases take no gaps: only a diagonal with all
-votes is a place.
+Votes are gathered by document, template and diagonal.  Each diagonal is taken together with
+those at most as many words away as edits are allowed, and the template's words are verified in
+order along them: the least number of words put in, left out or replaced, by a banded edit
+distance.  A template takes one edit for every five of its words; the words that tell it from
+others (``MUST``) take none.  A word counts as found where a bigram with it voted.  Base phrases
+take no edits: only a diagonal with all votes is a place.
 
 The template table is a fixed list of a few hundred rows, the only broadcast.  One pass over
 the texts, one shuffle of the votes by document; a last word that no text can hold makes each
@@ -19,12 +21,11 @@ returned one by one; other columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 2
-MAX_SHIFT = 2                    # neighbouring diagonals that merge
-MIN_COVER = 0.8                  # share of a template's bigrams that a span needs
+MIN_COVER = 0.8                  # share of a template's words that no edit takes
 
 #: Base phrases: places where their words stand consecutively.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -39,10 +40,15 @@ TEMPLATES = [
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general "
      "public license", "gpl-notice"),
     ("released under the mit license", "mit"),
+    ("licensed under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-notice"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
 ]
 
+#: Words that no edit may leave out or replace, by label.
+MUST = {"apache-2.0": "apache 2", "cc-by-nc": "cc by nc", "creative-commons": "creative commons", "gpl-3.0": "gnu general public 3",
+        "gpl-notice": "gnu general public", "mit": "mit", "mpl": "mozilla"}
+
 _LAST = "\x00"                   # after a text's last word; no word holds it
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -75,32 +81,46 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("covered")))
 
 
-def spans(voted: DataFrame, max_shift: int = MAX_SHIFT) -> DataFrame:
-    """Votes with neighbouring diagonals merged: one row for each span, with its first word and
-    the share of the template that it covers."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("row", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(w)
-    opens = F.when(gap.isNull() | F.col("base") | (F.col("template") < 0) | (gap > max_shift), 1).otherwise(0)
-    merged = voted.withColumn("opens", opens).withColumn("span", F.sum("opens").over(w))
-    return (merged.groupBy("row", "doc_id", "template", "label", "base", "bigrams", "span")
-            .agg(F.min("diagonal").alias("first"), F.bit_count(F.bit_or("covered")).alias("votes"))
-            .withColumn("cover", F.when(F.col("template") >= 0, F.col("votes") / F.col("bigrams"))))
+def edits(voted: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
+    """All votes, each diagonal with ``words``, those of the template, ``most``, the edits allowed,
+    and ``edits``, the least number of edits of an occurrence at most ``most`` words from the
+    diagonal; null for base phrases and where too few words are found."""
+    texts = [text.split() for text, _ in BASE + TEMPLATES]
+    allowed = [int(len(t) * (1 - min_cover) + 1e-9) for t in texts]
+    must = [sum(1 << i for i, x in enumerate(t) if x in MUST.get(label, "").split()) for t, (_, label) in zip(texts, BASE + TEMPLATES)]
+    of = lambda values: F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col("template"))
+    band = max(allowed)
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-band, band)
+    rows = (voted.withColumn("found", F.expr("covered | shiftleft(covered, 1)"))
+            .withColumn("any", F.bit_or("found").over(near))
+            .withColumn("near", F.collect_list(F.struct("diagonal", "found")).over(near))
+            .withColumn("words", of([len(t) for t in texts])).withColumn("most", of(allowed)).withColumn("must", of(must))
+            .withColumn("near", F.when(~F.col("base") & (F.col("template") >= 0) & (F.bit_count("any") >= F.col("words") - F.col("most"))
+                                       & (F.col("any").bitwiseAND(F.col("must")) == F.col("must")), F.col("near")))
+            .withColumn("bits", F.when(F.col("near").isNotNull(), F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda k: F.aggregate(
+                F.filter("near", lambda x: x["diagonal"] == F.col("diagonal") + k), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["found"]))))))
+    # costs[k]: edits so far when the next word of the template would stand k - band words off the diagonal.
+    return rows.withColumn("costs", F.expr(f"""
+        if(bits is null, null, aggregate(sequence(0, cast(words as int) - 1), array_repeat(0, {2 * band + 1}), (old, i) ->
+            aggregate(sequence(0, {2 * band}), cast(array() as array<int>), (new, k) -> array_append(new, least(
+                old[k] + if(bits[k] & shiftleft(1L, i) <> 0, 0, if(must & shiftleft(1L, i) <> 0, 99, 1)),
+                coalesce(get(old, k + 1), 99) + if(must & shiftleft(1L, i) <> 0, 99, 1),
+                coalesce(get(new, k - 1), 9999) + 1)))))""")).withColumn("edits", F.array_min("costs"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
     """Per document row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score`` (the best cover of an accepted span, else 0)."""
-    own = spans(votes(docs, id_col, text_col))
-    place = F.col("base") & (F.col("votes") == F.col("bigrams"))
-    accepted = F.when(F.col("base"), place).otherwise((F.col("template") >= 0) & (F.col("cover") >= min_cover))
+    score`` (the best share of words without an edit of an accepted label, else 0)."""
+    place = F.col("base") & (F.bit_count("covered") == F.col("bigrams"))
+    share = F.when(place, F.lit(1.0)).when(F.col("edits") <= F.col("most"), 1 - F.col("edits") / F.col("words"))
+    own = edits(votes(docs, id_col, text_col), min_cover).withColumn("place", place).withColumn("share", share)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    at = F.when(F.col("place"), F.col("diagonal"))
     return (own.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("template") < 0, F.col("first"))).cast("long").alias("n_words"),
-        F.count(F.when(place, 1)).alias("n_base"),
-        F.min(F.when(place, F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(place, F.col("first"))).cast("long").alias("last_word"),
-        joined(F.when(place, F.col("label"))).alias("base_labels"),
-        joined(F.when(accepted, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(accepted, F.col("cover"))), F.lit(0.0)).alias("score")).drop("row"))
+        F.max(F.when(F.col("template") < 0, F.col("diagonal"))).cast("long").alias("n_words"),
+        F.count(at).alias("n_base"),
+        F.min(at).cast("long").alias("first_word"),
+        F.max(at).cast("long").alias("last_word"),
+        joined(F.when(F.col("place"), F.col("label"))).alias("base_labels"),
+        joined(F.when(F.col("share").isNotNull(), F.col("label"))).alias("labels"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score")).drop("row"))
