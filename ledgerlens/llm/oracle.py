@@ -93,4 +93,40 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, min(root) AS component_id
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN classes USING (doc_id) JOIN reach USING (doc_id)
         GROUP BY d.doc_id, n.n, class_id""",
+    "op11_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        words AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+        counts AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        langs AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT d.lang, d.source, coalesce(v, 0)::HUGEINT AS v FROM d LEFT JOIN langs USING (lang)),
+        sized AS (SELECT g.lang, g.source, any_value(v) AS v, coalesce(sum(c), 0)::HUGEINT AS n FROM groups g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        whole AS (SELECT lang, any_value(v) AS v, sum(n)::HUGEINT AS n FROM sized GROUP BY lang),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 2)) // (s.n + 2 * s.v) AS p
+              FROM sized s JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + (1000000000 * (sum(c)::HUGEINT + 2)) // (any_value(w.n) + 2 * any_value(w.v)) AS q
+              FROM counts JOIN whole w USING (lang) GROUP BY lang, term),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                         coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y USING (lang, term)
+                                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+                  FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+                   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+                          regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        cut AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS r1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS r2,
+                       CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                            WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        parts AS (SELECT *, array_to_string(u[1:least(r1, r2)], '') AS prefix, array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS middle,
+                         array_to_string(u[greatest(r1, r2) + 1:], '') AS suffix FROM cut)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM parts""",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, substrings
+from . import chat, fim, langid, substrings
 from .decontam import contamination
+from .divergence import divergence_audit
 from .jaccard import similar_documents
 from .licenses import license_scan
 from .linededup import dedup_lines
@@ -71,6 +72,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return fim.fill_in_middle(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("text")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_chat_formatting, op2_decontamination, op3_warc_index, op4_substring_dedup, op5_line_dedup, op6_token_files,
-    op7_jaccard_join, op8_license_scan, op9_quality_rules, op10_best_fit_packing)}
+    op7_jaccard_join, op8_license_scan, op9_quality_rules, op10_best_fit_packing, op11_source_divergence, op12_fill_in_middle,
+    op13_language_id)}
