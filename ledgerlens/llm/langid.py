@@ -110,12 +110,15 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = j
 
 
-def bundles(texts: list[str], owners: np.ndarray, count: int, dimensions: int) -> np.ndarray:
-    """The bundle of all texts of each owner, ``count`` rows of whole numbers."""
-    out = np.zeros((count, dimensions))
+def bundles(texts: list[str], owners: np.ndarray, count: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of all texts of each owner, ``count`` rows of whole numbers, and its n-grams.  A text
+    without letters has none."""
+    out, size = np.zeros((count, dimensions)), np.zeros(count, np.int64)
     for s, text in _pieces(texts):
-        alphabet, code = np.unique(s, return_inverse=True)
-        code = code.reshape(-1).astype(np.int64)
+        used = np.zeros(_LAST + 1, bool)
+        used[s] = True
+        alphabet = np.flatnonzero(used)
+        code = (np.cumsum(used) - 1)[s]
         n = len(s) - SIZE + 1
         if n <= 0:
             continue
@@ -124,6 +127,7 @@ def bundles(texts: list[str], owners: np.ndarray, count: int, dimensions: int) -
         for k in range(SIZE):
             gram = gram * len(alphabet) + code[k:n + k]
         gram, owner = gram[whole], owners[text[whole]]
+        size += np.bincount(owner, minlength=count)
         if len(alphabet) ** SIZE <= 4 * PIECE:
             present = np.zeros(len(alphabet) ** SIZE, bool)
             present[gram] = True
@@ -137,21 +141,23 @@ def bundles(texts: list[str], owners: np.ndarray, count: int, dimensions: int) -
         low, used = np.unique(owner), np.zeros(count, np.int64)
         used[low] = np.arange(len(low))
         row = used[owner]
-        if len(grams) > GRAMS:
+        many = len(grams) > 16 * GRAMS         # then sorting costs less than a look at all of them for each slice
+        if many:
             order = np.argsort(gram, kind="stable")
             gram, row = gram[order], row[order]
         for at in range(0, len(grams), GRAMS):
             some = grams[at:at + GRAMS]
-            a, b = np.searchsorted(gram, [at, at + len(some)]) if len(grams) > GRAMS else (0, len(gram))
+            a, b = np.searchsorted(gram, [at, at + len(some)]) if many else (0, len(gram))
+            here = slice(a, b) if many or len(grams) <= GRAMS else (gram >= at) & (gram < at + len(some))
             bound = np.zeros((len(some), dimensions // 8), np.uint8)
             rest = some
             for k in range(SIZE - 1, -1, -1):
                 bound ^= turned[k][rest % len(alphabet)]
                 rest = rest // len(alphabet)
-            counts = np.bincount(row[a:b] * len(some) + gram[a:b] - at, minlength=len(low) * len(some)).reshape(len(low), len(some)).astype(np.float32)
+            counts = np.bincount(row[here] * len(some) + gram[here] - at, minlength=len(low) * len(some)).reshape(len(low), len(some)).astype(np.float32)
             product = counts @ np.unpackbits(bound, axis=1).astype(np.float32)
             out[low] += counts.sum(axis=1, dtype=np.float64)[:, None] - 2.0 * product
-    return out
+    return out, size
 
 
 def _decoded(texts: list[bytes | None]) -> list[str]:
@@ -175,7 +181,7 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
         for batch, texts in X.blocks(batches, 1):
             lang = batch.column(0).dictionary_encode()
-            own = bundles(_decoded(texts), lang.indices.to_numpy().astype(np.int64), len(lang.dictionary), dimensions)
+            own, _ = bundles(_decoded(texts), lang.indices.to_numpy().astype(np.int64), len(lang.dictionary), dimensions)
             for name, v in zip(lang.dictionary.to_pylist(), own):
                 held[name] = held[name] + v if name in held else v
             if len(held) > HELD_LANGUAGES:
@@ -218,12 +224,9 @@ def predict(docs: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_co
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, unit = shared.value
             for batch, texts in X.blocks(batches, 4):
-                texts = _decoded(texts)
-                own = bundles(texts, np.arange(len(texts)), len(texts), dimensions)
+                own, letters = bundles(_decoded(texts), np.arange(len(texts)), len(texts), dimensions)
                 size = np.linalg.norm(own, axis=1)
                 cosine = np.round(own @ unit.T / np.maximum(size, 1e-300)[:, None], 9)
-                table = _symbols()
-                letters = [bool(table[np.minimum(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), _LAST)].any()) for t in texts]
                 pred, score = batch.column(2).to_pylist(), batch.column(3).to_numpy().copy()
                 for k, top in enumerate(np.argmax(cosine, axis=1).tolist()):      # the first of equals is the smallest language
                     c = max(0.0, min(1.0, float(cosine[k, top])))
