@@ -15,6 +15,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ensure(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with every one of ``columns``: one that a file did not have is null, in its
     canonical type, so its measures are zero or null."""

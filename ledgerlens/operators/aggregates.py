@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import labels as L
-from ..functions.aggs import ensure, keys, mean_of, money_sum, ratio_pct, unique_counts, whole, with_share
+from ..functions.aggs import ensure, keys, mean_of, money_sum, quoted, ratio_pct, unique_counts, whole, with_share
 
 DEFAULT_AMOUNT_COLUMNS = ("gsm_amount", "merchant_amount", "reconciled_amount", "amount")
 
@@ -377,7 +377,7 @@ def column_profile(df: DataFrame, *, columns: Sequence[str] | None = None) -> Da
     cols = list(columns) if columns else df.columns
     types = dict(df.dtypes)
     one = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(quoted(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)])
     args = []
     for i, c in enumerate(cols):
         args += [F.lit(c), F.lit(types[c]), F.col(f"_n{i}")]

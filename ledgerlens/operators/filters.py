@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.aggs import ensure
+from ..functions.aggs import ensure, quoted
 from ..functions.labels import is_failed
 
 
@@ -21,7 +21,7 @@ from ..functions.labels import is_failed
 def priority_order(df: DataFrame, priority: Sequence[str] = S.PRIORITY_COLUMNS) -> DataFrame:
     """listed columns first (those present), then the rest in their order."""
     first = [c for c in priority if c in df.columns]
-    return df.select(*first, *[c for c in df.columns if c not in first])
+    return df.select(*first, *[quoted(c) for c in df.columns if c not in first])
 
 
 def important_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ bytes - and everything here is column expressions over it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ _NAME_RE = (f"^{S.FILE_PREFIXES['reconciled']}({S.FILE_PREFIXES['taixe'].removep
 
 
 def list_files(spark: SparkSession, base_path: str, glob: str = "*.csv") -> DataFrame:
-    """S1 listing: every CSV under ``base_path`` as ``(path, length, modification_time)``."""
+    """S1 listing: every CSV under ``base_path`` as ``(path, length, modification_time)``.  Spark's
+    sources pass over files of zero bytes."""
     return (spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", glob)
@@ -93,16 +96,17 @@ def _accepted(parsed: DataFrame, versions: tuple[int, ...] | None) -> DataFrame:
     return ok
 
 
-def latest_versions(parsed: DataFrame, *, versions: tuple[int, ...] | None = S.FILE_VERSIONS) -> DataFrame:
+def latest_versions(parsed: DataFrame, *, versions: tuple[int, ...] | None = S.FILE_VERSIONS, keep: Sequence[str] = ()) -> DataFrame:
     """S3: per (biz_date, dataset) the highest version wins (replace, not append).
 
     ``versions`` are the accepted versions (``None``: any number).  One grouped ``max``
-    over a ``(version, path, length)`` struct: no window, no sort of the catalogue.
+    over a ``(version, path, length)`` struct: no window, no sort of the catalogue.  ``keep``
+    names further columns of the chosen file.
     """
     ok = _accepted(parsed, versions)
-    best = F.max(F.struct("version", "path", "length")).alias("best")
+    best = F.max(F.struct("version", "path", "length", *keep)).alias("best")
     return (ok.groupBy("biz_date", "dataset").agg(best)
-            .select("biz_date", "dataset", "best.version", "best.path", "best.length"))
+            .select("biz_date", "dataset", "best.version", "best.path", "best.length", *[f"best.{c}" for c in keep]))
 
 
 def availability_calendar(parsed: DataFrame, *, require: str = "either",

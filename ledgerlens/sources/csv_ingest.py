@@ -19,10 +19,14 @@ schema per file means one job per file.  Instead:
    which also drops the rows of files that were not chosen;
 5. null tokens become null and typed columns use ``try_cast``, so a bad cell
    becomes null and keeps its row.  A file without an ``ORDER_ID`` header loads
-   with a null id (:func:`rejected_files` lists such files).
-
-The result is the silver table: written once as Parquet partitioned by
-``biz_date`` and read by every analysis with pruning and pushdown.
+   with a null id (:func:`rejected_files` lists such files).  Columns that no alias
+   names get the narrowest type that holds all their cells
+   (:mod:`ledgerlens.sources.inference`): a scan of these columns, only if there are any;
+6. on request the pass counts what it mends: ragged rows and bad cells by column
+   (:class:`Accounting`).
+
+The result is the silver table (:mod:`ledgerlens.sources.silver`), read by every analysis
+with pruning and pushdown.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +45,7 @@ from .. import schema as S
 from ..functions.labels import parse_order_time
 from ..session import ensure_checkpoint_dir, ship_package
 from . import catalog as C
+from .inference import column_states, quoted, resolved
 
 
 @dataclass(frozen=True)
@@ -68,34 +73,47 @@ def spec_for(dataset: str) -> Spec:
     return {"reconciled": transaction_spec, "taixe": driver_spec}[dataset]()
 
 
+def other_names(spec: Spec) -> list[str]:
+    """Columns that come from header cells which no alias names."""
+    return [c for c in spec.columns if c not in S.CANONICAL_TYPES]
+
+
 def _position(h: Column, aliases: Sequence[str]) -> Column:
     """1-based position of the first alias present in the header (null if none)."""
     return F.coalesce(*[F.nullif(F.array_position(h, F.lit(a)), F.lit(0)) for a in aliases],
                       F.lit(None).cast("long"))
 
 
-def _clean(value: Column, dtype: T.DataType | None) -> Column:
-    """Null tokens (exact cell values) become null; typed columns use ``try_cast``."""
-    v = F.when(~value.isin(*S.NULL_TOKENS), value)   # a null cell stays null
+def _cell(value: Column) -> Column:
+    """Null tokens (exact cell values) become null."""
+    return F.when(~value.isin(*S.NULL_TOKENS), value)   # a null cell stays null
+
+
+def _typed(v: Column, dtype: T.DataType | None) -> Column:
+    """A cell in its column's type; a bad one is null."""
     if dtype is None or isinstance(dtype, T.StringType):
         return v
     return parse_order_time(v) if isinstance(dtype, T.TimestampNTZType) else v.try_cast(dtype)
 
 
+def _clean(value: Column, dtype: T.DataType | None) -> Column:
+    return _typed(_cell(value), dtype)
+
+
 def header_positions(headers: DataFrame, spec: Spec, *, h: str = "h", keep: Sequence[str] = ()) -> DataFrame:
     """S8 once per file: for each logical column the 1-based position of its first
     alias present in the header (null when none is).  One small row per file."""
     hc = F.col(h)
     return headers.select(
-        "path", *keep, *[_position(hc, aliases).cast("int").alias(f"_pos_{name}")
-                         for name, aliases in spec.aliases.items()])
+        "path", *keep, *[_position(hc, aliases).cast("int").alias(f"_pos_{k}")
+                         for k, aliases in enumerate(spec.aliases.values())])
 
 
 def values_at(df: DataFrame, spec: Spec, *, v: str = "v", keep: Sequence[str] = ()) -> DataFrame:
     """Per row: the cell at each resolved position, null tokens removed, typed."""
     vc = F.col(v)
-    return df.select(*keep, *[_clean(F.try_element_at(vc, F.col(f"_pos_{name}")), spec.types.get(name)).alias(name)
-                              for name in spec.aliases])
+    return df.select(*keep, *[_clean(F.try_element_at(vc, F.col(f"_pos_{k}")), spec.types.get(name)).alias(name)
+                              for k, name in enumerate(spec.aliases)])
 
 
 def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
@@ -112,16 +130,15 @@ def resolve_positional(rows: DataFrame, headers: DataFrame, spec: Spec, *,
     return values_at(rows.join(pos, "path"), spec, keep=keep)
 
 
-def with_other_columns(spec: Spec, headers: DataFrame, reserved: Sequence[str]) -> Spec:
-    """``spec`` with a column for every header cell that no alias names.
+def with_other_columns(spec: Spec, names: Sequence[str], reserved: Sequence[str]) -> Spec:
+    """``spec`` with a column for every header cell of ``names`` that no alias names.
 
     Only the distinct names reach the driver (they become the schema).  A name that
     clashes with another column, in any case, gets a number.
     """
     known = {a for aliases in spec.aliases.values() for a in aliases}
-    names = sorted(r.name for r in headers.select(F.explode("h").alias("name")).where("name is not null").distinct().collect())
     aliases, taken = dict(spec.aliases), {c.lower() for c in (*spec.columns, *reserved)}
-    for name in names:
+    for name in sorted(names):
         if name in known:
             continue
         column, k = name, 2
@@ -132,12 +149,57 @@ def with_other_columns(spec: Spec, headers: DataFrame, reserved: Sequence[str])
     return Spec(aliases, spec.types)
 
 
-def _csv_reader(spark: SparkSession, width: int, *, multi_line: bool = False):
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+@dataclass
+class Accounting:
+    """What a load mends, counted by ``DataFrame.observe`` in the pass that reads the rows.
+
+    ``files`` and ``headerless`` (chosen files without an ``ORDER_ID`` cell in a first record) are known once
+    the load is planned; :meth:`counts` waits for the first action on the loaded table.
+    """
+    observation: Observation | None = None
+    files: int = 0
+    headerless: int = 0
+    columns: list[str] = field(default_factory=list)
+
+    def counts(self) -> list[tuple[str, str | None, int]]:
+        """``(metric, column, value)``: ``files``, ``headerless_files``, ``rows``, ``ragged_rows`` (more or fewer
+        cells than the file's header) and, for each typed column, ``bad_cells``."""
+        got = self.observation.get if self.observation is not None else {}
+        return [("files", None, self.files), ("headerless_files", None, self.headerless), ("rows", None, got.get("rows", 0)),
+                ("ragged_rows", None, got.get("ragged", 0)), *(("bad_cells", c, got.get(f"bad_{k}", 0)) for k, c in enumerate(self.columns))]
+
+
+#: The text of a record whose cells are not as many as the widest header's.
+_RECORD = "_record"
+
+
+def _cells_of(record: Column, width: int) -> Column:
+    """Cells of a record: separators outside quotes, and one."""
+    plain = F.regexp_replace(record, '"[^"]*"', "")
+    return F.coalesce(F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit(""))) + 1, F.lit(width))
+
+
+def _accounted(rows: DataFrame, spec: Spec, keep: Sequence[str], width: int, accounting: Accounting) -> DataFrame:
+    """:func:`values_at` that counts ragged rows and bad cells on the way."""
+    names = list(spec.aliases)
+    typed = [k for k, n in enumerate(names) if not isinstance(spec.types.get(n, T.StringType()), T.StringType)]
+    accounting.columns, accounting.observation = [names[k] for k in typed], Observation()
+    raw = rows.select(*keep, (_cells_of(F.col(_RECORD), width) != F.col("_width")).alias("_ragged"),
+                      *[_cell(F.try_element_at("v", F.col(f"_pos_{k}"))).alias(f"_raw_{k}") for k in range(len(names))])
+    out = raw.select("*", *[_typed(F.col(f"_raw_{k}"), spec.types.get(n)).alias(f"_cell_{k}") for k, n in enumerate(names)])
+    seen = out.observe(accounting.observation, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_ragged")).alias("ragged"),
+                       *[F.count_if(F.col(f"_raw_{names.index(c)}").isNotNull() & F.col(f"_cell_{names.index(c)}").isNull()).alias(f"bad_{k}")
+                         for k, c in enumerate(accounting.columns)])
+    return seen.select(*keep, *[F.col(f"_cell_{k}").alias(n) for k, n in enumerate(names)])
+
+
+def _csv_reader(spark: SparkSession, width: int, *, multi_line: bool = False, with_record: bool = False):
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_RECORD, T.StringType())] * with_record)
     # enforceSchema: the positional schema is used as is; the header line of every
     # file (only in the split that starts the file) is dropped
     return (spark.read.schema(schema).option("header", "true").option("enforceSchema", "true")
             .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "")
+            .option("columnNameOfCorruptRecord", _RECORD)
             # quoted cells holding line breaks need multiLine, which reads each file whole
             .option("multiLine", "true" if multi_line else "false"))
 
@@ -146,18 +208,20 @@ def _under(reader, root: str):
     return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv"), root
 
 
-def read_positional(spark: SparkSession, root: str | Sequence[str], width: int, *, multi_line: bool = False) -> DataFrame:
-    """CSV scan into ``(path, v array<string>)`` without the header lines.
+def read_positional(spark: SparkSession, root: str | Sequence[str], width: int, *, multi_line: bool = False,
+                    with_record: bool = False) -> DataFrame:
+    """CSV scan into ``(path, v array<string>)`` without the header lines; ``with_record`` adds the text of
+    records that have not ``width`` cells.
 
     RFC-4180 quoting (``"`` quotes and escapes), one record per line so files
     stay splittable, permissive mode (a malformed line keeps its row).  ``root`` is a
     folder or glob, listed once and recursively, or a list of files.
     """
-    reader = _csv_reader(spark, width, multi_line=multi_line)
+    reader = _csv_reader(spark, width, multi_line=multi_line, with_record=with_record)
     if isinstance(root, str):
         reader, root = _under(reader, root)
     return reader.csv(root if isinstance(root, str) else list(root)).select(
-        F.col("_metadata.file_path").alias("path"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("v"))
+        F.col("_metadata.file_path").alias("path"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("v"), *[_RECORD] * with_record)
 
 
 def _cells(record: Sequence[str]) -> list[str | None]:
@@ -211,12 +275,14 @@ def scanned_headers(files: DataFrame, root: str | Sequence[str]) -> DataFrame:
 
 
 def load_files(files: DataFrame, dataset: str, root: str | Sequence[str], *, spec: Spec | None = None,
-               header_source: str = "auto", multi_line: bool = False, other_columns: bool = True) -> DataFrame:
+               header_source: str = "auto", multi_line: bool = False, other_columns: bool = True, infer_types: bool = True,
+               accounting: Accounting | None = None) -> DataFrame:
     """Typed rows of ``files`` (a ``path`` column) below ``root``, plus ``biz_date``, ``dataset``,
     ``version``, ``source_file``.
 
     ``header_source``: ``"first_line"`` (local files), ``"scan"`` (any file system) or
-    ``"auto"``.  ``other_columns`` keeps the columns that no alias names.
+    ``"auto"``.  ``other_columns`` keeps the columns that no alias names, ``infer_types``
+    finds their types (else they are strings); ``accounting`` counts what the load mends.
     """
     spark, spec = files.sparkSession, spec or spec_for(dataset)
     meta = ["source_file", "biz_date", "dataset", "version"]
@@ -224,22 +290,35 @@ def load_files(files: DataFrame, dataset: str, root: str | Sequence[str], *, spe
         _is_local(r) for r in ([root] if isinstance(root, str) else root))
     ensure_checkpoint_dir(spark)
     headers = (first_line_headers(files) if local else scanned_headers(files, root)).checkpoint(eager=True)
-    width = headers.select(F.max(F.size("h"))).first()[0] or 1
+    # one pass over the header table: the widest header, the distinct names, the headers that hold the anchor
+    found = (headers.select(F.size("h").alias("size"), F.array_contains(F.col("h"), S.HEADER_ANCHOR).cast("int").alias("anchored"),
+                            F.posexplode_outer("h").alias("pos", "name"))
+             .agg(F.max("size").alias("width"), F.collect_set("name").alias("names"), F.sum(F.when(F.col("pos") == 0, F.col("anchored"))).alias("anchored")).first())
+    width = found.width or 1
+    if accounting is not None:
+        accounting.files = files.count()
+        accounting.headerless = accounting.files - (found.anchored or 0)
     if other_columns:
-        spec = with_other_columns(spec, headers, meta)
-    data = read_positional(spark, root, width, multi_line=multi_line)
+        spec = with_other_columns(spec, found.names, meta)
+    data = read_positional(spark, root, width, multi_line=multi_line, with_record=accounting is not None)
     # one row per file: alias positions and the file's catalogue fields
-    per_file = header_positions(C.parse_paths(headers), spec, keep=["biz_date", "dataset", "version"])
-    return values_at(data.join(per_file, "path"), spec, keep=["path", "biz_date", "dataset", "version"]).select(
-        *spec.columns, F.col("path").alias("source_file"), *meta[1:])
+    keep = ["biz_date", "dataset", "version"]
+    per_file = header_positions(C.parse_paths(headers.withColumn("_width", F.size("h"))), spec, keep=[*keep, "_width"])
+    rows = data.join(per_file, "path")
+    others = other_names(spec)
+    if infer_types and others:
+        spec = Spec(spec.aliases, {**spec.types, **resolved(column_states(values_at(rows, spec), others), others)})
+    loaded = values_at(rows, spec, keep=["path", *keep]) if accounting is None else _accounted(rows, spec, ["path", *keep], width, accounting)
+    return loaded.select(*map(quoted, spec.columns), F.col("path").alias("source_file"), *keep)
 
 
 def load_paths(spark: SparkSession, paths: Sequence[str], dataset: str, *, spec: Spec | None = None, root: str | None = None,
-               header_source: str = "auto", multi_line: bool = False, other_columns: bool = True) -> DataFrame:
+               header_source: str = "auto", multi_line: bool = False, other_columns: bool = True, infer_types: bool = True,
+               accounting: Accounting | None = None) -> DataFrame:
     """:func:`load_files` for a list of file names."""
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     return load_files(files, dataset, root or list(paths), spec=spec, header_source=header_source, multi_line=multi_line,
-                      other_columns=other_columns)
+                      other_columns=other_columns, infer_types=infer_types, accounting=accounting)
 
 
 def rejected_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -258,7 +337,7 @@ def chosen_files(spark: SparkSession, base_path: str, dataset: str, *, date_from
     listing of ``base_path`` (no file is opened).
     """
     listing = C.list_files(spark, base_path) if listing is None else listing
-    latest = C.latest_versions(C.parse_paths(listing), versions=versions)
+    latest = C.latest_versions(C.parse_paths(listing), versions=versions, keep=[c for c in ("modification_time",) if c in listing.columns])
     out = latest.where(F.col("dataset") == dataset)
     if date_from is not None:
         out = out.where(F.col("biz_date") >= F.lit(date_from).cast("date"))
@@ -298,31 +377,45 @@ def _empty(spark: SparkSession, spec: Spec) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def listed_below(spark: SparkSession, base_path: str, root: str) -> DataFrame | None:
+    """The listing of ``root``, a glob below ``base_path``; None if no folder of it exists.  A base folder that
+    does not exist is an error, as is any other failure."""
+    try:
+        return C.list_files(spark, root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    path = spark._jvm.org.apache.hadoop.fs.Path(base_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(f"no base folder {base_path}")
+    return None
+
+
 def load(spark: SparkSession, base_path: str, dataset: str = "reconciled", *, date_from=None, date_to=None, days: Sequence | None = None,
          versions: tuple[int, ...] | None = S.FILE_VERSIONS, multi_line: bool = False, header_source: str = "auto",
-         other_columns: bool = True) -> DataFrame:
+         other_columns: bool = True, infer_types: bool = True, accounting: Accounting | None = None) -> DataFrame:
     """Typed table of one data set over any date range (one day or years) or some ``days``.
 
     Only the folders of the range are listed (:func:`month_root`).  The choice of files is
-    a table like any other: no list of names goes through the driver.
+    a table like any other: no list of names goes through the driver.  A range without
+    folders gives an empty table; a base folder that does not exist is an error.
     """
     if days is not None and days:
         date_from, date_to = min(days), max(days)
     root = month_root(base_path, date_from, date_to)
-    try:
-        files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to, days=days, versions=versions,
-                             listing=C.list_files(spark, root))
-    except AnalysisException:      # no folder of the range exists
+    listing = listed_below(spark, base_path, root)
+    if listing is None:
         return _empty(spark, spec_for(dataset))
-    return load_files(files, dataset, root, multi_line=multi_line, header_source=header_source, other_columns=other_columns)
+    files = chosen_files(spark, base_path, dataset, date_from=date_from, date_to=date_to, days=days, versions=versions, listing=listing)
+    return load_files(files, dataset, root, multi_line=multi_line, header_source=header_source, other_columns=other_columns,
+                      infer_types=infer_types, accounting=accounting)
 
 
 def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Write the typed table as Parquet partitioned by ``biz_date``.
+    """Write the typed table once as plain Parquet partitioned by ``biz_date``, for a table that
+    nobody refreshes (:mod:`ledgerlens.sources.silver` is the one that is).
 
-    Dynamic partition overwrite replaces only the days present in ``df`` - a
-    re-issued (``_2``) day replaces its old rows instead of being appended; a day whose
-    re-issue is empty is not in ``df``: :func:`refresh_silver` clears it.  No shuffle: a
+    Dynamic partition overwrite replaces only the days present in ``df``.  No shuffle: a
     task writes a file for each day it read, and Spark's reader packs several small day
     files into one task.
     """
@@ -330,30 +423,6 @@ def write_silver(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
      .partitionBy("biz_date").parquet(path))
 
 
-def refresh_silver(spark: SparkSession, base_path: str, silver_path: str, dataset: str = "reconciled", *, days: Sequence | None = None,
-                   date_from=None, date_to=None, multi_line: bool = False) -> None:
-    """Replace the days of a range (or ``days``) in the silver table by their latest files.
-
-    A day whose latest file has no rows loses its old ones: the touched days come from the
-    listing, and a day that still shows another file after the write is cleared.
-    """
-    if days is not None and days:
-        date_from, date_to = min(days), max(days)
-    write_silver(load(spark, base_path, dataset, days=days, date_from=date_from, date_to=date_to, multi_line=multi_line), silver_path)
-    try:
-        files = chosen_files(spark, base_path, dataset, days=days, date_from=date_from, date_to=date_to,
-                             listing=C.list_files(spark, month_root(base_path, date_from, date_to)))
-        silver = spark.read.parquet(silver_path)
-    except AnalysisException:      # no folder of the range, or nothing written yet
-        return
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    kept = silver.select(F.col("biz_date").alias("day"), name(F.col("source_file")).alias("name")).distinct()
-    stale = kept.join(files.select(F.col("biz_date").alias("day"), name(F.col("path")).alias("latest")), "day").where("name <> latest")
-    for row in stale.select("day").distinct().collect():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{silver_path.rstrip('/')}/biz_date={row.day.isoformat()}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def load_datasets(spark: SparkSession, base_path: str, *, date_from=None, date_to=None,
                   datasets: Sequence[str] = ("reconciled", "taixe"), **kw) -> dict[str, DataFrame]:
     """S7 (both data sets at once): ``{dataset: typed table}`` for one date range."""

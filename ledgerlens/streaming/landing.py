@@ -3,11 +3,12 @@
 The stream is the file listing: a ``binaryFile`` source whose content is never read, so
 each micro-batch holds the names of newly arrived files.  Because a ``_2`` file *replaces*
 its day (it is not appended), a batch is not appended either: ``foreachBatch`` takes the
-days that the new names touch and replaces exactly these by their latest files
-(:func:`ledgerlens.sources.csv_ingest.refresh_silver`), read once; a day whose re-issue is
-empty is cleared.  Re-running a batch after a failure rewrites the same days with the same
-rows, so the sink is idempotent; the stream's checkpoint, beside the silver table, records
-which files were seen, also across applications.
+days that the new names touch and replaces exactly these by their latest files, all at once
+(:func:`ledgerlens.sources.silver.refresh_silver`); a day whose re-issue is empty is cleared.
+Re-running a batch after a failure finds the days as they are and writes nothing, so the sink
+is idempotent; the stream's checkpoint, beside the silver table, records which files were
+seen, also across applications.  Spark's file source does not report a file that is rewritten
+under its name or deleted: a scheduled ``refresh_silver`` without ``days`` does.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import catalog as C
-from ..sources import csv_ingest as I
+from ..sources.silver import refresh_silver
 
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -37,7 +38,7 @@ def land_batch(batch: DataFrame, silver_path: str, dataset: str, base_path: str,
     touched = C.parse_paths(batch).where((F.col("dataset") == dataset) & F.col("biz_date").isNotNull())
     days = [r.biz_date for r in touched.select("biz_date").distinct().collect()]     # days, not files or rows
     if days:
-        I.refresh_silver(spark, base_path, f"{silver_path.rstrip('/')}/{dataset}", dataset, days=sorted(days), multi_line=multi_line)
+        refresh_silver(spark, base_path, f"{silver_path.rstrip('/')}/{dataset}", dataset, days=sorted(days), multi_line=multi_line)
 
 
 def start_landing(spark: SparkSession, base_path: str, silver_path: str, *, dataset: str = "reconciled",

@@ -1,5 +1,6 @@
 """Incremental landing: a re-issued day replaces its rows, new days are added."""
 
+from ledgerlens.sources.silver import read_silver
 from ledgerlens.streaming.landing import start_landing
 
 T = "pvi_transaction_reconciled_"
@@ -7,7 +8,7 @@ HDR = "ORDER_ID,MERCHANT,TOTAL_AMOUNT,ORDER_TIME,RECONCILE_STATUS,INSURANCE_STAT
 
 
 def _ids(spark, path):
-    return sorted((r.order_id, str(r.biz_date)) for r in spark.read.parquet(path).collect())
+    return sorted((r.order_id, str(r.biz_date)) for r in read_silver(spark, path).collect())
 
 
 def test_landing_replaces_reissued_days(spark, tree, tmp_path):
@@ -33,8 +34,8 @@ def test_empty_reissue_clears_its_day_and_restarts_remember(spark, tree, tmp_pat
                  f"2025/07/06/{T}20250706.csv": HDR + "\nB,M,1,2025-07-06 10:00:00,match,completed,true,normal\n"})
     silver = str(tmp_path / "silver")
     start_landing(spark, base, silver).awaitTermination(120)
-    rows = {r.order_id: r for r in spark.read.option("mergeSchema", True).parquet(f"{silver}/reconciled").collect()}
-    assert set(rows) == {"A", "B"} and str(rows["A"].gsm_amount) == "77.00" and rows["A"].X89 == "1"
+    rows = {r.order_id: r for r in read_silver(spark, f"{silver}/reconciled").collect()}
+    assert set(rows) == {"A", "B"} and str(rows["A"].gsm_amount) == "77.00" and rows["A"].X89 == 1
     tree({f"2025/07/05/{T}20250705_2.csv": HDR + "\n"})
 
     from ledgerlens.streaming import landing
