@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.aggs import ensure
+from ..functions.aggs import ensure, quoted
 from ..operators import aggregates as A
 from ..operators import filters as Fl
 
+ROWS_PER_FILE = 500_000          # of an export
+
 
 def export_csv(df: DataFrame, path: str, *, partition_by: Sequence[str] | None = None,
                mode: str = "overwrite") -> str:
@@ -28,17 +30,33 @@ def export_csv(df: DataFrame, path: str, *, partition_by: Sequence[str] | None =
     return path
 
 
+def planned_files(named: DataFrame, *, rows_per_file: int, out: str = "part") -> DataFrame:
+    """``named`` (with an ``export`` column) with the number, from 0, of each row's file.
+
+    Rows are counted by name; a name gets as many files as its rows need, and a row goes to one by
+    a hash of all its columns.  Only names with several files join the rows: there is at most one
+    for every ``rows_per_file`` rows.
+    """
+    files = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int")
+    several = named.groupBy(F.col("export").alias("_name")).agg(files.alias("_files")).where("_files > 1")
+    row = F.pmod(F.xxhash64(*map(quoted, named.columns)), F.coalesce("_files", F.lit(1))).cast("int")
+    return named.join(several, F.col("export") == F.col("_name"), "left").withColumn(out, row).drop("_name", "_files")
+
+
 def export_drilldown(df: DataFrame, path: str, *, status_col: str = "reconcile_status", date_col: str = "biz_date",
-                     mode: str = "overwrite") -> str:
-    """K1: CSV export of a drill-down, one folder for each status and date, named
-    ``export=<status>_details_<date>`` (``null`` for a missing one).
+                     rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> str:
+    """K1: CSV export of a drill-down, a folder for each status and date, named
+    ``export=<status>_details_<date>`` (``null`` for a missing one), with numbered files below
+    (``part=0``, ``part=1``, ...) of about ``rows_per_file`` rows.
 
-    The rows of a name are hashed to one task each, so a name is one file.
+    Rows are hashed to tasks by name and number: a status with a third of all rows is written
+    by many tasks, a small name by one.
     """
     df = ensure(df, status_col, date_col)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     named = df.withColumn("export", F.concat(text(status_col), F.lit("_details_"), text(date_col)))
-    return export_csv(named.repartition("export"), path, partition_by=["export"], mode=mode)
+    planned = planned_files(named, rows_per_file=rows_per_file)
+    return export_csv(planned.repartition("export", "part"), path, partition_by=["export", "part"], mode=mode)
 
 
 def write_report(df: DataFrame, path: str, *, fmt: str = "parquet", left: str = "gsm_amount",
