@@ -45,6 +45,12 @@ def value_distribution(df: DataFrame, column: str, *, by: Sequence[str] | None =
     name = out or column
     key = (label if label is not None else F.col(column)).alias(name)
     grouped = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias(count_col))
+    return distribution_of(grouped, name, by, count_col=count_col)
+
+
+def distribution_of(grouped: DataFrame, name: str, by: Sequence[str] | None = None, *, count_col: str = "order_count") -> DataFrame:
+    """Counts per value with their shares, largest first."""
+    by = keys(by)
     return _desc_count(with_share(grouped, count_col, by), count_col, *by, name)
 
 
@@ -84,7 +90,12 @@ def reconcile_status_summary(df: DataFrame, *, status_col: str = "reconcile_stat
         F.count(F.lit(1)).alias("order_count"),
         F.sum(amt).alias("_sum"),
         F.count(amt).alias("_n"))
-    st = F.col("reconcile_status")
+    return status_summary_of(grouped, by)
+
+
+def status_summary_of(grouped: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """A2 from ``(reconcile_status, order_count, _sum, _n)``."""
+    by, st = keys(by), F.col("reconcile_status")
     out = with_share(grouped, "order_count", by).select(
         *by, st,
         L.reconcile_class(st).alias("reconcile_class"),
@@ -156,6 +167,12 @@ def amount_by_service(df: DataFrame, *, amount_cols: Sequence[str] = DEFAULT_AMO
         aggs += [F.sum(c).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n")]
     grouped = df.groupBy(*by, L.service_label(service_col).alias("service_label")).agg(
         F.count(F.lit(1)).alias("row_count"), *aggs)
+    return amounts_by_service_of(grouped, cols, by)
+
+
+def amounts_by_service_of(grouped: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
+    """A6 from ``(service_label, row_count, <column>__sum, <column>__n, ...)``."""
+    by = keys(by)
     # exact decimal sums go through the stack
     per_col = {c: [F.col(f"{c}__sum").cast(WIDE_MONEY), F.col(f"{c}__n")] for c in cols}
     long = grouped.select(*by, "service_label", "row_count", _stack(per_col, ["_sum", "amount_count"]))
@@ -188,7 +205,12 @@ def amount_overall(df: DataFrame, *, amount_cols: Sequence[str] = DEFAULT_AMOUNT
     aggs = []
     for c in cols:
         aggs += [F.sum(c).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n")]
-    one = ensure(df, *cols).groupBy(*by).agg(*aggs)
+    return amounts_of(ensure(df, *cols).groupBy(*by).agg(*aggs), cols, by)
+
+
+def amounts_of(one: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
+    """A6, overall, from ``(<column>__sum, <column>__n, ...)``."""
+    by = keys(by)
     per_col = {c: [F.col(f"{c}__sum").cast(WIDE_MONEY), F.col(f"{c}__n")] for c in cols}
     long = one.select(*by, _stack(per_col, ["_sum", "amount_count"]))
     return long.select(*by, "amount_type",
@@ -221,16 +243,22 @@ def merchant_patterns(df: DataFrame, *, merchant_col: str = "merchant", status_c
     by = keys(by)
     df = ensure(df, merchant_col, status_col, amount_col)
     st = F.col(status_col)
-    out = df.groupBy(*by, F.col(merchant_col).alias("merchant")).agg(
+    grouped = df.groupBy(*by, F.col(merchant_col).alias("merchant")).agg(
         F.count(F.lit(1)).alias("total_transactions"),
-        F.coalesce(money_sum(amount_col), F.lit(0.0)).alias("total_amount"),
         F.sum(amount_col).alias("_sum"), F.count(amount_col).alias("_n"),
         F.count_if(st == S.STATUS_MATCH).alias("match_count"),
-        F.count_if(L.contains_flag(st, S.STATUS_NOT_FOUND)).alias("discrepancy_count"),
-    ).select(*by, "merchant", "total_transactions", "total_amount",
-             mean_of("_sum", "_n").alias("avg_amount"), "match_count", "discrepancy_count",
-             ratio_pct("match_count", "total_transactions").alias("match_rate"),
-             ratio_pct("discrepancy_count", "total_transactions").alias("discrepancy_rate"))
+        F.count_if(L.contains_flag(st, S.STATUS_NOT_FOUND)).alias("discrepancy_count"))
+    return merchants_of(grouped, by, sort=sort)
+
+
+def merchants_of(grouped: DataFrame, by: Sequence[str] | None = None, *, sort: bool = True) -> DataFrame:
+    """A8 from ``(merchant, total_transactions, _sum, _n, match_count, discrepancy_count)``."""
+    by = keys(by)
+    out = grouped.select(
+        *by, "merchant", "total_transactions", F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("total_amount"),
+        mean_of("_sum", "_n").alias("avg_amount"), "match_count", "discrepancy_count",
+        ratio_pct("match_count", "total_transactions").alias("match_rate"),
+        ratio_pct("discrepancy_count", "total_transactions").alias("discrepancy_rate"))
     return _desc_count(out, "total_transactions", *by, "merchant") if sort else out
 
 
@@ -322,6 +350,12 @@ def vehicle_amount_comparison(df: DataFrame, *, left: str = "gsm_amount", right:
         F.sum(F.when(rc == bike, rc)).alias("rb"), F.sum(F.when(rc == car, rc)).alias("rc"),
         F.count_if(lc == bike).alias("nlb"), F.count_if(lc == car).alias("nlc"),
         F.count_if(rc == bike).alias("nrb"), F.count_if(rc == car).alias("nrc"))
+    return vehicle_amounts_of(one, left, right, by)
+
+
+def vehicle_amounts_of(one: DataFrame, left: str, right: str, by: Sequence[str] | None = None) -> DataFrame:
+    """A13 from the sums ``lb, lc, rb, rc`` (left and right, Bike and Car) and counts ``nlb, nlc, nrb, nrc``."""
+    by = keys(by)
     z = F.lit(0).cast(WIDE_MONEY)
     lb, lcar, rb, rcar = (F.coalesce(F.col(x).cast(WIDE_MONEY), z) for x in ("lb", "lc", "rb", "rc"))
     rows = F.stack(F.lit(3),
@@ -353,6 +387,12 @@ def failed_rollup(df: DataFrame, *, status_col: str = "merchant_status",
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if(L.is_failed(status_col)).alias("failed_orders"),
         F.count_distinct(F.when(L.is_failed(status_col), F.col(status_col))).alias("failed_statuses"))
+    return failures_of(out, by)
+
+
+def failures_of(out: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """A15 from ``(total_orders, failed_orders, failed_statuses)``."""
+    by = keys(by)
     return out.select(*by, "total_orders", "failed_orders", "failed_statuses",
                       ratio_pct("failed_orders", "total_orders").alias("failed_percent"),
                       (F.col("total_orders") - F.col("failed_orders")).alias("successful_orders"))

@@ -120,6 +120,18 @@ def _driver_columns(li: DataFrame) -> DataFrame:
     )
 
 
+def ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two ledgers of line items, insurer and platform: ids repeat, one id holds a third of all
+    rows, some platform rows have no id."""
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    k = F.col("l_orderkey")
+    order = F.when(k % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("O"), k.cast("string")))
+    amount = F.col("l_extendedprice").cast(MONEY).alias("amount")
+    insurer = li.where(k % 10 != 7).select(order.alias("order_id"), amount)
+    platform = li.where(F.col("l_linenumber") % 3 != 0).select(F.when(k % 50 != 1, order).alias("order_id"), amount)
+    return insurer, platform
+
+
 def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of day files shaped like a ``binaryFile`` listing (path, length).
 

@@ -183,6 +183,19 @@ hourly AS (
 """
 
 
+#: Columns that no alias names: (SQL column, header).
+OTHER_COLUMNS = [("order_no", "Order No"), ("rate", "Rate.1"), ("late", "Late"), ("mixed", "Mixed"), ("half", "Half"), ("blank", "Blank")]
+TYPED = """
+typed AS (SELECT substr(order_id, 2) AS order_no, CAST(amount AS VARCHAR) AS rate, CASE WHEN insurance_status = 'pending' THEN 'true' ELSE 'False' END AS late,
+                 CASE WHEN reconcile_status IS NULL THEN 'n/a' ELSE substr(order_id, 2) END AS mixed,
+                 CASE WHEN gsm_amount IS NULL THEN NULL WHEN CAST(substr(order_id, 2) AS BIGINT) % 4 = 0 THEN substr(order_id, 2) || '.5'
+                      ELSE substr(order_id, 2) END AS half, CAST(NULL AS VARCHAR) AS blank FROM recon)
+"""
+TYPE_OF = ("CASE WHEN COUNT({c}) = 0 THEN 'string' WHEN bool_and(regexp_matches({c}, '^[+-]?[0-9]+$')) THEN 'bigint' "
+           "WHEN bool_and(regexp_matches({c}, '^[+-]?[0-9]+[.]?[0-9]*$')) THEN 'double' "
+           "WHEN bool_and(lower({c}) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END")
+
+
 def _w(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
@@ -426,6 +439,60 @@ def oracle_sql() -> dict[str, str]:
             SELECT order_id, merchant, amount, try_strptime(order_time, '%Y-%m-%d %H:%M:%S') AS order_time, reconcile_status,
                    insurance_status, is_business_order, service_type, gsm_amount, merchant_amount, biz_date,
                    'reconciled' AS dataset, 1 AS version FROM recon""",
+        "inferred_types": r + "," + TYPED + " UNION ALL ".join(
+            f"SELECT '{h}' AS column_name, {TYPE_OF.format(c=c)} AS data_type, COUNT(*) - COUNT({c}) AS null_count, "
+            f"{pct(f'COUNT(*) - COUNT({c})', 'COUNT(*)')} AS null_percent, COUNT(*) AS row_count FROM typed" for c, h in OTHER_COLUMNS),
+        "silver_refresh": r + f"""
+            , days AS (SELECT DISTINCT biz_date, day(biz_date) % 10 AS d FROM recon),
+            touched AS (SELECT COUNT(*) AS days, COUNT(*) FILTER (d IN (3, 5)) AS rewritten, COUNT(*) FILTER (d = 7) AS removed FROM days),
+            n AS (SELECT COUNT(*) AS all_rows, COUNT(*) FILTER (day(biz_date) % 10 IN (3, 5)) AS again FROM recon)
+            SELECT 'row' AS part, order_id || CASE WHEN day(biz_date) % 10 = 5 THEN '@2' ELSE '@1' END AS item,
+                   CAST(CASE day(biz_date) % 10 WHEN 3 THEN amount + 1 WHEN 5 THEN amount * 2 ELSE amount END AS DOUBLE) AS value
+            FROM recon WHERE day(biz_date) % 10 <> 7
+            UNION ALL SELECT 'metric', item, CAST(value AS DOUBLE) FROM (
+                SELECT unnest(['1:files', '1:headerless_files', '1:rows', '1:ragged_rows', '1:days_added', '1:days_rewritten', '1:days_removed',
+                               '2:files', '2:headerless_files', '2:rows', '2:ragged_rows', '2:days_added', '2:days_rewritten', '2:days_removed']) AS item,
+                       unnest([days, 0, all_rows, 0, days, 0, 0, rewritten, 0, again, 0, 0, rewritten, removed]) AS value FROM touched, n)""",
+        "ingest_accounting": r + """
+            , u AS (SELECT CAST(substr(order_id, 2) AS BIGINT) AS k, day(biz_date) = 31 AS bare, biz_date FROM recon),
+            n AS (SELECT COUNT(DISTINCT biz_date) AS files, COUNT(DISTINCT CASE WHEN bare THEN biz_date END) AS bare, COUNT(*) AS all_rows,
+                         COUNT(*) FILTER (k % 11 = 0 OR k % 13 = 0) AS ragged, COUNT(*) FILTER (k % 7 = 0 AND NOT bare) AS amount,
+                         COUNT(*) FILTER (k % 89 = 0 AND NOT bare) AS times FROM u)
+            SELECT metric, "column", value FROM (
+                SELECT unnest(['files', 'headerless_files', 'rows', 'ragged_rows', 'bad_cells', 'bad_cells', 'bad_cells', 'bad_cells', 'bad_cells', 'bad_cells',
+                               'bad_cells', 'days_added', 'days_rewritten', 'days_removed']) AS metric,
+                       unnest([NULL, NULL, NULL, NULL, 'amount', 'order_time', 'gsm_amount', 'merchant_amount', 'pvi_amount', 'reconciled_amount',
+                               'created_time', NULL, NULL, NULL]) AS "column",
+                       unnest([files, bare, all_rows, ragged, amount, times, 0, 0, 0, 0, 0, files, 0, 0]) AS value FROM n)""",
+        "page_at": r + "SELECT * FROM recon ORDER BY order_id LIMIT 100 OFFSET 1200",
+        "partials_report": _w(RECON_CTE, MERCHANT_PATTERNS, HOURLY) + " UNION ALL ".join([
+            "SELECT 'summary' AS part, reconcile_status AS item, COALESCE(CAST(SUM(amount) AS DOUBLE), CAST(0 AS DOUBLE)) AS value FROM recon GROUP BY 2",
+            *(f"SELECT '{part}', item, {pct('n', 'SUM(n) OVER ()')} FROM (SELECT {key} AS item, COUNT(*) AS n FROM recon GROUP BY 1)"
+              for part, key in (("status", "reconcile_status"), ("insurance", "insurance_status"), ("business", BUSINESS), ("service", SERVICE))),
+            *(f"SELECT 'amounts', '{c}/' || {SERVICE}, COALESCE(CAST(SUM({c}) AS DOUBLE), CAST(0 AS DOUBLE)) FROM recon GROUP BY 2" for c in AMOUNTS),
+            *(f"SELECT 'overall', '{c}', COALESCE({mean(f'SUM({c})', f'COUNT({c})')}, CAST(0 AS DOUBLE)) FROM recon" for c in AMOUNTS),
+            "SELECT 'merchant', merchant, match_rate FROM mpr",
+            "SELECT 'hour', CAST(hour AS VARCHAR), CAST(transaction_count AS DOUBLE) FROM hourly"]),
+        "reconcile_ledgers": """
+            WITH items AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
+                                  CASE WHEN l_orderkey % 3 = 0 THEN 'HOT' ELSE 'O' || l_orderkey END AS order_id FROM lineitem),
+            insurer AS (SELECT order_id, amount, CAST(ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY amount) AS INTEGER) AS occurrence
+                        FROM items WHERE k % 10 <> 7),
+            platform AS (SELECT order_id, amount, CAST(ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY amount) AS INTEGER) AS occurrence
+                         FROM items WHERE n % 3 <> 0 AND k % 50 <> 1)
+            SELECT order_id, occurrence, a.amount AS insurer_amount, b.amount AS platform_amount, a.amount - b.amount AS amount_diff,
+                   CASE WHEN a.amount IS NOT NULL AND b.amount IS NOT NULL THEN 'match' WHEN a.amount IS NOT NULL THEN 'not_found_in_m'
+                        ELSE 'not_found_in_external' END AS reconcile_status
+            FROM insurer a FULL JOIN platform b USING (order_id, occurrence)
+            UNION ALL SELECT NULL, NULL, NULL, amount, NULL, 'not_found_in_external' FROM items WHERE n % 3 <> 0 AND k % 50 = 1""",
+        "daily_trend": r + f"""
+            , counted AS (SELECT biz_date, reconcile_status AS value, COUNT(*) AS n FROM recon GROUP BY 1, 2),
+            calendar AS (SELECT CAST(unnest(generate_series(MIN(biz_date), MAX(biz_date), INTERVAL 1 DAY)) AS DATE) AS biz_date FROM counted),
+            kinds AS (SELECT DISTINCT value FROM counted),
+            dense AS (SELECT c.biz_date, k.value, COALESCE(n, 0) AS n, c.biz_date IN (SELECT biz_date FROM counted) AS has_day
+                      FROM calendar c CROSS JOIN kinds k LEFT JOIN counted x ON x.biz_date = c.biz_date AND x.value IS NOT DISTINCT FROM k.value),
+            lagged AS (SELECT *, LAG(n) OVER (PARTITION BY value ORDER BY biz_date) AS previous FROM dense)
+            SELECT biz_date, value, n AS "rows", has_day, previous, n - previous AS change, {pct('n - previous', 'previous')} AS change_percent FROM lagged""",
         "csv_export": r + """
             SELECT order_id, reconcile_status, merchant, CAST(amount AS DOUBLE) AS amount,
                    COALESCE(reconcile_status, 'null') || '_details_' || strftime(biz_date, '%Y-%m') AS export
@@ -484,7 +551,7 @@ def oracle_sql() -> dict[str, str]:
     # registered results present decimal money as double (see queries.money_as_double)
     money = {"one_sided_m": ["amount"], "one_sided_external": ["amount"],
              "status_drilldown": AMOUNTS, "drilldown_filtered": AMOUNTS, "order_lookup": AMOUNTS,
-             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "csv_load": AMOUNTS, "failed_orders": ["gsm_amount", "merchant_amount"]}
+             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "csv_load": AMOUNTS, "page_at": AMOUNTS, "reconcile_ledgers": ["insurer_amount", "platform_amount", "amount_diff"], "failed_orders": ["gsm_amount", "merchant_amount"]}
     for key, cols in money.items():
         q[key] = _money_double(q[key], cols)
     return q

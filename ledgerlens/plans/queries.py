@@ -18,15 +18,19 @@ from pyspark.sql import types as T
 
 from ..operators import aggregates as A
 from ..operators import filters as Fl
+from ..operators import ordering as O
+from ..operators import partials as P
+from ..operators.ledgers import reconcile_ledgers
 from ..functions.labels import parse_order_time
 from ..operators import report as R
 from ..session import scratch_path
 from ..sources import catalog as C
 from ..sources import csv_ingest as I
+from ..sources import silver as V
 from ..sources import sinks
 from ..sources.tables import read_table
 from . import fixtures as X
-from .drops import write_daily_drops
+from .drops import delete_files, write_daily_drops, write_line_drops
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +84,9 @@ class Tables:
     def lookup_ids(self) -> DataFrame:
         return lookup_ids(self.spark, self.sf_dir)
 
+    def ledgers(self) -> tuple[DataFrame, DataFrame]:
+        return X.ledgers(self.spark, self.sf_dir)
+
     def merchant_selection(self) -> DataFrame:
         return merchant_selection(self.spark, self.sf_dir)
 
@@ -163,6 +170,79 @@ def _csv_load(t: Tables) -> DataFrame:
         "gsm_amount", "merchant_amount", "biz_date", "dataset", "version")
 
 
+#: Columns that no alias names, as (column, header) of a daily file.
+OTHER_HEADERS = [("order_id", "ORDER_ID"), ("order_no", "Order No"), ("rate", "Rate.1"), ("late", "Late"), ("mixed", "Mixed"), ("half", "Half"),
+                 ("blank", "Blank")]
+
+
+def _inferred_types(t: Tables) -> DataFrame:
+    """Types of the columns that no alias names, from all cells of daily files."""
+    base, number = _scratch(t, "typed-drops"), F.substring("order_id", 2, 20)
+    rows = t.recon().select(
+        "order_id", "biz_date", number.alias("order_no"), F.col("amount").cast("string").alias("rate"),
+        F.when(F.col("insurance_status") == "pending", "true").otherwise("False").alias("late"),
+        F.coalesce(F.when(F.col("reconcile_status").isNotNull(), number), F.lit("n/a")).alias("mixed"),
+        F.when(F.col("gsm_amount").isNotNull(), F.when(number.cast("long") % 4 == 0, F.concat(number, F.lit(".5"))).otherwise(number)).alias("half"),
+        F.lit(None).cast("string").alias("blank"))
+    write_daily_drops(rows, f"{base}/drops", f"{base}/staging", headers=[OTHER_HEADERS, OTHER_HEADERS[::-1]])
+    loaded = I.load(t.spark, f"{base}/drops", "reconciled")
+    return A.column_profile(loaded, columns=[h for _, h in OTHER_HEADERS[1:]])
+
+
+def _silver_refresh(t: Tables) -> DataFrame:
+    """A silver table after days were rewritten in place, re-issued and deleted, and the days
+    that each refresh touched."""
+    base, table = _scratch(t, "refresh-drops"), _scratch(t, "refresh-silver")
+    t.recon().write.parquet(f"{base}/recon")
+    recon, drops, day = t.spark.read.parquet(f"{base}/recon"), f"{base}/drops", F.dayofmonth("biz_date") % 10
+    write_daily_drops(recon, drops, f"{base}/first")
+    V.refresh_silver(t.spark, drops, table)
+    write_daily_drops(recon.where(day == 3).withColumn("amount", F.col("amount") + 1), drops, f"{base}/rewritten")
+    write_daily_drops(recon.where(day == 5).withColumn("amount", F.col("amount") * 2), drops, f"{base}/reissued", suffix="_2")
+    gone = C.parse_paths(C.list_files(t.spark, drops)).where(day == 7).select("path").collect()        # a day each
+    delete_files(t.spark, [r.path for r in gone])
+    V.refresh_silver(t.spark, drops, table)
+    rows = V.read_silver(t.spark, table).withColumn("item", F.concat_ws("@", "order_id", F.col("version").cast("string")))
+    touched = V.metrics(t.spark, table).where(F.col("column").isNull()).withColumn("item", F.concat_ws(":", F.col("generation").cast("string"), "metric"))
+    return _long([("row", rows, "item", "amount"), ("metric", touched, "item", "value")])
+
+
+def _ingest_accounting(t: Tables) -> DataFrame:
+    """What a refresh mends, over files with bad cells, ragged rows and, on the 31st, no header."""
+    base, table = _scratch(t, "untidy-drops"), _scratch(t, "untidy-silver")
+    k = F.substring("order_id", 2, 20).cast("long")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cells = [F.col("order_id"), F.lit('"a ""quoted"", cell"'), F.when(k % 7 == 0, "n/a").otherwise(text("amount")), text("order_time"), text("reconcile_status")]
+    line = F.when(k % 11 == 0, F.concat_ws(",", *cells, F.lit("more"))).when(k % 13 == 0, F.concat_ws(",", *cells[:-1])).otherwise(F.concat_ws(",", *cells))
+    rows = t.recon().select("biz_date", k.alias("place"), line.alias("line"))
+    head = F.when(F.dayofmonth("biz_date") == 31, "a,b,c,d,e").otherwise("ORDER_ID,MERCHANT,TOTAL_AMOUNT,ORDER_TIME,RECONCILE_STATUS")
+    heads = rows.select("biz_date").distinct().select("biz_date", F.lit(-1).cast("long").alias("place"), head.alias("line"))
+    write_line_drops(rows.union(heads), f"{base}/drops", f"{base}/staging")
+    V.refresh_silver(t.spark, f"{base}/drops", table)
+    return V.metrics(t.spark, table).drop("generation")
+
+
+def _page_at(t: Tables) -> DataFrame:
+    """L3: a page by its number, from a key index."""
+    path = _scratch(t, "page-index")
+    O.write_page_index(t.recon(), path)
+    return O.page_at(t.recon(), t.spark.read.parquet(path), 12, 100)
+
+
+def _partials_report(t: Tables) -> DataFrame:
+    """A1-A9 from a written table of daily partials."""
+    path = _scratch(t, "partials")
+    P.daily_partials(t.recon()).write.parquet(path)
+    p = P.Partials(t.spark.read.parquet(path))
+    both = F.concat_ws("/", "amount_type", "service_label")
+    return _long([("summary", p.reconcile_status_summary(), "reconcile_status", "total_amount"),
+                  ("status", p.reconcile_status_distribution(), "reconcile_status", "percent"), ("insurance", p.insurance_distribution(), "insurance_status", "percent"),
+                  ("business", p.business_distribution(), "business_label", "percent"), ("service", p.service_type_distribution(), "service_label", "percent"),
+                  ("amounts", p.amount_by_service(RECON_AMOUNTS).withColumn("item", both), "item", "total_amount"),
+                  ("overall", p.amount_overall(RECON_AMOUNTS), "amount_type", "avg_amount"), ("merchant", p.merchant_patterns(), "merchant", "match_rate"),
+                  ("hour", p.hourly_patterns(), "hour", "transaction_count")])
+
+
 def _csv_export(t: Tables) -> DataFrame:
     """K1: the drill-down exported by status and month, read back."""
     drill = Fl.status_drilldown(t.recon()).withColumn("month", F.date_format("biz_date", "yyyy-MM"))
@@ -260,12 +340,20 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "date_folders": lambda t: C.date_folders(_parsed(t)),
     # header drift
     "alias_resolve": _alias_resolve,
+    # two ledgers, days
+    "reconcile_ledgers": lambda t: reconcile_ledgers(*t.ledgers(), hot_rows=10_000),
+    "daily_trend": lambda t: P.day_over_day(P.daily_partials(t.recon())),
 }
 
 
 # key -> operators that write files and read them again (timed apart in the bench)
 ROUND_TRIPS: dict[str, Callable[[Tables], DataFrame]] = {
     "csv_load": _csv_load,
+    "inferred_types": _inferred_types,
+    "silver_refresh": _silver_refresh,
+    "ingest_accounting": _ingest_accounting,
+    "page_at": _page_at,
+    "partials_report": _partials_report,
     "csv_export": _csv_export,
     "discrepancy_report": _discrepancy_report,
 }

@@ -47,7 +47,7 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
+def sub_numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
     """Numbers that name the sub-folders of ``folder``, in order."""
     fs, p = _hadoop(spark, folder)
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
@@ -56,7 +56,20 @@ def _numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
 
 def generations(spark: SparkSession, silver_path: str) -> list[int]:
     """Generations that are visible, oldest first."""
-    return _numbers(spark, f"{silver_path.rstrip('/')}/_state")
+    return sub_numbers(spark, f"{silver_path.rstrip('/')}/_state")
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder in one step, unless the target exists (a rename would move below it)."""
+    fs, to = _hadoop(spark, target)
+    return not fs.exists(to) and bool(fs.rename(_hadoop(spark, source)[1], to))
+
+
+def generation_rows(spark: SparkSession, silver_path: str, generation: int, dataset: str = "reconciled") -> DataFrame:
+    """The rows that a generation holds, listed columns only."""
+    listed = I.spec_for(dataset)
+    fields = [T.StructField(c, listed.types.get(c, T.StringType())) for c in listed.columns] + [T.StructField("biz_date", T.DateType())]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{silver_path.rstrip('/')}/data/generation={generation}")
 
 
 def days(spark: SparkSession, silver_path: str, *, as_of: int | None = None) -> DataFrame:
@@ -110,7 +123,7 @@ def refresh_silver(spark: SparkSession, base_path: str, silver_path: str, datase
     changes = changed_days(chosen, _within(state, date_from, date_to, some)).collect()
     if not changes:
         return None
-    generation = max([0, *generations(spark, silver), *_numbers(spark, f"{silver}/data", "generation=")]) + 1
+    generation = max([0, *generations(spark, silver), *sub_numbers(spark, f"{silver}/data", "generation=")]) + 1
     new = [c for c in changes if c.path is not None]
     rows = spark.createDataFrame([], DAYS)
     accounting = I.Accounting()
@@ -156,9 +169,7 @@ def commit(spark: SparkSession, silver_path: str, generation: int, state: DataFr
     silver = silver_path.rstrip("/")
     aside = f"{silver}/_state/_writing-{generation}-{uuid.uuid4().hex}"
     state.coalesce(1).write.parquet(aside)
-    fs, target = _hadoop(spark, f"{silver}/_state/{generation}")
-    # a rename into a folder that exists would move below it
-    if fs.exists(target) or not fs.rename(_hadoop(spark, aside)[1], target):
+    if not rename(spark, aside, f"{silver}/_state/{generation}"):
         raise RuntimeError(f"another refresh has made generation {generation} of {silver}")
 
 
@@ -204,7 +215,7 @@ def vacuum(spark: SparkSession, silver_path: str, *, keep: int = 2) -> int:
     kept = seen[-max(keep, 1):]
     named = {(r.generation, str(r.biz_date)) for g in kept for r in days(spark, silver, as_of=g).select("generation", "biz_date").collect()}
     deleted = 0
-    for g in _numbers(spark, f"{silver}/data", "generation="):
+    for g in sub_numbers(spark, f"{silver}/data", "generation="):
         if not seen or g > seen[-1]:            # a refresh may be writing it
             continue
         fs, folder = _hadoop(spark, f"{silver}/data/generation={g}")
@@ -212,6 +223,10 @@ def vacuum(spark: SparkSession, silver_path: str, *, keep: int = 2) -> int:
             name = status.getPath().getName()
             if name.startswith("biz_date=") and (g, name.removeprefix("biz_date=")) not in named:
                 deleted += bool(fs.delete(status.getPath(), True))
+    for g in sub_numbers(spark, f"{silver}/partials", "generation="):
+        if seen and g <= seen[-1] and g not in {n for n, _ in named}:
+            fs, folder = _hadoop(spark, f"{silver}/partials/generation={g}")
+            fs.delete(folder, True)
     for g in seen[:-max(keep, 1)]:
         fs, folder = _hadoop(spark, f"{silver}/_state/{g}")
         fs.delete(folder, True)
