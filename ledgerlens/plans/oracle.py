@@ -551,7 +551,8 @@ def oracle_sql() -> dict[str, str]:
     # registered results present decimal money as double (see queries.money_as_double)
     money = {"one_sided_m": ["amount"], "one_sided_external": ["amount"],
              "status_drilldown": AMOUNTS, "drilldown_filtered": AMOUNTS, "order_lookup": AMOUNTS,
-             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "csv_load": AMOUNTS, "page_at": AMOUNTS, "reconcile_ledgers": ["insurer_amount", "platform_amount", "amount_diff"], "failed_orders": ["gsm_amount", "merchant_amount"]}
+             "sample_head": AMOUNTS, "page_rows": AMOUNTS, "page_after_key": AMOUNTS, "csv_load": AMOUNTS, "page_at": AMOUNTS, "order_lookup_by_id": AMOUNTS, "reconcile_ledgers": ["insurer_amount", "platform_amount", "amount_diff"], "failed_orders": ["gsm_amount", "merchant_amount"]}
+    q |= {f"{key}_by_id": q[key] for key in ("order_lookup", "duplicate_orders", "summary_stats")}
     for key, cols in money.items():
         q[key] = _money_double(q[key], cols)
     return q

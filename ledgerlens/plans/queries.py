@@ -24,6 +24,7 @@ from ..operators.ledgers import reconcile_ledgers
 from ..functions.labels import parse_order_time
 from ..operators import report as R
 from ..session import scratch_path
+from ..sources import by_id as B
 from ..sources import catalog as C
 from ..sources import csv_ingest as I
 from ..sources import silver as V
@@ -222,6 +223,12 @@ def _ingest_accounting(t: Tables) -> DataFrame:
     return V.metrics(t.spark, table).drop("generation")
 
 
+def _by_id(t: Tables, df: DataFrame) -> DataFrame:
+    path = _scratch(t, "by-id")
+    B.write_by_id(df, path, buckets=8)
+    return B.read_by_id(t.spark, path)
+
+
 def _page_at(t: Tables) -> DataFrame:
     """L3: a page by its number, from a key index."""
     path = _scratch(t, "page-index")
@@ -353,6 +360,9 @@ ROUND_TRIPS: dict[str, Callable[[Tables], DataFrame]] = {
     "silver_refresh": _silver_refresh,
     "ingest_accounting": _ingest_accounting,
     "page_at": _page_at,
+    "order_lookup_by_id": lambda t: B.lookup(_by_id(t, t.recon()), t.lookup_ids()),
+    "duplicate_orders_by_id": lambda t: A.duplicate_orders(_by_id(t, t.driver())),
+    "summary_stats_by_id": lambda t: A.summary_stats(_by_id(t, t.recon())),
     "partials_report": _partials_report,
     "csv_export": _csv_export,
     "discrepancy_report": _discrepancy_report,
