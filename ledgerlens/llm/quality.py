@@ -1,24 +1,16 @@
 """Quality rules: base counts of each text, then n-gram perplexity within language bands.
 
-The model is a modified Kneser-Ney model of token n-grams, orders 1 to ``ORDER``, one for each
-language.  A token is a word with A-Z lower-cased, or a single character of ``SINGLES``: those
-of scripts without spaces between words, and signs beyond ASCII.  Tokens and n-grams are
-64-bit hashes that the language goes into, so the model is a table that grows with the corpus;
-only its most frequent rows, of a fixed number, pass the driver.
-
-1. Every text sends its distinct n-grams with their counts; Spark adds them up.  Below the
-   highest order an n-gram counts its distinct left neighbours, as Kneser-Ney does.
-2. Counts of counts give each language and order its discounts; sums by context give the
-   weight of backing off; probabilities follow order by order, by joins.
-3. Each text's own n-grams are joined with the model.  An n-gram that no other text holds
-   counts as unseen, so no text vouches for itself: copies of a text are one text here.  The
-   most frequent n-grams, at most ``BROADCAST_GRAMS``, are looked up in the task instead.
-4. By language, quartiles of all documents that pass the base rules.  A document is rejected
-   whose log perplexity lies more than ``spread`` interquartile ranges above the third
-   quartile (text unlike the language), or whose log perplexity by single tokens lies that far
-   below the first (text that hardly varies; single tokens, as near copies of a text would make
-   its longer n-grams likely).  Short texts vary more, so the room beside the quartiles grows
-   with the square root of ``REFERENCE_CHARS`` over a text's characters in words.
+The model (:mod:`ledgerlens.llm.knlm`) is a modified Kneser-Ney model of token 3-grams, one for each
+language, counted over all documents; it grows with the corpus.  An n-gram that no other text holds
+counts as unseen, so no text vouches for itself: copies of a text are one text here.
+
+By language, quartiles of all documents that pass the base rules.  A document is rejected whose log
+perplexity lies more than ``spread`` interquartile ranges above the third quartile (text unlike the
+language), or whose log perplexity by single tokens, the model's lowest order, lies that far below the
+first (text that hardly varies).  The lower band is on single tokens because near copies of a text make
+its longer n-grams likely: a lower band on these would reject every member of a family of near copies.
+Short texts vary more, so the room beside the quartiles grows with the square root of
+``REFERENCE_CHARS`` over a text's characters in words.
 
 Every language has a model and bands of its own, however many there are; documents of a null
 language share one.
@@ -39,71 +31,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import knlm
 from . import text as X
-from .charmodel import _CLASS, _table, fit, gram_counts, kneser_ney, languages  # noqa: F401
+from .knlm import SINGLES  # noqa: F401
 from .shared import map_arrow, written
 
-ORDER = 3
 SPREAD = 2.5
 REFERENCE_CHARS = 1000           # shorter texts get a wider band
 BIN = 0.001                      # width of a log-perplexity bin
-BROADCAST_GRAMS = 1 << 19        # frequent n-grams that tasks look up without a shuffle
+BROADCAST_GRAMS = knlm.VOCABULARY   # frequent tokens that tasks look up without a shuffle
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
-#: Code points that are tokens by themselves: signs of Latin-1, scripts without spaces, general
-#: punctuation, CJK, compatibility forms, pictographs.
-SINGLES = [(0x80, 0xBF), (0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2000, 0x2BFF), (0x2E80, 0xA4CF),
-           (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x1F000, 0x1FAFF), (0x20000, 0x3FFFF)]
-
 _IS_SYMBOL = np.array([b in SYMBOLS for b in range(256)])
 _LEADS = np.array([b & 0xC0 != 0x80 for b in range(256)])
-_KIND = X.SPACED_WORD.astype(np.int8)
-_SINGLE_EDGES = np.array([x for a, b in SINGLES for x in (a, b + 1)])
-_START = np.uint64(0xA5A5A5A5A5A5A5A5)
-
-
-def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of all tokens of a block, in order."""
-    lead = np.flatnonzero(_LEADS[buf])
-    kind = _KIND[buf[lead]]                    # 0 space, 1 in a word, 2 a token by itself
-    wide = np.flatnonzero(buf[lead] >= 0x80)
-    if len(wide):
-        b = [buf[np.minimum(lead[wide] + k, len(buf) - 1)].astype(np.int64) for k in range(4)]
-        tail = [x & 63 for x in b]
-        point = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | tail[1],
-                         np.where(b[0] < 0xF0, (b[0] & 15) << 12 | tail[1] << 6 | tail[2],
-                                  (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
-        kind[wide[np.searchsorted(_SINGLE_EDGES, point, side="right") % 2 == 1]] = 2
-    run = np.concatenate([[False], kind == 1, [False]])
-    edges = np.append(lead, len(buf))
-    return lead[(kind == 2) | run[1:-1] & ~run[:-2]], edges[1:][(kind == 2) | run[1:-1] & ~run[2:]]
-
-
-def _grams(texts: list[bytes | None], langs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """The text of each token, and for each order ``(hash, context, suffix)`` of the n-gram that
-    ends in it.  Texts begin with ``ORDER - 1`` start marks."""
-    block = X.Texts(texts)
-    s, e = token_spans(block.buf)
-    first, last = block.owner(s)
-    each = np.arange(len(texts))
-    owner, pad = np.repeat(each, last - first), ORDER - 1
-    root = X.mix64(langs.astype(np.int64).view(np.uint64))
-    t = X.mix64(root[np.repeat(each, last - first + pad)] ^ _START)
-    at = np.arange(len(s)) + pad * (owner + 1)
-    t[at] = X.mix64(X.hash_words(block.buf, s, e) + root[owner])
-    windows = [t, *(X.hash_windows(t, k, k) for k in range(2, ORDER + 1))]
-    none = np.zeros(len(at), np.uint64)
-    out = [(t[at], root[owner], none)]
-    for k in range(2, ORDER + 1):
-        out.append((windows[k - 1][at - k + 1], windows[k - 2][at - k + 1], windows[k - 2][at - k + 2]) if len(at) else (none,) * 3)
-    return owner, out
-
-
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
 
 
 def _key(text_col: str, lang_col: str) -> Column:
@@ -113,139 +56,18 @@ def _key(text_col: str, lang_col: str) -> Column:
 
 
 def _plain(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """Rows ``(key, lang, text, copies)``; ``lang`` is a hash, zero for null."""
+    """Rows ``(key, lang, text)``; ``lang`` is a hash, zero for null."""
     lang = F.col(lang_col).cast("string")
-    plain = docs.select(_key(text_col, lang_col).alias("key"), F.when(lang.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(lang)).alias("lang"),
-                        F.col(text_col).cast("string").alias("text"))
-    again = written(plain.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "quality-copies")
-    return plain.join(again, "key", "left").select("key", "lang", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
-
-
-def ngram_counts(plain: DataFrame) -> DataFrame:
-    """Rows ``(size, lang, h, ctx, suf, c)``: all n-grams of all documents."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in X.blocks(batches, 1):
-            langs = batch.column(0).to_numpy()
-            owner, grams = _grams(texts, langs)
-            for size, (h, ctx, suf) in enumerate(grams, 1):
-                seen, at, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), size, np.int32)), pa.array(langs[owner[at]]), _long(seen), _long(ctx[at]), _long(suf[at]),
-                     pa.array(n.astype(np.int64))], names=["size", "lang", "h", "ctx", "suf", "c"])
-
-    return (map_arrow(plain.select("lang", "text"), count, "size int, lang long, h long, ctx long, suf long, c long")
-            .groupBy("size", "lang", "h", "ctx", "suf").agg(F.sum("c").alias("c")))
-
-
-def _discounts(counted: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts ``d1, d2, d3`` and the number of n-grams, by language and order."""
-    n = [F.col(f"n{k}").cast("double") for k in range(5)]
-    y = n[1] / (n[1] + 2 * n[2])
-    some = (n[1] > 0) & (n[2] > 0)
-    d = [F.when(some & (n[k] > 0), F.least(F.greatest(k - (k + 1) * y * n[k + 1] / F.nullif(n[k], F.lit(0.0)), F.lit(0.1)), F.lit(k - 0.05)))
-         .otherwise(F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
-    return (counted.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n0"), *(F.count(F.when(F.col("a") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)))
-            .select("lang", "size", F.col("n0").alias("types"), *d))
-
-
-def model(plain: DataFrame) -> DataFrame:
-    """Rows ``(size, h, c, gain, left)``, a table in the shared folder: for each n-gram its count,
-    what it adds to the log probability by its suffix, and the log weight of backing off from
-    its context (for a single token, the log probability of an unseen one).  An n-gram with
-    count 1 has no gain, as no second text holds it."""
-    grams = written(ngram_counts(plain), "quality-grams")
-    neighbours = grams.where("size > 1").groupBy(F.col("suf").alias("h")).agg(F.count(F.lit(1)).alias("a"))
-    columns = ["size", "lang", "h", "ctx", "suf", "c", "a"]
-    lower = written(grams.where(F.col("size") < ORDER).join(neighbours, "h").select(*columns), "quality-lower")
-    counted = lower.union(grams.where(F.col("size") == ORDER).select("size", "lang", "h", "ctx", "suf", "c", F.col("c").alias("a")))
-    discounts = written(_discounts(counted), "quality-discounts")
-    contexts = (counted.groupBy("lang", "size", "ctx")
-                .agg(F.sum("a").alias("total"), *(F.count(F.when(F.least("a", F.lit(3)) == k, 1)).alias(f"m{k}") for k in (1, 2, 3)))
-                .join(F.broadcast(discounts), ["lang", "size"])
-                .select("ctx", "size", "total", ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).alias("rest"),
-                        "d1", "d2", "d3", "types"))
-    own = (F.col("a") - F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    out, below = [], None
-    for size in range(1, ORDER + 1):
-        context = contexts.where(F.col("size") == size).drop("size")
-        level = counted.where(F.col("size") == size).join(F.broadcast(context) if size == 1 else context, "ctx")
-        if size == 1:
-            level = level.withColumn("p", own + F.col("rest") / F.col("types")).select(
-                "size", "h", "c", "p", F.log("p").alias("gain"), F.log(F.col("rest") / F.col("types")).alias("left"))
-        else:
-            level = level.select("size", "h", "suf", "c", own.alias("own"), "rest")
-            likely = (level.where("c > 1").join(below.where("c > 1").select(F.col("h").alias("suf"), F.col("p").alias("q")), "suf")
-                      .withColumn("p", F.col("own") + F.col("rest") * F.col("q"))
-                      .select("size", "h", "c", "p", F.log(F.col("p") / F.col("q")).alias("gain"), F.log("rest").alias("left")))
-            none = F.lit(None).cast("double")
-            level = likely.union(level.where("c = 1").select("size", "h", "c", none, none, F.log("rest")))
-        below = written(level, f"quality-order{size}")
-        out.append(below.select("size", "h", "c", "gain", "left"))
-    for x in out[1:]:
-        out[0] = out[0].union(x)
-    return out[0]
-
-
-def _frequent(grams: DataFrame, most: int) -> tuple[np.ndarray, ...]:
-    """``(h, size, c, gain, left)`` of the most frequent n-grams, by h: as many whole powers of two of
-    the count as ``most`` rows hold."""
-    rows = {r["power"]: r["n"] for r in grams.where("c > 1").groupBy(F.floor(F.log2("c")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, least = 0, None
-    for power in sorted(rows, reverse=True):
-        total += rows[power]
-        if total > most:
-            break
-        least = power
-    got = grams.where(F.lit(False) if least is None else F.floor(F.log2("c")) >= least).toArrow()
-    got = [got.column(x).to_numpy() for x in ("h", "size", "c", "gain", "left")]
-    order = np.argsort(got[0])
-    return tuple(x[order] for x in got)
+    return docs.select(_key(text_col, lang_col).alias("key"), F.when(lang.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(lang)).alias("lang"),
+                       F.col(text_col).cast("string").alias("text"))
 
 
 def log_perplexities(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Rows ``(key, log_perplexity, log_single)``, one for each distinct language and text with a
     token; the last by single tokens alone."""
-    plain = _plain(docs, text_col, lang_col)
-    grams = model(plain)
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(grams, broadcast_grams))
-    names = ["key", "h", "n", "copies", "tokens", "sum", "single"]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, size_of, c, gain, left = shared.value
-        for batch, texts in X.blocks(batches, 2):
-            keys, copies = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            owner, grams = _grams(texts, batch.column(1).to_numpy())
-            tokens = np.bincount(owner, minlength=len(texts))
-            sums, single = np.zeros(len(texts)), np.zeros(len(texts))
-            for size, (h, _, _) in enumerate(grams, 1):
-                order = np.lexsort((h, owner))
-                o, x = owner[order], h[order].view(np.int64)
-                new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (x[1:] != x[:-1])])) if len(o) else np.zeros(0, np.int64)
-                n, o, x = np.diff(np.append(new, len(o))), o[new], x[new]
-                at = np.minimum(np.searchsorted(hot, x), max(len(hot) - 1, 0))
-                known = hot[at] == x if len(hot) else np.zeros(len(x), bool)
-                k = at[known]
-                part = n[known] * np.where(c[k] > n[known] * copies[o[known]], gain[k], left[k])
-                add = np.bincount(o[known], part, len(texts))
-                sums += add
-                single += add if size == 1 else 0
-                o, x, n = o[~known], x[~known], n[~known]
-                zero = np.zeros(len(o))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[o]), pa.array(x), pa.array(n.astype(np.int64)), pa.array(copies[o]),
-                                                  pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
-            # What the task looked up itself travels as an n-gram that the model lacks.
-            some = np.flatnonzero(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(copies[some]),
-                                              pa.array(tokens[some].astype(np.int64)), pa.array(sums[some]), pa.array(single[some])], names=names)
-
-    sent = map_arrow(plain, send, "key long, h long, n long, copies long, tokens long, sum double, single double")
-    part = F.when(F.col("c").isNull(), F.lit(0.0)).otherwise(
-        F.col("n") * F.when(F.col("c") > F.col("n") * F.col("copies"), F.col("gain")).otherwise(F.col("left")))
-    found = sent.join(grams, "h", "left").groupBy("key").agg(
-        F.sum("tokens").alias("tokens"), F.sum(F.col("sum") + part).alias("sum"),
-        F.sum(F.col("single") + F.when(F.col("size") == 1, part).otherwise(F.lit(0.0))).alias("single"))
-    mean = lambda x: F.round(-F.col(x) / F.col("tokens"), 9)
-    return found.select("key", mean("sum").alias("log_perplexity"), mean("single").alias("log_single"))
+    mean = lambda x: F.round(F.col(x) / F.col("tokens") / knlm.FIXED, 9)
+    found = knlm.log_scores(_plain(docs, text_col, lang_col), broadcast_grams)
+    return found.select("key", mean("whole").alias("log_perplexity"), mean("single").alias("log_single"))
 
 
 def base_counts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
@@ -305,7 +127,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                                              names=schema.names)
 
     plain = docs.select(F.col(id_col), _key(text_col, lang_col).alias("key"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    found = written(log_perplexities(docs, text_col, lang_col, broadcast_grams), "quality-perplexity")
+    found = log_perplexities(docs, text_col, lang_col, broadcast_grams)
     return written(map_arrow(plain, count, schema).join(found, "key", "left"), "quality-scores")
 
 

@@ -24,10 +24,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage is cut and
-    executors can be lost without computing it anew.  The shuffle files of the write, which
-    nothing reads again, go at once instead of with the driver's garbage."""
+def kept_table(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and the table's path: its
+    lineage is cut and executors can be lost without computing it anew.  The shuffle files of
+    the write, which nothing reads again, go at once instead of with the driver's garbage."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -35,4 +35,15 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """:func:`kept_table` without the path: the table stays until the shared folder is cleaned."""
+    return kept_table(df, name, compression)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table after its last reader."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

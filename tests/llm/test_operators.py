@@ -157,20 +157,6 @@ def test_quality_counts(frame, rows):
     same(found, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], brute.quality(docs))
 
 
-def test_kneser_ney_is_a_distribution_and_counts_are_exact(spark, frame, rows):
-    langs, models = quality.fit(frame(rows))
-    assert langs == ["en"]
-    p = np.exp(quality._table(models[0]).reshape(-1, 32)[:, :].astype(float)).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
-    plain = np.zeros(32 ** 4, np.int64)
-    for _, t in rows:
-        c = [int(quality._CLASS[b]) for b in (t or "").encode() if b & 0xC0 != 0x80]
-        for k in range(len(c) - 3):
-            plain[c[k] << 15 | c[k + 1] << 10 | c[k + 2] << 5 | c[k + 3]] += 1
-    got = {(r["gram"]): r["n"] for r in quality.gram_counts(frame(rows), ["en"]).collect()}
-    assert got == {int(k): int(plain[k]) for k in np.flatnonzero(plain)}
-
-
 def test_quality_bands_reject_the_unlike(spark):
     import random
     rnd = random.Random(2)

@@ -45,8 +45,12 @@ def test_license_and_quality_queries(spark):
     docs = documents(spark)
     got = QUERIES["op8_license_scan"](spark, SF_SMALL).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute.base_licenses(docs), key=str)
-    got = QUERIES["op9_quality_rules"](spark, SF_SMALL).drop("kept", "log_perplexity").collect()
-    assert sorted(map(tuple, got)) == sorted(brute.quality(docs))
+    report = QUERIES["op9_quality_rules"](spark, SF_SMALL)
+    assert sorted(map(tuple, report.drop("kept", "log_perplexity").collect())) == sorted(brute.quality(docs))
+    langs = dict(tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang").collect())
+    got = {r["doc_id"]: r for r in report.collect()}
+    for d, log_perplexity, kept in brute.quality_kept([(d, langs[d], t) for d, t in docs]):
+        assert got[d]["kept"] == kept and got[d]["log_perplexity"] == (None if log_perplexity is None else pytest.approx(log_perplexity, abs=1e-6))
 
 
 def test_pipeline(spark):
@@ -61,7 +65,7 @@ def test_pipeline(spark):
         assert out.columns == columns
         after = sorted((r["doc_id"], r["text"]) for r in out.collect())
         if name == "quality_rules":
-            verdict = {r["doc_id"] for r in QUERIES["op9_quality_rules"](spark, SF_SMALL).where("kept").collect()}
+            verdict = {d for d, _, ok in brute.quality_kept([(r["doc_id"], r["lang"], r["text"]) for r in kept.collect()]) if ok}
             assert after == sorted(x for x in before if x[0] in verdict) and len(after) < len(before)
         elif name == "line_dedup":
             assert after == sorted((r[0], r[4]) for r in brute.lines(before))
