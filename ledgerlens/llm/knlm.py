@@ -43,6 +43,7 @@ ROUNDS = 4
 HOT = 4
 FIXED = 1 << 22
 BLOCK_BYTES = 8 << 20
+HELD_TOKENS = 1 << 20            # distinct tokens that a counting task holds
 
 #: Code points that are tokens by themselves: signs of Latin-1, scripts without spaces, general
 #: punctuation, CJK, compatibility forms, pictographs.
@@ -53,7 +54,7 @@ _LEADS = np.array([b & 0xC0 != 0x80 for b in range(256)])
 _KIND = X.SPACED_WORD.astype(np.int8)
 _SINGLE_EDGES = np.array([x for a, b in SINGLES for x in (a, b + 1)])
 _START = np.uint64(0xA5A5A5A5A5A5A5A5)
-_DEAL, _FOLLOW = np.uint64(0x27D4EB2F165667C5), np.uint64(0x165667B19E3779F9)
+_DEAL = np.uint64(0x27D4EB2F165667C5)
 
 _ENTRIES, _DISCOUNTS, _TOKEN, _SUFFIX = range(4)          # kinds of rows that a scoring partition reads
 _STATS, _FOLLOWERS, _RARE, _HOT = range(4)                # kinds of rows that a counting partition sends
@@ -113,6 +114,24 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """What sorts by whole numbers from 0 on, the first of them foremost: one sort of one number where they fit."""
+    bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    joined = np.zeros(len(keys[0]), np.int64)
+    for k, b in zip(keys, bits):
+        joined = joined << b | k
+    return np.argsort(joined)
+
+
+def _ranges(h: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Parts of sorted hashes: a number, start and end of each part that holds any.  A part is a range of hashes."""
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    edges = np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
+    return ((k, int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist())
+
+
 # --------------------------------------------------------------------------- tokens
 def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all tokens of a block, in order."""
@@ -146,24 +165,76 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return (X.mix64(_unsigned(keys)) >> np.uint64(40)).astype(np.uint32)
 
 
+class _Tally:
+    """Tokens with their language, occurrences and least and greatest text, in order of hash."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.rows += len(columns[0])
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        h, lang, n, low, high = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(h)
+        at = _starts(h[order])
+        if len(at):
+            h, lang, n, low, high = (h[order][at], lang[order][at], np.add.reduceat(n[order], at), np.minimum.reduceat(low[order], at),
+                                     np.maximum.reduceat(high[order], at))
+        self.parts, self.rows = [(h, lang, n, low, high)], len(h)
+        return self.parts[0]
+
+
 def token_counts(plain: DataFrame) -> DataFrame:
     """Rows ``(h, lang, n, shared)``: occurrences of every token, and whether two texts hold it; start marks
     count as tokens here."""
+    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(tally: _Tally) -> Iterator[pa.RecordBatch]:
+        h, lang, n, low, high = tally.merge()
+        langs, lang = np.unique(lang, return_inverse=True)
+        out = [(p, pack(np.diff(h[a:b], prepend=np.uint64(0)), _u32(lang.reshape(-1)[a:b]), _unsigned(langs), _u32(n[a:b]), _u32(low[a:b]), _u32((high - low)[a:b])))
+               for p, a, b in _ranges(h, parts)]
+        tally.__init__()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["p", "blob"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for batch, texts in X.blocks(batches, 2, BLOCK_BYTES):
             langs = batch.column(1).to_numpy()
             h, n, start = _hashes(texts, langs)
             each = np.arange(len(texts))
             h, owner = np.concatenate([h, start]), np.concatenate([np.repeat(each, n), each])
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             key, at = _short(batch.column(0).to_numpy())[owner[order]].astype(np.int64), _starts(h[order])
             if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(h[order][at])), pa.array(langs[owner[order][at]]), pa.array(np.diff(np.append(at, len(h)))),
-                     pa.array(np.minimum.reduceat(key, at)), pa.array(np.maximum.reduceat(key, at))], names=["h", "lang", "n", "low", "high"])
-
-    return (map_arrow(plain.select("key", "lang", "text"), count, "h long, lang long, n long, low long, high long")
-            .groupBy("h", "lang").agg(F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("shared")))
+                tally.add(h[order][at], langs[owner[order][at]], np.diff(np.append(at, len(h))), np.minimum.reduceat(key, at), np.maximum.reduceat(key, at))
+            if tally.rows > HELD_TOKENS and len(tally.merge()[0]) > HELD_TOKENS // 2:
+                yield from send(tally)
+        if tally.rows:
+            yield from send(tally)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                h, lang, langs, n, low, more = unpack(blob)
+                low = low.astype(np.int64)
+                tally.add(np.cumsum(h), langs.view(np.int64)[lang], n.astype(np.int64), low, low + more)
+                if tally.rows > HELD_TOKENS and tally.rows > 2 * len(tally.parts[0][0]):
+                    tally.merge()
+        if tally.rows:
+            h, lang, n, low, high = tally.merge()
+            for i in range(0, len(h), 1 << 16):
+                j = i + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[i:j])), pa.array(lang[i:j]), pa.array(n[i:j]), pa.array(low[i:j] != high[i:j])],
+                                                 names=["h", "lang", "n", "shared"])
+
+    sent = map_arrow(plain.select("key", "lang", "text"), count, "p int, blob binary")
+    return map_arrow(sent.repartitionById(parts, "p"), add, "h long, lang long, n long, shared boolean")
 
 
 class Vocabulary:
@@ -179,13 +250,15 @@ class Vocabulary:
 
     def codes(self, h: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of tokens, and hashes and languages of the rare ones, which are numbered from ``size`` on."""
+        order = np.argsort(h)
+        h, out = h[order], np.empty(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.sorted, h), max(self.size - 1, 0))
         known = self.sorted[at] == h if self.size else np.zeros(len(h), bool)
-        out = np.empty(len(h), np.int64)
-        out[known] = self.code[at[known]]
-        rare, first, number = np.unique(h[~known], return_index=True, return_inverse=True)
-        out[~known] = self.size + number.reshape(-1)
-        return out, rare, langs[~known][first]
+        out[order[known]] = self.code[at[known]]
+        rare, place = h[~known], order[~known]
+        first = _starts(rare)
+        out[place] = self.size + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rare))))
+        return out, rare[first], langs[place[first]]
 
     def split(self, middle: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The split of each 3-gram by the hashes of its middle and first token: 0 unless it is hot."""
@@ -258,7 +331,7 @@ def _deal(number: int, blob: bytes, words: Vocabulary, turn: int, rounds: int, p
         return
     part = (slot[here] // np.uint64(rounds) % np.uint64(parts)).astype(np.int64)
     a, b, c, owner = a[here], b[here], c[here], owner[here]
-    order = np.lexsort((c << 32 | a, part << 32 | b))
+    order = _order(part, b, c)
     a, b, c, owner, part = a[order], b[order], c[order], owner[order], part[order]
     short = _short(keys.view(np.int64))
     edges = np.append(_starts(part), len(part))
@@ -300,9 +373,8 @@ class Merged:
             offset += len(p[4])
         none = [np.zeros(0, np.int64)]
         a, b, c = (np.concatenate(x or none) for x in (a, b, c))
-        pair = b << 32 | c
-        order = np.lexsort((a, pair))
-        a, pair = a[order], pair[order]
+        order = _order(b, c, a)
+        a, pair = a[order], (b << 32 | c)[order]
         key, self.slot = np.concatenate(key or none)[order].astype(np.int64), np.concatenate(slot or none)[order]
         at = _starts(pair, a)                                     # 3-grams
         self.count = np.diff(np.append(at, len(a)))
@@ -320,8 +392,7 @@ class Merged:
 def _counts_of_counts(values: np.ndarray, lang: np.ndarray) -> Iterator[list[int]]:
     """``lang``, all, and how many values are 1, 2, 3, 4."""
     langs, which = np.unique(lang, return_inverse=True)
-    table = np.zeros((len(langs), 5), np.int64)
-    np.add.at(table, (which.reshape(-1), np.where(values <= 4, values, 0)), 1)
+    table = np.bincount(which.reshape(-1) * 5 + np.where(values <= 4, values, 0), minlength=5 * len(langs)).reshape(-1, 5)
     for x, row in zip(langs.tolist(), table.tolist()):
         yield [x, sum(row), *row[1:]]
 
@@ -341,12 +412,9 @@ def _count(shared, follow_parts: int):
             rows += [(_STATS, p, size, None, x, *n, None) for x, *n in _counts_of_counts(values, langs)]
         token, n = np.unique(m.last[~m.hot], return_counts=True)
         h = m.hash[token]
-        to = (X.mix64(h ^ _FOLLOW) % np.uint64(follow_parts)).astype(np.int64)
-        order = np.lexsort((h, to))
-        h, n, to = h[order], n[order], to[order]
-        edges = np.append(_starts(to), len(to))
-        for low, high in zip(edges[:-1], edges[1:]):
-            rows.append((_FOLLOWERS, int(to[low]), *[None] * 8, pack(np.diff(h[low:high], prepend=np.uint64(0)), _u32(n[low:high]))))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        rows += [(_FOLLOWERS, k, *[None] * 8, pack(np.diff(h[a:b], prepend=np.uint64(0)), _u32(n[a:b]))) for k, a, b in _ranges(h, follow_parts)]
         strange = np.unique(m.last[m.last >= m.size])
         rows += [(_RARE, p, x, *[None] * 8) for x in _signed(m.hash[strange]).tolist()]
         hot = np.flatnonzero(m.hot)
@@ -377,7 +445,7 @@ def _added_followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     at = _starts(h[order])
     return h[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
@@ -410,20 +478,22 @@ class _Model:
 
     def __init__(self, m: Merged, top: tuple[np.ndarray, np.ndarray], aux: dict[int, list[np.ndarray]]):
         chance, log = (np.concatenate([x, np.zeros(len(m.hash) - m.size)]) for x in top)
-        h, _, *w = aux[_TOKEN]
-        at = m.size + np.searchsorted(m.hash[m.size:], _unsigned(h))
-        chance[at], log[at] = w[0], w[1]
         lang = m.lang[m.middle]
         of, _, size, *d = aux[_DISCOUNTS]
         langs = np.unique(of)
+        unseen = np.zeros(len(langs))
+        unseen[np.searchsorted(langs, of[size == 1])] = d[3][size == 1]
+        log[m.size:] = unseen[np.searchsorted(langs, m.lang[m.size:])]       # rare tokens of one text alone
+        h, _, *w = aux[_TOKEN]
+        at = m.size + np.searchsorted(m.hash[m.size:], _unsigned(h))
+        chance[at], log[at] = w[0], w[1]
         table = np.zeros((4, len(langs), 4))                     # by order, language, count
         table[size.astype(np.int64), np.searchsorted(langs, of), 1:] = np.stack(d[:3], axis=1)
         which = np.searchsorted(langs, lang)
 
         before, shared = m.before.copy(), m.low != m.high
-        total, cut = np.zeros(len(m.hash)), np.zeros(len(m.hash))
-        np.add.at(total, m.middle, before)
-        np.add.at(cut, m.middle, table[2, which, np.minimum(before, 3)])
+        total = np.bincount(m.middle, before, len(m.hash))
+        cut = np.bincount(m.middle, table[2, which, np.minimum(before, 3)], len(m.hash))
         rest = (cut / np.maximum(total, 1))[m.middle]
         total = total[m.middle]
         if m.hot.any():
@@ -474,7 +544,7 @@ def _score(shared, top, arrays: bool = False):
             for k in aux:
                 some = batch.filter(pa.array(kind == k))
                 aux[k].append([some.column(3).to_numpy(False), some.column(4).fill_null(0).to_numpy(False),
-                               *(some.column(c).fill_null(0.0).to_numpy(False) for c in range(5, 9))])
+                               *(some.column(c).fill_null(0.0).to_numpy(False) for c in range(5, 10))])
         if not blobs:
             return
         aux = {k: [np.concatenate(x) for x in zip(*v)] for k, v in aux.items()}
@@ -603,7 +673,7 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
     one = discounts.where("size = 1").withColumnRenamed("lang", "of_lang")
     chance = (F.col("a") - _discount("a")) / F.col("total") + F.col("rest") / F.col("types")
     values = (single.join(one, F.col("lang") == F.col("of_lang")).withColumn("chance", chance)
-              .select("h", "n", "chance", F.when(F.col("shared"), F.log("chance")).otherwise(F.log(F.col("rest") / F.col("types"))).alias("log")))
+              .select("h", "n", "shared", "chance", F.when(F.col("shared"), F.log("chance")).otherwise(F.log(F.col("rest") / F.col("types"))).alias("log")))
     top = _top_values(values, words)
     top = spark.sparkContext.broadcast(top)
 
@@ -621,15 +691,21 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
         fields = [x.split() for x in _DEALT.split(", ")]
         return df.select(*(columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields))
 
+    for turn in range(rounds):
+        big = counted_at[turn]
+        counted[turn], counted_at[turn] = kept_table(counted[turn].where(F.col("kind").isin(_STATS, _RARE)).select("kind", "p", "h1", "lang"), "quality-met")
+        remove(spark, big)
+
     scored, scored_at = [], []
     for turn in range(rounds):
         met = counted[turn]
         langs = met.where(F.col("kind") == _STATS).select("p", "lang").distinct()
         given = langs.join(discounts.withColumnRenamed("lang", "of_lang"), F.col("lang") == F.col("of_lang"))
-        rare = met.where(F.col("kind") == _RARE).select("p", F.col("h1").alias("rare_h")).join(values.where(F.col("n") < words.least), F.col("rare_h") == F.col("h"))
+        rare = met.where(F.col("kind") == _RARE).select("p", F.col("h1").alias("rare_h")).join(values.where((F.col("n") < words.least) & F.col("shared")), F.col("rare_h") == F.col("h"))
         hot = (suffixes.join(places.where(F.col("turn") == turn), F.col("h1") == F.col("at_h1")).join(contexts, F.col("h1") == F.col("of_h1")))
         rows = (long(dealt(turn), _ENTRIES, p=F.col("p"), block=F.col("block"), blob=F.col("blob"))
-                .union(long(given, _DISCOUNTS, p=F.col("p"), h1=F.col("lang"), w0=F.col("size"), w1=F.col("d1"), w2=F.col("d2"), w3=F.col("d3")))
+                .union(long(given, _DISCOUNTS, p=F.col("p"), h1=F.col("lang"), w0=F.col("size"), w1=F.col("d1"), w2=F.col("d2"), w3=F.col("d3"),
+                             w4=F.log(F.col("rest") / F.col("types"))))
                 .union(long(rare, _TOKEN, p=F.col("p"), h1=F.col("h"), w0=F.col("chance"), w1=F.col("log")))
                 .union(long(hot, _SUFFIX, p=F.col("p"), h1=F.col("h1"), h2=F.col("h2"), w0=F.col("a"), w1=F.col("shared").cast("int"), w2=F.col("w2"), w3=F.col("w3"))))
         if arrays:
