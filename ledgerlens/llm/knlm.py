@@ -19,7 +19,7 @@ text holds counts as unseen in scoring, so no text vouches for itself.
    numbers of ``1 / FIXED``, so their order does not matter.
 
 Both exchanges run in ``ROUNDS`` rounds, each for a part of the middle tokens, so only that part is on disk at
-a time.  A middle token with more than ``1 / (HOT * partitions)`` of all tokens is split by the first
+a time.  A middle token that has more than a partition's share of all tokens is split by the first
 token; counts of its suffixes, which the split takes apart, are added up by Spark between the steps.
 Tables are deleted after their last reader.
 """
@@ -40,7 +40,7 @@ from .shared import kept_table, map_arrow, remove
 ORDER = 3
 VOCABULARY = 1 << 19
 ROUNDS = 4
-HOT = 4
+HOT = 1                          # a token is hot with more than this over the number of partitions
 FIXED = 1 << 22
 BLOCK_BYTES = 8 << 20
 HELD_TOKENS = 1 << 20            # distinct tokens that a counting task holds
@@ -50,8 +50,6 @@ HELD_TOKENS = 1 << 20            # distinct tokens that a counting task holds
 SINGLES = [(0x80, 0xBF), (0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2000, 0x2BFF), (0x2E80, 0xA4CF),
            (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x1F000, 0x1FAFF), (0x20000, 0x3FFFF)]
 
-_LEADS = np.array([b & 0xC0 != 0x80 for b in range(256)])
-_KIND = X.SPACED_WORD.astype(np.int8)
 _SINGLE_EDGES = np.array([x for a, b in SINGLES for x in (a, b + 1)])
 _START = np.uint64(0xA5A5A5A5A5A5A5A5)
 _DEAL = np.uint64(0x27D4EB2F165667C5)
@@ -121,7 +119,8 @@ def _order(*keys: np.ndarray) -> np.ndarray:
         return np.lexsort(keys[::-1])
     joined = np.zeros(len(keys[0]), np.int64)
     for k, b in zip(keys, bits):
-        joined = joined << b | k
+        joined <<= b
+        joined |= k
     return np.argsort(joined)
 
 
@@ -135,19 +134,24 @@ def _ranges(h: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
 # --------------------------------------------------------------------------- tokens
 def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all tokens of a block, in order."""
-    lead = np.flatnonzero(_LEADS[buf])
-    kind = _KIND[buf[lead]]                    # 0 space, 1 in a word, 2 a token by itself
-    wide = np.flatnonzero(buf[lead] >= 0x80)
-    if len(wide):
-        b = [buf[np.minimum(lead[wide] + k, len(buf) - 1)].astype(np.int64) for k in range(4)]
-        tail = [x & 63 for x in b]
-        point = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | tail[1],
-                         np.where(b[0] < 0xF0, (b[0] & 15) << 12 | tail[1] << 6 | tail[2],
-                                  (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
-        kind[wide[np.searchsorted(_SINGLE_EDGES, point, side="right") % 2 == 1]] = 2
-    run = np.concatenate([[False], kind == 1, [False]])
-    edges = np.append(lead, len(buf))
-    return lead[(kind == 2) | run[1:-1] & ~run[:-2]], edges[1:][(kind == 2) | run[1:-1] & ~run[2:]]
+    word = np.zeros(len(buf) + 2, np.int8)
+    word[1:-1] = X.SPACED_WORD[buf]
+    wide = np.flatnonzero(buf >= 0xC0)
+    b = [buf[np.minimum(wide + k, len(buf) - 1)].astype(np.int64) for k in range(4)]
+    tail = [x & 63 for x in b]
+    size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    point = np.where(size == 2, (b[0] & 31) << 6 | tail[1],
+                     np.where(size == 3, (b[0] & 15) << 12 | tail[1] << 6 | tail[2], (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
+    single = np.searchsorted(_SINGLE_EDGES, point, side="right") % 2 == 1
+    first, size = wide[single], size[single]
+    word[1 + X.ragged(first, size)] = 0
+    edges = np.diff(word)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(first):
+        return starts, ends
+    starts, ends = np.concatenate([starts, first]), np.concatenate([ends, first + size])
+    order = np.argsort(starts)
+    return starts[order], ends[order]
 
 
 def _hashes(texts: list[bytes | None], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +283,7 @@ def _slot(middle: np.ndarray, split: np.ndarray) -> np.ndarray:
 
 def vocabulary(tokens: DataFrame, parts: int, most: int) -> Vocabulary:
     """As many whole powers of two of the count as ``most`` tokens hold, and the tokens that are hot for ``parts`` partitions,
-    at most ``HOT`` times as many as these."""
+    at most as many as these over ``HOT``."""
     power = F.floor(F.log2("n"))
     rows = {r["power"]: (r["rows"], r["all"]) for r in tokens.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")).collect()}
     held, least = 0, None
@@ -290,47 +294,55 @@ def vocabulary(tokens: DataFrame, parts: int, most: int) -> Vocabulary:
         least = k
     top = tokens.where(F.lit(False) if least is None else power >= least).select("h", "lang", "n").toArrow()
     total = sum(n for _, n in rows.values())
-    hot = tokens.where(F.col("n") * (HOT * parts) > total).select("h", "n").toArrow()
+    hot = tokens.where(F.col("n") * parts > HOT * total).select("h", "n").toArrow()
     n = hot["n"].to_numpy()
-    return Vocabulary(top["h"].to_numpy().copy(), top["lang"].to_numpy(), top["n"].to_numpy(), hot["h"].to_numpy().copy(), -(-n * HOT * parts // max(total, 1)))
+    return Vocabulary(top["h"].to_numpy().copy(), top["lang"].to_numpy(), top["n"].to_numpy(), hot["h"].to_numpy().copy(), -(-n * parts // max(HOT * total, 1)))
 
 
 # --------------------------------------------------------------------------- blocks of codes
-def coded_blocks(plain: DataFrame, shared) -> DataFrame:
-    """Rows ``(block, blob)``: the codes of a block's texts, their keys and languages."""
+def _grams(tokens: np.ndarray, n: np.ndarray, start: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all texts, each after its two start marks; the place of every token there, and its text."""
+    pad, owner = ORDER - 1, np.repeat(np.arange(len(n), dtype=np.int32), n)
+    t = np.repeat(start[lang] if len(lang) else start, n.astype(np.int64) + pad)
+    at = np.arange(len(tokens)) + pad * (owner.astype(np.int64) + 1)
+    t[at] = tokens
+    return t, at, owner
+
+
+def coded_blocks(plain: DataFrame, shared, rounds: int) -> DataFrame:
+    """Rows ``(block, blob)``: the codes of a block's texts, the round of the 3-gram that ends in each, their keys
+    and languages."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = shared.value, TaskContext.get().partitionId() << 32
         for batch, texts in X.blocks(batches, 2, BLOCK_BYTES):
             langs = batch.column(1).to_numpy()
             h, n, start = _hashes(texts, langs)
             each, lang = np.unique(langs, return_inverse=True)
-            first = np.unique(langs, return_index=True)[1]
+            first, lang = np.unique(langs, return_index=True)[1], lang.reshape(-1)
             codes, rare, rare_lang = words.codes(np.concatenate([h, start[first]]), np.concatenate([np.repeat(langs, n), each]))
-            blob = pack(_unsigned(batch.column(0).to_numpy()), _u32(lang.reshape(-1)), _unsigned(each), _u32(n), _u32(codes), rare.astype(np.uint64), _unsigned(rare_lang))
+            t, at, _ = _grams(codes[:len(h)], n, codes[len(h):], lang)
+            hash_of = np.concatenate([words.hash, rare])
+            middle = hash_of[t[at - 1]]
+            turn = (_slot(middle, words.split(middle, hash_of[t[at - 2]])) % np.uint64(rounds)).astype(np.uint8)
+            blob = pack(_unsigned(batch.column(0).to_numpy()), _u32(lang), _unsigned(each), _u32(n), _u32(codes), rare.astype(np.uint64), _unsigned(rare_lang), turn)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
             number += 1
 
     return map_arrow(plain.select("key", "lang", "text"), code, "block long, blob binary")
 
 
-def _deal(number: int, blob: bytes, words: Vocabulary, turn: int, rounds: int, parts: int) -> Iterator[tuple[int, bytes]]:
+def _deal(blob: bytes, words: Vocabulary, turn: int, rounds: int, parts: int) -> Iterator[tuple[int, bytes]]:
     """The 3-grams of a block whose turn it is: a partition and its arrays, one after another."""
-    keys, lang, langs, n, codes, rare, rare_lang = unpack(blob)
-    tokens, start = codes[:len(codes) - len(langs)].astype(np.int64), codes[len(codes) - len(langs):].astype(np.int64)
-    pad, each = ORDER - 1, np.arange(len(n))
-    owner = np.repeat(each, n)
-    t = np.repeat(start[lang] if len(lang) else start, n.astype(np.int64) + pad)
-    at = np.arange(len(tokens)) + pad * (owner + 1)
-    t[at] = tokens
-    hash_of = np.concatenate([words.hash, rare])
-    a, b, c = t[at - 2], t[at - 1], tokens
-    middle = hash_of[b]
-    slot = _slot(middle, words.split(middle, hash_of[a]))
-    here = np.flatnonzero(slot % np.uint64(rounds) == np.uint64(turn))
+    keys, lang, langs, n, codes, rare, rare_lang, turns = unpack(blob)
+    here = np.flatnonzero(turns == turn)
     if not len(here):
         return
-    part = (slot[here] // np.uint64(rounds) % np.uint64(parts)).astype(np.int64)
-    a, b, c, owner = a[here], b[here], c[here], owner[here]
+    t, at, owner = _grams(codes[:len(turns)], n, codes[len(turns):], lang)
+    at, owner = at[here], owner[here]
+    a, b, c = (t[at - k].astype(np.int64) for k in (2, 1, 0))
+    hash_of = np.concatenate([words.hash, rare])
+    middle = hash_of[b]
+    part = (_slot(middle, words.split(middle, hash_of[a])) // np.uint64(rounds) % np.uint64(parts)).astype(np.int64)
     order = _order(part, b, c)
     a, b, c, owner, part = a[order], b[order], c[order], owner[order], part[order]
     short = _short(keys.view(np.int64))
@@ -357,25 +369,27 @@ class Merged:
         self.lang = np.concatenate([words.lang, join(7).astype(np.uint64).view(np.int64)[first]])
         self.size, self.documents = words.size, [np.cumsum(p[4].astype(np.int64)) for p in parts]
         a, b, c, key, slot, offset = [], [], [], [], [], 0
-        for p in parts:
-            middle = np.cumsum(p[0].view(np.int32).astype(np.int64))
+        for k, p in enumerate(parts):
+            middle = np.cumsum(p[0].view(np.int32), dtype=np.int32)
             new = np.diff(middle, prepend=-1) != 0
-            step = p[1].view(np.int32).astype(np.int64)
-            total = np.cumsum(step)
-            last = total - np.repeat((total - step)[new], np.diff(np.append(np.flatnonzero(new), len(new))))
-            own = words.size + np.searchsorted(rare, p[6])
-            for out, x in ((a, p[2].astype(np.int64)), (b, middle), (c, last)):
+            step = p[1].view(np.int32)
+            total = np.cumsum(step, dtype=np.int64)
+            last = (total - np.repeat((total - step)[new], np.diff(np.append(np.flatnonzero(new), len(new))))).astype(np.int32)
+            own = (words.size + np.searchsorted(rare, p[6])).astype(np.int32)
+            for out, x in ((a, p[2].astype(np.int32)), (b, middle), (c, last)):
                 strange = x >= words.size
                 x[strange] = own[x[strange] - words.size]
                 out.append(x)
             key.append(p[5][p[3]])
-            slot.append(p[3].astype(np.int64) + offset)
+            slot.append(p[3].astype(np.int32) + np.int32(offset))
             offset += len(p[4])
-        none = [np.zeros(0, np.int64)]
-        a, b, c = (np.concatenate(x or none) for x in (a, b, c))
+            parts[k] = None
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        a, b, c, key, slot = whole(a, np.int32), whole(b, np.int32), whole(c, np.int32), whole(key, np.uint32), whole(slot, np.int32)
         order = _order(b, c, a)
-        a, pair = a[order], (b << 32 | c)[order]
-        key, self.slot = np.concatenate(key or none)[order].astype(np.int64), np.concatenate(slot or none)[order]
+        a, pair = a[order].astype(np.int64), b[order].astype(np.int64) << 32 | c[order]
+        key, self.slot = key[order].astype(np.int64), slot[order]
+        del b, c, slot, order
         at = _starts(pair, a)                                     # 3-grams
         self.count = np.diff(np.append(at, len(a)))
         low, high = (f.reduceat(key, at) if len(at) else key for f in (np.minimum, np.maximum))
@@ -636,13 +650,13 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
     tokens, tokens_at = kept_table(token_counts(plain), "quality-tokens")
     words = vocabulary(tokens, parts, vocabulary_size)
     shared = spark.sparkContext.broadcast(words)
-    codes, codes_at = kept_table(coded_blocks(plain, shared), "quality-codes")
+    codes, codes_at = kept_table(coded_blocks(plain, shared, rounds), "quality-codes")
 
     def dealt(turn: int) -> DataFrame:
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rows = list(_deal(block, blob, shared.value, turn, rounds, parts))
+                    rows = list(_deal(blob, shared.value, turn, rounds, parts))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
                                                           pa.array([b for _, b in rows], pa.binary())], names=["p", "block", "blob"])

@@ -41,6 +41,20 @@ def test_model_matches_plain_python(spark, broadcast_grams):
         assert got[d]["log_perplexity"] == (None if log_perplexity is None else pytest.approx(log_perplexity, abs=1e-6)), d
 
 
+@pytest.mark.parametrize("broadcast_grams", [0, 1 << 19])
+def test_hot_tokens_are_split(spark, monkeypatch, broadcast_grams):
+    """Tokens that hold a third of all, as middle, first and last token; results as without a split."""
+    rnd = random.Random(13)
+    monkeypatch.setattr(knlm, "HOT", 0.2)
+    docs = [(k, rnd.choice(["en", "de"]), " ".join(rnd.choice(["the", "of", rnd.choice("abcdefghijkl") * rnd.randrange(1, 4)]) for _ in range(40))) for k in range(50)]
+    docs += [(100 + k, *docs[k][1:]) for k in range(5)]
+    words = knlm.vocabulary(knlm.token_counts(quality._plain(spark.createDataFrame(docs, SCHEMA), "text", "lang")), 8, broadcast_grams)
+    assert len(words.hot) >= 4 and words.splits.max() > 1
+    got = report(spark, docs, broadcast_grams=broadcast_grams)
+    for d, log_perplexity, kept in brute.quality_kept(docs):
+        assert got[d]["kept"] == kept and got[d]["log_perplexity"] == pytest.approx(log_perplexity, abs=1e-6)
+
+
 def test_model_grows_with_the_text(spark):
     rnd = random.Random(4)
     docs = [(k, "en", " ".join(words(rnd, "abcdefghij", 200))) for k in range(40)]
