@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.aggs import quoted
+from ..session import scratch_path
 from .ordering import numbered
 
 HOT_ROWS = 1_000_000             # an id with more rows on one side is numbered by ranges
@@ -22,7 +24,10 @@ def occurrences(df: DataFrame, key: str, order_by: Sequence[str], *, hot_rows: i
     """
     k = quoted(key)
     window = Window.partitionBy(k).orderBy(*map(quoted, order_by))
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, f"hot-ids-{uuid.uuid4().hex}")
     hot = df.groupBy(k.alias("_hot")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select("_hot")
+    hot.write.parquet(path)          # counted once: several joins read it
+    hot = spark.read.schema(hot.schema).parquet(path)
     if hot.isEmpty():
         return df.withColumn(out, F.row_number().over(window))
     few = df.join(hot, k == F.col("_hot"), "left_anti").withColumn(out, F.row_number().over(window))
