@@ -12,7 +12,8 @@ between them; no escaped text holds ``<|``, and taking one backslash away gives
 back.  Roles are URL-encoded, so a role never ends its line.
 
 Everything is DataFrame functions: one shuffle by conversation, a running sum of lengths
-that places each turn, and one aggregate that puts the turns together.  A conversation is
+that places each part, and one aggregate that puts the parts together; the work is linear in
+the parts but for sorting.  A conversation is
 one output value, so its turns meet in one task; there is no other limit on them.
 
 Edge cases: a null text is empty and a null role is the empty role; null parts and parts
@@ -90,32 +91,27 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     turns = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                             F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), visit(parts).alias("parts"))
     head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    turns = turns.select("conv_id", "turn", "role", head.alias("head"), "parts",
-                         F.array_join(F.transform("parts", lambda p: p["render"]), "").alias("body"))
-    turns = turns.withColumn("n", (F.length("head") + F.length("body") + len(END)).cast("long"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
-    placed = turns.select("*", F.row_number().over(order).alias("place"),
-                          (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    # Spans of a turn: each text part starts after the head and the parts before it.
-    sizes = F.transform("parts", lambda p: F.length(p["render"]).cast("long"))
-    spans = F.filter(F.transform("parts", lambda p, i: F.struct(
-        (F.col("start") + F.length("head") + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)
-         ).alias("start"), F.length(p["render"]).cast("long").alias("length"), (p["kind"] == "text").alias("text"))),
-        lambda s: s["text"])
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    attached = F.transform(F.filter("parts", lambda p: p["kind"] != "text"), lambda p: F.struct(
-        F.col("turn").alias("turn"), p["kind"].alias("kind"), p["uri"].alias("uri"), p["n_tokens"].alias("n_tokens")))
+    null = F.lit(None)
+    mark = lambda kind, text: F.array(F.struct(text.alias("render"), F.lit(kind).alias("kind"), null.cast("string").alias("uri"),
+                                               null.cast("long").alias("n_tokens")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.array_join(F.transform("parts", lambda p: p["render"]), ""))
+    # A turn's pieces: its head, its parts, its end; a running sum of their lengths places each.
+    pieces = (turns.select("*", F.row_number().over(order).alias("place"))
+              .select("conv_id", "turn", "role", "place",
+                      F.posexplode(F.concat(mark("head", head), "parts", mark("end", F.lit(END)))).alias("nth", "piece"))
+              .select("conv_id", "turn", "role", "place", "nth", "piece.*", F.length("piece.render").cast("long").alias("length")))
+    before = Window.partitionBy("conv_id").orderBy("place", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pieces.withColumn("start", F.sum("length").over(before) - F.col("length"))
     grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
-        "place", F.concat("head", "body", F.lit(END)).alias("text"),
-        F.when(F.col("role") == ASSISTANT, spans).otherwise(F.slice(spans, 1, 0)).alias("spans"),
-        attached.alias("attached")))).alias("turns"))
-    flat = F.flatten(F.transform("turns", lambda t: t["attached"]))
+        "place", "nth", "render", "kind", "start", "length", (F.col("role") == ASSISTANT).alias("loss"), "turn", "uri", "n_tokens"))).alias("pieces"))
+    attached = F.filter("pieces", lambda p: ~p["kind"].isin("head", "text", "end"))
     return grouped.select(
-        "conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("formatted"),
-        F.flatten(F.transform("turns", lambda t: t["spans"])).alias("loss_spans"),
-        F.transform(flat, lambda a, i: F.struct(i.alias("ordinal"), a["turn"].alias("turn"), a["kind"].alias("kind"),
-                                                a["uri"].alias("uri"), a["n_tokens"].alias("n_tokens"))).alias("attachments"),
-        F.aggregate(flat, F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]).alias("expanded_tokens"))
+        "conv_id", F.array_join(F.transform("pieces", lambda p: p["render"]), "").alias("formatted"),
+        F.transform(F.filter("pieces", lambda p: (p["kind"] == "text") & p["loss"]),
+                    lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"))).alias("loss_spans"),
+        F.transform(attached, lambda a, i: F.struct(i.alias("ordinal"), a["turn"].alias("turn"), a["kind"].alias("kind"),
+                                                    a["uri"].alias("uri"), a["n_tokens"].alias("n_tokens"))).alias("attachments"),
+        F.aggregate(attached, F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]).alias("expanded_tokens"))
 
 
 def read_turns(formatted: Column) -> Column:
