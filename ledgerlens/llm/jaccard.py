@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import text as X
 from .graph import components
-from .shared import map_arrow, written
+from .shared import map_arrow, quoted, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -99,12 +99,12 @@ _NO_ID = 1 << 62                # nodes of rows without an id start here
 
 
 def _node(id_col: str, text_col: str) -> Column:
-    own = F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
-    return F.coalesce(F.col(id_col).cast("long"), own)
+    own = F.xxhash64(F.col(quoted(text_col)).cast("string")).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+    return F.coalesce(F.col(quoted(id_col)).cast("long"), own)
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(_node(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(_node(id_col, text_col).alias("doc"), F.col(quoted(text_col)).cast("string").alias("text"))
 
 
 def frequent_shingles(plain: DataFrame, size: int, most: int) -> np.ndarray:
@@ -278,7 +278,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with one document of each component, that with the smallest id, as it is."""
     found = _components(docs, id_col, text_col, size, percent, FREQUENT)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = (docs.select(F.struct(*docs.columns).alias("row"), _node(id_col, text_col).alias("own"))
+    kept = (docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), _node(id_col, text_col).alias("own"))
             .join(gone, F.col("own") == F.col("gone"), "left_anti"))
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1)
     if again.count():                           # rows that share a node are one document

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 WIDTH = 3
 
 
@@ -29,7 +31,8 @@ def _lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc, text_hash, pos, k1, k2)``, one for each window; ``pos`` counts lines from 0."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), _lines(F.col(text_col)).alias("lines"))
+    lines = docs.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(quoted(text_col)).alias("text_hash"),
+                        _lines(F.col(quoted(text_col))).alias("lines"))
     each = lines.select("doc", "text_hash", "lines", F.posexplode("lines").alias("pos", "line"))
     part = [F.col("line"), *(F.get("lines", F.col("pos") + k) for k in range(1, WIDTH))]
     return (each.where(F.col("pos") + WIDTH <= F.size("lines")).where(F.concat(*part).rlike(r"[^\x20\x09-\x0D]"))
@@ -50,7 +53,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the lines of later windows removed from the text column.  ``with_counts``
     returns ``doc_id, text, n_lines, n_removed, n_spans`` instead of the other columns."""
     later = later_windows(docs, id_col, text_col)
-    own = docs.select(F.struct(*docs.columns).alias("row"))
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
     text, doc = F.col("row").getField(text_col), F.col("row").getField(id_col)
     joined = own.join(later, doc.eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("text_hash")), "left")
     # Runs of removed lines: a window starts one unless the window before it reaches it, and ends one likewise.

@@ -5,14 +5,28 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import scratch_path, ship_package
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def map_arrow(df: DataFrame, step, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers.  ``mapInArrow`` reads names as
+    expressions; columns with other characters than letters, digits and ``_`` are numbered
+    inside, so a step takes a batch's columns by place."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(step, schema)
+    if all(c.isidentifier() for c in df.columns):
+        return df.mapInArrow(step, schema)
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    if isinstance(schema, str):
+        return numbered.mapInArrow(step, schema)
+    inner = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+    return numbered.mapInArrow(step, inner).toDF(*schema.names)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
