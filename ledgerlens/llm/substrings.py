@@ -7,15 +7,19 @@ Dealing out.  Every ``LENGTH``-byte window selects an anchor: the ``GRAM`` bytes
 within it.  Neighbouring windows with one anchor are a piece.  Equal windows select equal
 anchors at equal places, so pieces dealt out by their anchor's hash bring all equal windows
 together, aligned: column 0 of each piece is its anchor.  Within a chunk of texts equal
-pieces travel once, for the smallest id; the same piece of a larger id is marked at once.
+pieces travel once, for the smallest id; the same piece of a larger id is marked at once.  A
+task also remembers pieces of earlier chunks, those met again and again for good, so a
+passage of very many documents sends about one copy a task, not one a chunk, to its anchor.
+What a task forgets (it remembers ``SEEN_PIECES`` at most) travels again: results are the same.
 
 Construction.  A task takes its pieces as a collection of aligned strings, anchor by anchor,
 and builds the suffix order from the last column to the first, one symbol of each piece a
 round: the symbols of a column in the order of the suffixes to their right are the
 collection's Burrows-Wheeler transform of that round; a stable partition by symbol (its LF
 mapping) gives the next order, and the common prefix of two neighbours is one more than the
-least one between them in the round before.  Columns are read and replaced one by one; only
-the present round's order and common prefixes are kept.  Neighbours that share ``LENGTH``
+least one between them in the round before.  Of earlier rounds only the order and common
+prefixes of the last one are kept.  The pieces of a shard are the task's sequential input and
+held packed; their columns are laid out for ``GROUP_PIECES`` at a time.  Neighbours that share ``LENGTH``
 bytes are equal windows: those whose id is not the least of theirs are marked.
 
 Marks, as byte spans, go back to their documents, merge, and the rest of each text is put
@@ -28,7 +32,6 @@ than all others; ids are whole numbers; other columns are left out.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,7 @@ LENGTH = 50
 GRAM = 12
 CHUNK_BYTES = 1 << 20            # texts whose equal pieces travel once
 SHARDS = 2                       # for each shuffle partition; a task holds the pieces of one shard
+SEEN_PIECES = 1 << 19            # names that a task remembers at most, 25 bytes each
 GROUP_PIECES = 50_000           # pieces built together, if one anchor does not have more
 
 _NULL_ID = (1 << 63) - 1
@@ -102,6 +106,38 @@ def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
+class Seen:
+    """Least ids of the pieces that a task has met, by two hashes.  When it is full, pieces met once
+    are forgotten first, and all others come one step nearer to that."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.name, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.least, self.met = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def least_ids(self, name: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The least id so far of distinct pieces in order of ``name``, those of this chunk included."""
+        at = np.searchsorted(self.name, name)
+        known = np.zeros(len(name), bool)
+        if len(self.name):
+            here = np.minimum(at, len(self.name) - 1)
+            known = (self.name[here] == name) & (self.check[here] == check)
+            hit = here[known]
+            self.met[hit] = np.minimum(self.met[hit], 254) + 1
+            self.least[hit] = np.minimum(self.least[hit], ids[known])
+        least = ids.copy()
+        least[known] = self.least[at[known]]
+        new = ~known
+        for field, values in (("name", name), ("check", check), ("least", ids), ("met", np.ones(len(name), np.uint8))):
+            setattr(self, field, np.insert(getattr(self, field), at[new], values[new]))
+        if len(self.name) > self.most:
+            keep = np.flatnonzero(self.met > 1)
+            if len(keep) > self.most // 2:
+                keep = np.sort(keep[np.argsort(self.met[keep], kind="stable")[-(self.most // 2):]])
+            self.name, self.check, self.least, self.met = self.name[keep], self.check[keep], self.least[keep], self.met[keep] >> 1
+        return least
+
+
 _KINDS = (np.int64, np.int64, np.int32, np.int64, np.uint8, np.uint8, np.uint8, np.int32, np.int32, np.int32)
 
 
@@ -109,6 +145,7 @@ def _deal(shards: int, length: int, gram: int):
     """Map step: texts to rows ``(shard, data)``; ``data`` holds the ids and keys of the texts, the
     shard's pieces (text, byte, place of the anchor, size, bytes) and marks found at once."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen(SEEN_PIECES)
         for batch, texts in X.blocks(batches, 2, CHUNK_BYTES):
             ids = np.array([_NULL_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             keys = batch.column(1).to_numpy()
@@ -117,12 +154,13 @@ def _deal(shards: int, length: int, gram: int):
             if not len(s):
                 continue
             size = last - s + length
-            # equal pieces of the chunk: equal bytes by hash, equal anchors, equal sizes
+            # equal pieces: equal bytes by hash, equal anchors, equal sizes
             names = [X.hash_words(block.buf, s, s + size, fold=False), h ^ size.astype(np.uint64)]
             by = np.lexsort((ids[owner], names[1], names[0]))
             new = np.concatenate([[True], (names[0][by][1:] != names[0][by][:-1]) | (names[1][by][1:] != names[1][by][:-1])])
             least = np.empty(len(s), np.int64)
-            least[by] = ids[owner[by[np.flatnonzero(new)]]][np.cumsum(new) - 1]
+            head = by[np.flatnonzero(new)]
+            least[by] = seen.least_ids(names[0][head], names[1][head], ids[owner[head]])[np.cumsum(new) - 1]
             sent = ids[owner] == least
             shard = (X.mix64(h) % np.uint64(shards)).astype(np.int64)
             own_start = s - block.starts[owner]
