@@ -43,6 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 FREQUENT = 500_000               # shingles that may go last, at most; 16 bytes each are broadcast
 FREQUENT_LEAST = 8               # documents, as far as tasks see them, that make a shingle frequent
+HELD_SHINGLES = 1 << 22          # shingles that a task holds before it hands on what it has of them
 BROADCAST_IDS = 1_000_000        # up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle
 
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
@@ -110,9 +111,16 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def frequent_shingles(plain: DataFrame, size: int, most: int) -> np.ndarray:
     """Shingles that tasks met in two or more of their documents, by rising number of documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [shingle_sets(list(dict.fromkeys(texts)), size)[0]     # copies within a block count once
-                for _, texts in X.blocks(batches, 1)]
-        flat = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+        seen: list[np.ndarray] = []
+        for _, texts in X.blocks(batches, 1):
+            seen.append(shingle_sets(list(dict.fromkeys(texts)), size)[0])     # copies within a block count once
+            if sum(map(len, seen)) >= HELD_SHINGLES:
+                yield from counted(seen)
+        if seen:
+            yield from counted(seen)
+
+    def counted(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate(seen)
         seen.clear()
         flat.sort()
         at = 0
@@ -153,7 +161,7 @@ def _shared_prefixes(plain: DataFrame, shared, size: int, percent: int) -> DataF
     buckets = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, tokens, owners, places, done = Order(shared.value), [], [], [], set()
+        order, tokens, owners, places, done, held = Order(shared.value), [], [], [], set(), 0
         for batch, texts in X.blocks(batches, 1):
             flat, sizes = shingle_sets(texts, size)
             docs = batch.column(0).to_pylist()
@@ -165,9 +173,17 @@ def _shared_prefixes(plain: DataFrame, shared, size: int, percent: int) -> DataF
                     tokens.append(p)
                     owners.append(np.full(len(p), doc, np.int64))
                     places.append(np.arange(len(p), dtype=np.int32))
-        t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        d = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        k = np.concatenate(places) if places else np.zeros(0, np.int32)
+                    held += len(p)
+                    if held >= HELD_SHINGLES // 4:
+                        yield from dealt(tokens, owners, places)
+                        held = 0
+        if tokens:
+            yield from dealt(tokens, owners, places)
+
+    def dealt(*lists: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, d, k = map(np.concatenate, lists)
+        for own in lists:
+            own.clear()
         bucket = (t % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
