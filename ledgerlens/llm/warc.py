@@ -3,14 +3,18 @@
 Writing: Spark groups pages by payload digest (an aggregate that combines before it
 shuffles), a join by page marks which pages revisit another, and Spark's text writer puts
 one WARC record after another into gzip files; the record separator is its line separator,
-so files can go to any store that Spark writes to.
+so files can go to any store that Spark writes to.  Pages are written by classes of payload
+size with fewer records to a file the larger they are: an archive holds at most
+``ARCHIVE_BYTES`` of payload, or one record.
 
 Index: each archive is read back and parsed in one task, which checks every payload
 against its digest and sorts the captures of the archive by URL key, timestamp and page:
 a locally sorted run, written to the shared folder.  The runs are dealt out by ranges of the
 whole sort key, so a URL or host with very many captures spreads over tasks, and each range
-merges its parts of all runs with a loser tree.  Range by range, the result is one capture
-history for each URL key in global order.
+merges its parts of all runs with a loser tree.  There are as many ranges as the number of
+captures asks for, about ``RANGE_ROWS`` in each: a range's part of the runs is held as Arrow
+columns, of which the tree decodes a few rows a run at a time.  Range by range, the result is
+one capture history for each URL key in global order.
 
 Edge cases: a null payload is empty and a null URL has the empty key; line breaks in URLs
 are percent-encoded; payloads under ``MIN_REVISIT`` bytes are always responses; rows that
@@ -24,9 +28,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +40,10 @@ from pyspark.sql import functions as F
 from .shared import map_arrow, new_path, written
 
 MIN_REVISIT = 1000
-RECORDS_A_FILE = 4000
+ARCHIVE_BYTES = 256 << 20       # of payload in an archive, unless it is a single record
+RECORDS_A_FILE = 4096           # of the smallest class; each next class has payloads 16 times as large
+RANGE_ROWS = 200_000            # captures of a merged range, about
+CURSOR_ROWS = 256               # captures of a run that a merge decodes at a time
 END = "\r\n\r\n"
 
 
@@ -44,11 +52,14 @@ def _bytes(html: Column) -> Column:
 
 
 def records(pages: DataFrame, captured_at: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """One WARC record for each page, as the string column ``value``."""
+            min_revisit: int = MIN_REVISIT, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """One WARC record for each page, as the string column ``value``; ``sizes`` selects payloads over
+    its first and up to its second number of bytes (equal payloads are in one class)."""
     payload = _bytes(F.col(html_col))
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), captured_at.alias("at"),
                        payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
+    if sizes:
+        own = own.where((F.col("size") > sizes[0]) & (F.col("size") <= sizes[1]))
     digests = own.select("id", "digest", "size").where(F.col("size") >= min_revisit)
     shared = (digests.groupBy("digest", "size").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
               .where(F.col("refers_to").isNotNull() & (F.col("n") > 1)).drop("n"))
@@ -77,10 +88,26 @@ def records(pages: DataFrame, captured_at: Column, id_col: str = "page_id", url_
     return marked.select(F.concat(head.cast("binary"), F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload"))).cast("string").alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, captured_at: Column, **columns) -> None:
-    """Gzip WARC files of all pages below ``path``."""
-    (records(pages, captured_at, **columns).write.option("lineSep", END).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS_A_FILE).text(path))
+def size_classes(most: int = ARCHIVE_BYTES, records_a_file: int = RECORDS_A_FILE) -> list[tuple[int, int, int]]:
+    """Classes ``(low, high, records)``: payloads over ``low`` and up to ``high`` bytes, and how many go to a file."""
+    out, low = [], -1
+    while records_a_file > 1:
+        out.append((low, most // records_a_file, records_a_file))
+        low, records_a_file = most // records_a_file, records_a_file // 16
+    return [*out, (low, (1 << 31) - 1, 1)]
+
+
+def write_archives(pages: DataFrame, path: str, captured_at: Column, archive_bytes: int = ARCHIVE_BYTES,
+                   html_col: str = "html", **columns) -> None:
+    """Gzip WARC files of all pages below ``path``, in one write for each class of sizes that occurs."""
+    classes = size_classes(archive_bytes)
+    size = F.octet_length(_bytes(F.col(html_col)))
+    fits = [(size > low) & (size <= high) for low, high, _ in classes]
+    found = pages.agg(*(F.max(f).alias(f"k{k}") for k, f in enumerate(fits))).first()
+    for k, (low, high, most) in enumerate(classes):
+        if found[k] or not (k or any(found)):        # of an empty table, an empty folder
+            (records(pages, captured_at, html_col=html_col, sizes=(low, high), **columns).write.option("lineSep", END)
+             .option("compression", "gzip").option("maxRecordsPerFile", most).mode("append").text(path))
 
 
 def parse(content: bytes) -> Iterator[dict]:
@@ -131,9 +158,9 @@ _RUN_SQL = ("run string, urlkey string, captured_at string, page string, payload
 _KEY = ["urlkey", "captured_at", "page", "run", "offset"]
 
 
-def _key(row: dict) -> tuple:
+def _key(urlkey: str, captured_at: str, page: str | None, run: str, offset: int) -> tuple:
     """As Spark orders ``_KEY``: a null page first; strings by their UTF-8 bytes, as code points."""
-    return row["urlkey"], row["captured_at"], row["page"] is not None, row["page"] or "", row["run"], row["offset"]
+    return urlkey, captured_at, page is not None, page or "", run, offset
 
 
 def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -141,31 +168,35 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = sorted(({"run": name.rpartition("/")[2], **r} for r in parse(content.as_buffer().to_pybytes())), key=_key)
+                rows = sorted(({"run": name.rpartition("/")[2], **r} for r in parse(content.as_buffer().to_pybytes())),
+                              key=lambda r: _key(*(r[n] for n in _KEY)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in _RUN], names=[n for n, _ in _RUN])
 
     archives = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     return map_arrow(archives, read, _RUN_SQL)
 
 
-def loser_tree(runs: list[list]) -> Iterator[tuple[int, int]]:
-    """Merge sorted runs: ``(run, index)`` in order, ties by run.  Each inner node keeps the
-    loser of its match, so a step plays one match for each level."""
+def loser_tree(runs: list[Iterable]) -> Iterator[tuple[int, int]]:
+    """Merge sorted runs: ``(run, index)`` in order, ties by run.  Runs are read once, one key
+    ahead.  Each inner node keeps the loser of its match, so a step plays one match for each level."""
     k, at = len(runs), [0] * len(runs)
+    cursors = [iter(run) for run in runs]
+    heads = [next(c, None) for c in cursors]
 
     def wins(a: int, b: int) -> bool:
-        if at[a] >= len(runs[a]):
+        if heads[a] is None:
             return False
-        return at[b] >= len(runs[b]) or (runs[a][at[a]], a) < (runs[b][at[b]], b)
+        return heads[b] is None or (heads[a], a) < (heads[b], b)
 
     best, losers = [0] * k + list(range(k)), [0] * k
     for node in range(k - 1, 0, -1):
         a, b = best[2 * node], best[2 * node + 1]
         best[node], losers[node] = (a, b) if wins(a, b) else (b, a)
     winner = best[1] if k else 0
-    while k and at[winner] < len(runs[winner]):
+    while k and heads[winner] is not None:
         yield winner, at[winner]
         at[winner] += 1
+        heads[winner] = next(cursors[winner], None)
         node = (k + winner) // 2
         while node:
             if wins(losers[node], winner):
@@ -173,34 +204,39 @@ def loser_tree(runs: list[list]) -> Iterator[tuple[int, int]]:
             node //= 2
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in global order: ``part`` counts ranges, ``pos`` places within one."""
-    names = [n for n, _ in _RUN]
+    def cursor(table: pa.Table, start: int, stop: int) -> Iterator[tuple]:
+        for at in range(start, stop, CURSOR_ROWS):
+            few = table.slice(at, min(CURSOR_ROWS, stop - at))
+            yield from map(_key, *(few.column(n).to_pylist() for n in _KEY))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_run: dict[str, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                by_run.setdefault(row["run"], []).append((*_key(row), row))
-        own = [by_run[r] for r in sorted(by_run)]
-        for run in own:
-            run.sort(key=lambda x: x[:-1])     # in order already, unless its blocks came in another order
-        keys = [[x[:-1] for x in run] for run in own]
-        part, out = TaskContext.get().partitionId(), []
-        for pos, (r, i) in enumerate(loser_tree(keys)):
-            out.append((own[r][i][-1], pos))
-            if len(out) == 10_000:
-                yield flush(out, part)
-                out = []
-        if out:
-            yield flush(out, part)
-
-    def flush(out: list, part: int) -> pa.RecordBatch:
-        columns = [pa.array([r[n] for r, _ in out], t) for n, t in _RUN]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(out), pa.int64()), pa.array([p for _, p in out], pa.int64())],
-                                          names=[*names, "part", "pos"])
-
-    return map_arrow(runs.repartitionByRange(*_KEY), merge, _RUN_SQL + ", part long, pos long")
+        got = [batch for batch in batches if batch.num_rows]      # run by run, each in its order
+        if not got:
+            return
+        table = pa.Table.from_batches(got).combine_chunks()
+        got.clear()
+        code = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+        part, places, pos = TaskContext.get().partitionId(), [], 0
+        for r, i in loser_tree([cursor(table, a, b) for a, b in zip(edges, edges[1:])]):
+            places.append(edges[r] + i)
+            if len(places) == 10_000:
+                yield taken(table, places, part, pos)
+                pos, places = pos + len(places), []
+        if places:
+            yield taken(table, places, part, pos)
+
+    def taken(table: pa.Table, places: list[int], part: int, pos: int) -> pa.RecordBatch:
+        rows, n = table.take(pa.array(places, pa.int64())), len(places)
+        columns = [rows.column(name).combine_chunks().cast(kind) for name, kind in _RUN]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(pos, pos + n))],
+                                          names=[*(name for name, _ in _RUN), "part", "pos"])
+
+    ranges = max(-(-runs.count() // range_rows), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = runs.repartitionByRange(ranges, *_KEY).sortWithinPartitions("run", *_KEY)
+    return map_arrow(dealt, merge, _RUN_SQL + ", part long, pos long")
 
 
 def capture_index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
@@ -221,9 +257,9 @@ def capture_index(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
 
 
 def archive_pages(pages: DataFrame, captured_at: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                  min_revisit: int = MIN_REVISIT) -> DataFrame:
+                  min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages as WARC files to the shared folder, read them back, index them."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages, path, captured_at, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit)
+    write_archives(pages, path, captured_at, archive_bytes, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit)
     return capture_index(spark, path, pages.schema[id_col].dataType.simpleString())
