@@ -40,13 +40,14 @@ SPREAD = 2.5
 REFERENCE_CHARS = 1000           # shorter texts get a wider band
 BIN = 0.001                      # width of a log-perplexity bin
 BROADCAST_GRAMS = knlm.VOCABULARY   # frequent tokens that tasks look up without a shuffle
+BATCH_BYTES = 2 << 20            # of a batch of documents that a task counts
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
 _IS_SYMBOL = np.array([b in SYMBOLS for b in range(256)])
-_LEADS = np.array([b & 0xC0 != 0x80 for b in range(256)])
+_NO_CHAR = np.array([b & 0xC0 == 0x80 for b in range(256)]) | (X.SPACED_WORD == 0)      # bytes that begin no character of a word
 
 
 def _key(text_col: str, lang_col: str) -> Column:
@@ -76,9 +77,10 @@ def base_counts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     s, e = block.words(X.SPACED_WORD)
     first, last = block.owner(s)
 
-    def per_text(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return total[b] - total[a]
+    def within(table: np.ndarray) -> np.ndarray:
+        """Bytes of each text that the table marks."""
+        at = np.flatnonzero(table[block.buf])
+        return np.searchsorted(at, block.ends) - np.searchsorted(at, block.starts)
 
     h = X.hash_words(block.buf, s, e, fold=False)
     owner = np.repeat(np.arange(len(texts)), last - first)
@@ -87,23 +89,26 @@ def base_counts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     if len(w):
         at = np.flatnonzero(owner[:len(w)] == owner[REPEAT_WINDOW - 1:])
         key = w[at] ^ X.mix64(owner[at].astype(np.uint64) + np.uint64(1))
-        order = np.argsort(key)
+        order = X.argsort(key)
         same = key[order][1:] == key[order][:-1]
         again = at[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(at) else at
-        np.add.at(covered, again, 1)
-        np.add.at(covered, again + REPEAT_WINDOW, -1)
+        covered = np.bincount(again, minlength=len(covered)) - np.bincount(again + REPEAT_WINDOW, minlength=len(covered))
+    repeated = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
     dup = np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
+        lines = (t or b"").split(b"\n")
+        if len(set(lines)) == len(lines):
+            continue
         seen = set()
-        for line in (t or b"").split(b"\n"):
+        for line in lines:
             if line in seen:
                 dup[k] += bool(line.strip(b" \t\n\v\f\r"))
             else:
                 seen.add(line)
     return {"n_words": last - first,
-            "word_chars": per_text(X.SPACED_WORD[block.buf] & _LEADS[block.buf], block.starts, block.ends),
-            "n_symbols": per_text(_IS_SYMBOL[block.buf], block.starts, block.ends),
-            "n_dup_lines": dup, "n_repeat_words": per_text(np.cumsum(covered)[:-1] > 0, first, last)}
+            "word_chars": block.ends - block.starts - within(_NO_CHAR),
+            "n_symbols": within(_IS_SYMBOL),
+            "n_dup_lines": dup, "n_repeat_words": repeated[last] - repeated[first]}
 
 
 def _failed(base: dict[str, np.ndarray]) -> np.ndarray:
@@ -128,7 +133,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     plain = docs.select(F.col(id_col), _key(text_col, lang_col).alias("key"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     found = log_perplexities(docs, text_col, lang_col, broadcast_grams)
-    return written(map_arrow(plain, count, schema).join(found, "key", "left"), "quality-scores")
+    return written(map_arrow(plain, count, schema).join(found, "key", "left"), "quality-scores", batch_bytes=BATCH_BYTES)
 
 
 def bands(scored: DataFrame, spread: float = SPREAD) -> DataFrame:

@@ -38,23 +38,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept_table(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+#: Bytes of an Arrow batch that a Python step gets; without it, batches of 10 000 rows however long.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def kept_table(df: DataFrame, name: str, compression: str = "zstd", batch_bytes: int | None = None) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, and the table's path: its
     lineage is cut and executors can be lost without computing it anew.  The shuffle files of
-    the write, which nothing reads again, go at once instead of with the driver's garbage."""
+    the write, which nothing reads again, go at once instead of with the driver's garbage.  Python
+    steps get batches of about ``batch_bytes``, or one row."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    put = {_CLEANUP: "true"} | ({_BATCH: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd", batch_bytes: int | None = None) -> DataFrame:
     """:func:`kept_table` without the path: the table stays until the shared folder is cleaned."""
-    return kept_table(df, name, compression)[0]
+    return kept_table(df, name, compression, batch_bytes)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -48,6 +48,7 @@ SPACED_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 FOLD = _table(lambda b: True)
 
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_FOLDED_CODES = _BYTE_CODES[FOLD]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -94,15 +95,27 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
         at, stop = int(starts[i]), int(ends[j - 1])
         piece = buf[at:stop]
         up, down = _power_tables(stop - at + 1)
-        codes = _BYTE_CODES[FOLD[piece] if fold else piece]
+        codes = (_FOLDED_CODES if fold else _BYTE_CODES)[piece]
+        codes *= up[:stop - at]
         sums = np.zeros(stop - at + 1, np.uint64)
-        np.cumsum(codes * up[:stop - at], out=sums[1:])
+        np.cumsum(codes, out=sums[1:])
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
 
+def argsort(h: np.ndarray) -> np.ndarray:
+    """What sorts 64-bit hashes: a sort of their high bits with the places in the low ones, which is much faster, unless
+    different hashes agree in the high bits."""
+    low = len(h).bit_length()
+    joined = h >> np.uint64(low) << np.uint64(low) | np.arange(len(h), dtype=np.uint64)
+    joined.sort()
+    order = (joined & np.uint64((1 << low) - 1)).astype(np.int64)
+    at = h[order]
+    return order if (at[1:] >= at[:-1]).all() else np.argsort(h, kind="stable")
+
+
 def hash_windows(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     """Hashes of every ``width`` consecutive word hashes, by doubling: a window of 13 is
     put together from windows of 8, 4 and 1."""
