@@ -19,7 +19,7 @@ text holds counts as unseen in scoring, so no text vouches for itself.
    numbers of ``1 / FIXED``, so their order does not matter.
 
 Both exchanges run in ``ROUNDS`` rounds, each for a part of the middle tokens, so only that part is on disk at
-a time.  A middle token that has more than a partition's share of all tokens is split by the first
+a time.  Left neighbours meet their tokens as sorted arrays, by range of hashes.  A middle token that has more than a partition's share of all tokens is split by the first
 token; counts of its suffixes, which the split takes apart, are added up by Spark between the steps.
 Tables are deleted after their last reader.
 """
@@ -43,6 +43,7 @@ ROUNDS = 4
 HOT = 1                          # a token is hot with more than this over the number of partitions
 FIXED = 1 << 22
 BLOCK_BYTES = 8 << 20
+BATCH_BYTES = BLOCK_BYTES - (BLOCK_BYTES >> 6)      # of a batch that Spark hands to a step: a block with its other columns
 HELD_TOKENS = 1 << 20            # distinct tokens that a counting task holds
 
 #: Code points that are tokens by themselves: signs of Latin-1, scripts without spaces, general
@@ -113,15 +114,28 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
-    """What sorts by whole numbers from 0 on, the first of them foremost: one sort of one number where they fit."""
-    bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    """What sorts by whole numbers from 0 on, the first of them foremost: one sort of one number where they fit, with
+    the places in its low bits if these fit too."""
+    bits, low = [int(k.max()).bit_length() if len(k) else 0 for k in keys], len(keys[0]).bit_length()
     if sum(bits) > 63:
         return np.lexsort(keys[::-1])
     joined = np.zeros(len(keys[0]), np.int64)
     for k, b in zip(keys, bits):
         joined <<= b
         joined |= k
-    return np.argsort(joined)
+    if sum(bits) + low > 63:
+        return np.argsort(joined)
+    joined <<= low
+    joined |= np.arange(len(joined))
+    joined.sort()
+    return joined & ((1 << low) - 1)
+
+
+def _dense(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, below ``size``, in order, and the number of each value among them."""
+    seen = np.zeros(size, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[x]
 
 
 def _ranges(h: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -145,12 +159,13 @@ def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     single = np.searchsorted(_SINGLE_EDGES, point, side="right") % 2 == 1
     first, size = wide[single], size[single]
     word[1 + X.ragged(first, size)] = 0
-    edges = np.diff(word)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    word = word != 0
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
     if not len(first):
         return starts, ends
     starts, ends = np.concatenate([starts, first]), np.concatenate([ends, first + size])
-    order = np.argsort(starts)
+    order = np.argsort(starts, kind="stable")       # merges two runs
     return starts[order], ends[order]
 
 
@@ -182,7 +197,7 @@ class _Tally:
 
     def merge(self) -> tuple[np.ndarray, ...]:
         h, lang, n, low, high = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(h)
+        order = X.argsort(h)
         at = _starts(h[order])
         if len(at):
             h, lang, n, low, high = (h[order][at], lang[order][at], np.add.reduceat(n[order], at), np.minimum.reduceat(low[order], at),
@@ -212,7 +227,7 @@ def token_counts(plain: DataFrame) -> DataFrame:
             h, n, start = _hashes(texts, langs)
             each = np.arange(len(texts))
             h, owner = np.concatenate([h, start]), np.concatenate([np.repeat(each, n), each])
-            order = np.argsort(h)
+            order = X.argsort(h)
             key, at = _short(batch.column(0).to_numpy())[owner[order]].astype(np.int64), _starts(h[order])
             if len(at):
                 tally.add(h[order][at], langs[owner[order][at]], np.diff(np.append(at, len(h))), np.minimum.reduceat(key, at), np.maximum.reduceat(key, at))
@@ -252,9 +267,19 @@ class Vocabulary:
         by = np.argsort(hot.view(np.uint64))
         self.hot, self.splits = hot.view(np.uint64)[by], splits[by].astype(np.uint64)
 
+    def __getstate__(self) -> dict:
+        """What a broadcast holds: half as many bytes."""
+        langs, lang = np.unique(self.lang, return_inverse=True)
+        return self.__dict__ | {"sorted": None, "code": self.code.astype(np.int32), "lang": (langs, _u32(lang.reshape(-1)))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.code, self.lang = self.code.astype(np.int64), self.lang[0][self.lang[1]]
+        self.sorted = self.hash[self.code]
+
     def codes(self, h: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of tokens, and hashes and languages of the rare ones, which are numbered from ``size`` on."""
-        order = np.argsort(h)
+        """Codes of tokens, and hashes, in order, and languages of the rare ones, which are numbered from ``size`` on."""
+        order = X.argsort(h)
         h, out = h[order], np.empty(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.sorted, h), max(self.size - 1, 0))
         known = self.sorted[at] == h if self.size else np.zeros(len(h), bool)
@@ -300,13 +325,13 @@ def vocabulary(tokens: DataFrame, parts: int, most: int) -> Vocabulary:
 
 
 # --------------------------------------------------------------------------- blocks of codes
-def _grams(tokens: np.ndarray, n: np.ndarray, start: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all texts, each after its two start marks; the place of every token there, and its text."""
-    pad, owner = ORDER - 1, np.repeat(np.arange(len(n), dtype=np.int32), n)
-    t = np.repeat(start[lang] if len(lang) else start, n.astype(np.int64) + pad)
-    at = np.arange(len(tokens)) + pad * (owner.astype(np.int64) + 1)
-    t[at] = tokens
-    return t, at, owner
+def _grams(codes: np.ndarray, n: np.ndarray, start: np.ndarray, lang: np.ndarray, here: np.ndarray) -> list[np.ndarray]:
+    """First, middle and last token of the 3-grams that end in the tokens ``here``, and their texts; each text begins
+    after two start marks of its language."""
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)[here]
+    place = here - (np.cumsum(n, dtype=np.int64) - n)[owner]
+    mark = start[lang][owner]
+    return [*(np.where(place >= k, codes[here - k], mark) for k in (2, 1)), codes[here], owner]
 
 
 def coded_blocks(plain: DataFrame, shared, rounds: int) -> DataFrame:
@@ -319,12 +344,12 @@ def coded_blocks(plain: DataFrame, shared, rounds: int) -> DataFrame:
             h, n, start = _hashes(texts, langs)
             each, lang = np.unique(langs, return_inverse=True)
             first, lang = np.unique(langs, return_index=True)[1], lang.reshape(-1)
-            codes, rare, rare_lang = words.codes(np.concatenate([h, start[first]]), np.concatenate([np.repeat(langs, n), each]))
-            t, at, _ = _grams(codes[:len(h)], n, codes[len(h):], lang)
+            codes, rare, rare_lang = words.codes(np.concatenate([h, start[first]]), np.concatenate([np.repeat(lang.astype(np.int32), n), np.arange(len(each), dtype=np.int32)]))
+            a, b, _, _ = _grams(codes[:len(h)], n, codes[len(h):], lang, np.arange(len(h)))
             hash_of = np.concatenate([words.hash, rare])
-            middle = hash_of[t[at - 1]]
-            turn = (_slot(middle, words.split(middle, hash_of[t[at - 2]])) % np.uint64(rounds)).astype(np.uint8)
-            blob = pack(_unsigned(batch.column(0).to_numpy()), _u32(lang), _unsigned(each), _u32(n), _u32(codes), rare.astype(np.uint64), _unsigned(rare_lang), turn)
+            middle = hash_of[b]
+            turn = (_slot(middle, words.split(middle, hash_of[a])) % np.uint64(rounds)).astype(np.uint8)
+            blob = pack(_unsigned(batch.column(0).to_numpy()), _u32(lang), _unsigned(each), _u32(n), _u32(codes), np.diff(rare, prepend=np.uint64(0)), _u32(rare_lang), turn)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
             number += 1
 
@@ -337,25 +362,28 @@ def _deal(blob: bytes, words: Vocabulary, turn: int, rounds: int, parts: int) ->
     here = np.flatnonzero(turns == turn)
     if not len(here):
         return
-    t, at, owner = _grams(codes[:len(turns)], n, codes[len(turns):], lang)
-    at, owner = at[here], owner[here]
-    a, b, c = (t[at - k].astype(np.int64) for k in (2, 1, 0))
+    rare, codes = np.cumsum(rare), codes.view(np.int32)
+    a, b, c, owner = _grams(codes[:len(turns)], n, codes[len(turns):], lang, here)
     hash_of = np.concatenate([words.hash, rare])
     middle = hash_of[b]
     part = (_slot(middle, words.split(middle, hash_of[a])) // np.uint64(rounds) % np.uint64(parts)).astype(np.int64)
-    order = _order(part, b, c)
+    order = _order(part, _dense(b, len(hash_of))[1], c)
     a, b, c, owner, part = a[order], b[order], c[order], owner[order], part[order]
     short = _short(keys.view(np.int64))
     edges = np.append(_starts(part), len(part))
     for low, high in zip(edges[:-1], edges[1:]):
         one = [x[low:high] for x in (a, b, c)]
-        strange = np.unique(np.concatenate([x[x >= words.size] for x in one]))
-        one = [np.where(x >= words.size, words.size + np.searchsorted(strange, x), x) for x in one]
-        docs, doc = np.unique(owner[low:high], return_inverse=True)
+        is_rare = [x >= words.size for x in one]
+        strange = np.sort(np.concatenate([x[r] for x, r in zip(one, is_rare)]))
+        strange = strange[_starts(strange)]
+        for x, r in zip(one, is_rare):
+            x[r] = words.size + np.searchsorted(strange, x[r])
+        docs, doc = _dense(owner[low:high], len(n))
+        own, own_lang = np.unique(rare_lang[strange - words.size], return_inverse=True)
         new = np.diff(one[1], prepend=-1) != 0
         step = np.where(new, one[2], np.diff(one[2], prepend=0))
-        yield int(part[low]), pack(_u32(np.diff(one[1], prepend=0)), _u32(step), _u32(one[0]), _u32(doc.reshape(-1)), _u32(np.diff(docs, prepend=0)),
-                                   short[docs], rare[strange - words.size], rare_lang[strange - words.size])
+        yield int(part[low]), pack(_u32(np.diff(one[1], prepend=0)), _u32(step), _u32(one[0]), _u32(doc), _u32(np.diff(docs, prepend=0)),
+                                   short[docs], np.diff(rare[strange - words.size], prepend=np.uint64(0)), _u32(own_lang.reshape(-1)), langs[own])
 
 
 class Merged:
@@ -363,10 +391,13 @@ class Merged:
 
     def __init__(self, blobs: list[bytes], words: Vocabulary):
         parts = [unpack(b) for b in blobs]
+        for part in parts:
+            part[6] = np.cumsum(part[6])
         join = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32)
         rare, first = np.unique(join(6).astype(np.uint64), return_index=True)
         self.hash = np.concatenate([words.hash, rare])
-        self.lang = np.concatenate([words.lang, join(7).astype(np.uint64).view(np.int64)[first]])
+        rare_lang = np.concatenate([p[8][p[7]] for p in parts]) if parts else np.zeros(0, np.uint64)
+        self.lang = np.concatenate([words.lang, rare_lang.view(np.int64)[first]])
         self.size, self.documents = words.size, [np.cumsum(p[4].astype(np.int64)) for p in parts]
         a, b, c, key, slot, offset = [], [], [], [], [], 0
         for k, p in enumerate(parts):
@@ -420,42 +451,102 @@ def _count(shared, follow_parts: int):
             p = batch.column(0)[0].as_py() if batch.num_rows else p
         if not blobs:
             return
-        m, rows = Merged(blobs, shared.value), []
+        m = Merged(blobs, shared.value)
+        del blobs
         lang = m.lang[m.middle]
-        for size, values, langs in ((3, m.count, lang[m.suffix]), (2, m.before[~m.hot], lang[~m.hot])):
-            rows += [(_STATS, p, size, None, x, *n, None) for x, *n in _counts_of_counts(values, langs)]
+        stats = [[size, *row] for size, values, langs in ((3, m.count, lang[m.suffix]), (2, m.before[~m.hot], lang[~m.hot]))
+                 for row in _counts_of_counts(values, langs)]
+        size, of, *counts = np.array(stats, np.int64).reshape(-1, 7).T
+        yield from _counted(len(size), kind=_STATS, p=p, h1=size, lang=of, **{f"v{k}": x for k, x in enumerate(counts)})
         token, n = np.unique(m.last[~m.hot], return_counts=True)
-        h = m.hash[token]
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        rows += [(_FOLLOWERS, k, *[None] * 8, pack(np.diff(h[a:b], prepend=np.uint64(0)), _u32(n[a:b]))) for k, a, b in _ranges(h, follow_parts)]
-        strange = np.unique(m.last[m.last >= m.size])
-        rows += [(_RARE, p, x, *[None] * 8) for x in _signed(m.hash[strange]).tolist()]
+        order = np.argsort(m.hash[token])
+        sent = list(_neighbours(shared.value, m.hash[token][order], n[order], follow_parts))
+        yield from _counted(len(sent), kind=_FOLLOWERS, p=[k for k, _ in sent], blob=[b for _, b in sent])
+        rare = _signed(m.hash[np.unique(m.last[m.last >= m.size])])
+        yield from _counted(len(rare), kind=_RARE, p=p, h1=rare)
         hot = np.flatnonzero(m.hot)
-        rows += [(_HOT, None, *r, None, None, None) for r in zip(_signed(m.hash[m.middle[hot]]).tolist(), _signed(m.hash[m.last[hot]]).tolist(), lang[hot].tolist(),
-                                                                  m.before[hot].tolist(), m.low[hot].tolist(), m.high[hot].tolist())]
-        names = [x.split()[0] for x in _COUNTED.split(", ")]
-        types = [pa.int32(), pa.int32(), *[pa.int64()] * 8, pa.binary()]
-        for i in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i:i + (1 << 16)]), types)], names=names)
+        yield from _counted(len(hot), kind=_HOT, h1=_signed(m.hash[m.middle[hot]]), h2=_signed(m.hash[m.last[hot]]), lang=lang[hot],
+                            v0=m.before[hot], v1=m.low[hot], v2=m.high[hot])
 
     return step
 
 
-def _added_followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(h, a)``: distinct left neighbours of each token, of a partition of the tokens."""
-    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held_h, held_n = [h], [n]
-    for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            x, k = unpack(blob)
-            held_h.append(np.cumsum(x))
-            held_n.append(k.astype(np.int64))
-            if sum(map(len, held_h)) > max(1 << 20, 2 * len(held_h[0])):
-                held_h, held_n = ([x] for x in _summed(np.concatenate(held_h), np.concatenate(held_n)))
-    h, n = _summed(np.concatenate(held_h), np.concatenate(held_n))
-    for i in range(0, len(h), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(h[i:i + (1 << 16)])), pa.array(n[i:i + (1 << 16)])], names=["h", "a"])
+def _counted(rows: int, **columns) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_COUNTED``; a column is an array or one value, and null if left out."""
+    names, kinds = zip(*(x.split() for x in _COUNTED.split(", ")))
+    types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for k in kinds]
+    arrays = []
+    for name, kind in zip(names, types):
+        x = columns.get(name)
+        arrays.append(pa.nulls(rows, kind) if x is None else pa.repeat(pa.scalar(x, kind), rows) if isinstance(x, int) else pa.array(x, kind))
+    for i in range(0, rows, 1 << 16):
+        yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in arrays], names=names)
+
+
+def _neighbours(words: Vocabulary, h: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Numbers of left neighbours by sorted hash, cut into ranges of hashes: frequent tokens by their place among all
+    frequent ones, rare ones by their hash."""
+    for k, a, b in _ranges(h, parts):
+        at = np.searchsorted(words.sorted, h[a:b])
+        known = words.sorted[np.minimum(at, words.size - 1)] == h[a:b] if words.size else np.zeros(b - a, bool)
+        yield k, pack(_u32(np.diff(at[known], prepend=0)), _u32(n[a:b][known]), np.diff(h[a:b][~known], prepend=np.uint64(0)), _u32(n[a:b][~known]))
+
+
+def _sent_neighbours(shared, parts: int):
+    """Rows ``(h, a)`` as arrays of :func:`_neighbours`."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = _summed(_unsigned(batch.column(0).to_numpy()), batch.column(1).to_numpy())
+            yield _sent(0, list(_neighbours(shared.value, h, n, parts)))
+
+    return step
+
+
+def _sent_tokens(parts: int):
+    """Rows of :func:`token_counts` as arrays, cut into ranges of hashes."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, lang, n, shared = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            order = np.argsort(_unsigned(h))
+            h, n, shared = _unsigned(h)[order], _unsigned(n)[order], shared.astype(np.uint8)[order]
+            langs, lang = np.unique(lang[order], return_inverse=True)
+            lang = lang.reshape(-1)
+            yield _sent(1, [(k, pack(np.diff(h[a:b], prepend=np.uint64(0)), _u32(lang[a:b]), _unsigned(langs), n[a:b], shared[a:b])) for k, a, b in _ranges(h, parts)])
+
+    return step
+
+
+def _sent(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())],
+                                      names=["p", "kind", "blob"])
+
+
+def _with_neighbours(shared):
+    """Rows ``(h, lang, n, shared, a)`` of the tokens of a range that have left neighbours: ``a`` distinct ones."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, tokens, held = shared.value, [], [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind:
+                    h, lang, langs, n, both = unpack(blob)
+                    tokens.append((np.cumsum(h), langs.view(np.int64)[lang], n.view(np.int64), both.astype(bool)))
+                    continue
+                at, n, h, more = unpack(blob)
+                held.append((np.concatenate([words.sorted[np.cumsum(at, dtype=np.int64)], np.cumsum(h)]), np.concatenate([n, more]).astype(np.int64)))
+                if sum(len(x) for x, _ in held) > max(1 << 20, 2 * len(held[0][0])):
+                    held = [_summed(*map(np.concatenate, zip(*held)))]
+        h, a = _summed(*map(np.concatenate, zip(*held)))
+        if not len(h) or not tokens:
+            return
+        own, *columns = map(np.concatenate, zip(*tokens))
+        order = np.argsort(own)
+        at = np.minimum(np.searchsorted(own[order], h), len(own) - 1)
+        met = own[order][at] == h
+        columns = [_signed(h[met]), *(x[order][at][met] for x in columns), a[met]]
+        for i in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + (1 << 16)]) for x in columns], names=["h", "lang", "n", "shared", "a"])
+
+    return step
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -647,10 +738,10 @@ def model(plain: DataFrame, vocabulary_size: int = VOCABULARY, rounds: int = ROU
 def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> DataFrame:
     spark: SparkSession = plain.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens, tokens_at = kept_table(token_counts(plain), "quality-tokens")
+    tokens, tokens_at = kept_table(token_counts(plain), "quality-tokens", batch_bytes=BATCH_BYTES)
     words = vocabulary(tokens, parts, vocabulary_size)
     shared = spark.sparkContext.broadcast(words)
-    codes, codes_at = kept_table(coded_blocks(plain, shared, rounds), "quality-codes")
+    codes, codes_at = kept_table(coded_blocks(plain, shared, rounds), "quality-codes", batch_bytes=BATCH_BYTES)
 
     def dealt(turn: int) -> DataFrame:
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -665,7 +756,8 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
     follow_parts = max(1, parts // 4)
     counted, counted_at = [], []
     for turn in range(rounds):
-        table, at = kept_table(map_arrow(dealt(turn).select("p", "blob").repartitionById(parts, "p"), _count(shared, follow_parts), _COUNTED), "quality-counted")
+        table, at = kept_table(map_arrow(dealt(turn).select("p", "blob").repartitionById(parts, "p"), _count(shared, follow_parts), _COUNTED), "quality-counted",
+                               batch_bytes=BATCH_BYTES)
         counted.append(table)
         counted_at.append(at)
     every = counted[0]
@@ -675,9 +767,11 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
     # Suffixes of hot tokens, whole; left neighbours and values of single tokens; discounts.
     suffixes, suffixes_at = kept_table(
         every.where(F.col("kind") == _HOT).groupBy("h1", "h2", "lang").agg(F.sum("v0").alias("a"), (F.min("v1") != F.max("v2")).alias("shared")), "quality-hot")
-    followers = map_arrow(every.where(F.col("kind") == _FOLLOWERS).select("p", "blob").repartitionById(follow_parts, "p"), _added_followers, "h long, a long")
-    followers = followers.union(suffixes.groupBy("h2").agg(F.count(F.lit(1)).alias("a"))).groupBy("h").agg(F.sum("a").alias("a"))
-    single, single_at = kept_table(tokens.join(followers, "h"), "quality-single")
+    sent = (map_arrow(tokens.select("h", "lang", "n", "shared"), _sent_tokens(follow_parts), "p int, kind int, blob binary")
+            .union(every.where(F.col("kind") == _FOLLOWERS).select("p", F.lit(0).alias("kind"), "blob"))
+            .union(map_arrow(suffixes.groupBy("h2").agg(F.count(F.lit(1)).alias("a")), _sent_neighbours(shared, follow_parts), "p int, kind int, blob binary")))
+    single, single_at = kept_table(map_arrow(sent.repartitionById(follow_parts, "p"), _with_neighbours(shared), "h long, lang long, n long, shared boolean, a long"),
+                                   "quality-single")
     remove(spark, tokens_at)
     zero = F.lit(0).cast("long").alias("total")
     stats = (every.where(F.col("kind") == _STATS).select("lang", F.col("h1").cast("int").alias("size"), zero, *(F.col(f"v{k}").alias(f"n{k}") for k in range(5)))
@@ -700,40 +794,41 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
               for h, k in zip(words.hot, words.splits) for s in np.unique(_slot(np.full(int(k), h), np.arange(int(k), dtype=np.uint64)))]
     places = spark.createDataFrame(sorted(set(places)), "at_h1 long, turn int, p int")
 
-    def long(df: DataFrame, kind: int, **columns: Column) -> DataFrame:
-        columns["kind"] = F.lit(kind)
+    def long(df: DataFrame, **columns: Column) -> DataFrame:
         fields = [x.split() for x in _DEALT.split(", ")]
         return df.select(*(columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields))
 
-    for turn in range(rounds):
-        big = counted_at[turn]
-        counted[turn], counted_at[turn] = kept_table(counted[turn].where(F.col("kind").isin(_STATS, _RARE)).select("kind", "p", "h1", "lang"), "quality-met")
-        remove(spark, big)
+    # What partitions need of languages and rare tokens, of all rounds.
+    met = None
+    for turn, table in enumerate(counted):
+        table = table.where(F.col("kind").isin(_STATS, _RARE)).select(F.lit(turn).alias("turn"), "kind", "p", "h1", F.col("lang").alias("met_lang"))
+        met = table if met is None else met.union(table)
+    langs = met.where(F.col("kind") == _STATS).select("turn", "p", "met_lang").distinct().join(discounts, F.col("met_lang") == F.col("lang"))
+    rare = met.where(F.col("kind") == _RARE).join(values.where((F.col("n") < words.least) & F.col("shared")), F.col("h1") == F.col("h"))
+    given, given_at = kept_table(
+        langs.select("turn", F.lit(_DISCOUNTS).alias("kind"), "p", F.col("lang").alias("h1"), F.col("size").cast("double").alias("w0"), F.col("d1").alias("w1"),
+                     F.col("d2").alias("w2"), F.col("d3").alias("w3"), F.log(F.col("rest") / F.col("types")).alias("w4"))
+        .unionByName(rare.select("turn", F.lit(_TOKEN).alias("kind"), "p", "h1", F.col("chance").alias("w0"), F.col("log").alias("w1")), allowMissingColumns=True),
+        "quality-given")
+    for at in (single_at, *counted_at):
+        remove(spark, at)
 
     scored, scored_at = [], []
     for turn in range(rounds):
-        met = counted[turn]
-        langs = met.where(F.col("kind") == _STATS).select("p", "lang").distinct()
-        given = langs.join(discounts.withColumnRenamed("lang", "of_lang"), F.col("lang") == F.col("of_lang"))
-        rare = met.where(F.col("kind") == _RARE).select("p", F.col("h1").alias("rare_h")).join(values.where((F.col("n") < words.least) & F.col("shared")), F.col("rare_h") == F.col("h"))
         hot = (suffixes.join(places.where(F.col("turn") == turn), F.col("h1") == F.col("at_h1")).join(contexts, F.col("h1") == F.col("of_h1")))
-        rows = (long(dealt(turn), _ENTRIES, p=F.col("p"), block=F.col("block"), blob=F.col("blob"))
-                .union(long(given, _DISCOUNTS, p=F.col("p"), h1=F.col("lang"), w0=F.col("size"), w1=F.col("d1"), w2=F.col("d2"), w3=F.col("d3"),
-                             w4=F.log(F.col("rest") / F.col("types"))))
-                .union(long(rare, _TOKEN, p=F.col("p"), h1=F.col("h"), w0=F.col("chance"), w1=F.col("log")))
-                .union(long(hot, _SUFFIX, p=F.col("p"), h1=F.col("h1"), h2=F.col("h2"), w0=F.col("a"), w1=F.col("shared").cast("int"), w2=F.col("w2"), w3=F.col("w3"))))
+        rows = (long(dealt(turn), kind=F.lit(_ENTRIES), p=F.col("p"), block=F.col("block"), blob=F.col("blob"))
+                .union(long(given.where(F.col("turn") == turn), **{c: F.col(c) for c in ("kind", "p", "h1", "w0", "w1", "w2", "w3", "w4")}))
+                .union(long(hot, kind=F.lit(_SUFFIX), p=F.col("p"), h1=F.col("h1"), h2=F.col("h2"), w0=F.col("a"), w1=F.col("shared").cast("int"), w2=F.col("w2"), w3=F.col("w3"))))
         if arrays:
-            table, at = kept_table(map_arrow(rows.repartitionById(parts, "p"), _score(shared, top, True), "size int, entries long, blob binary"), "quality-model")
+            table, at = kept_table(map_arrow(rows.repartitionById(parts, "p"), _score(shared, top, True), "size int, entries long, blob binary"), "quality-model", batch_bytes=BATCH_BYTES)
             scored.append(table)
-            remove(spark, counted_at[turn])
             continue
         sums = map_arrow(rows.repartitionById(parts, "p"), _score(shared, top), "block long, blob binary")
         dense = map_arrow(sums.select("block", F.lit(0).alias("kind"), "blob").repartition(parts, "block").sortWithinPartitions("block"), _by_block(False),
                           "block long, blob binary")
-        table, at = kept_table(dense, "quality-sums")
+        table, at = kept_table(dense, "quality-sums", batch_bytes=BATCH_BYTES)
         scored.append(table.select("block", F.lit(0).alias("kind"), "blob"))
         scored_at.append(at)
-        remove(spark, counted_at[turn])
     if arrays:
         out = scored[0]
         for table in scored[1:]:
@@ -743,8 +838,9 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
     for table in scored:
         heads = heads.union(table)
     by_text = map_arrow(heads.repartition(parts, "block").sortWithinPartitions("block"), _by_block(True), "key long, tokens long, whole long, single long")
-    out, _ = kept_table(by_text.where("tokens > 0").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "whole", "single"))), "quality-scores-by-text")
-    for at in (codes_at, suffixes_at, single_at, discounts_at, *scored_at):
+    out, _ = kept_table(by_text.where("tokens > 0").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "whole", "single"))), "quality-scores-by-text",
+                        batch_bytes=BATCH_BYTES)
+    for at in (codes_at, suffixes_at, given_at, discounts_at, *scored_at):
         remove(spark, at)
     shared.unpersist()
     top.unpersist()

@@ -1,10 +1,15 @@
 """The word model of the quality rules: against plain Python, by script, by language."""
 
+import pickle
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import knlm, quality
+from ledgerlens.llm import text as X
+from ledgerlens.llm.shared import map_arrow, written
 
 from . import brute
 from .conftest import text
@@ -104,3 +109,43 @@ def test_copies_and_near_copies_stay(spark):
     docs += [(200 + k, "en", docs[0][2]) for k in range(15)] + [(300 + k, "en", " ".join(docs[1][2].split()[k:])) for k in range(1, 10)]
     got = report(spark, docs)
     assert all(got[d]["kept"] for d, *_ in docs if d >= 200 or d < 2)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A step gets batches of a size in bytes, not of 10 000 rows; a longer row comes alone."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+    docs = spark.range(0, 600, 1, 1).selectExpr("repeat('word ', if(id = 300, 100000, 400)) as text")
+    got = written(map_arrow(docs, sizes, "rows long, bytes long"), "sizes", batch_bytes=100_000).collect()
+    assert sum(r["rows"] for r in got) == 600 and len(got) >= 10
+    assert all(r["bytes"] < 120_000 for r in got if r["bytes"] < 500_000) and sum(r["bytes"] >= 500_000 for r in got) == 1
+
+
+def test_hashes_that_agree_in_their_high_bits_are_sorted():
+    near = np.array([5, 3, 5, 1 << 40, 3, 4, 1 << 63, 0], np.uint64)
+    for h in (near, near[:0], near[:1], X.mix64(np.arange(1000, dtype=np.uint64) % np.uint64(7))):
+        assert (h[X.argsort(h)] == np.sort(h)).all() and sorted(X.argsort(h).tolist()) == list(range(len(h)))
+
+
+def test_neighbours_meet_their_tokens():
+    """Frequent tokens travel by place, rare ones by hash, both cut into ranges; a broadcast vocabulary comes back whole."""
+    h = X.mix64(np.arange(500, dtype=np.uint64))
+    n, lang = np.arange(500) + 1, np.arange(500) % 3 - 1
+    words = knlm.Vocabulary(h[:300].view(np.int64), lang[:300], n[:300], h[:2].view(np.int64), np.array([2, 3]))
+    again = pickle.loads(pickle.dumps(words))
+    assert all((getattr(words, k) == getattr(again, k)).all() for k in ("hash", "lang", "code", "sorted", "hot", "splits"))
+
+    class Shared:
+        value = again
+    batch = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lang), pa.array(n), pa.array(n % 2 == 0)], names=["h", "lang", "n", "shared"])
+    some = np.sort(np.concatenate([h[100:200], h[250:400]]))
+    found = {}
+    for p in range(5):
+        rows = [(0, b) for k, b in knlm._neighbours(again, some, np.full(len(some), 4), 5) if k == p] * 2
+        rows += [(1, b.as_py()) for sent in knlm._sent_tokens(5)([batch]) for k, b in zip(sent["p"].to_pylist(), sent["blob"]) if k == p]
+        given = pa.RecordBatch.from_arrays([pa.array([p] * len(rows)), pa.array([k for k, _ in rows]), pa.array([b for _, b in rows])], names=["p", "kind", "blob"])
+        for out in knlm._with_neighbours(Shared)([given]):
+            found |= {r["h"]: (r["lang"], r["n"], r["shared"], r["a"]) for r in out.to_pylist()}
+    at = [*range(100, 200), *range(250, 400)]
+    assert found == {int(h[k].view(np.int64)): (int(lang[k]), int(n[k]), bool(n[k] % 2 == 0), 8) for k in at}
