@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as X
-from .shared import kept_table, map_arrow, remove
+from .shared import kept_table, map_arrow, remove, returning
 
 ORDER = 3
 VOCABULARY = 1 << 19
@@ -43,7 +43,8 @@ ROUNDS = 4
 HOT = 1                          # a token is hot with more than this over the number of partitions
 FIXED = 1 << 22
 BLOCK_BYTES = 8 << 20
-BATCH_BYTES = BLOCK_BYTES - (BLOCK_BYTES >> 6)      # of a batch that Spark hands to a step: a block with its other columns
+PIECE_BYTES = 1 << 20            # of a block that is cut into tokens at a time
+BATCH_BYTES = (BLOCK_BYTES - (BLOCK_BYTES >> 6)) // 4     # of a batch that Spark hands to a step, of which it holds several copies: four make a block
 HELD_TOKENS = 1 << 20            # distinct tokens that a counting task holds
 
 #: Code points that are tokens by themselves: signs of Latin-1, scripts without spaces, general
@@ -171,12 +172,18 @@ def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(texts: list[bytes | None], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, the number of each text's, and the start mark of each text."""
-    block = X.Texts(texts)
-    s, e = token_spans(block.buf)
-    first, last = block.owner(s)
     root = X.mix64(langs.astype(np.int64).view(np.uint64))
-    h = X.mix64(X.hash_words(block.buf, s, e) + np.repeat(root, last - first))
-    return h, last - first, X.mix64(root ^ _START)
+    upto = np.cumsum([0, *(len(t or b"") for t in texts)])
+    found, counts, i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PIECE_BYTES, side="right")) - 1)
+        block = X.Texts(texts[i:j])
+        s, e = token_spans(block.buf)
+        first, last = block.owner(s)
+        found.append(X.mix64(X.hash_words(block.buf, s, e) + np.repeat(root[i:j], last - first)))
+        counts.append(last - first)
+        i = j
+    return np.concatenate(found), np.concatenate(counts), X.mix64(root ^ _START)
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -196,14 +203,16 @@ class _Tally:
         self.rows += len(columns[0])
 
     def merge(self) -> tuple[np.ndarray, ...]:
-        h, lang, n, low, high = (np.concatenate(x) for x in zip(*self.parts))
+        whole = lambda k: np.concatenate([p[k] for p in self.parts])
+        h = whole(0)
         order = X.argsort(h)
-        at = _starts(h[order])
-        if len(at):
-            h, lang, n, low, high = (h[order][at], lang[order][at], np.add.reduceat(n[order], at), np.minimum.reduceat(low[order], at),
-                                     np.maximum.reduceat(high[order], at))
-        self.parts, self.rows = [(h, lang, n, low, high)], len(h)
-        return self.parts[0]
+        h = h[order]
+        at = _starts(h)
+        take = lambda x: x[at]
+        sums = [f.reduceat if len(at) else lambda x, _: x for f in (np.add, np.minimum, np.maximum)]
+        merged = (take(h), take(whole(1)[order]), *(f(whole(k)[order], at) for k, f in enumerate(sums, 2)))
+        self.parts, self.rows = [merged], len(at)
+        return merged
 
 
 def token_counts(plain: DataFrame) -> DataFrame:
@@ -222,15 +231,17 @@ def token_counts(plain: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
-        for batch, texts in X.blocks(batches, 2, BLOCK_BYTES):
+        for batch, texts in X.joined(batches, 2, BLOCK_BYTES):
             langs = batch.column(1).to_numpy()
             h, n, start = _hashes(texts, langs)
-            each = np.arange(len(texts))
+            each = np.arange(len(texts), dtype=np.int32)
             h, owner = np.concatenate([h, start]), np.concatenate([np.repeat(each, n), each])
             order = X.argsort(h)
-            key, at = _short(batch.column(0).to_numpy())[owner[order]].astype(np.int64), _starts(h[order])
+            h, owner = h[order], owner[order]
+            key, at = _short(batch.column(0).to_numpy())[owner], _starts(h)
             if len(at):
-                tally.add(h[order][at], langs[owner[order][at]], np.diff(np.append(at, len(h))), np.minimum.reduceat(key, at), np.maximum.reduceat(key, at))
+                tally.add(h[at], langs[owner[at]], np.diff(np.append(at, len(h))), np.minimum.reduceat(key, at), np.maximum.reduceat(key, at))
+            del batch, texts, langs, h, n, start, owner, order, key, at
             if tally.rows > HELD_TOKENS and len(tally.merge()[0]) > HELD_TOKENS // 2:
                 yield from send(tally)
         if tally.rows:
@@ -241,7 +252,6 @@ def token_counts(plain: DataFrame) -> DataFrame:
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 h, lang, langs, n, low, more = unpack(blob)
-                low = low.astype(np.int64)
                 tally.add(np.cumsum(h), langs.view(np.int64)[lang], n.astype(np.int64), low, low + more)
                 if tally.rows > HELD_TOKENS and tally.rows > 2 * len(tally.parts[0][0]):
                     tally.merge()
@@ -252,8 +262,8 @@ def token_counts(plain: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h[i:j])), pa.array(lang[i:j]), pa.array(n[i:j]), pa.array(low[i:j] != high[i:j])],
                                                  names=["h", "lang", "n", "shared"])
 
-    sent = map_arrow(plain.select("key", "lang", "text"), count, "p int, blob binary")
-    return map_arrow(sent.repartitionById(parts, "p"), add, "h long, lang long, n long, shared boolean")
+    sent = map_arrow(plain.select("key", "lang", "text"), returning(count), "p int, blob binary")
+    return map_arrow(sent.repartitionById(parts, "p"), returning(add), "h long, lang long, n long, shared boolean")
 
 
 class Vocabulary:
@@ -339,7 +349,7 @@ def coded_blocks(plain: DataFrame, shared, rounds: int) -> DataFrame:
     and languages."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = shared.value, TaskContext.get().partitionId() << 32
-        for batch, texts in X.blocks(batches, 2, BLOCK_BYTES):
+        for batch, texts in X.joined(batches, 2, BLOCK_BYTES):
             langs = batch.column(1).to_numpy()
             h, n, start = _hashes(texts, langs)
             each, lang = np.unique(langs, return_inverse=True)
@@ -353,7 +363,7 @@ def coded_blocks(plain: DataFrame, shared, rounds: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
             number += 1
 
-    return map_arrow(plain.select("key", "lang", "text"), code, "block long, blob binary")
+    return map_arrow(plain.select("key", "lang", "text"), returning(code), "block long, blob binary")
 
 
 def _deal(blob: bytes, words: Vocabulary, turn: int, rounds: int, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -756,7 +766,7 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
     follow_parts = max(1, parts // 4)
     counted, counted_at = [], []
     for turn in range(rounds):
-        table, at = kept_table(map_arrow(dealt(turn).select("p", "blob").repartitionById(parts, "p"), _count(shared, follow_parts), _COUNTED), "quality-counted",
+        table, at = kept_table(map_arrow(dealt(turn).select("p", "blob").repartitionById(parts, "p"), returning(_count(shared, follow_parts)), _COUNTED), "quality-counted",
                                batch_bytes=BATCH_BYTES)
         counted.append(table)
         counted_at.append(at)
@@ -823,7 +833,7 @@ def _run(plain: DataFrame, vocabulary_size: int, rounds: int, arrays: bool) -> D
             table, at = kept_table(map_arrow(rows.repartitionById(parts, "p"), _score(shared, top, True), "size int, entries long, blob binary"), "quality-model", batch_bytes=BATCH_BYTES)
             scored.append(table)
             continue
-        sums = map_arrow(rows.repartitionById(parts, "p"), _score(shared, top), "block long, blob binary")
+        sums = map_arrow(rows.repartitionById(parts, "p"), returning(_score(shared, top)), "block long, blob binary")
         dense = map_arrow(sums.select("block", F.lit(0).alias("kind"), "blob").repartition(parts, "block").sortWithinPartitions("block"), _by_block(False),
                           "block long, blob binary")
         table, at = kept_table(dense, "quality-sums", batch_bytes=BATCH_BYTES)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -29,6 +31,19 @@ def map_arrow(df: DataFrame, step, schema) -> DataFrame:
     return numbered.mapInArrow(step, inner).toDF(*schema.names)
 
 
+def returning(step):
+    """``step``, after which the worker returns the memory that it has freed: workers serve many tasks, and else keep
+    the most that any of them took."""
+    def run(batches):
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc alone
+        if trim:
+            trim(0)
+
+    return run
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A folder that nothing has used, below the shared folder."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+HASH_BYTES = 1 << 18              # of words hashed at a time: tables and sums of this size stay in the cache
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -91,7 +92,7 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
         at, stop = int(starts[i]), int(ends[j - 1])
         piece = buf[at:stop]
         up, down = _power_tables(stop - at + 1)
@@ -152,6 +153,24 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, block_bytes: int = BLOC
             i = j
 
 
+def joined(batches: Iterator[pa.RecordBatch], text: int, block_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """:func:`blocks` over smaller batches: those of about ``block_bytes`` of text are put together first.  A batch's text
+    column is taken to be most of it."""
+    held, size = [], 0
+
+    def one() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*(b.columns for b in held))], names=held[0].schema.names)
+
+    for batch in batches:
+        if held and size + batch.nbytes > block_bytes:
+            yield from blocks(iter([one()]), text, block_bytes)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield from blocks(iter([one()]), text, block_bytes)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[k] .. starts[k] + lengths[k] - 1`` of all k, one after another."""
     total = np.cumsum(lengths)

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,37 @@ def test_neighbours_meet_their_tokens():
             found |= {r["h"]: (r["lang"], r["n"], r["shared"], r["a"]) for r in out.to_pylist()}
     at = [*range(100, 200), *range(250, 400)]
     assert found == {int(h[k].view(np.int64)): (int(lang[k]), int(n[k]), bool(n[k] % 2 == 0), 8) for k in at}
+
+
+def peak(call):
+    """What a call returns, and the most bytes that it held."""
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashing_a_block_holds_little_beside_its_hashes():
+    rnd = random.Random(29)
+    texts = [" ".join(words(rnd, "abcdefgé", 400)).encode() for _ in range(2000)] + [None, b""]
+    langs = np.full(len(texts), 7)
+    knlm._hashes(texts[:200], langs[:200])                              # tables of powers
+    (h, n, start), held = peak(lambda: knlm._hashes(texts, langs))
+    assert held < 2 * h.nbytes + 24 * knlm.PIECE_BYTES, (held, h.nbytes)
+    one = [knlm._hashes([t], langs[:1]) for t in texts]
+    assert (h == np.concatenate([x[0] for x in one])).all() and n.tolist() == [len(x[0]) for x in one] and (start == one[0][2]).all()
+
+
+def test_blocks_are_put_together_from_small_batches():
+    rnd = random.Random(31)
+    texts = [text(rnd, rnd.randrange(1, 60)) for _ in range(500)] + ["x" * 9000, None, ""]
+    whole = pa.table({"key": np.arange(len(texts)), "lang": np.zeros(len(texts), np.int64), "text": pa.array(texts, pa.string())}).combine_chunks().to_batches()[0]
+    small = [whole.slice(i, 10) for i in range(0, len(texts), 10)]
+    found = list(X.joined(iter(small), 2, 8000))
+    assert [t for _, ts in found for t in ts] == [None if t is None else t.encode() for t in texts]
+    assert [k for b, _ in found for k in b.column(0).to_pylist()] == list(range(len(texts)))
+    sizes = [b.nbytes for b, _ in found]
+    assert max(len(b) for b, _ in found[:3]) > 10 and all(s <= 8000 or len(b) == 1 for s, (b, _) in zip(sizes, found))
+    assert list(X.joined(iter([]), 2, 8000)) == []
+    assert 4 * knlm.BATCH_BYTES <= knlm.BLOCK_BYTES
